@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +63,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives Python workers this package, wherever they run; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="palimpsest-")) / "palimpsest.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, file.relative_to(root.parent).as_posix())
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the given names: what other columns are called cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

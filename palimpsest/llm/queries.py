@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, line_dedup, mixing, quality_rules
+from palimpsest.llm import chat, decontaminate, html_extract, line_dedup, mixing, quality_lm, quality_rules, secret_scan, simhash, warc
 from palimpsest.llm.common import table
 
 
@@ -13,9 +13,15 @@ def _over(name, digest):
 def queries():
     return {
         "op1_chat_formatting": chat.query,
+        "op2_decontamination": decontaminate.query,
         "op3_mixing": _over("documents", mixing.digest),
+        "op4_quality_classifier": quality_lm.query,
+        "op5_html_extraction": _over("pages", html_extract.extract),
         "op6_quality_rules": _over("documents", quality_rules.digest),
+        "op7_warc": warc.query,
         "op8_line_dedup": _over("documents", line_dedup.digest),
+        "op9_secret_scan": _over("documents", secret_scan.digest),
+        "op10_simhash": _over("documents", simhash.digest),
     }
 
 
@@ -23,5 +29,7 @@ def oracle_sql():
     return {
         "op1_chat_formatting": chat.SQL,
         "op6_quality_rules": quality_rules.SQL,
+        "op7_warc": warc.SQL,
         "op8_line_dedup": line_dedup.SQL,
+        "op9_secret_scan": secret_scan.SQL,
     }
