@@ -28,12 +28,13 @@ SOURCE, BLOCK, PLACE, SIZE = "__mix_source", "__mix_block", "__mix_place", "__mi
 
 def log_factorial(x: Column) -> Column:
     """Stirling's series at x + 9, brought down by the eight factors between."""
-    y = x.cast("double") + 9
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
-    between = F.lit(1.0)
-    for i in range(1, 9):
-        between = between * (x + i)
-    return series - F.log(between)
+    def series(y: Column) -> Column:
+        between = y - 8
+        for i in range(7):
+            between = between * (y - 7 + i)
+        return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(between)
+
+    return let(x.cast("double") + 9, series)
 
 
 def unit(*key: Column) -> Column:
@@ -46,20 +47,28 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
 
     What lies more than 12 standard deviations and 12 from the mean has no probability that a double can show.
     """
-    t, g, d = (c.cast("double") for c in (total, good, drawn))
-    mean = F.when(total == 0, F.lit(0.0)).otherwise(d * g / t)
-    spread = 12 + 12 * F.sqrt(F.greatest(F.lit(0.0), F.when(total < 2, F.lit(0.0)).otherwise(mean * (1 - g / t) * (t - d) / (t - 1))))
-    least = F.greatest(F.lit(0).cast("long"), drawn - (total - good), F.floor(mean - spread).cast("long"))
-    most = F.least(good, drawn, F.ceil(mean + spread).cast("long"))
-    log_p = lambda x: -(log_factorial(x) + log_factorial(good - x) + log_factorial(drawn - x) + log_factorial(total - good - drawn + x))
-    centre = F.least(most, F.greatest(least, F.floor(mean).cast("long")))
-    weights = let(log_p(centre), lambda top: F.transform(F.sequence(least, most), lambda x: F.struct(x.alias("x"), F.exp(log_p(x) - top).alias("w"))))
-    return let(weights, lambda ws: F.aggregate(
-        ws,
-        F.struct((u * F.aggregate(ws, F.lit(0.0), lambda a, w: a + w["w"])).alias("left"), least.alias("x")),
-        lambda a, w: F.when(a["left"] > 0, F.struct((a["left"] - w["w"]).alias("left"), w["x"].alias("x"))).otherwise(a),
-        lambda a: a["x"],
-    ))
+    def spread(a: Column) -> Column:
+        t, g, d = (a[c].cast("double") for c in "tgd")
+        mean = F.when(t == 0, F.lit(0.0)).otherwise(d * g / t)
+        return F.struct(a["t"].alias("t"), a["g"].alias("g"), a["d"].alias("d"), mean.alias("mean"), (12 + 12 * F.sqrt(F.greatest(F.lit(0.0), F.when(t < 2, F.lit(0.0)).otherwise(d * g / t * (1 - g / t) * (t - d) / (t - 1))))).alias("by"))
+
+    def bounds(a: Column) -> Column:
+        least = F.greatest(F.lit(0).cast("long"), a["d"] - (a["t"] - a["g"]), F.floor(a["mean"] - a["by"]).cast("long"))
+        most = F.least(a["g"], a["d"], F.ceil(a["mean"] + a["by"]).cast("long"))
+        return F.struct(a["t"].alias("t"), a["g"].alias("g"), a["d"].alias("d"), least.alias("least"), most.alias("most"), F.floor(a["mean"]).cast("long").alias("middle"))
+
+    def pick(a: Column) -> Column:
+        log_p = lambda x: -(log_factorial(x) + log_factorial(a["g"] - x) + log_factorial(a["d"] - x) + log_factorial(a["t"] - a["g"] - a["d"] + x))
+        weights = let(log_p(F.least(a["most"], F.greatest(a["least"], a["middle"]))), lambda top: F.transform(
+            F.sequence(a["least"], a["most"]), lambda x: F.struct(x.alias("x"), F.exp(log_p(x) - top).alias("w"))))
+        return let(weights, lambda ws: F.aggregate(
+            ws,
+            F.struct((u * F.aggregate(ws, F.lit(0.0), lambda s, w: s + w["w"])).alias("left"), a["least"].alias("x")),
+            lambda s, w: F.when(s["left"] > 0, F.struct((s["left"] - w["w"]).alias("left"), w["x"].alias("x"))).otherwise(s),
+            lambda s: s["x"],
+        ))
+
+    return let(F.struct(total.alias("t"), good.alias("g"), drawn.alias("d")), lambda a: let(let(spread(a), bounds), pick))
 
 
 def _left(node: Column, quotas: Column, seed: int) -> Column:
