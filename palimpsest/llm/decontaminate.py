@@ -173,17 +173,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     for part in _blocks(items, BLOCK):
         sketches = spark.sparkContext.broadcast(Sketches(part, threshold))
 
-        def clean(batches: Iterator, sketches=sketches) -> Iterator:
-            memory = WordHashes()
-            for texts in batches:
-                yield texts.map(lambda t: not sketches.value.matches(t, memory))
+        kept = kept.where(_cleaner(sketches)(text_of(F.col(f"`{text_col}`"))))
+    return kept
 
-        from pyspark.sql.functions import pandas_udf
-        import pandas as pd
 
-        clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        kept = kept.where(pandas_udf(clean, "boolean")(text_of(F.col(f"`{text_col}`"))))
-    return kept
+def _cleaner(sketches):
+    """Whether a text contains none of the items, as a function of a column."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def clean(batches: Iterator) -> Iterator:
+        memory = WordHashes()
+        for texts in batches:
+            yield texts.map(lambda t: not sketches.value.matches(t, memory))
+
+    clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(clean, "boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
