@@ -155,8 +155,16 @@ class Page:
         return "\n".join(b for b in out if b)
 
 
+PARTS = frozenset("article aside div footer form header main nav section".split())
+
+
+def own_part(tag: str, marks) -> bool:
+    """Whether an element is a part of the page of its own: such differ from their parent far more often than others."""
+    return bool(marks) or tag in PARTS
+
+
 class Model:
-    """Log-odds of content for what is seen, and P(child's state | parent's state), from labelled pages."""
+    """Log-odds of content for what is seen, and P(child's state | parent's state) by kind of child, from labelled pages."""
 
     def __init__(self, pages: list[tuple[str, object]]):
         seen, pairs = Counter(), Counter()
@@ -167,37 +175,41 @@ class Model:
             for i in range(1, len(states)):  # a state marked on an element holds below it
                 states[i] = is_content(page.marks[i]) if is_content(page.marks[i]) is not None else states[page.parents[i]]
             for i, (tag, marks, share, size) in enumerate(page.features()):
-                keys = [("tag", tag), ("share", share), ("size", size), *(("mark", w) for w in set(marks) if w not in ("y", "n"))]
+                marks = [w for w in marks if w not in ("y", "n")]
+                keys = [("tag", tag), ("share", share), ("size", size), *(("mark", w) for w in set(marks))]
                 for k in keys:
                     seen[k, states[i]] += 1
                 totals[states[i]] += 1
                 if i:
-                    pairs[states[page.parents[i]], states[i]] += 1
+                    pairs[own_part(tag, marks), states[page.parents[i]], states[i]] += 1
         self.odds = {}
         for kind_value in {k for k, _ in seen}:
-            weight = 0.3 if kind_value[0] in ("share", "size") else 1.0  # amounts of text are weak evidence on their own
+            # Amounts of text, and tags that occur in all parts of a page, are weak evidence on their own.
+            weight = 1.0 if kind_value[0] == "mark" or kind_value[1] in PARTS else 0.3
             p = [(seen[kind_value, s] + 0.5) / (totals[s] + 1) for s in (False, True)]
             self.odds[kind_value] = weight * math.log(p[1] / p[0])
-        row = {s: pairs[s, False] + pairs[s, True] + 2 for s in (False, True)}
-        self.pair = {(a, b): (pairs[a, b] + 1) / row[a] for a in (False, True) for b in (False, True)}
+        row = {(o, s): pairs[o, s, False] + pairs[o, s, True] + 2 for o in (False, True) for s in (False, True)}
+        self.pair = {o: tuple((pairs[o, a, b] + 1) / row[o, a] for a in (False, True) for b in (False, True)) for o in (False, True)}
 
     def marginals(self, page: Page) -> list[float]:
         """The log-odds of each element's marginal of being content."""
         odds, exp, log = self.odds, math.exp, math.log
-        p00, p01, p10, p11 = (self.pair[a, b] for a in (False, True) for b in (False, True))
         n = len(page.tags)
-        belief = [0.0] * n
+        belief, pair = [0.0] * n, [self.pair[False]] * n
         for i, (tag, marks, share, size) in enumerate(page.features()):
+            pair[i] = self.pair[own_part(tag, marks)]
             v = odds.get(("tag", tag), 0.0) + odds.get(("share", share), 0.0) + odds.get(("size", size), 0.0)
             for w in marks:
                 v += odds.get(("mark", w), 0.0)
             belief[i] = v
         up = [0.0] * n
         for i in range(n - 1, 0, -1):
+            p00, p01, p10, p11 = pair[i]
             e = exp(max(-50.0, min(50.0, belief[i])))
             up[i] = m = log((p11 * e + p10) / (p01 * e + p00))
             belief[page.parents[i]] += m
         for i in range(1, n):
+            p00, p01, p10, p11 = pair[i]
             e = exp(max(-50.0, min(50.0, belief[page.parents[i]] - up[i])))
             belief[i] += log((p11 * e + p01) / (p10 * e + p00))
         return belief
@@ -230,7 +242,12 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[str, object]]:
 
     def off(*names: str) -> str:
         tag, *marks = rnd.choice(names).split(".")
-        inner = rnd.choice((f"<ul>{links()}</ul>", f"<p>{words(2, 40)}</p>", words(2, 40), f"<div>{words(1, 20)}</div>", links("span"), f"<p>{words(3, 20)} <a href='#'>{words(1, 3)}</a></p><p>{words(3, 30)}</p>"))
+        title = rnd.choice(("h1", "h2", "h3", "h4"))
+        emphasis = rnd.choice(("b", "em", "i", "strong", "span", "code"))
+        plain = rnd.choice((
+            f"<{title}>{words(1, 6)}</{title}>", f"<p><{emphasis}>{words(1, 3)}</{emphasis}> {words(3, 60)}</p>", f"<blockquote><p>{words(3, 30)}</p></blockquote>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>",
+            f"<ol><li>{words(1, 20)}</li><li>{words(1, 20)}</li></ol>", f"<figure><figcaption>{words(2, 12)}</figcaption></figure>", f"<pre>{words(2, 20)}</pre>", f"<label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>", ""))
+        inner = plain + rnd.choice((f"<ul>{links()}</ul>", f"<p>{words(2, 40)}</p>", words(2, 40), f"<div>{words(1, 20)}</div>", links("span"), f"<p>{words(3, 20)} <a href='#'>{words(1, 3)}</a></p><p>{words(3, 30)}</p>"))
         return f"<{tag} class='n {' '.join(marks)}'>{inner}</{tag}>"
 
     around = ("nav", "nav.menu", "div.menu", "div.navigation", "ul.nav", "header", "header.site", "div.header", "div.banner", "div.cookie.notice", "div.notice", "div.consent",

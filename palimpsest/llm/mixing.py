@@ -23,7 +23,8 @@ SEED = 20
 SHARDS = 16
 BITS = 10  # blocks a source, and again parts of the block that the target falls into, as a power of two
 BROADCAST_BLOCKS = 200_000  # rows of about 100 bytes
-SOURCE, BLOCK, PLACE, SIZE = "__mix_source", "__mix_block", "__mix_place", "__mix_size"
+# Columns that are added to the caller's; no others can clash with them.
+SOURCE, BLOCK, PLACE, SIZE, MIX = "__mix_source", "__mix_block", "__mix_place", "__mix_size", "__mix"
 
 
 def log_factorial(x: Column) -> Column:
@@ -174,7 +175,7 @@ def _few(df: DataFrame, most: int) -> bool:
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """docs with its columns and those of the mix: size, source_size, target, taken, shards (as a struct, `mix`).
+    """docs with its columns and a struct MIX: size, source_size, target, taken, shards.
 
     size counts words (null text: 0); null is a source like any other, the last. Rows that share an id share a place
     in the permutation. Sources without words have target 0. Of no rows, no rows come. Columns of any other name pass.
@@ -190,14 +191,14 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.col(SIZE).alias("size"), F.col("__mix_source_size_").alias("source_size"), F.col("__mix_target_").alias("target"),
         (F.col(SIZE) * n).alias("taken"), F.slice("__mix_shards_", F.lit(1), n).alias("shards"),
     )
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("mix"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias(MIX))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: docs, a row for each copy taken, with mix_copy, mix_shard and mix_order, the place within it."""
     planned = plan_mix(docs, id_col, text_col, source_col, shards, seed)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    copies = planned.select(*own, F.posexplode("mix.shards").alias("mix_copy", "mix_shard"))
+    copies = planned.select(*own, F.posexplode(F.col(MIX)["shards"]).alias("mix_copy", "mix_shard"))
     return copies.withColumn("mix_order", F.xxhash64(F.lit(seed), F.lit("order"), F.col("mix_shard"), F.col(f"`{id_col}`"), F.col("mix_copy")))
 
 
@@ -207,4 +208,4 @@ def write_shards(mixed: DataFrame, path: str) -> None:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return plan_mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.shards")
+    return plan_mix(docs).select("doc_id", *[F.col(MIX)[c].alias(c) for c in ("size", "source_size", "target", "taken", "shards")])

@@ -24,7 +24,8 @@ HELD_OUT = 5  # one trusted document of so many sets thresholds instead of train
 QUANTILE = 0.99
 MARGIN = 1.3  # times the quantile, so that thresholds from few documents do not reject their like
 PRIOR = 200  # characters' worth of a language's typical text that short documents are scored with
-FEW = 20  # held-out documents; languages with fewer take the threshold of all
+FEW = 20  # held-out documents; languages with fewer take the threshold of all,
+RARE = 1.5  # times so much, as the model has seen little of them
 BROADCAST_IDS = 2_000_000  # trusted ids of 8 bytes that are broadcast; more are joined by a shuffle
 
 _symbols = None
@@ -254,7 +255,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     n, total = F.col("__quality_score.n"), F.col("__quality_score.total")
     base = F.coalesce("__quality_mean", F.lit(everywhere).cast("double"))
     ppl = F.when(n > 0, F.coalesce(F.exp(-(total + PRIOR * base) / (n + PRIOR)), F.exp(-total / n)))
-    limit = F.coalesce("__quality_limit", F.lit(overall).cast("double"), F.lit(float("inf")))
+    limit = F.coalesce("__quality_limit", F.lit(overall).cast("double") * RARE, F.lit(float("inf")))
     result = F.struct(n.alias("n_chars"), ppl.alias("perplexity"), limit.alias("threshold"), F.coalesce(ppl <= limit, F.lit(False)).alias("kept"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("__quality"))
 
