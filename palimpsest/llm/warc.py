@@ -67,7 +67,8 @@ def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     slim = renamed(pages, page=id_col, url=url_col, html=html_col).select(F.col("page").cast("long").alias("page"), "url", text_of(F.col("html")).alias("html"))
     slim = slim.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     known = slim.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.coalesce("page", F.lit(NO_ID))).alias("first"))
-    known = known.where("n > 1").select(F.col("digest").alias("known_digest"), "first")
+    # Written down, so that the join shuffles both of its sides and Spark can split a digest that many pages share.
+    known = cut(known.where("n > 1").select(F.col("digest").alias("known_digest"), "first"))
     joined = slim.join(known, F.col("digest") == F.col("known_digest"), "left")
     return joined.select("page", "url", "html", "digest", F.when(F.coalesce("page", F.lit(NO_ID)) < F.col("first"), F.col("first")).alias("original"))
 
