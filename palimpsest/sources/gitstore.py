@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from palimpsest.sources.shipping import ship
+
 # Fixed values of the format.
 TYPES = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 OFS_DELTA, REF_DELTA = 6, 7
@@ -424,7 +426,7 @@ class GitObjects(DataSource):
 
 def objects(spark: SparkSession, repo: Repository) -> DataFrame:
     """(oid, type, size, data, error), each oid once: from the first source that has it whole, else its last error."""
-    spark.dataSource.register(GitObjects)
+    ship(spark).dataSource.register(GitObjects)
     found = spark.read.format("git_objects").option("path", repo.common_dir).load()
     best = found.groupBy("oid").agg(F.min_by(F.struct("type", "size", "data", "error"), F.struct(F.col("error").isNotNull(), "source_rank")).alias("o"))
     return best.select("oid", "o.*")
@@ -481,6 +483,7 @@ def parse_trees(objects_: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["tree_oid", "ord", "mode", "name", "oid"])
 
+    ship(objects_.sparkSession)
     return objects_.where("type = 'tree' AND data IS NOT NULL").select("oid", "data").mapInArrow(run, "tree_oid string, ord int, mode int, name string, oid string")
 
 
