@@ -76,8 +76,8 @@ class _Translator:
             elif c in "{}]":
                 self._put("\\" + c)
             elif c == "^":
-                # Here, ^ does not match behind a line feed that ends the text.
-                self._put(r"(?:^|(?<=\n)\z)" if self.flags["m"] else r"\A")
+                # Here, ^ matches neither in an empty text nor behind a line feed that ends the text.
+                self._put(r"(?:^|\A|(?<=\n)\z)" if self.flags["m"] else r"\A")
             elif c == "$":
                 self._put("$" if self.flags["m"] else r"\z")
             else:

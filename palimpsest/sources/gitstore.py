@@ -453,8 +453,9 @@ def parse_commits(objects_: DataFrame) -> DataFrame:
 
     The date is the author's, or the committer's without one. Objects without a tree header are errors.
     """
-    text = F.regexp_replace(F.try_validate_utf8(F.col("data").cast("string")) if hasattr(F, "try_validate_utf8") else F.col("data").cast("string"), "\r\n", "\n")
-    raw = objects_.where("type = 'commit'").select(F.col("oid").alias("sha"), F.coalesce(text, F.decode("data", F.lit("ISO-8859-1"))).alias("text"))
+    # A payload that is not UTF-8 is read byte by byte.
+    text = F.replace(F.coalesce(F.try_validate_utf8(F.col("data").cast("string")), F.decode("data", "ISO-8859-1")), F.lit("\r\n"), F.lit("\n"))
+    raw = objects_.where("type = 'commit'").select(F.col("oid").alias("sha"), text.alias("text"))
     split = F.locate("\n\n", F.col("text"))
     head = F.when(split > 0, F.substr("text", F.lit(1), split)).otherwise(F.col("text"))
     folded = F.regexp_replace(head, "\n ", "\x01")  # continuation lines belong to the header before them
