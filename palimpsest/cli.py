@@ -15,7 +15,8 @@ HELP = """usage: palimpsest [FLAGS] PATTERN [REV] [PATH...] [-- PATH...]
 exit code: 0 matches, 1 none, 2 error"""
 
 
-def main(args: list[str] | None = None, spark=None, start: str = ".", out=None, err=None) -> int:
+def main(args: list[str] | None = None, spark=None, start: str = ".", out=None, err=None, source=None) -> int:
+    """Runs one search and returns its exit code; a source that has been read already is searched as it is."""
     out, err = out or sys.stdout, err or sys.stderr
     try:
         options = parse_args(sys.argv[1:] if args is None else args).validate()
@@ -30,7 +31,7 @@ def main(args: list[str] | None = None, spark=None, start: str = ".", out=None,
 
         spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
         try:
-            result = search(spark, from_git(spark, start), options)
+            result = search(spark, source or from_git(spark, start), options)
         except (CorruptObject, NotFound) as e:
             raise OptionError(str(e)) from None
         if not options.quiet:

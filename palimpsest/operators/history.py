@@ -54,12 +54,13 @@ def ancestors_by_joins(commits: DataFrame, start: DataFrame, first_parent: bool
     """
     known = commits.select("sha").distinct()
     up = checkpointed(edges(commits, first_parent).join(known.withColumnRenamed("sha", "parent"), "parent", "left_semi").distinct())
-    frontier = reached = checkpointed(start.join(known, "sha", "left_semi").distinct())
-    while not frontier.isEmpty():
+    reached = frontier = checkpointed(start.join(known, "sha", "left_semi").distinct())
+    while True:
         step = up.join(frontier.withColumnRenamed("sha", "child"), "child", "left_semi").select(F.col("parent").alias("sha")).distinct()
         frontier = checkpointed(step.join(reached, "sha", "left_anti"))
-        reached = checkpointed(reached.unionByName(frontier))
-    return reached
+        if frontier.isEmpty():
+            return reached
+        reached = reached.unionByName(frontier)  # of rounds that are each written down
 
 
 def rev_range(commits: DataFrame, include: list[str], exclude: list[str], first_parent: bool = False) -> DataFrame:

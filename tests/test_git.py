@@ -5,6 +5,7 @@ import zlib
 import pytest
 
 from palimpsest import cli
+from palimpsest.plans import engine
 from palimpsest.sources import gitstore
 from tests.gitwriter import Repo, ofs, varint
 
@@ -112,12 +113,24 @@ def history(tmp_path_factory):
     return repo
 
 
+SOURCES = {}
+
+
 def run(spark, history, *args, start=None):
     out, err = io.StringIO(), io.StringIO()
-    code = cli.main(list(args), spark, str(start or history.folder), out, err)
+    folder = str(start or history.folder)
+    if folder not in SOURCES:
+        SOURCES[folder] = engine.from_git(spark, folder, {})
+    code = cli.main(list(args), spark, folder, out, err, SOURCES[folder])
     return code, out.getvalue().splitlines(), err.getvalue()
 
 
+def test_whole_command(spark, history):
+    out = io.StringIO()
+    assert cli.main(["-l", "hello"], spark, str(history.folder), out) == 0 and out.getvalue().count("doc/readme.md") == 1
+    assert cli.main(["x"], spark, "/") == 2 and cli.main(["--help"], out=out) == 0
+
+
 def test_search(spark, history):
     code, lines, _ = run(spark, history, "--no-heading", "func main")
     assert code == 0 and [x.split(":", 1)[1] for x in lines] == ["src/main.go:2:func main() { run() }", "src/main.go:2:func main() {}"]
