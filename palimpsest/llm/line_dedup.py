@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WHITE, ascii_lower, let, renamed, text_of
+from palimpsest.llm.common import WHITE, ascii_lower, cut, let, renamed, text_of
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -48,7 +48,8 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col("doc").cast("long"), F.lit(NO_ID)).alias("doc"), text_of(F.col("text")).alias("text")
     ).withColumn("body", F.xxhash64("text"))
     lines = _lines(slim, min_chars)
-    drop = (
+    # Written down, so that the join below shuffles both of its sides, which is what lets Spark split a hot key.
+    drop = cut(
         lines.groupBy("h1", "h2")
         .agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keep"))
         .where(F.col("n") >= min_documents)
