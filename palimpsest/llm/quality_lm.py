@@ -28,6 +28,8 @@ FEW = 20  # held-out documents; languages with fewer take the threshold of all,
 RARE = 1.5  # times so much, as the model has seen little of them
 BROADCAST_IDS = 2_000_000  # trusted ids of 8 bytes that are broadcast; more are joined by a shuffle
 
+SLICE = 1000  # rows of a batch whose texts are held as strings at once
+
 _symbols = None
 
 
@@ -106,12 +108,12 @@ def count_grams(texts: list[str], counts) -> None:
             ends = (starts + sizes + k)
             own[ends[ends < len(g)]] = False
         seen, n = np.unique(g[own], return_counts=True)
-        counts[seen] += n
+        counts[seen] += n.astype(counts.dtype)
     for t in texts:
         if len(t) > CHUNK // 4:
             for g in grams(t):
                 seen, n = np.unique(g, return_counts=True)
-                counts[seen] += n
+                counts[seen] += n.astype(counts.dtype)
 
 
 def discounts(counts) -> list[float]:
@@ -172,6 +174,11 @@ def score(texts: list[str], log) -> tuple[list[float], list[int]]:
     return total.tolist(), size.tolist()
 
 
+def sliced(batch) -> Iterator:
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
 def train(trusted: DataFrame) -> Model:
     """The model of the column `text` of all rows. No rows: every gram is as likely as any other."""
     import numpy as np
@@ -179,15 +186,16 @@ def train(trusted: DataFrame) -> Model:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts, at_all = np.zeros(GRAMS, dtype=np.int64), False
+        counts, at_all = np.zeros(GRAMS, dtype=np.int32), False
         for batch in batches:
-            count_grams(batch.column("text").to_pylist(), counts)
+            for texts in sliced(batch):
+                count_grams(texts.column("text").to_pylist(), counts)
             at_all = True
         if at_all:
             seen = np.flatnonzero(counts)
             for at in range(0, len(seen), 1 << 16):
                 k = seen[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[k])], names=["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[k].astype(np.int64))], names=["gram", "n"])
 
     rows = map_batches(trusted.select("text"), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     keys, counts = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
@@ -219,7 +227,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         log = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             log = model.value.log_probabilities() if log is None else log
             total, size = score(batch.column("text").to_pylist(), log)
             keep = [c for c in batch.schema.names if c != "text"]
@@ -243,8 +251,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         log = None
         for texts in batches:
             log = model.value.log_probabilities() if log is None else log
-            total, size = score(list(texts), log)
-            yield pd.DataFrame({"total": total, "n": size})
+            parts = [score(list(texts.iloc[at:at + SLICE]), log) for at in range(0, len(texts), SLICE)]
+            yield pd.DataFrame({"total": [x for total, _ in parts for x in total], "n": [x for _, size in parts for x in size]}).astype({"total": "float64", "n": "int64"})
 
     import pandas as pd
 
