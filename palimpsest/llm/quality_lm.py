@@ -4,7 +4,8 @@ Characters are mapped to 64 symbols (letters with case, digit, marks by kind), a
 2^24 entries at most: a proven bound, under which it is broadcast. Counts of 4-grams come from all trusted text: each
 task counts what it reads, the counts are shuffled by gram and summed. Every document is then scored where it lies,
 whole, without a shuffle. A document is kept if its perplexity is within a threshold of its language, a quantile of
-trusted documents that the model was not trained on.
+trusted documents that the model was not trained on, and if its divergence from a word model is within that of trusted
+texts of its length; the word model's tables grow with the vocabulary and are joined with documents (see word_lm).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import word_lm
 from palimpsest.llm.common import cut, map_batches, renamed, ship, table, text_of
 
 ORDER, BITS = 4, 6
@@ -211,7 +213,7 @@ def trusted_documents(docs: DataFrame, labels: DataFrame, label_id: str = "doc_i
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """docs with a column __quality: n_chars, perplexity, threshold, kept.
+    """docs with a column __quality: n_chars, perplexity, threshold, n_words, divergence, limit, kept.
 
     Null and empty texts have no perplexity and are rejected. Texts are scored with PRIOR characters' worth of their
     language's typical log-probability, so that a few odd characters do not condemn a short text. A null or rare
@@ -222,6 +224,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     trusted = trusted_documents(slim, labels)
     held = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
     model = spark.sparkContext.broadcast(train(trusted.where(~held)))
+    words = word_lm.train(trusted.where(~held))
+    unknown, ceiling = words[1:] if words else (0.0, 0.0)
+    node = F.xxhash64("text")
+    if words:
+        # Rows of one text have one node; their sums are divided by how many they are.
+        copies = slim.groupBy(node.alias("node")).agg(F.count("*").alias("copies"))
+        sums = cut(word_lm.sums(slim.select(node.alias("node"), "text"), words[0]).join(copies, "node").select("node", (F.col("added") / F.col("copies")).alias("added")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -252,19 +261,44 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for texts in batches:
             log = model.value.log_probabilities() if log is None else log
             parts = [score(list(texts.iloc[at:at + SLICE]), log) for at in range(0, len(texts), SLICE)]
-            yield pd.DataFrame({"total": [x for total, _ in parts for x in total], "n": [x for _, size in parts for x in size]}).astype({"total": "float64", "n": "int64"})
+            own = [word_lm.measure(t) for t in texts]
+            yield pd.DataFrame({"total": [x for total, _ in parts for x in total], "n": [x for _, size in parts for x in size],
+                                "words": [n for n, _ in own], "entropy": [e for _, e in own]}).astype({"total": "float64", "n": "int64", "words": "int64", "entropy": "float64"})
+
+    def measured_texts(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for texts in batches:
+            found = [word_lm.measure(t) for t in texts]
+            yield pd.DataFrame({"words": [n for n, _ in found], "entropy": [e for _, e in found]}).astype({"words": "int64", "entropy": "float64"})
 
     import pandas as pd
 
+    measured_texts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    own = docs.withColumn("__quality_score", pandas_udf(scored, "total double, n long")(text_of(F.col(f"`{text_col}`"))))
+    own = docs.withColumn("__quality_score", pandas_udf(scored, "total double, n long, words long, entropy double")(text_of(F.col(f"`{text_col}`"))))
     limits = limits.select(F.col("typical_lang").alias("__quality_lang"), F.col("mean").alias("__quality_mean"), F.col("limit").alias("__quality_limit"))
     joined = own.join(F.broadcast(limits) if limits.limit(10_001).count() <= 10_000 else limits, F.col(f"`{lang_col}`") == F.col("__quality_lang"), "left")
+    divergence, word_limit = F.lit(None).cast("double"), F.lit(None).cast("double")
+    if words:
+        joined = joined.withColumn("__quality_node", F.xxhash64(text_of(F.col(f"`{text_col}`")))).join(sums.select(F.col("node").alias("__quality_node"), F.col("added").alias("__quality_added")), "__quality_node", "left")
+        score_of = lambda added, n, entropy: F.when(n > 0, -F.coalesce(added, F.lit(0.0)) / n - unknown - entropy)
+        measured_words = trusted.where(held).select("lang", node.alias("node"), pandas_udf(measured_texts, "words long, entropy double")("text").alias("m")).where("m.words > 0").join(sums, "node", "left")
+        bounds = word_lm.limits(cut(measured_words.select("lang", word_lm.bucket(F.col("m.words")).alias("bucket"), score_of(F.col("added"), F.col("m.words"), F.col("m.entropy")).alias("divergence"))), ceiling)
+        own_bounds, other_bounds = bounds.where("lang IS NOT NULL"), bounds.where("lang IS NULL")
+        few = bounds.limit(10_001).count() <= 10_000
+        near = lambda df: F.broadcast(df) if few else df
+        joined = joined.withColumn("__quality_bucket", word_lm.bucket(F.col("__quality_score.words")))
+        joined = joined.join(near(own_bounds.select(F.col("lang").alias("__quality_wlang"), F.col("bucket").alias("__quality_wb"), F.col("limit").alias("__quality_own"))), (F.col(f"`{lang_col}`") == F.col("__quality_wlang")) & (F.col("__quality_bucket") == F.col("__quality_wb")), "left")
+        joined = joined.join(near(other_bounds.select(F.col("bucket").alias("__quality_ob"), F.col("limit").alias("__quality_other"))), F.col("__quality_bucket") == F.col("__quality_ob"), "left")
+        divergence = score_of(F.col("__quality_added"), F.col("__quality_score.words"), F.col("__quality_score.entropy"))
+        word_limit = F.coalesce("__quality_own", "__quality_other", F.lit(ceiling))
     n, total = F.col("__quality_score.n"), F.col("__quality_score.total")
     base = F.coalesce("__quality_mean", F.lit(everywhere).cast("double"))
     ppl = F.when(n > 0, F.coalesce(F.exp(-(total + PRIOR * base) / (n + PRIOR)), F.exp(-total / n)))
     limit = F.coalesce("__quality_limit", F.lit(overall).cast("double") * RARE, F.lit(float("inf")))
-    result = F.struct(n.alias("n_chars"), ppl.alias("perplexity"), limit.alias("threshold"), F.coalesce(ppl <= limit, F.lit(False)).alias("kept"))
+    result = F.struct(n.alias("n_chars"), ppl.alias("perplexity"), limit.alias("threshold"), F.col("__quality_score.words").alias("n_words"), divergence.alias("divergence"), word_limit.alias("limit"),
+                      (F.coalesce(ppl <= limit, F.lit(False)) & F.coalesce(divergence <= word_limit, F.lit(True))).alias("kept"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("__quality"))
 
 

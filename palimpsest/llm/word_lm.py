@@ -1,0 +1,179 @@
+"""Word model of trusted text: interpolated modified Kneser-Ney over word bigrams, in tables that follow the vocabulary.
+
+Counts and values stay in shuffled tables; nothing of them is collected or broadcast. Documents' grams are counted per
+document and joined with the values by key. A bigram's log-probability is split into what its words give (the back-off
+weight of the first, the lower probability of the second) and what a seen bigram adds, so that one inner join and a sum
+score a document: what is not in the table adds nothing to the log-probability of unknown words.
+
+A document's divergence is its cross-entropy a word less the entropy of its own bigrams. Text that repeats itself has
+low perplexity and no entropy, so its divergence is high, as that of words which the model does not know.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import cut, map_batches
+
+SEED = 4
+START = 0
+QUANTILE, STRETCH = 0.95, 1.5  # a limit is the median and so many times the way to the quantile
+WEIGHT = 20  # held-out documents' worth of all languages' limit in a language's
+
+
+def word_hashes(text: str):
+    """The words' 64-bit hashes after the start mark."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "replace").split()
+    out = np.empty(len(words) + 1, dtype="<u8")
+    out[0] = START
+    known = {w: xxh64_intdigest(w, SEED) for w in set(words)}
+    out[1:] = [known[w] for w in words]
+    return out.view("<i8")
+
+
+def _mixed(h, salt: int):
+    import numpy as np
+
+    h = (h.view("<u8") + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def pair_keys(a, b):
+    """The key of each bigram."""
+    h = _mixed(a, 1) ^ (_mixed(b, 2) >> 1)
+    return (h ^ (h >> 29)).view("<i8")
+
+
+def word_keys(w):
+    return _mixed(w, 3).view("<i8")
+
+
+def context_keys(w):
+    return _mixed(w, 4).view("<i8")
+
+
+def bigrams(w):
+    """(first words, second words, keys, counts) of the distinct bigrams."""
+    import numpy as np
+
+    keys, at, n = np.unique(pair_keys(w[:-1], w[1:]), return_index=True, return_counts=True)
+    return w[:-1][at], w[1:][at], keys, n
+
+
+def measure(text: str) -> tuple[int, float]:
+    """The number of words and the entropy of the text's own bigrams."""
+    import numpy as np
+
+    w = word_hashes(text)
+    n = len(w) - 1
+    if not n:
+        return 0, 0.0
+    c = bigrams(w)[3]
+    return n, float(math.log(n) - (c * np.log(c)).sum() / n)
+
+
+def _counted(trusted: DataFrame) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            parts = [bigrams(word_hashes(t.as_py())) for t in batch.column("text")]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["a", "b", "key", "c"])
+
+    return map_batches(trusted.select("text"), run, "a long, b long, key long, c long").groupBy("a", "b", "key").agg(F.sum("c").alias("c"))
+
+
+def _discounted(counts: DataFrame) -> list[float]:
+    seen = {r.c: r.n for r in counts.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    n1, n2, n3, n4 = (max(1, seen.get(k, 0)) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+
+def _discount(d: list[float]):
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+
+def train(trusted: DataFrame) -> tuple[DataFrame, float, float] | None:
+    """((key, value), log-probability of an unknown word, a loss a word that nothing exceeds) of the column `text`; None if there is no word."""
+    pairs = cut(_counted(trusted))
+    lower = cut(pairs.groupBy("b").agg(F.count("*").alias("c")))
+    vocabulary, total = lower.agg(F.count("*"), F.sum("c")).first()
+    if not vocabulary:
+        return None
+    d2, d1 = _discounted(pairs), _discounted(lower)
+    spare = lower.agg(F.sum(_discount(d1))).first()[0] / total
+    unknown = spare / (vocabulary + 1)
+    words = lower.select(F.col("b").alias("w"), ((F.col("c") - _discount(d1)) / total + F.lit(unknown)).alias("p"))
+    contexts = pairs.groupBy("a").agg(F.sum("c").alias("total"), F.sum(_discount(d2)).alias("spare")).select(F.col("a").alias("w"), "total", (F.col("spare") / F.col("total")).alias("gamma"))
+    both = cut(contexts.join(words, "w", "full_outer"))
+    first, second = both.select(F.col("w").alias("a"), "total", "gamma"), both.select(F.col("w").alias("b"), "p")
+    ceiling = -math.log(unknown) - math.log(both.agg(F.min("gamma")).first()[0])
+    added = pairs.join(first, "a").join(second, "b").select(
+        "key", (F.log(((F.col("c") - _discount(d2)) / F.col("total") + F.col("gamma") * F.col("p"))) - F.log("gamma") - F.log("p")).alias("value"))
+
+    def keyed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            w = batch.column("w").to_numpy()
+            gamma = np.nan_to_num(np.log(batch.column("gamma").to_numpy(zero_copy_only=False).astype(float)))
+            p = np.nan_to_num(np.log(batch.column("p").to_numpy(zero_copy_only=False).astype(float)), nan=math.log(unknown))
+            keys = np.concatenate([word_keys(w), context_keys(w)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([gamma + p - math.log(unknown), gamma]))], names=["key", "value"])
+
+    return cut(added.unionByName(map_batches(both, keyed, "key long, value double"))), math.log(unknown), ceiling
+
+
+def sums(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, text), one node a text -> (node, words, added): sums over the rows of a node, each with its words."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, nodes, keys, counts = batch.slice(at, 500), [], [], []
+                for node, text in zip(part.column("node").to_pylist(), part.column("text")):
+                    w = word_hashes(text.as_py())
+                    if len(w) > 1:
+                        single, n = np.unique(w[1:], return_counts=True)
+                        _, _, pairs, c = bigrams(w)
+                        # Every word but the last is a context too, and the start mark is one.
+                        keys += [pairs, word_keys(single), context_keys(w[[0, -1]])]
+                        counts += [c, n, np.array([1, -1])]
+                        nodes.append(np.full(len(pairs) + len(single) + 2, node, dtype=np.int64))
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, keys, counts)], names=["node", "key", "c"])
+
+    rows = map_batches(docs, run, "node long, key long, c long")
+    return rows.join(values, "key").groupBy("node").agg(F.sum(F.col("c") * F.col("value")).alias("added"))
+
+
+def bucket(n):
+    """Texts of comparable length: their number of words to the power of two."""
+    return F.floor(F.log2(n)).cast("int")
+
+
+def limits(held: DataFrame, ceiling: float) -> DataFrame:
+    """(lang, bucket, divergence) -> (lang, bucket, limit), the row of null lang being for other languages.
+
+    Limits move smoothly from what nothing exceeds to the held-out texts' of that length, and on to the language's.
+    """
+    middle, far = F.percentile("divergence", F.lit(0.5)), F.percentile("divergence", F.lit(QUANTILE))
+    own = (middle + (far - middle) * STRETCH).alias("own")
+    overall = cut(held.groupBy("bucket").agg(F.count("*").alias("m"), own).select("bucket", ((F.col("m") * F.col("own") + F.lit(ceiling)) / (F.col("m") + 1)).alias("overall")))
+    by_lang = held.where("lang IS NOT NULL").groupBy("lang", "bucket").agg(F.count("*").alias("m"), own).join(overall, "bucket")
+    return cut(by_lang.select("lang", "bucket", ((F.col("m") * F.col("own") + WEIGHT * F.col("overall")) / (F.col("m") + WEIGHT)).alias("limit")).unionByName(
+        overall.select(F.lit(None).cast("string").alias("lang"), "bucket", F.col("overall").alias("limit"))))

@@ -1,0 +1,57 @@
+import math
+from collections import Counter
+
+from palimpsest.llm import quality_lm, word_lm
+from tests.llm.conftest import words
+from tests.llm.test_models import english
+
+
+def brute(trusted, text):
+    """The divergence by hand, from counted bigrams of words."""
+    pairs = Counter()
+    for t in trusted:
+        w = ["", *t.split()]
+        pairs.update(zip(w, w[1:]))
+    lower = Counter(b for _, b in pairs)
+
+    def discounts(counts):
+        n = Counter(counts)
+        n1, n2, n3, n4 = (max(1, n[k]) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        return [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+    d2, d1, size = discounts(pairs.values()), discounts(lower.values()), sum(lower.values())
+    unknown = sum(d1[min(c, 3) - 1] for c in lower.values()) / size / (len(lower) + 1)
+    w, loss = ["", *text.split()], 0.0
+    for a, b in zip(w, w[1:]):
+        p = unknown + ((lower[b] - d1[min(lower[b], 3) - 1]) / size if b in lower else 0)
+        follow = {k: c for k, c in pairs.items() if k[0] == a}
+        if follow:
+            total = sum(follow.values())
+            p = p * sum(d2[min(c, 3) - 1] for c in follow.values()) / total + ((pairs[a, b] - d2[min(pairs[a, b], 3) - 1]) / total if (a, b) in pairs else 0)
+        loss -= math.log(p)
+    n, own = len(w) - 1, Counter(zip(w, w[1:]))
+    return loss / n + sum(c / n * math.log(c / n) for c in own.values())
+
+
+def test_divergence_is_exact_and_tables_follow_the_vocabulary(spark):
+    trusted = ["a b c a b d", "b c a a b", "東京 は 大阪 は 東京 は", "𝒜 a b c"]
+    frame = lambda texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string")
+    values, unknown, _ = word_lm.train(frame(trusted))
+    texts = ["a b c", "b b b b b x", "zz 東京 は 京", "d a 𝒜", "c"]
+    added = {r.node: r.added for r in word_lm.sums(frame(texts), values).collect()}
+    for i, t in enumerate(texts):
+        n, entropy = word_lm.measure(t)
+        assert abs(-added.get(i, 0.0) / n - unknown - entropy - brute(trusted, t)) < 1e-9
+    assert word_lm.train(frame(trusted + [words(i, 50) for i in range(20)]))[0].count() > 1900 > values.count()
+    assert word_lm.train(frame([])) is None
+
+
+def test_repeated_words_are_rejected(spark, make):
+    """One word repeated goes, although its characters are usual; trusted documents stay."""
+    good = [(i, english(i, 120), "en") for i in range(300)]
+    junk = [(1000 + i, " ".join([w] * 120), "en") for i, w in enumerate(sorted(set(english(5, 200).split()))[:12])]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = quality_lm.classify(make(*good, *junk), labels).select("doc_id", "__quality.*").collect()
+    assert all(r.kept for r in rows if r.doc_id < 1000) and not any(r.kept for r in rows if r.doc_id >= 1000)
+    assert any(r.perplexity <= r.threshold for r in rows if r.doc_id >= 1000)
