@@ -264,6 +264,10 @@ _closure("ancestry_tilde", f"WITH {ORDERS}, {TIPS} SELECT c2.p1 AS sha FROM tips
 _closure("walk_order", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY commit_ts DESC, sha) AS walk_seq FROM commits WHERE cust <= 100",
          lambda c, spark: history.walk_order(c.where("cust <= 100")).select("sha", F.col("walk_seq").cast("long").alias("walk_seq")))
 
+
+_closure("walk_order_all", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY commit_ts DESC, sha) AS walk_seq FROM commits",
+         lambda c, spark: history.walk_order(c).select("sha", F.col("walk_seq").cast("long").alias("walk_seq")))
+
 DIFF = """diff AS (SELECT c.sha, f.path, f.mode, f.oid FROM commits c JOIN files f ON f.root = c.sha WHERE f.mode = 33188
   AND NOT EXISTS (SELECT 1 FROM files p WHERE p.root = c.p1 AND p.path = f.path AND p.oid = f.oid)),
 kept AS (SELECT * FROM diff d WHERE NOT EXISTS (SELECT 1 FROM commits c JOIN files p ON p.root = c.p2 WHERE c.sha = d.sha AND p.path = d.path AND p.oid = d.oid))"""

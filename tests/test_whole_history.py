@@ -1,0 +1,18 @@
+"""Closures from all tips and the order of all commits are whole."""
+
+import os
+
+import pytest
+
+from palimpsest.plans import catalogue
+from palimpsest.sources import tables
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_every_commit_is_reached_and_ranked(spark):
+    commits = sorted(r.sha for r in tables.order_commits(spark, SF).select("sha").collect())
+    run = catalogue.queries()
+    ranks = run["walk_order_all"](spark, SF).collect()
+    assert sorted(r.sha for r in ranks) == commits and sorted(r.walk_seq for r in ranks) == list(range(1, len(commits) + 1))
