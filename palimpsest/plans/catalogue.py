@@ -265,6 +265,22 @@ _closure("walk_order", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY c
          lambda c, spark: history.walk_order(c.where("cust <= 100")).select("sha", F.col("walk_seq").cast("long").alias("walk_seq")))
 
 
+# The same over all tips and all commits, with every member returned.
+ALL_TIPS = _reach("edges", "SELECT sha FROM tips")
+
+
+def _all_heads(commits: DataFrame, condition: str = "true") -> list[str]:
+    return [r.sha for r in _tips(commits).join(commits.select("sha", "commit_ts"), "sha").where(condition).select("sha").toLocalIterator()]
+
+
+_closure("ancestors_all", f"WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS} SELECT sha FROM r", lambda c, spark: history.ancestors(c, _all_heads(c)))
+_closure("ancestors_by_joins_all", f"WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS} SELECT sha FROM r",
+         lambda c, spark: history.ancestors_by_joins(c, _tips(c).select("sha")))
+_closure("first_parent_all", f"WITH RECURSIVE {ORDERS}, {TIPS}, fp AS (SELECT sha AS child, p1 AS parent FROM commits WHERE p1 IS NOT NULL), {_reach('fp', 'SELECT sha FROM tips')} SELECT sha FROM r",
+         lambda c, spark: history.ancestors(c, _all_heads(c), first_parent=True))
+_closure("rev_range_all", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS}, {_reach('edges', "SELECT sha FROM commits WHERE sha IN (SELECT sha FROM tips) AND commit_ts < TIMESTAMP '2000-01-01 00:00:00'", 'x')}
+SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""",
+         lambda c, spark: history.rev_range(c, _all_heads(c), _all_heads(c, "commit_ts < TIMESTAMP '2000-01-01 00:00:00'")).select("sha"))
 _closure("walk_order_all", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY commit_ts DESC, sha) AS walk_seq FROM commits",
          lambda c, spark: history.walk_order(c).select("sha", F.col("walk_seq").cast("long").alias("walk_seq")))
 

@@ -14,5 +14,8 @@ SF = "/root/testdata/sf0.001"
 def test_every_commit_is_reached_and_ranked(spark):
     commits = sorted(r.sha for r in tables.order_commits(spark, SF).select("sha").collect())
     run = catalogue.queries()
+    for name in ("ancestors_all", "ancestors_by_joins_all", "first_parent_all"):
+        assert sorted(r.sha for r in run[name](spark, SF).collect()) == commits
     ranks = run["walk_order_all"](spark, SF).collect()
     assert sorted(r.sha for r in ranks) == commits and sorted(r.walk_seq for r in ranks) == list(range(1, len(commits) + 1))
+    assert 0 < run["rev_range_all"](spark, SF).count() < len(commits)
