@@ -45,9 +45,11 @@ def words(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that the driver and all executors share; a temporary one only in local mode, where one machine is all."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not urlparse(found).scheme and found.startswith("/"):
@@ -63,6 +65,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def file_system(uri: str):
+    """(file system, path) of a URI of any store that pyarrow knows."""
+    from pyarrow import fs
+
+    if not urlparse(uri).scheme:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def blocked(docs: DataFrame) -> DataFrame:
+    """docs with __block, the split of the input that a row lies in: the same each time that the rows are read.
+
+    Rows of files are told by the file and the split's start. Others, such as those behind a shuffle, are written to
+    the shared folder first, with the partition they are in.
+    """
+    name = F.input_file_name()
+    if docs.where(name == "").isEmpty():
+        return docs.withColumn("__block", F.xxhash64(name, F.input_file_block_start()))
+    return cut(docs.withColumn("__block", F.spark_partition_id().cast("long")))
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with this package on the workers."""
     ship(df.sparkSession)

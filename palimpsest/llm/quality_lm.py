@@ -1,308 +1,166 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, and perplexity thresholds.
-
-Characters are mapped to 64 symbols (letters with case, digit, marks by kind), and the model is of order 4, so it has
-2^24 entries at most: a proven bound, under which it is broadcast. Counts of 4-grams come from all trusted text: each
-task counts what it reads, the counts are shuffled by gram and summed. Every document is then scored where it lies,
-whole, without a shuffle. A document is kept if its perplexity is within a threshold of its language, a quantile of
-trusted documents that the model was not trained on, and if its divergence from a word model is within that of trusted
-texts of its length; the word model's tables grow with the vocabulary and are joined with documents (see word_lm).
+"""Quality classifier: an n-gram model of trusted text, perplexity per document, and quantiles per language as limits.
+
+The model (see char_lm) is an interpolated modified Kneser-Ney model of code points whose count tables are sharded and
+joined with the grams of documents, block by block. A document is kept if
+
+* its perplexity is within its language's quantile of trusted documents that the model has not seen, and
+* its charge, the loss a character plus the redundancy of the text, is within that of such documents of its length and
+  language. Text that repeats itself has low perplexity but high redundancy.
+
+Limits of a language move smoothly from those of all languages to its own with the number of held-out documents, and
+those of a length from infinity in the same way, so there is one rule at every size.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import word_lm
-from palimpsest.llm.common import cut, map_batches, renamed, ship, table, text_of
-
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-GRAMS = 1 << (ORDER * BITS)
-CHUNK = 1 << 21  # characters that are encoded at once
-HELD_OUT = 5  # one trusted document of so many sets thresholds instead of training
-QUANTILE = 0.99
-MARGIN = 1.3  # times the quantile, so that thresholds from few documents do not reject their like
-PRIOR = 200  # characters' worth of a language's typical text that short documents are scored with
-FEW = 20  # held-out documents; languages with fewer take the threshold of all,
-RARE = 1.5  # times so much, as the model has seen little of them
-BROADCAST_IDS = 2_000_000  # trusted ids of 8 bytes that are broadcast; more are joined by a shuffle
-
-SLICE = 1000  # rows of a batch whose texts are held as strings at once
-
-_symbols = None
-
-
-def symbols():
-    """The symbol of each code point below 65536; others are 63. Built by rule, once a process."""
-    import numpy as np
-
-    global _symbols
-    if _symbols is None:
-        out = np.full(1 << 16, 63, dtype=np.uint8)
-        for c in range(1 << 16):
-            ch = chr(c)
-            if c < 128:
-                out[c] = (0 if c == 0 else 2 if c == 10 else 1 if c <= 32 else 3 + c - 97 if ch.islower() else 29 + c - 65 if ch.isupper()
-                          else 55 if ch.isdigit() else 56 if ch == "." else 57 if ch == "," else 58 if ch in "!?" else 59 if ch in "#*$%&|<>" else 60)
-            elif ch.isalpha():
-                out[c] = 62 if ch.isupper() else 61
-            elif ch.isspace():
-                out[c] = 1
-        _symbols = out
-    return _symbols
-
-
-def encode(text: str):
-    import numpy as np
+from palimpsest.llm import char_lm
+from palimpsest.llm.common import blocked, cut, renamed, shared_dir, ship, table, text_of
 
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
-    return symbols()[np.minimum(points, 0xFFFF)] if len(points) else np.zeros(0, dtype=np.uint8)
-
-
-def grams(text: str) -> Iterator:
-    """Arrays of the text's 4-grams, one for each character; before the first there are ORDER - 1 zeros."""
-    import numpy as np
-
-    before = np.zeros(ORDER - 1, dtype=np.uint8)
-    for at in range(0, len(text), CHUNK):
-        s = np.concatenate([before, encode(text[at:at + CHUNK])])
-        before = s[-(ORDER - 1):]
-        w = s.astype(np.int32)
-        yield (w[:-3] << 18) | (w[1:-2] << 12) | (w[2:-1] << 6) | w[3:]
-
-
-def packed(texts: list[str]) -> Iterator[tuple]:
-    """(positions, starts, sizes, grams) of several texts at once, up to about CHUNK characters, to spare calls for short ones."""
-    import numpy as np
-
-    held, at, n = [], [], 0
-
-    def flush():
-        s = encode(("\0" * (ORDER - 1)).join(["", *held]))
-        w = s.astype(np.int32)
-        g = (w[:-3] << 18) | (w[1:-2] << 12) | (w[2:-1] << 6) | w[3:]
-        sizes = np.array([len(t) for t in held])
-        starts = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)[:-1]])
-        return list(at), starts, sizes, g
-
-    for i, t in enumerate(texts):
-        if len(t) > CHUNK // 4:
-            continue
-        held.append(t)
-        at.append(i)
-        n += len(t)
-        if n > CHUNK:
-            yield flush()
-            held, at, n = [], [], 0
-    if held:
-        yield flush()
-
-
-def count_grams(texts: list[str], counts) -> None:
-    import numpy as np
+HELD_OUT = 5  # one trusted document of so many sets limits instead of training
+QUANTILE = 0.99  # of the held-out documents' perplexity
+MARGIN = 1.4  # times the quantile
+WEIGHT = 20  # held-out documents' worth of all languages' limit in a language's
+CHARGE_QUANTILE, STRETCH = 0.95, 3.0  # a limit of the charge is the median and so many times the way to the quantile
+ACCURACY = 10_000  # of approximate quantiles: their rank is off by one part in so many at most
+PRIOR = 100  # characters' worth of all held-out texts' loss that a text is scored with
+BROADCAST_IDS = 2_000_000  # trusted ids of 8 bytes that are broadcast; more are joined by a shuffle
+SLICE = 500  # rows of a batch whose texts are held as strings at once
+OWN = ("__quality_score", "__block")  # columns that are added to the caller's
 
-    for _, starts, sizes, g in packed(texts):
-        own = np.ones(len(g), dtype=bool)
-        for k in range(ORDER - 1):  # grams that end in the zeros between texts
-            ends = (starts + sizes + k)
-            own[ends[ends < len(g)]] = False
-        seen, n = np.unique(g[own], return_counts=True)
-        counts[seen] += n.astype(counts.dtype)
-    for t in texts:
-        if len(t) > CHUNK // 4:
-            for g in grams(t):
-                seen, n = np.unique(g, return_counts=True)
-                counts[seen] += n.astype(counts.dtype)
 
+def trusted_documents(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """The rows of docs (id, ...) that labels call good, each once; where labels disagree, a document is not trusted."""
+    good = renamed(labels, label_id=label_id, quality=quality).groupBy("label_id").agg(F.min("quality").alias("q"))
+    good = good.where("q = 1").select("label_id")
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(good) if few else good, F.col("id") == F.col("label_id"), "left_semi")
 
-def discounts(counts) -> list[float]:
-    """The three discounts of modified Kneser-Ney, from how many grams occur once to four times."""
-    import numpy as np
 
-    n1, n2, n3, n4 = (max(1, int(np.count_nonzero(counts == k))) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+def bucket(n: Column) -> Column:
+    """Texts of comparable length: their number of characters to the power of two."""
+    return F.floor(F.log2(n)).cast("int")
 
 
-class Model:
-    """The counts of seen 4-grams; tables() makes the log-probability of every 4-gram from them."""
+def scorer(folder: str, uniform: float, known: bool):
+    """(text, block) -> loss (nats), n and redundancy, as a function of columns; a task holds the tables of one block."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
 
-    def __init__(self, keys, counts):
-        self.keys, self.counts, self._log = keys, counts, None
-
-    def __getstate__(self):
-        return {"keys": self.keys, "counts": self.counts, "_log": None}
-
-    def log_probabilities(self):
+    def score(batches: Iterator) -> Iterator:
         import numpy as np
 
-        if self._log is None:
-            lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-            keys, counts = {ORDER: self.keys.astype(np.int64)}, {ORDER: self.counts.astype(np.float64)}
-            for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many contexts one longer a gram occurs
-                keys[n], counts[n] = np.unique(keys[n + 1] & ((1 << (n * BITS)) - 1), return_counts=True)
-            for n in range(1, ORDER + 1):
-                k, c = keys[n], counts[n].astype(np.float64)
-                context = k >> BITS
-                d = np.array(discounts(c))[np.minimum(c, 3).astype(np.int64) - 1]
-                size = 1 << ((n - 1) * BITS)
-                total = np.bincount(context, weights=c, minlength=size)
-                spare = np.bincount(context, weights=d, minlength=size)
-                weight = np.where(total > 0, spare / np.maximum(total, 1), 1.0)
-                # A gram backs off to itself without its first symbol: the lower table, once for each first symbol.
-                below = lower.astype(np.float32).reshape(-1, SYMBOLS)
-                p = weight.astype(np.float32).reshape(-1, len(below), 1) * below
-                p = p.reshape(-1)
-                p[k] += ((c - d) / total[context]).astype(np.float32)
-                lower = p
-            self._log = np.log(lower, out=lower)
-        return self._log
-
-
-def score(texts: list[str], log) -> tuple[list[float], list[int]]:
-    """The sum of log-probabilities and the number of characters of each text."""
-    import numpy as np
-
-    total, size = np.zeros(len(texts)), np.array([len(t) for t in texts], dtype=np.int64)
-    for at, starts, sizes, g in packed(texts):
-        sums = np.concatenate([[0.0], np.cumsum(log[g], dtype=np.float64)])
-        total[at] = sums[starts + sizes] - sums[starts]
-    for i, t in enumerate(texts):
-        if len(t) > CHUNK // 4:
-            total[i] = sum(float(log[g].sum(dtype=np.float64)) for g in grams(t))
-    return total.tolist(), size.tolist()
-
-
-def sliced(batch) -> Iterator:
-    for at in range(0, batch.num_rows, SLICE):
-        yield batch.slice(at, SLICE)
-
-
-def train(trusted: DataFrame) -> Model:
-    """The model of the column `text` of all rows. No rows: every gram is as likely as any other."""
-    import numpy as np
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        counts, at_all = np.zeros(GRAMS, dtype=np.int32), False
-        for batch in batches:
-            for texts in sliced(batch):
-                count_grams(texts.column("text").to_pylist(), counts)
-            at_all = True
-        if at_all:
-            seen = np.flatnonzero(counts)
-            for at in range(0, len(seen), 1 << 16):
-                k = seen[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[k].astype(np.int64))], names=["gram", "n"])
-
-    rows = map_batches(trusted.select("text"), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    keys, counts = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(keys)
-    return Model(keys[order], counts[order])
-
-
-def trusted_documents(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", quality: str = "quality") -> DataFrame:
-    """The rows (id, lang, text) of docs that labels call good, each once; where labels disagree, a document is not trusted."""
-    good = renamed(labels, label_id=label_id, quality=quality).groupBy("label_id").agg(F.min("quality").alias("q")).where("q = 1").select("label_id")
-    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(good) if few else good, F.col("id") == F.col("label_id"), "left_semi")
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """docs with a column __quality: n_chars, perplexity, threshold, n_words, divergence, limit, kept.
-
-    Null and empty texts have no perplexity and are rejected. Texts are scored with PRIOR characters' worth of their
-    language's typical log-probability, so that a few odd characters do not condemn a short text. A null or rare
-    language takes the figures of all languages; with no trusted documents at all, everything with a text is kept.
+        at, held = None, None
+        for texts, blocks in batches:
+            out = [np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))]
+            blocks = blocks.to_numpy()
+            for block in np.unique(blocks).tolist():
+                places = np.flatnonzero(blocks == block)
+                for begin in range(0, len(places), SLICE):
+                    here = places[begin:begin + SLICE]
+                    part = texts.iloc[here].tolist()
+                    if known and any(part) and at != block:
+                        held = None  # let go before the next is read
+                        at, held = block, char_lm.Block(folder, block, uniform)
+                    for column, values in zip(out, char_lm.measure(part, held if known and any(part) else None)):
+                        column[here] = values
+            yield pd.DataFrame({"loss": -out[0], "n": out[1], "redundancy": out[2]})
+
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return pandas_udf(score, "loss double, n long, redundancy double")
+
+
+def _smoothed(m: Column, own: Column, other: Column) -> Column:
+    return (m * own + WEIGHT * other) / (m + WEIGHT)
+
+
+def limits(held: DataFrame) -> tuple[DataFrame, DataFrame, float | None]:
+    """Of held-out scores (lang, loss, n, redundancy): limits of perplexity by language, of the charge by length and
+    language (null: other languages), and the loss a character of all. They are tables of languages and lengths."""
+    mean = held.agg((F.sum("loss") / F.sum("n")).alias("m")).first()["m"]
+    scored = cut(held.select("lang", bucket(F.col("n")).alias("bucket"), perplexity(mean).alias("ppl"), charge(mean).alias("charge")))
+    at = F.percentile_approx("ppl", F.lit(QUANTILE), F.lit(ACCURACY)) * MARGIN
+    everywhere = scored.agg(at.alias("limit")).first()["limit"]
+    languages = scored.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("m"), at.alias("own"))
+    languages = languages.select("lang", _smoothed(F.col("m"), F.col("own"), F.lit(everywhere)).alias("limit"))
+    languages = languages.unionByName(held.sparkSession.createDataFrame([(None, everywhere)], "lang string, limit double"))
+    marks = F.percentile_approx("charge", F.array(F.lit(0.5), F.lit(CHARGE_QUANTILE)), F.lit(ACCURACY))
+    own = (F.col("marks")[0] + (F.col("marks")[1] - F.col("marks")[0]) * STRETCH).alias("own")
+    count = lambda *keys: scored.groupBy(*keys).agg(F.count("*").alias("m"), marks.alias("marks")).select(*keys, "m", own)
+    # What no charge exceeds by much: a few documents of a length pull its limit down from there.
+    worst = scored.agg(F.max("charge").alias("c")).first()["c"]
+    lengths = cut(count("bucket").select("bucket", ((F.col("m") * F.col("own") + F.lit(2 * (worst or 0.0))) / (F.col("m") + 1)).alias("limit")))
+    both = count("lang", "bucket").where("lang IS NOT NULL").join(lengths, "bucket")
+    both = both.select("lang", "bucket", _smoothed(F.col("m"), F.col("own"), F.col("limit")).alias("limit"))
+    none = F.lit(None).cast("string")
+    return cut(languages), cut(both.unionByName(lengths.select(none.alias("lang"), "bucket", "limit"))), mean
+
+
+def perplexity(mean: float | None, score: str = "") -> Column:
+    loss, n = F.col(f"{score}loss"), F.col(f"{score}n")
+    return F.when(n > 0, F.exp((loss + PRIOR * (mean or 0.0)) / (n + PRIOR)))
+
+
+def charge(mean: float | None, score: str = "") -> Column:
+    loss, n = F.col(f"{score}loss"), F.col(f"{score}n")
+    return F.when(n > 0, (loss + PRIOR * (mean or 0.0)) / (n + PRIOR) + F.col(f"{score}redundancy"))
+
+
+def _near(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(10_001).count() <= 10_000 else df
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with a column __quality: n_chars, perplexity, threshold, redundancy, charge, limit, kept.
+
+    Null and empty texts have no perplexity and are rejected. A language without held-out documents, and a null one,
+    has the limits of all; lengths that no held-out document has are without a limit of the charge. With no trusted
+    documents at all, every row with a text is kept. Rows that share an id or a text are scored alike, each by itself;
+    trusted are all rows of a trusted id. Very long texts are scored whole, in pieces. Of no rows, no rows come. Other
+    columns pass, whatever their names but OWN.
     """
     spark = ship(docs.sparkSession)
-    slim = renamed(docs, id=id_col, lang=lang_col, text=text_col).select("id", "lang", text_of(F.col("text")).alias("text"))
+    here = blocked(docs)
+    slim = here.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (lang_col, "lang"), ("__block", "block"))], text_of(F.col(f"`{text_col}`")).alias("text"))
+    slim = slim.select("id", F.col("lang").cast("string").alias("lang"), "block", "text")
     trusted = trusted_documents(slim, labels)
     held = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
-    model = spark.sparkContext.broadcast(train(trusted.where(~held)))
-    words = word_lm.train(trusted.where(~held))
-    unknown, ceiling = words[1:] if words else (0.0, 0.0)
-    node = F.xxhash64("text")
-    if words:
-        # Rows of one text have one node; their sums are divided by how many they are.
-        copies = slim.groupBy(node.alias("node")).agg(F.count("*").alias("copies"))
-        sums = cut(word_lm.sums(slim.select(node.alias("node"), "text"), words[0]).join(copies, "node").select("node", (F.col("added") / F.col("copies")).alias("added")))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        log = None
-        for batch in (part for whole in batches for part in sliced(whole)):
-            log = model.value.log_probabilities() if log is None else log
-            total, size = score(batch.column("text").to_pylist(), log)
-            keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(total, pa.float64()), pa.array(size, pa.int64())], names=[*keep, "total", "n"])
-
-    calibration = cut(map_batches(trusted.where(held).select("lang", "text"), run, "lang string, total double, n long").where("n > 0"))
-    typical = calibration.groupBy("lang").agg(F.count("*").alias("docs"), (F.sum("total") / F.sum("n")).alias("mean")).where(F.col("docs") >= FEW).select(F.col("lang").alias("typical_lang"), "mean")
-    everywhere = calibration.agg((F.sum("total") / F.sum("n")).alias("mean")).first()["mean"]
-    smooth = lambda mean: F.exp(-(F.col("total") + PRIOR * mean) / (F.col("n") + PRIOR))
-    mean = F.coalesce("mean", F.lit(everywhere))
-    measured = cut(calibration.join(typical, F.col("lang") == F.col("typical_lang"), "left").select("lang", "typical_lang", F.col("mean"), smooth(mean).alias("ppl")))
-    limits = measured.where("typical_lang IS NOT NULL").groupBy("typical_lang").agg(F.first("mean").alias("mean"), (F.percentile("ppl", F.lit(quantile)) * margin).alias("limit"))
-    overall = measured.agg((F.percentile("ppl", F.lit(quantile)) * margin).alias("limit")).first()["limit"]
-    limits = cut(limits)
-
-    from pyspark.sql.functions import pandas_udf
-
-    def scored(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        log = None
-        for texts in batches:
-            log = model.value.log_probabilities() if log is None else log
-            parts = [score(list(texts.iloc[at:at + SLICE]), log) for at in range(0, len(texts), SLICE)]
-            own = [word_lm.measure(t) for t in texts]
-            yield pd.DataFrame({"total": [x for total, _ in parts for x in total], "n": [x for _, size in parts for x in size],
-                                "words": [n for n, _ in own], "entropy": [e for _, e in own]}).astype({"total": "float64", "n": "int64", "words": "int64", "entropy": "float64"})
-
-    def measured_texts(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for texts in batches:
-            found = [word_lm.measure(t) for t in texts]
-            yield pd.DataFrame({"words": [n for n, _ in found], "entropy": [e for _, e in found]}).astype({"words": "int64", "entropy": "float64"})
-
-    import pandas as pd
-
-    measured_texts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    own = docs.withColumn("__quality_score", pandas_udf(scored, "total double, n long, words long, entropy double")(text_of(F.col(f"`{text_col}`"))))
-    limits = limits.select(F.col("typical_lang").alias("__quality_lang"), F.col("mean").alias("__quality_mean"), F.col("limit").alias("__quality_limit"))
-    joined = own.join(F.broadcast(limits) if limits.limit(10_001).count() <= 10_000 else limits, F.col(f"`{lang_col}`") == F.col("__quality_lang"), "left")
-    divergence, word_limit = F.lit(None).cast("double"), F.lit(None).cast("double")
-    if words:
-        joined = joined.withColumn("__quality_node", F.xxhash64(text_of(F.col(f"`{text_col}`")))).join(sums.select(F.col("node").alias("__quality_node"), F.col("added").alias("__quality_added")), "__quality_node", "left")
-        score_of = lambda added, n, entropy: F.when(n > 0, -F.coalesce(added, F.lit(0.0)) / n - unknown - entropy)
-        measured_words = trusted.where(held).select("lang", node.alias("node"), pandas_udf(measured_texts, "words long, entropy double")("text").alias("m")).where("m.words > 0").join(sums, "node", "left")
-        bounds = word_lm.limits(cut(measured_words.select("lang", word_lm.bucket(F.col("m.words")).alias("bucket"), score_of(F.col("added"), F.col("m.words"), F.col("m.entropy")).alias("divergence"))), ceiling)
-        own_bounds, other_bounds = bounds.where("lang IS NOT NULL"), bounds.where("lang IS NULL")
-        few = bounds.limit(10_001).count() <= 10_000
-        near = lambda df: F.broadcast(df) if few else df
-        joined = joined.withColumn("__quality_bucket", word_lm.bucket(F.col("__quality_score.words")))
-        joined = joined.join(near(own_bounds.select(F.col("lang").alias("__quality_wlang"), F.col("bucket").alias("__quality_wb"), F.col("limit").alias("__quality_own"))), (F.col(f"`{lang_col}`") == F.col("__quality_wlang")) & (F.col("__quality_bucket") == F.col("__quality_wb")), "left")
-        joined = joined.join(near(other_bounds.select(F.col("bucket").alias("__quality_ob"), F.col("limit").alias("__quality_other"))), F.col("__quality_bucket") == F.col("__quality_ob"), "left")
-        divergence = score_of(F.col("__quality_added"), F.col("__quality_score.words"), F.col("__quality_score.entropy"))
-        word_limit = F.coalesce("__quality_own", "__quality_other", F.lit(ceiling))
-    n, total = F.col("__quality_score.n"), F.col("__quality_score.total")
-    base = F.coalesce("__quality_mean", F.lit(everywhere).cast("double"))
-    ppl = F.when(n > 0, F.coalesce(F.exp(-(total + PRIOR * base) / (n + PRIOR)), F.exp(-total / n)))
-    limit = F.coalesce("__quality_limit", F.lit(overall).cast("double") * RARE, F.lit(float("inf")))
-    result = F.struct(n.alias("n_chars"), ppl.alias("perplexity"), limit.alias("threshold"), F.col("__quality_score.words").alias("n_words"), divergence.alias("divergence"), word_limit.alias("limit"),
-                      (F.coalesce(ppl <= limit, F.lit(False)) & F.coalesce(divergence <= word_limit, F.lit(True))).alias("kept"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("__quality"))
+    tables = char_lm.train(trusted.where(~held), char_lm.shard_count(slim))
+    folder = f"{shared_dir(spark).rstrip('/')}/quality-{uuid.uuid4().hex}"
+    if tables:
+        char_lm.write_answers(slim.where("text <> ''"), tables, folder)
+    score = scorer(folder, tables.uniform if tables else 1.0, tables is not None)
+    seen = trusted.where(held).where("text <> ''").select("lang", score("text", "block").alias("s")).select("lang", "s.*")
+    by_lang, by_length, mean = limits(cut(seen)) if tables else (None, None, None)
+
+    own = here.withColumn("__quality_score", score(text_of(F.col(f"`{text_col}`")), F.col("__block")))
+    at = "__quality_score."
+    ppl, cost = perplexity(mean, at), charge(mean, at)
+    limit = longest = F.lit(float("inf"))
+    if mean is not None:
+        lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
+        size = bucket(F.col(f"{at}n"))
+        other = lambda df, *keys: _near(df.where("lang IS NULL").select(*keys, F.col("limit").alias("__quality_other")))
+        named = lambda df, *keys: _near(df.where("lang IS NOT NULL").select(F.col("lang").alias("__quality_lang"), *keys, F.col("limit").alias("__quality_limit")))
+        everywhere = by_lang.where("lang IS NULL").first()["limit"]
+        own = own.join(named(by_lang), lang == F.col("__quality_lang"), "left").withColumn("__quality_t", F.coalesce("__quality_limit", F.lit(everywhere))).drop("__quality_lang", "__quality_limit")
+        key = F.col("bucket").alias("__quality_bucket")
+        own = own.join(named(by_length, key), (lang == F.col("__quality_lang")) & (size == F.col("__quality_bucket")), "left").drop("__quality_bucket", "__quality_lang")
+        own = own.join(other(by_length, key), size == F.col("__quality_bucket"), "left")
+        limit, longest = F.col("__quality_t"), F.coalesce("__quality_limit", "__quality_other", F.lit(float("inf")))
+    result = F.struct(
+        F.col(f"{at}n").alias("n_chars"), ppl.alias("perplexity"), limit.alias("threshold"), F.col(f"{at}redundancy").alias("redundancy"), cost.alias("charge"), longest.alias("limit"),
+        (F.coalesce(ppl <= limit, F.lit(False)) & F.coalesce(cost <= longest, F.lit(True))).alias("kept"))
+    return own.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("__quality"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs with its columns, without the rows that classify() rejects; for odd rows see there."""
     return classify(docs, labels, **options).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

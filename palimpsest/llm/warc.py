@@ -12,12 +12,12 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, urlparse
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, map_batches, renamed, shared_dir, table, text_of
+from palimpsest.llm.common import cut, file_system, map_batches, renamed, shared_dir, table, text_of
 
 MIN_REVISIT = 1000
 RANGE = 8 << 20
@@ -27,14 +27,6 @@ VERSION = b"WARC/1."
 NO_ID = -(1 << 63)
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-
-    if not urlparse(uri).scheme:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def _record_id(page: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
@@ -82,7 +74,7 @@ def write(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        fs, base = _file_system(folder)
+        fs, base = file_system(folder)
         path, out, size, n = f"part-{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
             for page, url, html, digest, original in zip(*(batch.column(c) for c in ("page", "url", "html", "digest", "original"))):
@@ -195,7 +187,7 @@ def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True) -> D
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         for batch in batches:
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start"))):
-                fs, at = _file_system(path)
+                fs, at = file_system(path)
                 rows, held = [], 0
                 with fs.open_input_file(at) as file:
                     for raw in read_range(file, size, start, min(start + range_bytes, size)):
