@@ -8,11 +8,12 @@ joined with the grams of documents, block by block. A document is kept if
   language. Text that repeats itself has low perplexity but high redundancy.
 
 Limits of a language move smoothly from those of all languages to its own with the number of held-out documents, and
-those of a length from infinity in the same way, so there is one rule at every size.
+those of a length from twice the worst charge seen in the same way, so there is one rule at every size.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -79,9 +80,12 @@ def _smoothed(m: Column, own: Column, other: Column) -> Column:
     return (m * own + WEIGHT * other) / (m + WEIGHT)
 
 
-def limits(held: DataFrame) -> tuple[DataFrame, DataFrame, float | None]:
+def limits(held: DataFrame) -> tuple[DataFrame, DataFrame, float | None, float]:
     """Of held-out scores (lang, loss, n, redundancy): limits of perplexity by language, of the charge by length and
-    language (null: other languages), and the loss a character of all. They are tables of languages and lengths."""
+    language (null: other languages), the loss a character of all, and the limit of the charge at other lengths.
+
+    They are tables of languages and lengths.
+    """
     mean = held.agg((F.sum("loss") / F.sum("n")).alias("m")).first()["m"]
     scored = cut(held.select("lang", bucket(F.col("n")).alias("bucket"), perplexity(mean).alias("ppl"), charge(mean).alias("charge")))
     at = F.percentile_approx("ppl", F.lit(QUANTILE), F.lit(ACCURACY)) * MARGIN
@@ -92,13 +96,13 @@ def limits(held: DataFrame) -> tuple[DataFrame, DataFrame, float | None]:
     marks = F.percentile_approx("charge", F.array(F.lit(0.5), F.lit(CHARGE_QUANTILE)), F.lit(ACCURACY))
     own = (F.col("marks")[0] + (F.col("marks")[1] - F.col("marks")[0]) * STRETCH).alias("own")
     count = lambda *keys: scored.groupBy(*keys).agg(F.count("*").alias("m"), marks.alias("marks")).select(*keys, "m", own)
-    # What no charge exceeds by much: a few documents of a length pull its limit down from there.
-    worst = scored.agg(F.max("charge").alias("c")).first()["c"]
-    lengths = cut(count("bucket").select("bucket", ((F.col("m") * F.col("own") + F.lit(2 * (worst or 0.0))) / (F.col("m") + 1)).alias("limit")))
+    # Twice the worst charge seen: the documents of a length pull its limit down from there.
+    far = 2 * (scored.agg(F.max("charge").alias("c")).first()["c"] or math.inf)
+    lengths = cut(count("bucket").select("bucket", ((F.col("m") * F.col("own") + F.lit(far)) / (F.col("m") + 1)).alias("limit")))
     both = count("lang", "bucket").where("lang IS NOT NULL").join(lengths, "bucket")
     both = both.select("lang", "bucket", _smoothed(F.col("m"), F.col("own"), F.col("limit")).alias("limit"))
     none = F.lit(None).cast("string")
-    return cut(languages), cut(both.unionByName(lengths.select(none.alias("lang"), "bucket", "limit"))), mean
+    return cut(languages), cut(both.unionByName(lengths.select(none.alias("lang"), "bucket", "limit"))), mean, far
 
 
 def perplexity(mean: float | None, score: str = "") -> Column:
@@ -119,7 +123,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """docs with a column __quality: n_chars, perplexity, threshold, redundancy, charge, limit, kept.
 
     Null and empty texts have no perplexity and are rejected. A language without held-out documents, and a null one,
-    has the limits of all; lengths that no held-out document has are without a limit of the charge. With no trusted
+    has the limits of all; lengths that no held-out document has are held to twice the worst charge seen. With no trusted
     documents at all, every row with a text is kept. Rows that share an id or a text are scored alike, each by itself;
     trusted are all rows of a trusted id. Very long texts are scored whole, in pieces. Of no rows, no rows come. Other
     columns pass, whatever their names but OWN.
@@ -136,12 +140,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         char_lm.write_answers(slim.where("text <> ''"), tables, folder)
     score = scorer(folder, tables.uniform if tables else 1.0, tables is not None)
     seen = trusted.where(held).where("text <> ''").select("lang", score("text", "block").alias("s")).select("lang", "s.*")
-    by_lang, by_length, mean = limits(cut(seen)) if tables else (None, None, None)
+    by_lang, by_length, mean, far = limits(cut(seen)) if tables else (None, None, None, math.inf)
 
     own = here.withColumn("__quality_score", score(text_of(F.col(f"`{text_col}`")), F.col("__block")))
     at = "__quality_score."
     ppl, cost = perplexity(mean, at), charge(mean, at)
-    limit = longest = F.lit(float("inf"))
+    limit = longest = F.lit(math.inf)
     if mean is not None:
         lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
         size = bucket(F.col(f"{at}n"))
@@ -152,7 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         key = F.col("bucket").alias("__quality_bucket")
         own = own.join(named(by_length, key), (lang == F.col("__quality_lang")) & (size == F.col("__quality_bucket")), "left").drop("__quality_bucket", "__quality_lang")
         own = own.join(other(by_length, key), size == F.col("__quality_bucket"), "left")
-        limit, longest = F.col("__quality_t"), F.coalesce("__quality_limit", "__quality_other", F.lit(float("inf")))
+        limit, longest = F.col("__quality_t"), F.coalesce("__quality_limit", "__quality_other", F.lit(far))
     result = F.struct(
         F.col(f"{at}n").alias("n_chars"), ppl.alias("perplexity"), limit.alias("threshold"), F.col(f"{at}redundancy").alias("redundancy"), cost.alias("charge"), longest.alias("limit"),
         (F.coalesce(ppl <= limit, F.lit(False)) & F.coalesce(cost <= longest, F.lit(True))).alias("kept"))
