@@ -221,7 +221,7 @@ def propagate(belief: list[float], parents: list[int], pair: list[tuple], subtre
 
 
 def given_content(belief: list[float], pair: list[tuple], subtree: list[float]) -> list[float]:
-    """Log-odds where EMPTY is the prior of a page without any content, whatever the tree's own potentials say of it.
+    """Log-odds where the prior of a page without any content is EMPTY, if the tree's potentials alone make it more.
 
     Of a page with content, marginals are those of states that are not all off; so all grow by one factor. Small
     pages without marks need it: their potentials alone leave off too likely.
@@ -230,6 +230,8 @@ def given_content(belief: list[float], pair: list[tuple], subtree: list[float])
     for (p00, p01, _, _), e in zip(pair[1:], subtree[1:]):
         zero += math.log(p00)
         rest += math.log((p00 + p01 * math.exp(min(50.0, e))) / p00)
+    if zero <= math.log(EMPTY):
+        return belief
     some, some_before = -math.expm1(-rest) or 1e-300, -math.expm1(zero) or 1e-300
     ratio = EMPTY / (1 - EMPTY) * math.exp(min(700.0, (-rest - zero) + math.log(some_before) - math.log(some)))
     scale = 1 / (1 + ratio) / some

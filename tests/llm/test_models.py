@@ -88,7 +88,7 @@ def test_marginals_by_enumeration():
         assert all(abs(found[i] - odds(weight, i)) < 1e-9 for i in range(n))
         none, total = weight[(0,) * n], sum(weight.values())
         before = math.prod(p[0] for p in pair[1:])
-        if n > 1:
+        if 1 < n and before > html_extract.EMPTY:
             empty = html_extract.EMPTY * none / before
             some = (1 - html_extract.EMPTY) * (total - none) / (1 - before)
             given = html_extract.given_content(found, pair, below)
