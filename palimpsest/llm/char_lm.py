@@ -22,7 +22,7 @@ from palimpsest.llm.common import cut, file_system, map_batches
 
 ORDER = 6
 CHUNK = 1 << 20  # characters that are taken at once
-HELD = 2 << 20  # distinct grams that a task gathers before it passes them on
+HELD = 3 << 19  # distinct grams that a task gathers before it passes them on
 SHARD_CHARS = 8 << 20  # characters of all documents for each shard
 START = 0  # the symbol before a text; code points are one up
 
@@ -342,7 +342,7 @@ def ask(docs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             blocks = batch.column("block").to_numpy()
             for block in np.unique(blocks).tolist():
-                if block not in held and len(held) > 3:  # a task reads one split after another
+                if block not in held and held:  # a task reads one split after another
                     gone = next(iter(held))
                     for columns, _ in held.pop(gone).rest():
                         yield from told(gone, columns)
@@ -358,6 +358,13 @@ def ask(docs: DataFrame, shards: int) -> DataFrame:
     return map_batches(docs.select("block", "text"), run, ASKED)
 
 
+def coarse(values):
+    """With 13 bits of fraction, which compress better; a character's loss is off by one part in 8,000 at most."""
+    import numpy as np
+
+    return ((values.view("<u4") + np.uint32(1 << 9)) & ~np.uint32((1 << 10) - 1)).view("<f4")
+
+
 def answer(asked: DataFrame, tables: Tables) -> DataFrame:
     """Each request with alpha and gamma. A shard's counts of an order come before the requests for them, one at a time."""
     d = tables.discounts
@@ -390,7 +397,7 @@ def answer(asked: DataFrame, tables: Tables) -> DataFrame:
                     context = hashed(columns[:-1]) if order > 1 else np.zeros(row["size"], dtype=np.uint64)
                     place = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
                     g = np.where(contexts[place] == context, gamma[place], 1).astype("<f4")
-                yield _rows([(row["block"], order, row["size"], row["grams"], pack_values(a), pack_values(g))], TOLD)
+                yield _rows([(row["block"], order, row["size"], row["grams"], pack_values(coarse(a)), pack_values(coarse(g)))], TOLD)
 
     met = asked.unionByName(known).repartition("shard", "level").sortWithinPartitions("shard", "level", "kind")
     return map_batches(met, run, TOLD)

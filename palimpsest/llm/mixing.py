@@ -2,10 +2,11 @@
 
 Each source's documents are dealt into blocks by a hash of their id, which permutes them. A source's quota is a number
 of whole copies of all its blocks plus the first blocks of the permutation, up to its target. The tree's root holds
-the vector of quotas, one entry a source; each node splits its vector in two halves of equal size, drawing the left
-one without replacement (multivariate hypergeometric), down to the output shards, so quotas stay exact at every level.
-A shard then draws its count of each source's permuted blocks, disjoint from every other shard's, and is shuffled
-locally by a hash. All randomness is a hash of the seed, so reruns agree.
+the vector of quotas, one entry a source; each node splits its vector by the numbers of shards on its left and right,
+drawing the left one without replacement (multivariate hypergeometric), down to the output shards, so quotas stay exact
+at every level. A shard then draws its count of each source's permuted blocks, disjoint from every other shard's, and is
+shuffled locally by a hash. What the mix takes of a document is what the shards draw of its block. All randomness is a
+hash of the seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -72,28 +73,38 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
     return let(F.struct(total.alias("t"), good.alias("g"), drawn.alias("d")), lambda a: let(let(spread(a), bounds), pick))
 
 
-def _left(node: Column, quotas: Column, seed: int) -> Column:
-    """The quotas that go left: half of all, drawn without replacement, source by source."""
+def _left(low: Column, n: Column, quotas: Column, seed: int) -> Column:
+    """The quotas that go to the left half of a node's n shards, drawn without replacement, source by source.
+
+    The left's share of all is by the number of its shards; what does not divide is rounded by a hash of the node.
+    """
     total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q)
-    zero = F.struct(F.array().cast("array<long>").alias("out"), total.alias("n"), F.floor((total + F.pmod(node, F.lit(2))) / 2).cast("long").alias("d"))
+    share = F.floor((total * F.floor(n / 2) + F.pmod(F.xxhash64(F.lit(seed), low, n), n)) / n).cast("long")
+    zero = F.struct(F.array().cast("array<long>").alias("out"), total.alias("n"), F.least(total, share).alias("d"))
 
     def draw(acc: Column, item: Column) -> Column:
-        x = hypergeometric(acc["n"], item["q"], acc["d"], unit(F.lit(seed), node, item["i"]))
+        x = hypergeometric(acc["n"], item["q"], acc["d"], unit(F.lit(seed), low, n, item["i"]))
         return let(x, lambda x: F.struct(F.concat(acc["out"], F.array(x)).alias("out"), (acc["n"] - item["q"]).alias("n"), (acc["d"] - x).alias("d")))
 
     return F.aggregate(F.transform(quotas, lambda q, i: F.struct(q.alias("q"), i.alias("i"))), zero, draw, lambda a: a["out"])
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(rank, quota) for each source, ranks from 0 -> (shard, rank, n): n of the source's quota go to the shard."""
-    levels = (shards - 1).bit_length()
-    node = quotas.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda s: s["quota"].cast("long")).alias("q")).select(F.lit(1).alias("node"), "q")
-    for _ in range(levels):
-        node = node.select(F.inline(let(_left(F.col("node"), F.col("q"), seed), lambda left: F.array(
-            F.struct((F.col("node") * 2).alias("node"), left.alias("q")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", left, lambda a, b: a - b).alias("q")),
-        ))))
-    return node.select((F.col("node") - (1 << levels)).alias("shard"), F.posexplode("q").alias("rank", "n"))
+    """(rank, quota) for each source, ranks from 0 -> (shard, rank, n): n of the source's quota go to the shard.
+
+    A node is a run of shards with a quota vector; it is split in two runs until each is one shard, for any number of
+    shards. Shards' totals differ by the rounding of a node a level at most.
+    """
+    node = quotas.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda s: s["quota"].cast("long")).alias("q"))
+    node = node.select(F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("n"), "q")
+    low, n = F.col("low"), F.col("n")
+    half = F.floor(n / 2)
+    for _ in range((shards - 1).bit_length()):
+        node = node.select(F.inline(F.when(n == 1, F.array(F.struct("low", "n", "q"))).otherwise(let(_left(low, n, F.col("q"), seed), lambda left: F.array(
+            F.struct(low.alias("low"), half.alias("n"), left.alias("q")),
+            F.struct((low + half).alias("low"), (n - half).alias("n"), F.zip_with("q", left, lambda a, b: a - b).alias("q")),
+        )))))
+    return node.select(F.col("low").cast("int").alias("shard"), F.posexplode("q").alias("rank", "n"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -136,10 +147,11 @@ def _cumulated(df: DataFrame, key: str) -> DataFrame:
 
 
 def plan(slim: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Of placed documents: per (source, block) the source's figures, copies, cutoff, and the shard of each copy.
+    """Of placed documents: per (source, block) the source's figures and its draws, (copy, shard, cut) in order.
 
-    A document is taken `copies` times, once more if its place is under `cutoff`. Every window here is over at most
-    2^BITS rows a source: the block that a target falls into is looked into by 2^BITS parts of it.
+    A source's quota is of block slots: each copy of a block that the target covers, the last one up to a place in it,
+    the cut. Shards draw slots; a document is in a slot if its place is under the slot's cut. Every window here is over
+    at most 2^BITS rows a source: the block that a target falls into is looked into by 2^BITS parts of it.
     """
     blocks = cut(slim.groupBy(F.col(SOURCE).alias("source"), F.col(BLOCK).alias("block")).agg(F.sum(SIZE).alias("words")))
     goal = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -160,14 +172,14 @@ def plan(slim: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     full = cut(full.withColumn("cutoff", F.greatest(F.coalesce("cutoff", F.lit(0)), F.shiftleft(F.coalesce("edge", F.lit(0)), BITS)))
                .withColumn("n", F.col("copies") + (F.shiftleft("block", BITS) < F.col("cutoff")).cast("int")))
     # The slots of a source's quota, in the order of its permutation, and the shards that draw them.
-    slots = full.where("n > 0").select("source", "rank", "block", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    cut_of = F.when(F.col("copy") <= F.col("copies"), F.lit(1 << 2 * BITS)).otherwise(F.col("cutoff"))
+    slots = full.where("n > 0").select("source", "rank", "block", "copies", "cutoff", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).withColumn("cut", cut_of)
     slots = slots.withColumn("slot", F.expr("row_number() OVER (PARTITION BY rank ORDER BY copy, block) - 1"))
     quotas = goal.select("rank").join(slots.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank", F.coalesce("quota", F.lit(0)).alias("quota"))
     drawn = cut(split_tree(quotas, shards, seed)).withColumn("upto", F.expr("sum(n) OVER (PARTITION BY rank ORDER BY shard)"))
     dealt = drawn.where("n > 0").select("rank", "shard", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("slot"))
-    shards_of = slots.join(dealt, ["rank", "slot"]).groupBy("rank", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("copy", "shard"))), lambda s: s["shard"]).alias("shards"))
-    return full.join(shards_of, ["rank", "block"], "left").select(
-        "source", "block", "source_size", "target", "copies", "cutoff", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    draws = slots.join(dealt, ["rank", "slot"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "cut"))).alias("draws"))
+    return full.join(draws, ["rank", "block"], "left").select("source", "block", "source_size", "target", "draws")
 
 
 def _few(df: DataFrame, most: int) -> bool:
@@ -182,29 +194,39 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     The join is by source and block, so a source with a third of all rows is spread over 2^BITS keys.
     """
     slim = cut(_placed(docs, id_col, text_col, source_col, seed, None).select(SOURCE, SIZE, PLACE, BLOCK))
-    table = cut(plan(slim, shards, seed)).withColumnsRenamed({c: f"__mix_{c}_" for c in ("source", "block", "source_size", "target", "copies", "cutoff", "shards")})
+    table = cut(plan(slim, shards, seed)).withColumnsRenamed({c: f"__mix_{c}_" for c in ("source", "block", "source_size", "target", "draws")})
     placed = _placed(docs, id_col, text_col, source_col, seed, None)
     table = F.broadcast(table) if _few(table, BROADCAST_BLOCKS) else table
     joined = placed.join(table, F.col(SOURCE).eqNullSafe(F.col("__mix_source_")) & (F.col(BLOCK) == F.col("__mix_block_")), "left")
-    n = F.col("__mix_copies_") + (F.col(PLACE) < F.col("__mix_cutoff_")).cast("int")
-    mix = F.struct(
+    drawn = F.coalesce(F.transform(F.filter("__mix_draws_", lambda d: F.col(PLACE) < d["cut"]), lambda d: d["shard"]), F.array().cast("array<int>"))
+    mix = let(drawn, lambda shards: F.struct(
         F.col(SIZE).alias("size"), F.col("__mix_source_size_").alias("source_size"), F.col("__mix_target_").alias("target"),
-        (F.col(SIZE) * n).alias("taken"), F.slice("__mix_shards_", F.lit(1), n).alias("shards"),
-    )
+        (F.col(SIZE) * F.size(shards)).alias("taken"), shards.alias("shards"),
+    ))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias(MIX))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: docs, a row for each copy taken, with mix_copy, mix_shard and mix_order, the place within it."""
+    """The mix itself: docs, a row for each copy taken, with mix_copy, mix_shard and mix_order, the place within it.
+
+    Nulls, empty texts, repeated rows and clashing names are as in plan_mix(); a column of docs that is called
+    mix_copy, mix_shard or mix_order is replaced. Rows of one id and copy tie in mix_order.
+    """
     planned = plan_mix(docs, id_col, text_col, source_col, shards, seed)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    copies = planned.select(*own, F.posexplode(F.col(MIX)["shards"]).alias("mix_copy", "mix_shard"))
-    return copies.withColumn("mix_order", F.xxhash64(F.lit(seed), F.lit("order"), F.col("mix_shard"), F.col(f"`{id_col}`"), F.col("mix_copy")))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_copy", "mix_shard", "mix_order")]
+    copies = planned.select(*own, F.col(f"`{id_col}`").alias("__mix_id"), F.posexplode(F.col(MIX)["shards"]).alias("mix_copy", "mix_shard"))
+    return copies.withColumn("mix_order", F.xxhash64(F.lit(seed), F.lit("order"), F.col("mix_shard"), F.col("__mix_id"), F.col("mix_copy"))).drop("__mix_id")
+
+
+PIECES = 4  # bits of mix_order that split a shard over tasks
 
 
-def write_shards(mixed: DataFrame, path: str) -> None:
-    """Writes one folder a shard, each shuffled locally."""
-    mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").parquet(path)
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The rows of each shard in the order of their hashes, so that written files hold shuffled shards.
+
+    A shard is up to 2^PIECES pieces by the first bits of mix_order; read in that order they are the whole shard.
+    """
+    return mixed.repartition(F.col("mix_shard"), F.shiftright("mix_order", 64 - PIECES)).sortWithinPartitions("mix_shard", "mix_order")
 
 
 def digest(docs: DataFrame) -> DataFrame:

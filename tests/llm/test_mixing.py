@@ -67,16 +67,52 @@ def test_hypergeometric(spark, total, good, drawn):
         assert abs(counts.get(x, 0) / n - q) <= 1 / n + 1e-9
 
 
-def test_tree(spark):
+@pytest.mark.parametrize("shards", [1, 3, 5, 8, 10])
+def test_tree(spark, shards):
     quotas = spark.createDataFrame([(0, 100), (1, 0), (2, 7), (3, 61)], "rank long, quota long")
-    rows = mixing.split_tree(quotas, 8, 1).collect()
+    rows = mixing.split_tree(quotas, shards, 1).collect()
     total = {}
     for r in rows:
         total[r.rank] = total.get(r.rank, 0) + r.n
-    assert total == {0: 100, 1: 0, 2: 7, 3: 61} and {sum(r.n for r in rows if r.shard == s) for s in range(8)} <= {20, 21, 22}
+    assert total == {0: 100, 1: 0, 2: 7, 3: 61} and {r.shard for r in rows} == set(range(shards)) and all(r.n >= 0 for r in rows)
+    assert all(abs(sum(r.n for r in rows if r.shard == s) - 168 / shards) < 3 for s in range(shards))
 
 
-def test_write(make, spark, tmp_path):
-    mixed = mixing.mix(make(*[(i, words(i, 30), "en", "ab"[i % 2]) for i in range(60)]))
-    mixing.write_shards(mixed, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == mixed.count()
+@pytest.mark.parametrize("shards", [3, 5, 8])
+def test_a_split_is_multivariate_hypergeometric(spark, shards):
+    """The left part's joint distribution over three sources, given its size."""
+    n, quotas = 6000, (3, 1, 2)
+    longs = F.array(*[F.lit(q).cast("long") for q in quotas])
+    got = spark.range(n).select(mixing._left(F.col("id"), F.lit(shards).cast("long"), longs, 9).alias("q")).groupBy("q").count().collect()
+    by_size = {}
+    for r in got:
+        by_size.setdefault(sum(r.q), {})[tuple(r.q)] = r["count"]
+    least = 6 * (shards // 2) / shards
+    assert set(by_size) <= {int(least), int(least) + 1}
+    for size, counts in by_size.items():
+        m = sum(counts.values())
+        for q, c in counts.items():
+            p = comb(3, q[0]) * comb(1, q[1]) * comb(2, q[2]) / comb(6, size)
+            assert abs(c / m - p) < 5 * (p * (1 - p) / m) ** 0.5 + 1e-9
+
+
+def test_any_number_of_shards(make):
+    df = make(*[(i, words(i, 30), "en", "ab"[i % 2]) for i in range(60)])
+    for shards in (1, 3, 10):
+        rows = mixing.plan_mix(df, shards=shards).select("__mix.*").collect()
+        assert {x for r in rows for x in r.shards} == set(range(shards)) and all(r.taken == r.size * len(r.shards) for r in rows)
+
+
+def test_shuffled(make, spark, tmp_path):
+    """Each shard, read file by file in order, is in the order of the hashes, and is not the order of the ids."""
+    mixed = mixing.mix(make(*[(i, words(i, 30), "en", "ab"[i % 2]) for i in range(200)]), shards=3)
+    mixing.shuffled(mixed).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).select("mix_shard", "mix_order", "doc_id", F.input_file_name().alias("f"), F.shiftright("mix_order", 60).alias("piece")).collect()
+    assert len(rows) == mixed.count()
+    for shard in range(3):
+        pieces = {}
+        for r in (r for r in rows if r.mix_shard == shard):
+            pieces.setdefault(r.piece, []).append(r)
+        whole = [r for p in sorted(pieces) for r in pieces[p]]
+        assert all(len({r.f for r in p}) == 1 for p in pieces.values())
+        assert [r.mix_order for r in whole] == sorted(r.mix_order for r in whole) and [r.doc_id for r in whole] != sorted(r.doc_id for r in whole)
