@@ -8,6 +8,8 @@ Events are rows (conv_id, seq, kind, role, text, target). Kinds:
   delete      removes the message at target, unless a later edit or regenerate brings it back
 The order within a message is (seq, kind as listed, role, text). Of messages that share a seq, later events go to the
 last. Events whose target is no message are dropped. Null seq sorts first; null kind is message; null role or text is empty.
+seq and target may be of any one type that sorts. Repeated events count each; of an empty log, no rows come; other
+columns are left out, whatever their names.
 
 Rendered, a message is <|im_start|>ROLE, a line feed, TEXT, <|im_end|>, a line feed. Control strings inside texts are
 escaped: every `<`, any backslashes, `|` gets one more backslash, so no text can open or close a turn, and taking one
@@ -127,10 +129,33 @@ def parse(rendered: DataFrame) -> DataFrame:
 
 
 def conversation_events(turns: DataFrame) -> DataFrame:
-    """The rows of a conversations table as the events of a log: each row opens a message."""
-    none = F.lit(None)
-    return renamed(turns, conv_id="conv_id", seq="turn", role="role", text="text").select(
-        "conv_id", F.col("seq").cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text", none.cast("long").alias("target"))
+    """The rows of a conversations table as the log that may have led to them.
+
+    Each row is a message that, by a hash, came whole, was streamed in pieces, was edited after another text had been
+    deleted, or was regenerated. Rows that share a turn are told apart by their place among them, so seq is
+    (turn, place, step) and a target is the seq of the opening event.
+    """
+    t = renamed(turns, conv_id="conv_id", turn="turn", role="role", text="text")
+    t = t.select("conv_id", F.col("turn").cast("long").alias("turn"), text_of(F.col("role")).alias("role"), text_of(F.col("text")).alias("text"))
+    t = t.withColumn("place", F.expr("row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text)"))
+    text, third = F.col("text"), F.ceil(F.length("text") / 3).cast("int")
+    piece = lambda k: F.substr(text, k * third + 1, third)
+    event = lambda step, kind, what: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), what.alias("text"))
+    wrong = F.lit("not what was meant " + END)
+    histories = [
+        F.array(event(0, "message", text)),
+        F.array(event(0, "message", piece(0)), event(1, "delta", piece(1)), event(2, "delta", piece(2))),
+        F.array(event(0, "message", wrong), event(1, "delete", F.lit("")), event(2, "edit", text)),
+        F.array(event(0, "message", wrong), event(1, "delta", wrong), event(2, "regenerate", piece(0)), event(3, "delta", piece(1)), event(4, "delta", piece(2))),
+    ]
+    which = F.pmod(F.xxhash64("conv_id", "turn", "place"), F.lit(len(histories)))
+    chosen = histories[0]
+    for k, history in enumerate(histories[1:], 1):
+        chosen = F.when(which == k, history).otherwise(chosen)
+    seq = lambda step: F.struct("turn", "place", step.alias("step"))
+    rows = t.select("conv_id", "turn", "place", "role", F.explode(chosen).alias("e"))
+    return rows.select("conv_id", seq(F.col("e.step")).alias("seq"), "e.kind", F.when(F.col("e.step") == 0, F.col("role")).alias("role"), F.col("e.text").alias("text"),
+                       F.when(F.col("e.step") > 0, seq(F.lit(0))).alias("target"))
 
 
 def format_chats(events: DataFrame, train_on: str = "assistant") -> DataFrame:

@@ -95,3 +95,31 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the given names: what other columns are called cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+NO_ID = -(1 << 63)
+
+
+def id_key(col: Column, kind: str) -> Column:
+    """An id as a key that is never null and sorts as the id does, null first: a number, or a struct of other types."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(col.cast("long"), F.lit(NO_ID))
+    return F.struct(col.isNotNull().alias("known"), col.alias("id"))
+
+
+FILTER_BITS = 27  # 16 MB at most, however many keys there are
+
+
+def narrowed(df: DataFrame, key: Column, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of df whose key may be among the first column of keys: none that is there is lost, few others stay.
+
+    A bitmap of the keys' hashes, of bounded size, is broadcast in pieces of 2^15 bits, so that a join behind it need
+    not shuffle what it has no use for. With more keys than bits all rows stay, and the join does the whole work.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.lit("narrowed"), c), F.lit(1 << bits))
+    held = keys.select(place(keys[keys.columns[0]]).alias("p")).groupBy(F.shiftright("p", 15).alias("__piece")).agg(
+        F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("__bits"))
+    placed = df.withColumn("__place", place(key))
+    found = placed.join(F.broadcast(held), F.shiftright("__place", 15) == F.col("__piece"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast((__place & 32767) >> 3 AS int) + 1, 1)")), 16, 10).cast("int")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(__place & 7 AS int))")) != 0).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -48,12 +48,12 @@ def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return set(zip(*[words[i:] for i in range(SHINGLE)]))
 
 
-def shingle_hashes(words: list[bytes], memory: WordHashes):
-    """A hash for each run of SHINGLE words, in order, from the hashes of its words."""
+def shingle_hashes(words: list[bytes], memory: WordHashes, size: int = SHINGLE):
+    """A hash for each run of `size` words, in order, from the hashes of its words; fewer words are one run."""
     import numpy as np
 
     w = np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(SHINGLE, len(words))
+    size = min(size, len(words))
     h = np.full(max(0, len(words) - size + 1), size, dtype=np.uint64)
     for i in range(size):
         h = (h ^ w[i:len(w) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -73,10 +73,14 @@ class Sketches:
         import numpy as np
 
         self.threshold, self.items, self.partitions = threshold, [], []
+        self.short: dict[int, dict[int, list[int]]] = {}  # items of few words: number of words -> hash -> items
         memory, by_size = WordHashes(), {}
         for item, text in items:
             words = split_words(text)
-            if found := shingles(words):
+            if 0 < len(words) < SHINGLE:
+                self.short.setdefault(len(words), {}).setdefault(int(shingle_hashes(words, memory)[0]), []).append(len(self.items))
+                self.items.append((item, {tuple(words)}))
+            elif found := shingles(words):
                 hashes = np.unique(shingle_hashes(words, memory))
                 sketch = hashes[: len(found) - needed(len(found), threshold) + 1]
                 by_size.setdefault(len(found).bit_length(), []).append((sketch, len(self.items)))
@@ -102,12 +106,28 @@ class Sketches:
                     found.update(owners[a:b].tolist())
         return found
 
+    def short_matches(self, words: list[bytes], memory: WordHashes) -> set[int]:
+        """The items of fewer than SHINGLE words that are a run of the document's words."""
+        import numpy as np
+
+        found = set()
+        for size, items in self.short.items():
+            if size <= len(words):
+                hashes = shingle_hashes(words, memory, size)
+                for at in np.flatnonzero(np.isin(hashes, np.fromiter(items, dtype=np.uint64, count=len(items)))).tolist():
+                    run = {tuple(words[at:at + size])}
+                    found.update(i for i in items[int(hashes[at])] if self.items[i][1] == run)
+        return found
+
     def matches(self, text: str, memory: WordHashes) -> list[tuple]:
         """(item, its shingles, those shared) for each item that the text contains."""
         words = split_words(text)
-        if not words or not (near := self.candidates(shingle_hashes(words, memory))):
+        if not words:
             return []
-        own, out = shingles(words), []
+        out = [(self.items[i][0], 1, 1) for i in sorted(self.short_matches(words, memory))]
+        if len(words) < SHINGLE or not (near := self.candidates(shingle_hashes(words, memory))):
+            return out
+        own = shingles(words)
         for i in sorted(near):
             item, wanted = self.items[i]
             if (shared := len(wanted & own)) >= needed(len(wanted), self.threshold):
@@ -134,9 +154,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """(doc_id, item_id, n_shingles, n_shared, containment): each document and test item that it contains.
 
     An item is contained if the document has threshold of its shingles or more. Items without words match nothing; an
-    item of fewer than five words is one shingle, which only a text of the same words has. Null texts are empty. Rows
-    that share an id are told apart only by their matches: repeated rows give repeated results. Items are the query
-    set: however many there are, a bounded block at a time goes to the executors, and documents are never shuffled.
+    item of fewer than five words is one shingle of that many, which any run of the same words has. Null texts are
+    empty; null ids pass. Rows that share an id are told apart only by their matches: repeated rows give repeated
+    results. Of no documents or no items, no rows come; other columns are left out, whatever their names. Documents of
+    any length are taken whole. Items are the query set: however many there are, a bounded block at a time goes to the
+    executors, and documents are never shuffled.
     """
     spark = ship(docs.sparkSession)
     slim = renamed(docs, doc_id=id_col, text=text_col).select("doc_id", text_of(F.col("text")).alias("text"))
@@ -166,7 +188,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that contain a test item; the filter is found and applied in one pass, without a shuffle."""
+    """docs with its columns, without the rows that contain a test item; found and applied in one pass, without a shuffle.
+
+    For nulls, empty and very long texts, repeated rows and short items see find_leaks(). Without items, all rows stay.
+    """
     spark = ship(docs.sparkSession)
     items = renamed(benchmark, item_id="item_id", text="text").select("item_id", text_of(F.col("text")).alias("text"))
     kept = docs
@@ -197,9 +222,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute_force(docs: list[tuple], items: list[tuple], threshold: float = THRESHOLD) -> Counter:
     """Every document against every item, by their sets of shingles; for tests."""
-    sets = [(i, shingles(split_words(t or ""))) for i, t in items]
+    runs = lambda words, n: {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
+    split = [(i, split_words(t or "")) for i, t in items]
     out = Counter()
     for d, t in docs:
-        own = shingles(split_words(t or ""))
-        out.update((d, i, len(s), len(s & own)) for i, s in sets if s and len(s & own) >= needed(len(s), threshold))
+        words = split_words(t or "")
+        own = {n: runs(words, n) for n in range(1, SHINGLE + 1)}
+        for i, w in split:
+            n = min(SHINGLE, len(w))
+            if n and len(found := runs(w, n) & own[n]) >= needed(len(runs(w, n)), threshold):
+                out[d, i, len(runs(w, n)), len(found)] += 1
     return out

@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WHITE, ascii_lower, cut, let, renamed, text_of
+from palimpsest.llm.common import WHITE, ascii_lower, cut, id_key, let, renamed, text_of
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-NO_ID = -(1 << 63)
 # Columns that are added to the caller's; no others can clash with them.
 LINES, KEPT, GONE, DOC, BODY = "__line_dedup_lines", "__line_dedup_kept", "__line_dedup_gone", "__line_dedup_doc", "__line_dedup_body"
 
@@ -39,13 +38,14 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with two more columns: LINES, all lines of the text, and KEPT, the positions (from 0) that stay.
 
     A key of min_chars or more that occurs in min_documents or more distinct ids loses all its lines except those in
-    the largest id that holds it. Null or empty text is one empty line. A null id counts as one id below all others.
+    the largest id that holds it. Null or empty text is one empty line. Ids are of any type that sorts; a null id
+    counts as one id below all others. Of no rows, no rows come; very long texts are split like any other.
     Repeated rows with one id count as one document. Other columns, whatever their names, pass through.
     The counts are by (hash, document) and then by hash, so a line that a third of all documents share arrives
     pre-aggregated; where lines meet the drop list, the join is one that Spark splits when a key is hot.
     """
     slim = renamed(docs, doc=id_col, text=text_col).select(
-        F.coalesce(F.col("doc").cast("long"), F.lit(NO_ID)).alias("doc"), text_of(F.col("text")).alias("text")
+        id_key(F.col("doc"), dict(docs.dtypes)[id_col]).alias("doc"), text_of(F.col("text")).alias("text")
     ).withColumn("body", F.xxhash64("text"))
     lines = _lines(slim, min_chars)
     # Written down, so that the join below shuffles both of its sides, which is what lets Spark split a hot key.
@@ -60,7 +60,7 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(F.col("doc").alias(DOC), F.col("body").alias(BODY))
         .agg(F.collect_set("pos").alias(GONE))
     )
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    own = id_key(F.col(f"`{id_col}`"), dict(docs.dtypes)[id_col])
     text = text_of(F.col(f"`{text_col}`"))
     joined = docs.join(gone, (own == F.col(DOC)) & (F.xxhash64(text) == F.col(BODY)), "left")
     return joined.withColumns({

@@ -95,7 +95,12 @@ def verdict(rules=RULES) -> Column:
 
 
 def apply_rules(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The measures of every row with base_failed and kept. Nothing is dropped; callers filter by kept."""
+    """The measures of every row with base_failed and kept. Nothing is dropped; callers filter by kept.
+
+    Each row is judged by itself: repeated rows, null and repeated ids give a row each; of no rows, no rows come. Null
+    and empty texts have measures of 0 and fail the base; very long texts are measured whole. A null language has no
+    stop-word rule. Other columns are left out, whatever their names. A measure that equals its bound passes.
+    """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measures(docs, id_col, text_col, lang_col).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 

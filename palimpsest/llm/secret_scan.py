@@ -15,7 +15,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import LOWER, UPPER, let, renamed, text_of
+from palimpsest.llm.common import LOWER, UPPER, cut, let, narrowed, renamed, text_of
 
 
 @dataclass(frozen=True)
@@ -137,29 +137,54 @@ def _matches(rule: Rule, asked: Column) -> Column:
     return F.when(asked, F.filter(rows, lambda x: x["len"].isNotNull()))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+CANDIDATES = 500_000  # rows of ids and kinds, about 50 bytes each, that are broadcast; more are joined by a shuffle
+
+
+def _spans(texts: DataFrame, asked: dict[Rule, Column | None], rules: tuple[Rule, ...], part: int) -> DataFrame:
+    """(doc, body, part, row, spans) for the rows of texts that match; asked says of each rule which rows it is for."""
+    parts = [_matches(r, F.col("text").rlike(r.pattern) if wanted is None else wanted) for r, wanted in asked.items()]
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    rows = numbered.select("doc", "body", "row", F.explode(F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull()))).alias("m"))
+    order = "(PARTITION BY doc, body, row, m.kind ORDER BY m.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ends = rows.withColumn("end", F.expr(f"sum(m.gap + m.len) OVER {order}"))
+    rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("m.kind"))
+    span = F.when(F.col("m.ok"), F.struct((F.col("end") - F.col("m.len")).alias("start"), rank.alias("rank"), F.col("m.kind").alias("kind"), F.col("end").alias("end")))
+    # Rows that share id and text have the same spans: those of one of them are taken.
+    one = ends.groupBy("doc", "body", "row").agg(F.collect_list(span).alias("spans")).groupBy("doc", "body").agg(F.first("spans").alias("spans"))
+    return one.withColumn("part", F.lit(part))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", few: int = CANDIDATES) -> DataFrame:
     """(doc, body, spans) for every row: spans are (start, rank, kind, end) in code points, by start, then rule.
 
-    Null text is empty. Rows that share an id are told apart by their text; body is its hash. Matches of one kind are
-    leftmost and do not overlap; kinds may. Positions are running sums of the lengths between matches, from a window
-    over the matches of one text and kind.
+    Null text is empty, and a null id an id like any other. Rows that share an id are told apart by their text, whose
+    hash is body; repeated rows give repeated results. Of no rows, no rows come; other columns are left out, whatever
+    their names. Matches of one kind are leftmost and do not overlap; kinds may. Texts are scanned whole; positions are
+    running sums of the lengths between matches, from a window over the matches of one text and kind. Rules with
+    trigrams are verified on their candidates, which the ids and kinds from the index are joined with: in place by a
+    broadcast of up to `few`, else by a shuffle of the texts that a bounded bitmap of the candidates lets through.
+    Rules without are scanned where the text lies.
     """
     keyed = renamed(docs, doc=id_col, text=text_col).select("doc", text_of(F.col("text")).alias("text")).withColumn("body", F.xxhash64("text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
     trigrams = sorted({t for q in indexed.values() for c in q for t in c})
-    found = keyed.withColumn("kinds", F.array().cast("array<string>"))
+    found = None
     if trigrams:
-        near = candidates(build_index(keyed, trigrams), indexed).select(F.col("doc").alias("near_doc"), F.col("body").alias("near_body"), "kinds")
-        found = keyed.join(near, F.col("doc").eqNullSafe(F.col("near_doc")) & (F.col("body") == F.col("near_body")), "left").drop("near_doc", "near_body")
-    parts = [_matches(r, F.array_contains("kinds", r.kind) if r.kind in indexed else F.col("text").rlike(r.pattern)) for r in map(_tight, rules)]
-    numbered = found.withColumn("row", F.monotonically_increasing_id())
-    rows = numbered.select("doc", "body", "row", F.explode_outer(F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull()))).alias("m"))
-    order = "(PARTITION BY doc, body, row, m.kind ORDER BY m.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    ends = rows.withColumn("end", F.expr(f"sum(m.gap + m.len) OVER {order}"))
-    rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("m.kind"))
-    span = F.when(F.col("m.ok"), F.struct((F.col("end") - F.col("m.len")).alias("start"), rank.alias("rank"), F.col("m.kind").alias("kind"), F.col("end").alias("end")))
-    return ends.groupBy("doc", "body", "row").agg(F.sort_array(F.collect_list(span)).alias("spans")).drop("row")
+        near = cut(candidates(build_index(keyed, trigrams), indexed).select(F.col("doc").alias("near_doc"), F.col("body").alias("near_body"), "kinds"))
+        if near.limit(few + 1).count() <= few:
+            here, near = keyed, F.broadcast(near)
+        else:
+            here = narrowed(keyed, F.col("body"), near.select("near_body"))
+        met = here.join(near, F.col("doc").eqNullSafe(F.col("near_doc")) & (F.col("body") == F.col("near_body"))).drop("near_doc", "near_body")
+        found = _spans(met, {_tight(r): F.array_contains("kinds", r.kind) for r in rules if r.kind in indexed}, rules, 0)
+    if len(indexed) < len(rules):
+        whole = _spans(keyed, {_tight(r): None for r in rules if r.kind not in indexed}, rules, 1)
+        found = whole if found is None else found.unionByName(whole)
+    spans = found.groupBy(F.col("doc").alias("span_doc"), F.col("body").alias("span_body")).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    rows = keyed.select("doc", "body").join(spans, F.col("doc").eqNullSafe(F.col("span_doc")) & (F.col("body") == F.col("span_body")), "left")
+    none = F.array().cast(dict(spans.dtypes)["spans"])
+    return rows.select("doc", "body", F.coalesce("spans", none).alias("spans"))
 
 
 def _tight(rule: Rule) -> Rule:

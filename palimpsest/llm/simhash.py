@@ -142,7 +142,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with its columns, one row of each group: the one with the smallest id, nulls last."""
+    """docs with its columns, one row of each group: the one with the smallest id, nulls last.
+
+    For null, empty and very long texts see groups(). Of rows that agree in id and text one remains. Of no rows, no
+    rows come.
+    """
     found = groups(docs, id_col, text_col, shingle, radius)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("k")).select(
         F.col("k.id").alias("__simhash_id"), F.col("k.body").alias("__simhash_body"))

@@ -12,26 +12,25 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, file_system, map_batches, renamed, shared_dir, table, text_of
+from palimpsest.llm.common import cut, file_system, id_key, map_batches, renamed, shared_dir, table, text_of
 
 MIN_REVISIT = 1000
 RANGE = 8 << 20
 BUFFER = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
-NO_ID = -(1 << 63)
 
 
-def _record_id(page: int | None) -> str:
+def _record_id(page: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
+def record(page: str | None, url: str | None, payload: bytes, digest: str, original: str | None) -> bytes:
     """One record as a gzip member: a response with its payload, or a revisit of the page `original`."""
     target = quote(url or "", safe="!#$%&'()*+,/:;=?@[]~")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -42,34 +41,38 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, origi
         "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}",
         f"Content-Length: {len(block)}", f"X-Payload-Length: {len(payload)}",
     ]
-    head += [f"X-Page-Id: {page}"] * (page is not None) + [f"WARC-Target-URI: {target}"] * bool(target)
+    head += [f"X-Page-Id: {quote(str(page), safe='')}"] * (page is not None) + [f"WARC-Target-URI: {target}"] * bool(target)
     if original is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(original)}", f"X-Refers-To-Page: {original}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(original)}", f"X-Refers-To-Page: {quote(str(original), safe='')}"]
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     return squeeze.compress(raw) + squeeze.flush()
 
 
 def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
-    """(page, url, html, digest, original): original is the page that a revisit refers to, null for responses.
+    """(page, url, html, digest, original), ids as text: original is the page that a revisit refers to, null for responses.
 
-    Of equal payloads of at least `least` bytes, the one with the largest id is the response. Only digests that occur
-    twice or more are joined back, and a digest that many pages share arrives as one row.
+    Of equal payloads of at least `least` bytes, the one with the largest id is the response; rows that share that id
+    all are. Ids are of any type that sorts and can be text; null ids come below all others and null html is empty. Only
+    digests that occur twice or more are joined back, and a digest that many pages share arrives as one row.
     """
-    slim = renamed(pages, page=id_col, url=url_col, html=html_col).select(F.col("page").cast("long").alias("page"), "url", text_of(F.col("html")).alias("html"))
-    slim = slim.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    known = slim.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.coalesce("page", F.lit(NO_ID))).alias("first"))
+    slim = renamed(pages, page=id_col, url=url_col, html=html_col).select("page", "url", text_of(F.col("html")).alias("html"))
+    slim = slim.withColumn("key", id_key(F.col("page"), dict(slim.dtypes)["page"])).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    known = slim.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("key", "page")).alias("first"))
     # Written down, so that the join shuffles both of its sides and Spark can split a digest that many pages share.
     known = cut(known.where("n > 1").select(F.col("digest").alias("known_digest"), "first"))
     joined = slim.join(known, F.col("digest") == F.col("known_digest"), "left")
-    return joined.select("page", "url", "html", "digest", F.when(F.coalesce("page", F.lit(NO_ID)) < F.col("first"), F.col("first")).alias("original"))
+    original = F.when(F.col("key") < F.col("first.key"), F.col("first.page"))
+    return joined.select(F.col("page").cast("string").alias("page"), F.col("url").cast("string").alias("url"), "html", "digest", original.cast("string").alias("original"))
 
 
 def write(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     """Writes the archives and returns (path, bytes, records), one row an archive.
 
     Each attempt of a task writes a file of its own name, and only the rows of attempts that succeeded name archives,
-    so a task that is lost and run again leaves no record twice. The result is written down before it is returned.
+    so a task that is lost and run again leaves no record twice: read what this returns, as a listing of the folder
+    has the files of lost attempts too. The result is written down before it is returned. Null html is an empty payload,
+    a null id or address has no header; repeated rows are records each; of no rows, no archive comes.
     """
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -92,7 +95,7 @@ def write(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes) of the archives of a folder, for archives from elsewhere."""
+    """(path, bytes) of all archives of a folder, for archives from elsewhere."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", F.col("length").alias("bytes"))
 
 
@@ -168,14 +171,15 @@ def parse_record(raw: bytes) -> dict:
     return out | {"payload": block}
 
 
-READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, stored_digest string, payload binary"
+READ = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, stored_digest string, payload binary"
 
 
-def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True) -> DataFrame:
+def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True, id_type: str = "long") -> DataFrame:
     """The records of archives (path, bytes), read by ranges; digests and sizes are those of the payloads read.
 
     A revisit stores no payload: its size and digest are those that it declares, its payload is null. A member that
-    does not decode to its end is left out, and reading goes on behind its start.
+    does not decode to its end is left out, and reading goes on behind its start. Ids are cast to id_type. Of no archives,
+    and of empty ones, no rows come.
     """
     ranges = found.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start")).where("bytes > 0")
 
@@ -183,7 +187,7 @@ def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True) -> D
         import pyarrow as pa
 
         names = [c.split()[0] for c in READ.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         for batch in batches:
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start"))):
@@ -195,7 +199,8 @@ def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True) -> D
                         own = r["warc-type"] == "response"
                         number = lambda k, r=r: int(r[k]) if r.get(k) else None
                         stored = r.get("warc-payload-digest", "").removeprefix("sha1:")
-                        rows.append((number("x-page-id"), r.get("warc-target-uri"), r["warc-type"], number("x-refers-to-page"),
+                        name = lambda k, r=r: unquote(r[k]) if k in r else None
+                        rows.append((name("x-page-id"), r.get("warc-target-uri"), r["warc-type"], name("x-refers-to-page"),
                                      len(r["payload"]) if own else number("x-payload-length"), hashlib.sha1(r["payload"]).hexdigest() if own else stored, stored, r["payload"] if own and payloads else None))
                         held += len(raw)
                         if held > 16 << 20 or len(rows) >= 1000:
@@ -204,7 +209,8 @@ def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True) -> D
                 if rows:
                     yield make(rows)
 
-    return map_batches(ranges.repartition("path", "start"), run, READ)
+    rows = map_batches(ranges.repartition("path", "start"), run, READ)
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

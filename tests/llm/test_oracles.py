@@ -5,9 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import chat, line_dedup, quality_rules, queries, secret_scan, warc
-from palimpsest.llm.common import table
+from palimpsest.llm.common import narrowed, table
 
 
 def rows(columns, values):
@@ -91,3 +92,49 @@ def test_chat_events(spark):
 def test_whole_query_reads_back(spark, sf):
     turns = table(spark, sf, "conversations")
     assert chat.query(spark, sf).count() == turns.select("conv_id").distinct().count() + 1
+
+
+def test_conversations_become_streams(spark, sf):
+    """The query's log has every kind of event, and folding it gives the turns back."""
+    turns = table(spark, sf, "conversations")
+    log = chat.conversation_events(turns)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == set(chat.KINDS) and kinds["message"] == turns.count() and min(kinds.values()) > turns.count() // 10
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.fold(log).selectExpr("conv_id", "seq.turn AS turn", "role", "text").collect())
+    assert got == sorted((r.conv_id, r.turn, r.role or "", r.text or "") for r in turns.collect())
+
+
+def test_secrets_by_either_join(spark, make):
+    rows_ = [*TEXTS, (14, TEXTS[13][1]), (None, TEXTS[13][1]), (None, None), (30, TEXTS[13][1] + " ")]
+    df = make(*rows_)
+    one, two = (sorted(map(str, secret_scan.scan(df, few=few).collect())) for few in (500_000, 0))
+    assert one == two and len(one) == len(rows_)
+    by_id = [r for r in secret_scan.scan(df).collect() if r.doc == 14]
+    assert len(by_id) == 2 and by_id[0].spans == by_id[1].spans and by_id[0].spans
+    only = secret_scan.scan(df, rules=secret_scan.MORE).where("size(spans) > 0")
+    assert {s.kind for r in only.collect() for s in r.spans} == {"forge", "chat", "jwt", "pem"}
+    assert secret_scan.scan(df, rules=secret_scan.BASE[2:]).count() == len(rows_)
+
+
+def test_narrowed(spark):
+    df, keys = spark.range(2000).selectExpr("id AS k", "id AS extra"), spark.range(0, 2000, 40)
+    kept = {r.k for r in narrowed(df, F.col("k"), keys).collect()}
+    assert kept >= set(range(0, 2000, 40)) and len(kept) < 60
+    few_bits = {r.k for r in narrowed(df, F.col("k"), keys, bits=4).collect()}
+    assert few_bits >= kept - set(range(1, 2000, 2)) & few_bits and set(range(0, 2000, 40)) <= few_bits
+    assert narrowed(df, F.col("k"), keys.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    lines = spark.createDataFrame([("b", LONG_LINE), ("c", f"x\n{LONG_LINE}"), ("a", LONG_LINE), (None, LONG_LINE), (None, None)], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.text or "") for r in line_dedup.dedup_lines(lines).collect()) == [("", ""), ("", ""), ("a", ""), ("b", ""), ("c", f"x\n{LONG_LINE}")]
+    big = "<p>" + "x" * 2000 + "</p>"
+    pages = spark.createDataFrame([("a b", "u", big), ("c/\u00e9", "u", big), (None, None, big), ("z", "u", None), ("z", "u", None)], "page_id string, url string, html string")
+    got = warc.read(warc.write(pages, f"file://{tmp_path}/ids"), id_type="string").collect()
+    assert sorted((r.page_id or "", r.record_type, r.refers_to or "") for r in got) == [("", "revisit", "c/\u00e9"), ("a b", "revisit", "c/\u00e9"), ("c/\u00e9", "response", ""), ("z", "response", ""), ("z", "response", "")]
+
+
+def test_rules_on_repeated_and_null_ids(spark, make):
+    df = make((1, "a b"), (1, "a b"), (None, None), (None, "the of and " * 60))
+    rows_ = quality_rules.apply_rules(df).collect()
+    assert len(rows_) == 4 and sorted(r.n_words for r in rows_) == [0, 2, 2, 180] and quality_rules.apply_rules(df.limit(0)).count() == 0
