@@ -9,53 +9,50 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.regex import quote
 
-# File types by name, with their extensions and, after a semicolon, whole file names.
-FILE_TYPES = {
-    "c": ".c .h",
-    "cpp": ".cpp .cc .cxx .c++ .hpp .hh .hxx .h++",
-    "css": ".css .scss .sass .less",
-    "docker": ".dockerfile; Dockerfile Containerfile",
-    "dockerfile": ".dockerfile; Dockerfile Containerfile",
-    "go": ".go",
-    "html": ".html .htm",
-    "java": ".java",
-    "js": ".js .mjs .cjs .jsx",
-    "javascript": ".js .mjs .cjs .jsx",
-    "json": ".json",
-    "kotlin": ".kt .kts",
-    "lua": ".lua",
-    "make": ".mk; Makefile makefile GNUmakefile",
-    "makefile": ".mk; Makefile makefile GNUmakefile",
-    "md": ".md .markdown",
-    "markdown": ".md .markdown",
-    "perl": ".pl .pm",
-    "php": ".php .phtml",
-    "py": ".py .pyw .pyi",
-    "python": ".py .pyw .pyi",
-    "ruby": ".rb .rake",
-    "rust": ".rs",
-    "scala": ".scala",
-    "sh": ".sh .bash .zsh",
-    "bash": ".sh .bash .zsh",
-    "sql": ".sql",
-    "swift": ".swift",
-    "toml": ".toml",
-    "ts": ".ts .mts .cts .tsx",
-    "typescript": ".ts .mts .cts .tsx",
-    "xml": ".xml .xsd .xsl",
-    "yaml": ".yaml .yml",
-    "yml": ".yaml .yml",
-    "zig": ".zig",
+# File types by name, with their extensions and whole file names.
+FILE_TYPES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "c": ((".c", ".h"), ()),
+    "cpp": ((".cpp", ".cc", ".cxx", ".c++", ".hpp", ".hh", ".hxx", ".h++"), ()),
+    "css": ((".css", ".scss", ".sass", ".less"), ()),
+    "docker": ((".dockerfile",), ("Dockerfile", "Containerfile")),
+    "dockerfile": ((".dockerfile",), ("Dockerfile", "Containerfile")),
+    "go": ((".go",), ()),
+    "html": ((".html", ".htm"), ()),
+    "java": ((".java",), ()),
+    "js": ((".js", ".mjs", ".cjs", ".jsx"), ()),
+    "javascript": ((".js", ".mjs", ".cjs", ".jsx"), ()),
+    "json": ((".json",), ()),
+    "kotlin": ((".kt", ".kts"), ()),
+    "lua": ((".lua",), ()),
+    "make": ((".mk",), ("Makefile", "makefile", "GNUmakefile")),
+    "makefile": ((".mk",), ("Makefile", "makefile", "GNUmakefile")),
+    "md": ((".md", ".markdown"), ()),
+    "markdown": ((".md", ".markdown"), ()),
+    "perl": ((".pl", ".pm"), ()),
+    "php": ((".php", ".phtml"), ()),
+    "py": ((".py", ".pyw", ".pyi"), ()),
+    "python": ((".py", ".pyw", ".pyi"), ()),
+    "ruby": ((".rb", ".rake"), ()),
+    "rust": ((".rs",), ()),
+    "scala": ((".scala",), ()),
+    "sh": ((".sh", ".bash", ".zsh"), ()),
+    "bash": ((".sh", ".bash", ".zsh"), ()),
+    "sql": ((".sql",), ()),
+    "swift": ((".swift",), ()),
+    "toml": ((".toml",), ()),
+    "ts": ((".ts", ".mts", ".cts", ".tsx"), ()),
+    "typescript": ((".ts", ".mts", ".cts", ".tsx"), ()),
+    "xml": ((".xml", ".xsd", ".xsl"), ()),
+    "yaml": ((".yaml", ".yml"), ()),
+    "yml": ((".yaml", ".yml"), ()),
+    "zig": ((".zig",), ()),
 }
 
 
 def lookup_type(name: str) -> tuple[list[str], list[str]] | None:
     """Extensions and whole names of a file type; names are trimmed and lower-cased."""
     found = FILE_TYPES.get(name.strip().lower())
-    if found is None:
-        return None
-    extensions, _, names = found.partition(";")
-    return extensions.split(), names.split()
+    return None if found is None else (list(found[0]), list(found[1]))
 
 
 def list_types() -> list[str]:

@@ -20,6 +20,9 @@ POSIX = {
     "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
     "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit",
 }
+# Letters that fold differently here and there. The two i's of Turkish fold to nothing in RE2; long s and
+# the Kelvin sign fold to s and k there, but not in every class here.
+TURKISH, FOLDED = "\u0130\u0131", "\u017f\u212a"
 QUANTIFIER = re.compile(r"\{\d+(?:,\d*)?\}")
 CATEGORY = re.compile(r"[A-Z][a-z]?&?$")
 
@@ -81,9 +84,27 @@ class _Translator:
             elif c == "$":
                 self._put("$" if self.flags["m"] else r"\z")
             else:
-                self._put(c)
+                self._put(self._folded(c))
         return "".join(self.out)
 
+    def _folded(self, c: str, text: str | None = None) -> str:
+        """A literal, written as `text`; the letters i stand for themselves alone."""
+        if not self.flags["i"] or c not in "iI" + TURKISH:
+            return text or c
+        return "(?-i:[iI])" if c in "iI" else f"(?-i:{c})"
+
+    def _corrected(self, source: str, target: str) -> str:
+        """A class under ignore-case, with the letters that fold differently put in or kept out as RE2 has them."""
+        if not self.flags["i"]:
+            return target
+        letters = "iI" + TURKISH + FOLDED
+        folds, plain = (dict(zip(letters, pc.match_substring_regex(pa.array(list(letters)), pattern=f"{flags}^(?:{source})$").to_pylist())) for flags in ("(?i)", ""))
+        dotted = "iI" + TURKISH
+        differ = [c for c in letters if (len({folds[x] for x in dotted}) > 1 if c in dotted else folds[c] != plain[c])]
+        into, out = ("".join(c for c in differ if folds[c] is want) for want in (True, False))
+        target = f"(?-i:(?![{out}])){target}" if out else target
+        return f"(?:(?-i:[{into}])|{target})" if into else f"(?:{target})" if out else target
+
     def _put(self, text: str, width: int = 1) -> None:
         self.out.append(text)
         self.at += width
@@ -98,6 +119,12 @@ class _Translator:
         self._put(q + "?" * (lazy != self.flags["U"]), len(q) + lazy)
 
     def _escape(self, in_class: bool) -> None:
+        start, before = self.at, len(self.out)
+        self._escaped(in_class)
+        if not in_class and self.s[start + 1:start + 2] in "wWdDsSpP":
+            self.out[before:] = [self._corrected(self.s[start:self.at], "".join(self.out[before:]))]
+
+    def _escaped(self, in_class: bool) -> None:
         s, c = self.s, self.s[self.at + 1:self.at + 2]
         if c in "bB" and not in_class:
             self._put(BOUNDARY if c == "b" else NOT_BOUNDARY, 2)
@@ -110,7 +137,8 @@ class _Translator:
         elif c == "Q":
             end = s.find("\\E", self.at)
             text = s[self.at + 2:end if end >= 0 else len(s)]
-            self._put(re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", text), len(text) + (4 if end >= 0 else 2))
+            quoted = "".join(self._folded(x, x if re.match(r"[\w\s]", x) else "\\" + x) for x in text)
+            self._put(quoted, len(text) + (4 if end >= 0 else 2))
         elif c in "pP":
             if s[self.at + 2] == "{":
                 end = s.index("}", self.at)
@@ -119,12 +147,12 @@ class _Translator:
                 self._put(_property(s[self.at + 2], c == "P"), 3)
         elif c in "01234567":
             m = re.compile(r"[0-7]{1,3}").match(s, self.at + 1)
-            self._put(rf"\x{{{int(m.group(), 8):x}}}", 1 + len(m.group()))
+            self._code(int(m.group(), 8), 1 + len(m.group()), in_class)
         elif c == "x" and s[self.at + 2:self.at + 3] == "{":
             end = s.index("}", self.at)
-            self._put(s[self.at:end + 1], end + 1 - self.at)
+            self._code(int(s[self.at + 3:end], 16), end + 1 - self.at, in_class)
         elif c == "x":
-            self._put(s[self.at:self.at + 4], 4)
+            self._code(int(s[self.at + 2:self.at + 4], 16), 4, in_class)
         elif c == "a":
             self._put(r"\x07", 2)
         elif c == "C":
@@ -132,8 +160,12 @@ class _Translator:
         else:
             self._put(s[self.at:self.at + 2], 2)
 
+    def _code(self, code: int, width: int, in_class: bool) -> None:
+        text = rf"\x{{{code:x}}}"
+        self._put(text if in_class else self._folded(chr(code), text), width)
+
     def _class(self) -> None:
-        s = self.s
+        s, start, before = self.s, self.at, len(self.out)
         self._put("[")
         if s[self.at] == "^":
             self._put("^")
@@ -150,6 +182,7 @@ class _Translator:
             else:
                 self._put(c)
         self._put("]")
+        self.out[before:] = [self._corrected(s[start:self.at], "".join(self.out[before:]))]
 
     def _group(self) -> None:
         s = self.s
@@ -177,6 +210,3 @@ def translate(pattern: str, multiline: bool = True, ignore_case: bool = False) -
     flags = "d" + "m" * multiline + "iu" * ignore_case
     return f"(?{flags})" + _Translator(pattern, multiline, ignore_case).run()
 
-
-def can_match_empty(pattern: str) -> bool:
-    return pc.match_substring_regex(pa.array([""]), pattern=pattern)[0].as_py()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.history import numbered
+
 
 def author(name: Column, identity: Column) -> Column:
     """The author's name, or the whole identity where there is no name."""
@@ -26,8 +28,13 @@ def select_occurrences(occurrences: DataFrame, expand_commits: bool) -> DataFram
     return occurrences if expand_commits else introducing(occurrences)
 
 
-def attribute(matches: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Each match with each selected occurrence of its blob. A commit has one blob at a path; if told two, the first wins."""
+def attribute(matches: DataFrame, occurrences: DataFrame, unique: bool = False) -> DataFrame:
+    """Each match with each selected occurrence of its blob. A commit has one blob at a path; if told two, the first wins.
+
+    unique: occurrences come from trees, which have one blob at a path.
+    """
+    if unique:
+        return matches.join(occurrences, "blob_oid")
     one = occurrences.groupBy("path", "commit_sha").agg(F.min_by(F.struct(*[c for c in occurrences.columns if c not in ("path", "commit_sha")]), "blob_oid").alias("o"))
     one = one.select("path", "commit_sha", "o.*")
     return matches.join(one, "blob_oid")
@@ -36,11 +43,11 @@ def attribute(matches: DataFrame, occurrences: DataFrame) -> DataFrame:
 def ranked(files: DataFrame) -> DataFrame:
     """(path, commit_sha, commit_ts) of matches -> with file_rank, commit_rank: files by newest commit, then path; commits newest first.
 
-    Ranks come from a window over distinct files, for small results; orderBy sorts() sorts any number of rows.
+    Ranks of files come from a range-partitioned sort, those of commits from a window within a file.
     """
     commits = files.select("path", "commit_sha", "commit_ts").distinct()
     newest = commits.groupBy("path").agg(F.max("commit_ts").alias("newest"))
-    order = newest.withColumn("file_rank", F.expr("row_number() OVER (ORDER BY newest DESC, path ASC)"))
+    order = numbered(newest, "file_rank", F.desc("newest"), F.asc("path"))
     in_file = commits.withColumn("commit_rank", F.expr("row_number() OVER (PARTITION BY path ORDER BY commit_ts DESC, commit_sha DESC)"))
     return in_file.join(order, "path").select("path", "commit_sha", "commit_ts", "newest", "file_rank", "commit_rank")
 
@@ -51,6 +58,14 @@ def in_order(rows: DataFrame, *last: str) -> DataFrame:
     return rows.join(newest, "path").orderBy(F.desc("__newest"), "path", F.desc("commit_ts"), F.desc("commit_sha"), *last).drop("__newest")
 
 
+def as_met(rows: DataFrame, *last: str) -> DataFrame:
+    """Rows in the order in which a walk, newest commit first, meets their blobs; each occurrence of a blob together."""
+    first = rows.groupBy("blob_oid").agg(F.min(F.struct("walk_seq", "path")).alias("__met")) if "walk_seq" in rows.columns else None
+    if first is None:
+        first = rows.groupBy("blob_oid").agg(F.min(F.struct((-F.unix_micros("commit_ts")).alias("newest"), "commit_sha", "path")).alias("__met"))
+    return rows.join(first, "blob_oid").orderBy("__met", "blob_oid", "walk_seq" if "walk_seq" in rows.columns else F.desc("commit_ts"), "path", *last).drop("__met")
+
+
 def totals(rows: DataFrame) -> DataFrame:
     """(total_matches, total_files): a binary hit counts one."""
     per = rows.groupBy("path").agg(F.count("*").alias("n"))

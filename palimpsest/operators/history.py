@@ -1,7 +1,7 @@
 """Operators on history: commits (sha, parents, commit_ts, ...) and the files of their trees (sha, path, mode, oid).
 
-Closures run as frontier joins with the visited set written to the shared folder each few rounds; on the driver, where
-the graph is small enough to hold (its size is checked), a plain search is the faster way to the same set.
+Closures walk on the driver where the graph's arrays fit there, some 60 bytes a commit, which is checked; beyond that
+they are joins with jump tables, in a number of rounds that follows the logarithm of history's depth.
 """
 
 from __future__ import annotations
@@ -9,76 +9,228 @@ from __future__ import annotations
 import heapq
 import tempfile
 from collections.abc import Iterable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_GRAPH = 200_000  # commits that are searched on the driver
+DRIVER_GRAPH = 3_000_000  # commits whose graph is walked on the driver
 REGULAR = 0o100000
 KIND = 0o170000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
+    """df written to the shared folder; a temporary one only in local mode, where one machine is all."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="palimpsest-")
+        context.setCheckpointDir(f"file://{folder}" if folder.startswith("/") else folder)
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with the rank of each row, from 1, in a total order: a range-partitioned sort, and offsets of its partitions."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = checkpointed(df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__at": within}))
+    sizes = sorted((r["__part"], r["count"]) for r in rows.groupBy("__part").count().collect())  # a number a partition
+    offsets, n = [], 1
+    for part, size in sizes:
+        offsets.append((part, n))
+        n += size
+    starts = df.sparkSession.createDataFrame(offsets, "__part int, __from long")
+    return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__from") + F.col("__at")).drop("__part", "__at", "__from")
+
+
+class Graph:
+    """Commits and their parents as arrays on the driver: places in sha order, and the known parents of each place."""
+
+    def __init__(self, commits: DataFrame):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        dated = "commit_ts" in commits.columns
+        rows = commits.select("sha", "parents", F.unix_micros("commit_ts").alias("ts") if dated else F.lit(0).cast("long").alias("ts")).toArrow().combine_chunks()
+        self.shas = rows.column("sha").combine_chunks()
+        lists = pc.fill_null(rows.column("parents").combine_chunks(), [])
+        places = pc.index_in(lists.flatten(), value_set=self.shas)
+        self.parents = pc.fill_null(places, -1).to_numpy(zero_copy_only=False).tolist()  # -1: a commit that is not here
+        self.ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(int).tolist()
+        self.dates = pc.fill_null(rows.column("ts").combine_chunks(), -(1 << 62)).to_numpy(zero_copy_only=False).tolist()
+
+    def places(self, shas: Iterable[str]) -> list[int]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.index_in(pa.array(list(shas), self.shas.type), value_set=self.shas)
+        return [p for p in found.to_pylist() if p is not None]
+
+    def known_parents(self, place: int, first_parent: bool = False) -> list[int]:
+        at, end = self.ends[place], self.ends[place + 1]
+        return [p for p in self.parents[at:min(end, at + 1) if first_parent else end] if p >= 0]
+
+    def reach(self, start: Iterable[int], first_parent: bool = False) -> bytearray:
+        """A byte a place: 1 where it is reached from the start, itself included."""
+        seen, todo = bytearray(len(self.shas)), list(start)
+        while todo:
+            place = todo.pop()
+            if not seen[place]:
+                seen[place] = 1
+                todo += [p for p in self.known_parents(place, first_parent) if not seen[p]]
+        return seen
+
+    def taken(self, seen) -> list[str]:
+        """The shas of marked places, as an Arrow array."""
+        import numpy as np
+        import pyarrow as pa
+
+        return self.shas.take(pa.array(np.flatnonzero(np.frombuffer(bytes(seen), dtype=np.uint8))))
+
+    def nth_ancestor(self, place: int, n: int) -> tuple[int, int]:
+        """(the place after n first parents, or where history ends; how many steps that was)."""
+        for k in range(n):
+            up = self.known_parents(place, True)
+            if not up:
+                return place, k
+            place = up[0]
+        return place, n
+
+    @cached_property
+    def skewed(self) -> bool:
+        """Whether any commit is older than a parent of its."""
+        return any(self.dates[p] > d for place, d in enumerate(self.dates) for p in self.known_parents(place))
+
+    def walk(self, start: Iterable[int], excluded=None, first_parent: bool = False) -> list[int]:
+        """The order in which a heap by date pops commits: a parent enters it only behind its child. Ties go by sha."""
+        seen = bytearray(excluded) if excluded is not None else bytearray(len(self.shas))
+        heap: list[tuple] = []
+
+        def push(place: int) -> None:
+            if not seen[place]:
+                seen[place] = 1
+                heapq.heappush(heap, (-self.dates[place], self.shas[place].as_py(), place))
+
+        for place in start:
+            push(place)
+        out = []
+        while heap:
+            place = heapq.heappop(heap)[2]
+            out.append(place)
+            for p in self.known_parents(place, first_parent):
+                push(p)
+        return out
+
+
+def fits_driver(commits: DataFrame) -> bool:
+    return commits.select("sha").limit(DRIVER_GRAPH + 1).count() <= DRIVER_GRAPH
+
+
 def edges(commits: DataFrame, first_parent: bool = False) -> DataFrame:
     """(child, parent) rows; only the first parent of each commit where asked."""
     parents = F.slice("parents", 1, 1) if first_parent else F.col("parents")
     return commits.select(F.col("sha").alias("child"), F.explode(parents).alias("parent"))
 
 
+def _table(spark, shas) -> DataFrame:
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"sha": pa.array(shas, pa.string())}))
+
+
 def ancestors(commits: DataFrame, start: Iterable[str], first_parent: bool = False) -> DataFrame:
     """(sha): the commits among `commits` that are reached from the start, it included. Unknown parents are not followed."""
-    spark, start = commits.sparkSession, list(start)
-    slim = commits.select("sha", "parents")
-    if slim.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
-        graph = {r.sha: list(r.parents or [])[: 1 if first_parent else None] for r in slim.toLocalIterator()}
-        seen, todo = set(), [s for s in start if s in graph]
-        while todo:
-            sha = todo.pop()
-            if sha not in seen:
-                seen.add(sha)
-                todo += [p for p in graph[sha] if p in graph and p not in seen]
-        return spark.createDataFrame([(s,) for s in sorted(seen)], "sha string")
-    return ancestors_by_joins(commits, spark.createDataFrame([(s,) for s in start], "sha string"), first_parent)
+    spark = commits.sparkSession
+    if fits_driver(commits):
+        graph = Graph(commits)
+        return _table(spark, graph.taken(graph.reach(graph.places(start), first_parent)))
+    return ancestors_by_joins(commits, _table(spark, list(start)), first_parent)
+
+
+def jump_tables(commits: DataFrame) -> list[DataFrame]:
+    """(child, parent) for the 1st, 2nd, 4th, ... first parent, up to the depth of history; each is written down."""
+    known = commits.select(F.col("sha").alias("parent")).distinct()
+    tables = [checkpointed(edges(commits, True).join(known, "parent", "left_semi").select("child", "parent"))]
+    while True:
+        last = tables[-1]
+        following = last.join(last.select(F.col("child").alias("parent"), F.col("parent").alias("farther")), "parent").select("child", F.col("farther").alias("parent"))
+        following = checkpointed(following)
+        if following.isEmpty():
+            return tables
+        tables.append(following)
 
 
 def ancestors_by_joins(commits: DataFrame, start: DataFrame, first_parent: bool = False) -> DataFrame:
-    """The same for graphs of any size, a generation a round: only the newest commits are joined with the edges.
+    """The same for graphs of any size. Lines of first parents are followed by jump tables, so a line of n commits takes
+    log2(n) joins; a round is then needed only for each time that a path turns off into another parent.
 
-    Each round is written to the shared folder, so neither plans nor recomputation grow with the depth of history.
+    What a round finds is written to the shared folder, so neither plans nor recomputation grow with history.
     """
-    known = commits.select("sha").distinct()
-    up = checkpointed(edges(commits, first_parent).join(known.withColumnRenamed("sha", "parent"), "parent", "left_semi").distinct())
-    reached = frontier = checkpointed(start.join(known, "sha", "left_semi").distinct())
+    known = checkpointed(commits.select("sha").distinct())
+    tables = jump_tables(commits)
+    turns = None
+    if not first_parent:
+        others = commits.select(F.col("sha").alias("child"), F.explode(F.slice("parents", 2, 0x7FFFFFFF)).alias("parent"))
+        turns = checkpointed(others.join(known.withColumnRenamed("sha", "parent"), "parent", "left_semi").select("child", "parent").distinct())
+        if turns.isEmpty():
+            turns = None
+    reached, frontier = None, checkpointed(start.join(known, "sha", "left_semi").distinct())
     while True:
-        step = up.join(frontier.withColumnRenamed("sha", "child"), "child", "left_semi").select(F.col("parent").alias("sha")).distinct()
+        line = frontier
+        for k, table in enumerate(tables):
+            up = table.join(line.withColumnRenamed("sha", "child"), "child", "left_semi").select(F.col("parent").alias("sha"))
+            line = line.unionByName(up).distinct()
+            if k % 4 == 3:
+                line = checkpointed(line)
+        line = checkpointed(line if reached is None else line.join(reached, "sha", "left_anti"))
+        reached = line if reached is None else checkpointed(reached.unionByName(line))
+        if turns is None:
+            return reached
+        step = turns.join(line.withColumnRenamed("sha", "child"), "child", "left_semi").select(F.col("parent").alias("sha")).distinct()
         frontier = checkpointed(step.join(reached, "sha", "left_anti"))
         if frontier.isEmpty():
             return reached
-        reached = reached.unionByName(frontier)  # of rounds that are each written down
 
 
-def rev_range(commits: DataFrame, include: list[str], exclude: list[str], first_parent: bool = False) -> DataFrame:
+def rev_range(commits: DataFrame, include: list[str], exclude: list[str], first_parent: bool = False, graph: Graph | None = None) -> DataFrame:
     """Commits reached from include but not from exclude; exclusion follows every parent."""
-    wanted = ancestors(commits, include, first_parent)
+    spark = commits.sparkSession
+    if graph or fits_driver(commits):
+        graph = graph or Graph(commits)
+        gone = graph.reach(graph.places(exclude))
+        seen = graph.reach(graph.places(include), first_parent)
+        if all(seen) and not any(gone):
+            return commits
+        return commits.join(_table(spark, graph.taken(bytes(a & ~b & 1 for a, b in zip(seen, gone)))), "sha", "left_semi")
+    wanted = ancestors_by_joins(commits, _table(spark, include), first_parent)
     if exclude:
-        wanted = wanted.join(ancestors(commits, exclude), "sha", "left_anti")
+        wanted = wanted.join(ancestors_by_joins(commits, _table(spark, exclude)), "sha", "left_anti")
     return commits.join(wanted, "sha", "left_semi")
 
 
-def nth_ancestor(commits: DataFrame, sha: str, n: int) -> str:
+def nth_ancestor(commits: DataFrame, sha: str, n: int, graph: Graph | None = None) -> str:
     """The n-th first parent; raises if the history is too short."""
-    for k in range(n):
-        row = commits.where(F.col("sha") == sha).select(F.try_element_at("parents", F.lit(1)).alias("p")).first()
-        if row is None or row.p is None:
-            raise ValueError(f"history of {sha} is shorter than {n}: no parent after {k}")
-        sha = row.p
-    return sha
+    if graph or fits_driver(commits):
+        graph = graph or Graph(commits)
+        start = graph.places([sha])
+        place, steps = graph.nth_ancestor(start[0], n) if start else (0, 0)
+        if n and steps < n:
+            raise ValueError(f"history of {sha} is shorter than {n}: no parent after {steps}")
+        return graph.shas[place].as_py() if start else sha
+    here = sha
+    for k, table in enumerate(jump_tables(commits) if n else []):
+        if n >> k & 1:
+            row = table.where(F.col("child") == here).first()
+            if row is None:
+                raise ValueError(f"history of {sha} is shorter than {n}")
+            here = row.parent
+        if n >> k == 1:
+            return here
+    if n:
+        raise ValueError(f"history of {sha} is shorter than {n}")
+    return here
 
 
 def commit_filter(since=None, until=None, author: str = "", committer: str = "") -> Column:
@@ -98,43 +250,17 @@ def commit_filter(since=None, until=None, author: str = "", committer: str = "")
 
 
 def walk_order(commits: DataFrame) -> DataFrame:
-    """Adds walk_seq, newest first. Exact where no parent is newer than its child, so that a heap pops by date.
-
-    A few million commits are ranked by one window; see heap_order for histories with skewed clocks.
-    """
-    return commits.withColumn("walk_seq", F.expr("row_number() OVER (ORDER BY commit_ts DESC, sha)"))
-
-
-def heap_order(graph: dict[str, tuple[list[str], object]], start: Iterable[str], first_parent: bool = False) -> list[str]:
-    """The order in which a heap by date pops commits: a parent enters it only behind its child. For graphs on the driver."""
-    seen, heap, out = set(), [], []
-
-    def push(sha: str) -> None:
-        if sha in graph and sha not in seen:
-            seen.add(sha)
-            heapq.heappush(heap, (_Newest(graph[sha][1]), sha))
-
-    for sha in start:
-        push(sha)
-    while heap:
-        _, sha = heapq.heappop(heap)
-        out.append(sha)
-        for p in graph[sha][0][: 1 if first_parent else None]:
-            push(p)
-    return out
+    """Adds walk_seq, newest first, then by sha. Exact where no parent is newer than its child, so that a heap pops by
+    date; Graph.walk() is for histories with skewed clocks."""
+    return numbered(commits, "walk_seq", F.desc("commit_ts"), F.asc("sha"))
 
 
-class _Newest:
-    """Orders by date, newest first."""
+def heap_order(graph: Graph, spark, start: Iterable[str], exclude: Iterable[str] = (), first_parent: bool = False) -> DataFrame:
+    """(sha, walk): the commits that a heap by date pops from the start, numbered from 1 in that order."""
+    import pyarrow as pa
 
-    def __init__(self, date):
-        self.date = date
-
-    def __lt__(self, other) -> bool:
-        return self.date > other.date
-
-    def __eq__(self, other) -> bool:
-        return self.date == other.date
+    order = graph.walk(graph.places(start), graph.reach(graph.places(exclude)), first_parent)
+    return spark.createDataFrame(pa.table({"sha": graph.shas.take(pa.array(order, pa.int64())), "walk": pa.array(range(1, len(order) + 1), pa.int64())}))
 
 
 def regular_blobs(files: DataFrame) -> DataFrame:
@@ -165,29 +291,36 @@ def find_entry(files: DataFrame, root: str, path: str) -> DataFrame:
     return files.where((F.col("root") == root) & (F.col("path") == path))
 
 
-def tree_diff(commits: DataFrame, files: DataFrame, expand_commits: bool = False) -> DataFrame:
+def tree_diff(commits: DataFrame, files: DataFrame, expand_commits: bool = False, history: DataFrame | None = None) -> DataFrame:
     """(sha, path, mode, oid): regular files of each commit that its first parent lacks or has with another oid.
 
-    commits: (sha, tree_oid, parents); files: (root, path, mode, oid) by tree. Root commits, commits whose parent is
-    unknown, and all commits under expand_commits give their whole tree. Deletions and changes of mode alone give nothing.
-    Commits with their parent's very tree drop out before any tree is joined.
+    commits: (sha, tree_oid, parents); files: (root, path, mode, oid) by tree; history: all commits, where `commits` are
+    some of them. Root commits, commits whose parent is unknown, and all commits under expand_commits give their whole
+    tree. Deletions and changes of mode alone give nothing. Commits with their parent's very tree drop out before any
+    tree is joined.
     """
     own = commits.select("sha", "tree_oid", F.try_element_at("parents", F.lit(1)).alias("parent"))
-    trees = commits.select(F.col("sha").alias("parent"), F.col("tree_oid").alias("parent_tree"))
-    pairs = own.join(trees, "parent", "left")
     if expand_commits:
-        pairs = pairs.withColumn("parent_tree", F.lit(None).cast("string"))
-    pairs = pairs.where("parent_tree IS NULL OR parent_tree <> tree_oid")
+        pairs = own.withColumn("parent_tree", F.lit(None).cast("string"))
+    else:
+        trees = (commits if history is None else history).select(F.col("sha").alias("parent"), F.col("tree_oid").alias("parent_tree"))
+        pairs = own.join(trees, "parent", "left").where("parent_tree IS NULL OR parent_tree <> tree_oid")
     child = pairs.join(regular_blobs(files).withColumnRenamed("root", "tree_oid"), "tree_oid")
+    if expand_commits:
+        return child.select("sha", "path", "mode", "oid")
     old = files.select(F.col("root").alias("parent_tree"), F.col("path"), F.col("oid"))
     return child.join(old, ["parent_tree", "path", "oid"], "left_anti").select("sha", "path", "mode", "oid")
 
 
-def suppress_merged(diff: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
-    """Drops from merges what any other parent has at the same path with the same oid."""
-    others = commits.where(F.size("parents") > 1).select("sha", F.explode(F.slice("parents", 2, 0x7FFFFFFF)).alias("other"))
-    trees = others.join(commits.select(F.col("sha").alias("other"), F.col("tree_oid").alias("root")), "other")
-    had = trees.join(files.select("root", "path", "oid"), "root").select("sha", "path", "oid").distinct()
+def suppress_merged(diff: DataFrame, commits: DataFrame, files: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Drops from merges what any other parent has at the same path with the same oid.
+
+    Only what the first parent's diff left of merges is looked up in the other parents' trees, by tree, path and oid.
+    """
+    merges = commits.where(F.size("parents") > 1).select("sha", F.explode(F.slice("parents", 2, 0x7FFFFFFF)).alias("other"))
+    roots = (commits if history is None else history).select(F.col("sha").alias("other"), F.col("tree_oid").alias("root"))
+    wanted = diff.join(merges.join(roots, "other").select("sha", "root").distinct(), "sha").select("sha", "root", "path", "oid")
+    had = wanted.join(files.select("root", "path", "oid"), ["root", "path", "oid"], "left_semi").select("sha", "path", "oid")
     return diff.join(had, ["sha", "path", "oid"], "left_anti")
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.regex import translate
 from palimpsest.options import SearchOptions
 
 BINARY_PREFIX = 8000
 # Noncharacters that mark where matches begin and end; in the text itself they stand replaced by their like.
-OPEN, CLOSE, LIKE = "﷐", "﷑", "﷒"
+OPEN, CLOSE, LIKE = "\ufdd0", "\ufdd1", "\ufdd2"
+# Another that stands for a byte that is not UTF-8: one character, and one byte wide.
+BAD = "\ufdd3"
 
 
 def matches(text: Column, options: SearchOptions) -> Column:
@@ -76,6 +77,12 @@ def first_matches(lines: DataFrame, max_count: int) -> DataFrame:
     return lines.withColumn("__rank", rank).where(F.col("__rank") <= max_count).drop("__rank")
 
 
+def width(text: Column) -> Column:
+    """Bytes of a text as it was stored."""
+    bad = F.length(text) - F.length(F.replace(text, F.lit(BAD), F.lit("")))
+    return F.octet_length(text) - (len(BAD.encode()) - 1) * bad
+
+
 def spans(line: Column, options: SearchOptions) -> Column:
     """Byte ranges of a line's matches, leftmost and not overlapping, as an array of (start, end), end exclusive.
 
@@ -85,8 +92,8 @@ def spans(line: Column, options: SearchOptions) -> Column:
         return F.array().cast("array<struct<start:int,end:int>>")
     marked = F.regexp_replace(F.translate(line, OPEN + CLOSE, LIKE + LIKE), f"{_grouped(options.regex())}", f"{OPEN}$1{CLOSE}")
     parts = F.transform(F.split(marked, OPEN, -1), lambda p, i: F.struct(
-        F.when(i == 0, F.lit(0)).otherwise(F.octet_length(F.substring_index(p, CLOSE, 1))).alias("hit"),
-        F.when(i == 0, F.octet_length(p)).otherwise(F.octet_length(p) - F.octet_length(F.substring_index(p, CLOSE, 1)) - len(CLOSE.encode())).alias("gap"),
+        F.when(i == 0, F.lit(0)).otherwise(width(F.substring_index(p, CLOSE, 1))).alias("hit"),
+        F.when(i == 0, width(p)).otherwise(width(p) - width(F.substring_index(p, CLOSE, 1)) - len(CLOSE.encode())).alias("gap"),
     ))
     zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("last"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
@@ -141,6 +148,3 @@ def exists(df: DataFrame) -> bool:
     """Whether there is any row; partitions are tried a few at a time."""
     return not df.isEmpty()
 
-
-def translated(pattern: str, ignore_case: bool = False) -> str:
-    return translate(pattern, ignore_case=ignore_case)

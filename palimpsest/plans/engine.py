@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os.path
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -25,43 +26,40 @@ class Source:
     files:   root (a tree's oid), path, mode, oid; or, in place of trees, occurrences ready-made
     blobs:   blob_oid, content, and optionally data (bytes) and error
     refs:    name -> oid
+    repo:    a repository, whose trees and blobs are read where they are needed, in place of files and blobs
     """
 
     commits: DataFrame
-    blobs: DataFrame
+    blobs: DataFrame | None = None
     files: DataFrame | None = None
     occurrences: DataFrame | None = None
     refs: dict[str, str] = field(default_factory=dict)
     subdirectory: str = ""
+    repo: gitstore.Repository | None = None
+
+    @cached_property
+    def graph(self) -> history.Graph | None:
+        """The commits' graph on the driver, if it fits there."""
+        return history.Graph(self.commits) if history.fits_driver(self.commits) else None
 
     def resolve(self, rev: str) -> str:
         """A revision, base or base~N, to a sha. What looks like an oid stands for itself."""
         base, tilde, n = rev.partition("~")
-        sha = base.lower() if gitstore.HEX.match(base) else None
-        if sha is None:
-            for prefix in ("", "refs/", "refs/heads/", "refs/tags/", "refs/remotes/", "refs/remotes/origin/"):
-                if found := self.refs.get(prefix + base):
-                    sha = found
-                    break
-            else:
-                raise OptionError(f"unknown revision '{rev}'")
         try:
-            return history.nth_ancestor(self.commits, sha, int(n)) if tilde else sha
+            sha = gitstore.resolve_ref(self.repo, base) if self.repo else gitstore.find_ref(base, self.refs.get, {})
+            return history.nth_ancestor(self.commits, sha, int(n), self.graph) if tilde else sha
+        except gitstore.NotFound as e:
+            raise OptionError(e.args[0]) from None
         except ValueError as e:
             raise OptionError(str(e)) from None
 
 
 def from_git(spark: SparkSession, start: str = ".", environ: dict | None = None) -> Source:
-    """A repository on disk that driver and executors both see. Trees are expanded once per distinct root."""
+    """A repository on disk that driver and executors both see. Its commits are read here, trees and blobs by a search."""
     repo = gitstore.discover(start, environ)
-    objects = history.checkpointed(gitstore.objects(spark, repo))
-    commits = history.checkpointed(gitstore.parse_commits(objects.where("error IS NULL")).where("error IS NULL"))
-    files = history.checkpointed(history.expand_trees(gitstore.parse_trees(objects), commits.select("tree_oid")))
-    blobs = objects.where("type = 'blob' OR type IS NULL").select(F.col("oid").alias("blob_oid"), F.col("data").cast("string").alias("content"), "data", "error")
-    import os.path
-
+    commits = history.checkpointed(gitstore.parse_commits(gitstore.objects(spark, repo, "commit")).where("error IS NULL"))
     sub = os.path.relpath(os.path.realpath(start), repo.work_tree) if repo.work_tree and os.path.isdir(start) else ""
-    return Source(commits, blobs, files, None, gitstore.all_refs(repo), "" if sub.startswith(".") else sub)
+    return Source(commits, refs=gitstore.all_refs(repo), subdirectory="" if sub.startswith(".") else sub, repo=repo)
 
 
 def rev_spec(source: Source, spec: str) -> tuple[list[str], list[str]]:
@@ -73,45 +71,64 @@ def rev_spec(source: Source, spec: str) -> tuple[list[str], list[str]]:
     return [source.resolve(spec or "HEAD")], []
 
 
-def select_commits(source: Source, options: SearchOptions) -> DataFrame:
-    """The commits that the revisions reach and the filters keep."""
+def tips(source: Source, options: SearchOptions) -> tuple[list[str] | None, list[str]]:
+    """The commits that the walk starts from, None for all, and those that it leaves out with what they reach."""
     if options.all:
-        include, exclude = sorted(set(source.refs.values())), []
-    else:
-        include, exclude = rev_spec(source, options.rev_range) if source.refs or options.rev_range else (None, [])
-        for b in options.branches:
-            try:
-                include = [*(include or []), source.resolve(b)]
-            except OptionError:
-                continue  # a branch that does not exist adds nothing
-    reached = source.commits if include is None else history.rev_range(source.commits, include, exclude, options.first_parent)
+        return sorted(set(source.refs.values())), []
+    include, exclude = rev_spec(source, options.rev_range) if source.refs or source.repo or options.rev_range else (None, [])
+    for b in options.branches:
+        try:
+            include = [*(include or []), source.resolve(b)]
+        except OptionError:
+            continue  # a branch that does not exist adds nothing
+    return include, exclude
+
+
+def select_commits(source: Source, options: SearchOptions) -> DataFrame:
+    """The commits that the revisions reach and the filters keep, with walk_seq, the order in which they are walked.
+
+    That is by date, and where a commit is older than a parent of its, by the walk itself.
+    """
+    include, exclude = tips(source, options)
+    reached = source.commits
+    if include is not None:
+        reached = history.rev_range(source.commits, include, exclude, options.first_parent, source.graph)
+    seq = F.struct((-F.unix_micros("commit_ts")).alias("newest"), F.col("sha").alias("name"))
+    if include is not None and source.graph and source.graph.skewed:
+        order = history.heap_order(source.graph, source.commits.sparkSession, include, exclude, options.first_parent)
+        reached, seq = reached.join(order, "sha"), F.struct(F.col("walk").alias("newest"), F.col("sha").alias("name"))
     dates = {k: parse_date(v).replace(tzinfo=None) if v.strip() else None for k, v in (("since", options.since), ("until", options.until))}
-    return reached.where(history.commit_filter(*(F.lit(d).cast("timestamp") if d else None for d in dates.values()), options.author, options.committer))
+    keep = history.commit_filter(*(F.lit(d).cast("timestamp") if d else None for d in dates.values()), options.author, options.committer)
+    return reached.where(keep).withColumn("walk_seq", seq)
 
 
 def occurrences(source: Source, options: SearchOptions) -> DataFrame:
-    """(blob_oid, path, commit_sha, commit_ts, commit_date, author): what each commit introduces, or all it holds."""
+    """(blob_oid, path, commit_sha, commit_ts, commit_date, author, summary): what each commit introduces, or all it holds."""
     commits = select_commits(source, options)
     date = F.date_format("commit_ts", "yyyy-MM-dd")
     if "commit_tz" in commits.columns:  # the date where the commit was made
         minutes = F.concat(F.substring("commit_tz", 1, 1), F.lit("1")).cast("int") * (F.substring("commit_tz", 2, 2).cast("int") * 60 + F.substring("commit_tz", 4, 2).cast("int"))
         date = F.date_format(F.col("commit_ts") + F.coalesce(F.make_dt_interval(mins=minutes), F.make_dt_interval()), "yyyy-MM-dd")
-    told = commits.select(F.col("sha").alias("commit_sha"), "commit_ts", F.coalesce(date, F.lit("")).alias("commit_date"), attribution.author(F.col("author_name"), F.col("author")).alias("author"))
-    if source.occurrences is not None:
-        found = source.occurrences.select("blob_oid", "path", "commit_sha")
+    summary = F.col("summary") if "summary" in commits.columns else F.lit("")
+    told = ("commit_ts", F.coalesce(date, F.lit("")).alias("commit_date"), attribution.author(F.col("author_name"), F.col("author")).alias("author"), summary.alias("summary"), "walk_seq")
+    expand, first = options.expand_commits, options.first_parent
+    if source.repo is not None:
+        changed = gitstore.tree_changes(commits.select("sha", "tree_oid", "parents", *told), source.repo, expand, first)
+        placed = changed.select(F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"), "commit_ts", "commit_date", "author", "summary", "walk_seq")
     else:
-        # Diffs are against unfiltered parents, so filters on commits come behind them.
-        diff = history.tree_diff(source.commits.join(commits.select("sha"), "sha", "left_semi") if options.expand_commits else source.commits, source.files, options.expand_commits)
-        if not options.first_parent and not options.expand_commits:
-            diff = history.suppress_merged(diff, source.commits, source.files)
-        found = diff.select(F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"))
-    found = found.where(path_filter(F.col("path"), options.paths, options.globs, options.types, options.subdirectory or source.subdirectory))
-    placed = found.join(told, "commit_sha")
+        named = commits.select(F.col("sha").alias("commit_sha"), *told)
+        if source.occurrences is not None:
+            found = source.occurrences.select("blob_oid", "path", "commit_sha")
+        else:
+            diff = history.tree_diff(commits, source.files, expand, source.commits)
+            if not first and not expand:
+                diff = history.suppress_merged(diff, commits, source.files, source.commits)
+            found = diff.select(F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"))
+        placed = found.join(named, "commit_sha")
+    placed = placed.where(path_filter(F.col("path"), options.paths, options.globs, options.types, options.subdirectory or source.subdirectory))
     if source.occurrences is not None:
-        return attribution.select_occurrences(placed, options.expand_commits)
-    if options.expand_commits:
-        return placed
-    return history.first_occurrences(placed.withColumn("walk_seq", F.struct((-F.unix_micros("commit_ts")).alias("newest"), F.col("commit_sha")))).drop("walk_seq")
+        return attribution.select_occurrences(placed, expand)
+    return placed if expand else history.first_occurrences(placed)
 
 
 @dataclass
@@ -124,8 +141,9 @@ class SearchResult:
 
     @cached_property
     def ordered(self) -> DataFrame:
+        """The rows as they are told: by file and commit; unordered, a blob after another as the walk meets them."""
         last = ("group_id", "line_num")
-        return self.rows.orderBy("blob_oid", *last) if self.options.unordered else attribution.in_order(self.rows, *last)
+        return attribution.as_met(self.rows, *last) if self.options.unordered else attribution.in_order(self.rows, *last)
 
     @property
     def found(self) -> bool:
@@ -163,18 +181,23 @@ class SearchResult:
 def search(spark: SparkSession, source: Source, options: SearchOptions) -> SearchResult:
     """Plans a search: occurrences pick the blobs, each distinct blob is searched once, and its matches are attributed.
 
-    Occurrences are read twice, to pick blobs and to attribute matches; both are equi-joins on the blob's oid that
-    Spark broadcasts or sorts by their size, and splits if one blob has most occurrences.
+    Occurrences are used twice, to pick blobs and to attribute matches. Those of a repository are written down for it.
+    Both uses are equi-joins on the blob's oid that Spark broadcasts or sorts by their size, and splits if one blob has
+    most occurrences.
     """
     options.validate()
     where = occurrences(source, options)
-    blobs = text.distinct_blobs(source.blobs.join(where.select("blob_oid"), "blob_oid", "left_semi"))
+    if source.repo is not None:
+        where = history.checkpointed(where)
+        blobs = gitstore.read_blobs(where.select("blob_oid").distinct(), source.repo)
+    else:
+        blobs = text.distinct_blobs(source.blobs.join(where.select("blob_oid"), "blob_oid", "left_semi"))
     bad = F.col("error").isNotNull() if "error" in blobs.columns else F.lit(False)
     skipped = blobs.where(bad)
     good = blobs.where(~bad)
     # A text without its bytes is its own; as bytes it has the same NULs in the same place if it has any.
-    data = F.col("data") if "data" in blobs.columns else F.col("content").cast("binary")
-    binary = F.lit(False) if options.text else text.is_binary(data)
+    binary = F.col("is_binary") if "is_binary" in blobs.columns else text.is_binary(F.col("data") if "data" in blobs.columns else F.col("content").cast("binary"))
+    binary = F.lit(False) if options.text else binary
     plain = good.where(~binary).select("blob_oid", "content")
     if options.before_context or options.after_context:
         lines = text.context_lines(plain, options)
@@ -182,7 +205,9 @@ def search(spark: SparkSession, source: Source, options: SearchOptions) -> Searc
         lines = text.match_lines(plain, options).withColumns({"group_id": F.lit(0), "is_match": F.lit(True)})
     spans = F.when(F.col("is_match"), text.spans(F.col("line_text"), options)) if options.color != "never" else F.lit(None).cast(NO_SPANS)
     hits = lines.select("blob_oid", "group_id", "line_num", "line_text", "is_match", F.lit(False).alias("is_binary"), spans.alias("submatches"))
-    notices = good.where(binary & text.blob_matches(F.col("content"), options)).select(
-        "blob_oid", F.lit(0).alias("group_id"), F.lit(0).alias("line_num"), F.lit("").alias("line_text"), F.lit(False).alias("is_match"), F.lit(True).alias("is_binary"), F.lit(None).cast(NO_SPANS).alias("submatches"))
-    found = hits if options.text else hits.unionByName(notices)
-    return SearchResult(attribution.attribute(found, where), skipped, options)
+    if options.text:
+        found = hits
+    else:
+        notices = good.where(binary & text.blob_matches(F.col("content"), options)).select("blob_oid", F.lit(0).alias("group_id"), F.lit(0).alias("line_num"), F.lit("").alias("line_text"))
+        found = hits.unionByName(notices.withColumns({"is_match": F.lit(False), "is_binary": F.lit(True), "submatches": F.lit(None).cast(NO_SPANS)}))
+    return SearchResult(attribution.attribute(found, where, source.occurrences is None), skipped, options)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.text import BAD
 from palimpsest.options import SearchOptions
 
 SHORT = 7
@@ -24,17 +25,23 @@ def short(sha: Column) -> Column:
     return F.substring(sha, 1, SHORT)
 
 
+def shown(text: Column) -> Column:
+    """A line as it is printed: with the replacement character for a byte that is not UTF-8."""
+    return F.translate(text, BAD, "\ufffd")
+
+
 def single_line(rows: DataFrame, line_number: bool = True) -> DataFrame:
     """Adds `out`: sha:path:line:text, with - in place of every : on context lines."""
     sep = F.when(F.col("is_match"), ":").otherwise("-")
-    parts = [short(F.col("commit_sha")), sep, F.col("path"), sep] + ([F.col("line_num").cast("string"), sep] if line_number else []) + [F.col("line_text")]
+    parts = [short(F.col("commit_sha")), sep, F.col("path"), sep] + ([F.col("line_num").cast("string"), sep] if line_number else []) + [shown(F.col("line_text"))]
     return rows.withColumn("out", F.when(F.col("is_binary"), binary_notice()).otherwise(F.concat(*parts)))
 
 
 def grouped_line(line_number: bool = True) -> Column:
     """A line below its file and commit: number, : or -, text."""
     sep = F.when(F.col("is_match"), ":").otherwise("-")
-    return F.concat(F.col("line_num").cast("string"), sep, F.col("line_text")) if line_number else F.col("line_text")
+    text = shown(F.col("line_text"))
+    return F.concat(F.col("line_num").cast("string"), sep, text) if line_number else text
 
 
 def subheader() -> Column:
@@ -73,7 +80,7 @@ def painter(on: bool) -> Callable[[str, str], str]:
 
 def highlight(text: str, spans: Iterable, paint: Callable[[str, str], str]) -> str:
     """The text with its byte spans painted; spans that are empty, out of range or overlap an earlier one are passed over."""
-    raw, out, at = text.encode(), [], 0
+    raw, out, at = text.encode().replace(BAD.encode(), b"\xff"), [], 0
     for start, end in sorted((int(s[0]), int(s[1])) for s in spans or ()):
         if at <= start < end <= len(raw):
             out += [raw[at:start].decode(errors="replace"), paint("match", raw[start:end].decode(errors="replace"))]
@@ -109,6 +116,6 @@ def render(rows: Iterable, options: SearchOptions, color: bool = False) -> Itera
         if r["is_binary"]:
             yield f"Binary file {paint('path', path)} matches in {paint('commit', sha)}"
             continue
-        text = highlight(r["line_text"], r["submatches"], paint) if color and r["is_match"] else r["line_text"]
+        text = highlight(r["line_text"], r["submatches"], paint) if color and r["is_match"] else r["line_text"].replace(BAD, "\ufffd")
         number = paint("line", str(r["line_num"])) + sep if options.line_number else ""
         yield (number if heading else paint("commit", sha) + sep + paint("path", path) + sep + number) + text

@@ -1,17 +1,19 @@
 """A Git object store on disk as tables: discovery and refs on the driver, objects by Spark tasks.
 
-Loose objects are one file each and packs are files of many, so the unit of work is a loose directory or a range of a
-pack's objects. Deltas are resolved inside the task that meets them, by random access to the pack, not by joins.
+Loose objects are one file each and packs are files of many, so the unit of work of a scan is some loose directories or
+a range of a pack's objects. Whatever needs random access is done inside the task that needs it, not by joins: deltas,
+the diff of two trees, and the lookup of objects by name. Indexes are mapped and bisected, packs are opened when read.
 """
 
 from __future__ import annotations
 
+import codecs
 import mmap
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from palimpsest.operators.text import BAD, BINARY_PREFIX, LIKE
 from palimpsest.sources.shipping import ship
 
 # Fixed values of the format.
@@ -27,8 +30,12 @@ OFS_DELTA, REF_DELTA = 6, 7
 MAX_OBJECT = 512 << 20
 MAX_DELTA_DEPTH = 50
 MAX_REF_DEPTH = 10
+MAX_TREE_DEPTH = 256
 PACK_RANGE = 2000  # objects of a pack that one task reads
-OBJECTS = "oid string, type string, size long, data binary, error string, source_rank int"
+LOOSE_FILES = 2000  # loose objects that one task reads, about
+TREES = 4096  # parsed trees that a task remembers
+OBJECTS = "oid string, type string, size long, data binary, error string"
+CANDIDATES = ("", "refs/", "refs/heads/", "refs/tags/", "refs/remotes/", "refs/remotes/origin/")  # in order of precedence
 HEX = re.compile(r"(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{64})\Z")
 
 
@@ -98,8 +105,10 @@ def _repository(git: Path, tree: str | None) -> Repository:
 
 
 def valid_ref(name: str) -> bool:
-    return bool(name) and not (
-        ".." in name or "//" in name or "@{" in name or name[0] == "/" or name[-1] == "/" or name.endswith(".lock") or re.search(r"[\x00-\x20\x7f~^:?*\[\\]", name))
+    """Whether a name can be that of a ref, and as a path stays where refs are."""
+    if name in ("", ".") or name[0] == "/" or name[-1] == "/" or name.endswith(".lock"):
+        return False
+    return not any(x in name for x in ("..", "//", "@{")) and not re.search(r"[\x00-\x20\x7f~^:?*\[\\]", name)
 
 
 def packed_refs(repo: Repository) -> dict[str, str]:
@@ -109,33 +118,47 @@ def packed_refs(repo: Repository) -> dict[str, str]:
     return {r[1].strip(): r[0] for r in rows if len(r) == 2 and HEX.match(r[0])}
 
 
-def _resolve(repo: Repository, name: str, packed: dict[str, str], depth: int = 0) -> str | None:
-    if depth > MAX_REF_DEPTH:
-        raise CorruptObject(f"{name}: symbolic refs are nested too deep")
+def _loose(repo: Repository, name: str) -> str | None:
+    """What the file of a ref says, if there is one: an oid, or `ref:` and a name."""
     for folder in dict.fromkeys((repo.git_dir, repo.common_dir)):
         file = Path(folder) / name
         if file.is_file():
             text = file.read_text(errors="replace").strip()
-            if text.startswith("ref:"):
-                return _resolve(repo, text.removeprefix("ref:").strip(), packed, depth + 1)
-            if HEX.match(text):
-                return text.lower()
-    return packed.get(name)
+            if text.startswith("ref:") or HEX.match(text):
+                return text
+    return None
 
 
-def resolve_ref(repo: Repository, ref: str) -> str:
-    """An oid as it is; else what the ref, or it under refs, heads, tags or remotes, points to."""
+def find_ref(ref: str, loose: Callable[[str], str | None], packed: dict[str, str], depth: int = 0) -> str:
+    """The oid that a name stands for: an oid is its own; else the first candidate among all loose refs, then packed ones.
+
+    What a symbolic ref points to must be a valid name too.
+    """
+    if depth > MAX_REF_DEPTH:
+        raise CorruptObject(f"{ref}: symbolic refs are nested too deep")
     if HEX.match(ref):
         return ref.lower()
     if not valid_ref(ref):
         raise NotFound(f"invalid ref '{ref}'")
-    packed = packed_refs(repo)
-    for prefix in ("", "refs/", "refs/heads/", "refs/tags/", "refs/remotes/", "refs/remotes/origin/"):
-        if found := _resolve(repo, prefix + ref, packed):
-            return found
+    names = [ref] if ref == "HEAD" or ref.startswith("refs/") else [prefix + ref for prefix in CANDIDATES]
+    for name in names:
+        text = loose(name)
+        if text is not None:
+            target = text.removeprefix("ref:").strip()
+            if text.startswith("ref:"):
+                return find_ref(target, loose, packed, depth + 1)
+            return target.lower() if HEX.match(target) else target
+    for name in names:
+        if name in packed:
+            return packed[name]
     raise NotFound(f"unknown revision '{ref}'")
 
 
+def resolve_ref(repo: Repository, ref: str) -> str:
+    """An oid as it is; else what the ref, or it under refs, heads, tags or remotes, points to."""
+    return find_ref(ref.strip(), lambda name: _loose(repo, name), packed_refs(repo))
+
+
 def all_refs(repo: Repository) -> dict[str, str]:
     """Names and oids, loose ones over packed ones, with HEAD."""
     packed = packed_refs(repo)
@@ -145,12 +168,13 @@ def all_refs(repo: Repository) -> dict[str, str]:
         if file.is_file():
             name = file.relative_to(root).as_posix()
             try:
-                if oid := _resolve(repo, name, packed):
-                    found[name] = oid
-            except CorruptObject:
+                found[name] = resolve_ref(repo, name)
+            except (CorruptObject, NotFound):
                 continue
-    if head := _resolve(repo, "HEAD", packed):
-        found["HEAD"] = head
+    try:
+        found["HEAD"] = resolve_ref(repo, "HEAD")
+    except (CorruptObject, NotFound):
+        pass  # a branch without commits
     return found
 
 
@@ -174,35 +198,46 @@ def decode_loose(stored: bytes, name: str = "object") -> tuple[str, bytes]:
 
 
 class PackIndex:
-    """A version 2 index: sorted oids and their offsets."""
+    """A version 2 index, bytes or mapped: sorted oids and their offsets, looked up where they lie."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data):
         if data[:8] != b"\xfftOc\x00\x00\x00\x02":
             raise CorruptObject("not a version 2 pack index")
-        fanout = struct.unpack_from(">256I", data, 8)
-        if any(a > b for a, b in zip(fanout, fanout[1:])):
+        self.data, self.fanout = data, (0, *struct.unpack_from(">256I", data, 8))
+        if any(a > b for a, b in zip(self.fanout, self.fanout[1:])):
             raise CorruptObject("pack index fanout decreases")
-        n = self.count = fanout[255]
-        names = 8 + 1024
-        small = names + 24 * n
-        large = small + 4 * n
-        if large > len(data):
+        self.count = self.fanout[-1]
+        self._names = 8 + 1024
+        self._small = self._names + 24 * self.count
+        self._large = self._small + 4 * self.count
+        if self._large > len(data):
             raise CorruptObject("pack index is cut short")
-        self.oids = [data[names + 20 * i:names + 20 * i + 20].hex() for i in range(n)]
-        self.offsets = []
-        for (v,) in struct.iter_unpack(">I", data[small:large]):
-            if v >> 31:
-                at = large + 8 * (v & 0x7FFFFFFF)
-                if at + 8 > len(data):
-                    raise CorruptObject("pack index offset is out of bounds")
-                v = struct.unpack_from(">Q", data, at)[0]
-            self.offsets.append(v)
-        self._by_oid: dict[str, int] | None = None
+
+    def oid(self, k: int) -> str:
+        return self.data[self._names + 20 * k:self._names + 20 * k + 20].hex()
+
+    def offset_at(self, k: int) -> int:
+        (v,) = struct.unpack_from(">I", self.data, self._small + 4 * k)
+        if v >> 31:
+            at = self._large + 8 * (v & 0x7FFFFFFF)
+            if at + 8 > len(self.data):
+                raise CorruptObject("pack index offset is out of bounds")
+            (v,) = struct.unpack_from(">Q", self.data, at)
+        return v
 
     def offset(self, oid: str) -> int | None:
-        if self._by_oid is None:
-            self._by_oid = dict(zip(self.oids, self.offsets))
-        return self._by_oid.get(oid)
+        if len(oid) != 40:
+            return None
+        name = bytes.fromhex(oid)
+        low, high = self.fanout[name[0]], self.fanout[name[0] + 1]
+        while low < high:
+            middle = (low + high) // 2
+            at = self._names + 20 * middle
+            here = self.data[at:at + 20]
+            if here == name:
+                return self.offset_at(middle)
+            low, high = (middle + 1, high) if here < name else (low, middle)
+        return None
 
 
 def apply_delta(base: bytes, delta: bytes) -> bytes:
@@ -255,13 +290,17 @@ def apply_delta(base: bytes, delta: bytes) -> bytes:
     return b"".join(out)
 
 
+def _mapped(file: str | os.PathLike):
+    with open(file, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 class Pack:
     """A pack file, mapped; objects are read at their offsets."""
 
     def __init__(self, file: str, index: PackIndex, store: Store | None = None):
         self.index, self.store = index, store
-        with open(file, "rb") as f:
-            self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        self.data = _mapped(file)
         if self.data[:4] != b"PACK":
             raise CorruptObject(f"{file} is not a pack")
 
@@ -297,121 +336,185 @@ class Pack:
             raise CorruptObject(f"{len(out)} bytes where {size} are declared")
         return bytes(out)
 
-    def read_at(self, offset: int, depth: int = 0) -> tuple[str, bytes]:
+    def base_of(self, kind: int, offset: int, at: int) -> tuple[int | str, int]:
+        """(offset or oid of a delta's base, where the delta's data begins)."""
+        if kind == REF_DELTA:
+            oid = self.data[at:at + 20].hex()
+            own = self.index.offset(oid)
+            return (oid if own is None else own), at + 20
+        if kind != OFS_DELTA:
+            raise CorruptObject(f"unknown object type {kind}")
+        b = self.data[at]
+        back = b & 0x7F
+        while b & 0x80:
+            at += 1
+            b = self.data[at]
+            back = (back + 1 << 7) | (b & 0x7F)
+        if not 0 < back <= offset:
+            raise CorruptObject("delta base is out of bounds")
+        return offset - back, at + 1
+
+    def _entry(self, offset: int, depth: int) -> tuple[int, int, int]:
         if depth > MAX_DELTA_DEPTH:
             raise CorruptObject("delta chain is too deep, or a cycle")
         if not 12 <= offset < len(self.data):
             raise CorruptObject("object offset is out of bounds")
-        kind, size, at = self.header(offset)
+        return self.header(offset)
+
+    def kind_at(self, offset: int, depth: int = 0) -> str:
+        """An object's type by headers alone; a delta has its base's."""
+        kind, _, at = self._entry(offset, depth)
+        if kind in TYPES:
+            return TYPES[kind]
+        base, _ = self.base_of(kind, offset, at)
+        if isinstance(base, int):
+            return self.kind_at(base, depth + 1)
+        if self.store is None:
+            raise CorruptObject(f"delta base {base} is missing")
+        return self.store.kind(base, depth + 1)
+
+    def read_at(self, offset: int, depth: int = 0) -> tuple[str, bytes]:
+        kind, size, at = self._entry(offset, depth)
         if kind in TYPES:
             return TYPES[kind], self.inflate(at, size)
-        if kind == OFS_DELTA:
-            b = self.data[at]
-            back = b & 0x7F
-            while b & 0x80:
-                at += 1
-                b = self.data[at]
-                back = (back + 1 << 7) | (b & 0x7F)
-            if not 0 < back <= offset:
-                raise CorruptObject("delta base is out of bounds")
-            name, base = self.read_at(offset - back, depth + 1)
-            return name, apply_delta(base, self.inflate(at + 1, size))
-        if kind == REF_DELTA:
-            oid = self.data[at:at + 20].hex()
-            own = self.index.offset(oid)
-            if own is not None:
-                name, base = self.read_at(own, depth + 1)
-            elif self.store is not None:
-                name, base = self.store.read(oid, depth + 1)
-            else:
-                raise CorruptObject(f"delta base {oid} is missing")
-            return name, apply_delta(base, self.inflate(at + 20, size))
-        raise CorruptObject(f"unknown object type {kind}")
+        base, at = self.base_of(kind, offset, at)
+        if isinstance(base, int):
+            name, data = self.read_at(base, depth + 1)
+        elif self.store is not None:
+            name, data = self.store.read(base, depth + 1)
+        else:
+            raise CorruptObject(f"delta base {base} is missing")
+        return name, apply_delta(data, self.inflate(at, size))
 
 
 class Store:
-    """Point lookups: loose objects first, then packs in the order of their names."""
+    """Point lookups: loose objects first, then packs in the order of their names. Nothing is opened before it is asked."""
 
     def __init__(self, common_dir: str):
         self.root = Path(common_dir) / "objects"
-        self.packs: list[Pack] = []
-        for idx in sorted((self.root / "pack").glob("*.idx")):
+        self.names = sorted((self.root / "pack").glob("*.idx"))
+        self._packs: list[Pack | None | bool] = [False] * len(self.names)
+        self._loose: dict[str, frozenset] = {}
+        self.reads = 0
+
+    def pack(self, k: int) -> Pack | None:
+        """The k-th pack; one that cannot be opened is as if it were not there."""
+        if self._packs[k] is False:
             try:
-                self.packs.append(Pack(str(idx.with_suffix(".pack")), PackIndex(idx.read_bytes()), self))
+                self._packs[k] = Pack(str(self.names[k].with_suffix(".pack")), PackIndex(_mapped(self.names[k])), self)
             except (CorruptObject, OSError, ValueError):
-                continue  # a pack that cannot be opened is as if it were not there
+                self._packs[k] = None
+        return self._packs[k]
+
+    def loose_file(self, oid: str) -> Path | None:
+        folder = oid[:2]
+        if folder not in self._loose:
+            try:
+                self._loose[folder] = frozenset(os.listdir(self.root / folder))
+            except OSError:
+                self._loose[folder] = frozenset()
+        return self.root / folder / oid[2:] if oid[2:] in self._loose[folder] else None
+
+    def places(self, oid: str) -> Iterator[tuple[int, Callable]]:
+        """(rank, a function that takes what to do of a pack and of a file) of each source that has the object."""
+        if file := self.loose_file(oid):
+            yield 0, lambda of_pack, of_file: of_file(file)
+        for k in range(len(self.names)):
+            pack = self.pack(k)
+            if pack and (at := pack.index.offset(oid)) is not None:
+                yield k + 1, lambda of_pack, of_file, pack=pack, at=at: of_pack(pack, at)
 
     def __contains__(self, oid: str) -> bool:
-        return (self.root / oid[:2] / oid[2:]).is_file() or any(p.index.offset(oid) is not None for p in self.packs)
+        return next(self.places(oid), None) is not None
 
-    def read(self, oid: str, depth: int = 0) -> tuple[str, bytes]:
-        """(type, payload). If every source that has the object fails, the last failure is raised."""
+    def rank(self, oid: str) -> int | None:
+        return next((rank for rank, _ in self.places(oid)), None)
+
+    def _first(self, oid: str, of_pack: Callable, of_file: Callable):
+        """What the first source gives that does not fail; if all that have the object fail, the last failure is raised."""
         failed: Exception = NotFound(oid)
-        file = self.root / oid[:2] / oid[2:]
-        if file.is_file():
+        for _, run in self.places(oid):
             try:
-                return loose_object(file)
-            except CorruptObject as e:
+                return run(of_pack, of_file)
+            except (CorruptObject, OSError, IndexError) as e:
                 failed = e
-        for pack in self.packs:
-            if (at := pack.index.offset(oid)) is not None:
-                try:
-                    return pack.read_at(at, depth)
-                except CorruptObject as e:
-                    failed = e
         raise failed
 
+    def read(self, oid: str, depth: int = 0) -> tuple[str, bytes]:
+        """(type, payload)."""
+        self.reads += 1
+        return self._first(oid, lambda pack, at: pack.read_at(at, depth), loose_object)
+
+    def kind(self, oid: str, depth: int = 0) -> str:
+        return self._first(oid, lambda pack, at: pack.kind_at(at, depth), loose_kind)
+
 
 @dataclass
 class Part(InputPartition):
     kind: str
-    path: str
+    paths: tuple[str, ...]
     rank: int
     start: int = 0
     end: int = 0
 
 
 class ObjectReader(DataSourceReader):
-    """Partitions are loose directories and ranges of packs; a bad object is a row with its error."""
+    """Partitions are some loose directories or a range of a pack; each object comes from the first source that has it.
 
-    def __init__(self, common_dir: str):
+    Whether an earlier source has it, a task sees by itself, so no object is shuffled. With kinds given, only objects
+    of these are inflated; what has no kind then is left out, else it is a row with its error.
+    """
+
+    def __init__(self, common_dir: str, kinds: str = ""):
         self.root = Path(common_dir) / "objects"
-        self.common_dir = common_dir
+        self.common_dir, self.kinds = common_dir, frozenset(kinds.split(",")) - {""}
 
     def partitions(self) -> list[InputPartition]:
-        parts = [Part("loose", str(d), 0) for d in sorted(self.root.glob("[0-9a-f][0-9a-f]")) if d.is_dir()]
+        parts, folders, n = [], [], 0
+        for d in sorted(self.root.glob("[0-9a-f][0-9a-f]")):
+            if d.is_dir():
+                folders.append(str(d))
+                n += len(os.listdir(d))
+                if n >= LOOSE_FILES:
+                    parts.append(Part("loose", tuple(folders), 0))
+                    folders, n = [], 0
+        if n:
+            parts.append(Part("loose", tuple(folders), 0))
         for rank, idx in enumerate(sorted((self.root / "pack").glob("*.idx")), 1):
             with open(idx, "rb") as f:
                 head = f.read(8 + 1024)
             n = struct.unpack_from(">I", head, 8 + 1020)[0] if head[:8] == b"\xfftOc\x00\x00\x00\x02" and len(head) == 1032 else 0
-            parts += [Part("pack", str(idx), rank, at, min(at + PACK_RANGE, n)) for at in range(0, n, PACK_RANGE)]
-        return parts or [Part("none", "", 0)]
+            parts += [Part("pack", (str(idx),), rank, at, min(at + PACK_RANGE, n)) for at in range(0, n, PACK_RANGE)]
+        return parts or [Part("none", (), 0)]
 
     def read(self, part: Part) -> Iterator[tuple]:
-        if part.kind == "loose":
-            for file in sorted(Path(part.path).iterdir()):
-                if re.fullmatch(r"[0-9a-f]{38}|[0-9a-f]{62}", file.name):
-                    yield _row(file.parent.name + file.name, part.rank, lambda file=file: loose_object(file))
-        elif part.kind == "pack":
-            try:
-                index = PackIndex(Path(part.path).read_bytes())
-                pack = Pack(str(Path(part.path).with_suffix(".pack")), index, Store(self.common_dir))
-            except (CorruptObject, OSError, ValueError):
-                return
-            for oid, at in zip(index.oids[part.start:part.end], index.offsets[part.start:part.end]):
-                yield _row(oid, part.rank, lambda at=at: pack.read_at(at))
-
-
-def _row(oid: str, rank: int, load) -> tuple:
+        store = Store(self.common_dir)
+        for oid in self._oids(part, store):
+            if store.rank(oid) == part.rank:
+                row = _row(store, oid, self.kinds)
+                if row is not None:
+                    yield row
+
+    def _oids(self, part: Part, store: Store) -> Iterator[str]:
+        for folder in part.paths if part.kind == "loose" else ():
+            names = sorted(os.listdir(folder))
+            yield from (Path(folder).name + n for n in names if re.fullmatch(r"[0-9a-f]{38}|[0-9a-f]{62}", n))
+        if part.kind == "pack" and (pack := store.pack(part.rank - 1)):
+            yield from (pack.index.oid(k) for k in range(part.start, part.end))
+
+
+def _row(store: Store, oid: str, kinds: frozenset = frozenset()) -> tuple | None:
     try:
-        kind, data = load()
-        return oid, kind, len(data), data, None, rank
+        if kinds and store.kind(oid) not in kinds:
+            return None
+        kind, data = store.read(oid)
+        return oid, kind, len(data), data, None
     except (CorruptObject, NotFound, OSError, IndexError) as e:
-        return oid, None, None, None, str(e), rank
+        return None if kinds else (oid, None, None, None, str(e))
 
 
 class GitObjects(DataSource):
-    """spark.read.format("git_objects").option("path", common_dir)"""
+    """spark.read.format("git_objects").option("path", common_dir), with kinds, a list with commas, where not all are asked."""
 
     @classmethod
     def name(cls) -> str:
@@ -421,15 +524,169 @@ class GitObjects(DataSource):
         return OBJECTS
 
     def reader(self, schema) -> DataSourceReader:
-        return ObjectReader(self.options["path"])
+        return ObjectReader(self.options["path"], self.options.get("kinds", ""))
 
 
-def objects(spark: SparkSession, repo: Repository) -> DataFrame:
+def objects(spark: SparkSession, repo: Repository, *kinds: str) -> DataFrame:
     """(oid, type, size, data, error), each oid once: from the first source that has it whole, else its last error."""
     ship(spark).dataSource.register(GitObjects)
-    found = spark.read.format("git_objects").option("path", repo.common_dir).load()
-    best = found.groupBy("oid").agg(F.min_by(F.struct("type", "size", "data", "error"), F.struct(F.col("error").isNotNull(), "source_rank")).alias("o"))
-    return best.select("oid", "o.*")
+    return spark.read.format("git_objects").option("path", repo.common_dir).option("kinds", ",".join(kinds)).load()
+
+
+BLOBS = "blob_oid string, content string, is_binary boolean, error string"
+
+
+def decoded(data: bytes) -> str:
+    """The text of bytes; each byte that is not UTF-8 is BAD, one character for one byte."""
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        codecs.register_error("palimpsest", lambda e: (BAD * (e.end - e.start), e.end))
+        return data.replace(BAD.encode(), LIKE.encode()).decode("utf-8", "palimpsest")
+
+
+def read_blobs(oids: DataFrame, repo: Repository) -> DataFrame:
+    """(blob_oid, content, is_binary, error) of the oids in the first column, looked up where they are asked."""
+    common = repo.common_dir
+
+    def run(batches):
+        import pyarrow as pa
+
+        store = Store(common)
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.string())
+        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["blob_oid", "content", "is_binary", "error"])
+        for batch in batches:
+            held, n = [], 0
+            for oid in batch.column(0).to_pylist():
+                _, _, size, data, error = _row(store, oid)
+                held.append((oid, None, None, error) if data is None else (oid, decoded(data), b"\0" in data[:BINARY_PREFIX], None))
+                n += size or 0
+                if n > 16 << 20:
+                    yield make(held)
+                    held, n = [], 0
+            yield make(held)
+
+    ship(oids.sparkSession)
+    return oids.mapInArrow(run, BLOBS)
+
+
+def loose_kind(file: Path) -> str:
+    with open(file, "rb") as f:
+        try:
+            head = zlib.decompressobj().decompress(f.read(128), 32)
+        except zlib.error as e:
+            raise CorruptObject(f"{file.name}: {e}") from None
+    kind = head.partition(b" ")[0].decode(errors="replace")
+    if kind not in TYPES.values():
+        raise CorruptObject(f"{file.name}: malformed header")
+    return kind
+
+
+class Trees:
+    """Parsed trees by oid, the latest TREES of them remembered; and what the pruned diff of two trees gives."""
+
+    def __init__(self, store: Store):
+        self.store, self.held = store, {}
+
+    def entries(self, oid: str) -> list[tuple[int, str, str]]:
+        """Entries in canonical order; a tree that cannot be read is an error."""
+        if oid not in self.held:
+            kind, data = self.store.read(oid)
+            if kind != "tree":
+                raise CorruptObject(f"{oid} is a {kind}, not a tree")
+            if len(self.held) >= TREES:
+                self.held.clear()
+            self.held[oid] = sorted(tree_entries(data), key=canonical)
+        return self.held[oid]
+
+    def find(self, root: str, path: str) -> str | None:
+        """The oid of the entry at a path."""
+        for name in path.split("/"):
+            try:
+                root = next((oid for _, n, oid in self.entries(root) if n == name), None)
+            except (CorruptObject, NotFound, OSError):
+                return None
+            if root is None:
+                return None
+        return root
+
+    def diff(self, new: str, old: str | None, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, int, str]]:
+        """(path, mode, oid) of regular files in `new` that are not in `old` at their path. Equal subtrees are never opened."""
+        if new == old:
+            return
+        if depth > MAX_TREE_DEPTH:
+            raise CorruptObject(f"trees are nested deeper than {MAX_TREE_DEPTH}, or contain themselves")
+        try:
+            before = {(name, mode & 0o170000 == 0o040000): oid for mode, name, oid in (self.entries(old) if old else ())}
+        except (CorruptObject, NotFound, OSError):
+            before = {}  # what cannot be read has nothing in common
+        for mode, name, oid in self.entries(new):
+            tree = mode & 0o170000 == 0o040000
+            had = before.get((name, tree))
+            if had == oid:
+                continue
+            if tree:
+                yield from self.diff(oid, had, f"{prefix}{name}/", depth + 1)
+            elif mode & 0o170000 == 0o100000:
+                yield prefix + name, mode, oid
+
+
+def canonical(entry: tuple[int, str, str]) -> bytes:
+    """The order of entries in a tree: by name, that of a tree as if it ended in a slash."""
+    mode, name, _ = entry
+    return name.encode("utf-8", "surrogateescape") + (b"/" if mode & 0o170000 == 0o040000 else b"")
+
+
+def tree_changes(commits: DataFrame, repo: Repository, expand_commits: bool = False, first_parent: bool = False) -> DataFrame:
+    """Commits with sha, tree_oid and parents -> the same rows with path, mode and oid, a row for each file that a commit
+    has and its first parent lacks or has with another oid.
+
+    A commit is the work of one task, which opens only subtrees that differ; commits are spread over tasks, and nothing
+    is joined or shuffled. Without a parent that can be read, and with expand_commits, all files come. Of a merge, what
+    any other parent has at the same path with the same oid does not, unless first parents alone count. A tree that
+    cannot be read fails the search.
+    """
+    common = repo.common_dir
+
+    def run(batches):
+        import pyarrow as pa
+
+        store = Store(common)
+        trees, of_commit = Trees(store), {}
+
+        def tree_of(sha: str) -> str | None:
+            if sha not in of_commit:
+                try:
+                    kind, data = store.read(sha)
+                    line = data.partition(b"\n")[0].strip()
+                    of_commit[sha] = line[5:].decode() if kind == "commit" and line.startswith(b"tree ") else None
+                except (CorruptObject, NotFound, OSError):
+                    of_commit[sha] = None
+            return of_commit[sha]
+
+        for batch in batches:
+            at, found = [], []
+
+            def flush():
+                columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns]
+                paths, modes, oids = zip(*found) if found else ((), (), ())
+                return pa.RecordBatch.from_arrays([*columns, pa.array(paths, pa.string()), pa.array(modes, pa.int32()), pa.array(oids, pa.string())], names=[*batch.schema.names, "path", "mode", "oid"])
+
+            for k, (new, parents) in enumerate(zip(batch.column("tree_oid").to_pylist(), batch.column("parents").to_pylist())):
+                parents = [] if expand_commits else parents or []
+                others = [] if first_parent else [t for t in map(tree_of, parents[1:]) if t]
+                for path, mode, oid in trees.diff(new, tree_of(parents[0]) if parents else None):
+                    if not any(trees.find(other, path) == oid for other in others):
+                        at.append(k)
+                        found.append((path, mode, oid))
+                if len(found) >= 10_000:
+                    yield flush()
+                    at, found = [], []
+            yield flush()
+
+    spark = ship(commits.sparkSession)
+    schema = ", ".join(f"`{c}` {t}" for c, t in commits.dtypes) + ", path string, mode int, oid string"
+    return commits.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
 
 
 IDENTITY = r"(?s)^(.*?)\s*<([^>]*)>\s*(-?\d+)\s+([+-]\d{4})\s*$"

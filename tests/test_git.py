@@ -1,10 +1,12 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import pytest
 
 from palimpsest import cli
+from palimpsest.options import SearchOptions
 from palimpsest.plans import engine
 from palimpsest.sources import gitstore
 from tests.gitwriter import Repo, ofs, varint
@@ -14,12 +16,26 @@ def oid(kind, data):
     return hashlib.sha1(f"{kind} {len(data)}\0".encode() + data).hexdigest()
 
 
+def copy(start, n):
+    return bytes([0x91, start, n])
+
+
 def test_delta():
-    base = b"Initial Base Line In Repo."
-    delta = varint(len(base)) + varint(27) + bytes([0x90, 8]) + b"\x05Super" + bytes([0x91, 12, 14])
-    assert gitstore.apply_delta(base, delta) == b"Initial Super Line In Repo."
+    base = b"0123456789abcdefghij"
+    delta = varint(20) + varint(13) + copy(10, 5) + b"\x03<->" + copy(0, 5)
+    assert gitstore.apply_delta(base, delta) == b"abcde<->01234"
     assert gitstore.apply_delta(b"x" * 70000, varint(70000) + varint(0x10000) + bytes([0x80])) == b"x" * 0x10000
-    for bad in (varint(3), varint(26) + varint(5) + b"\x00", varint(26) + varint(5) + b"\x05ab", varint(26) + varint(40) + bytes([0x91, 20, 20]), varint(26) + varint(9) + b"\x02ab", b"\x80"):
+    assert gitstore.apply_delta(b"", varint(0) + varint(0)) == b""
+    assert gitstore.apply_delta(bytes(300), varint(300) + varint(1) + bytes([0x80 | 0x03 | 0x10, 0x2B, 0x01, 1])) == b"\0"  # an offset of two bytes
+    wrong = (
+        varint(21) + varint(5) + copy(0, 5),  # for another base
+        varint(20) + varint(5) + b"\x00",  # opcode 0
+        varint(20) + varint(5) + b"\x05ab", varint(20) + varint(5) + bytes([0x91, 3]),  # cut short
+        varint(20) + varint(30) + copy(5, 30),  # beyond the base
+        varint(20) + varint(4) + copy(0, 5),  # more than is declared
+        varint(20) + b"\x80", b"\xff" * 12,
+    )
+    for bad in wrong:
         with pytest.raises(gitstore.CorruptObject):
             gitstore.apply_delta(base, bad)
 
@@ -33,25 +49,88 @@ def test_loose():
 
 def test_packs(tmp_path, spark):
     repo = Repo(tmp_path)
-    base, grown = b"Initial Base Line In Repo.", b"Initial Super Line In Repo."
-    a, b, c = oid("blob", base), oid("blob", grown), oid("blob", base + b"!!")
-    delta = varint(26) + varint(27) + bytes([0x90, 8]) + b"\x05Super" + bytes([0x91, 12, 14])
-    repo.pack([(a, 3, base, b""), (b, 6, delta, lambda at, offsets: ofs(at - offsets[a])), (c, 7, varint(26) + varint(28) + bytes([0x90, 26]) + b"\x02!!", bytes.fromhex(a))])
+    base = b"0123456789abcdefghij"
+    swapped, longer = b"abcde<->01234", base + b" and more"
+    a, b, c = oid("blob", base), oid("blob", swapped), oid("blob", longer)
+    to_swapped = varint(20) + varint(13) + copy(10, 5) + b"\x03<->" + copy(0, 5)
+    to_longer = varint(20) + varint(29) + copy(0, 20) + b"\x09 and more"
+    repo.pack([(a, 3, base, b""), (b, 6, to_swapped, lambda at, offsets: ofs(at - offsets[a])), (c, 7, to_longer, bytes.fromhex(a))])
     x, y = "11" * 20, "22" * 20
     repo.pack([(x, 7, varint(1) + varint(1) + b"\x01a", bytes.fromhex(y)), (y, 7, varint(1) + varint(1) + b"\x01a", bytes.fromhex(x))], "two")
     store = gitstore.Store(str(repo.git))
-    assert store.read(b) == ("blob", grown) and store.read(c) == ("blob", base + b"!!") and a in store and "33" * 20 not in store
-    with pytest.raises(gitstore.CorruptObject):
-        store.read(x)
-    with pytest.raises(gitstore.NotFound):
-        store.read("33" * 20)
+    assert store.read(b) == ("blob", swapped) and store.read(c) == ("blob", longer) and a in store and "33" * 20 not in store
+    assert store.kind(b) == store.kind(c) == "blob" and store.rank(a) == 1 and store.rank(x) == 2
+    for ask in (store.read, store.kind):
+        with pytest.raises(gitstore.CorruptObject):
+            ask(x)
+        with pytest.raises(gitstore.NotFound):
+            ask("33" * 20)
     loose = repo.put("blob", b"loose")
-    rows = {r.oid: r for r in gitstore.objects(spark, gitstore.discover(tmp_path, {})).collect()}
-    assert bytes(rows[b].data) == grown and rows[loose].size == 5 and rows[x].error and rows[x].data is None and len(rows) == 6
+    repo.put("blob", base)  # loose and packed: told once
+    tree = repo.tree({"f": b"in a tree"})
+    found = gitstore.discover(tmp_path, {})
+    rows = {r.oid: r for r in gitstore.objects(spark, found).collect()}
+    assert bytes(rows[b].data) == swapped and rows[loose].size == 5 and rows[x].error and rows[x].data is None
+    assert gitstore.objects(spark, found).count() == len(rows) == 8
+    assert [r.oid for r in gitstore.objects(spark, found, "tree").collect()] == [tree]
+    asked = spark.createDataFrame([(o,) for o in (b, x, loose, "33" * 20)], "oid string")
+    read = {r.blob_oid: r for r in gitstore.read_blobs(asked, found).collect()}
+    assert read[b].content == swapped.decode() and not read[b].is_binary and read[x].error and read["33" * 20].error and read[loose].content == "loose"
     with pytest.raises(gitstore.CorruptObject):
         gitstore.PackIndex(b"\xfftOc\x00\x00\x00\x02" + b"\xff\xff\xff\xff" + b"\0" * 1020)
 
 
+def test_index_lookup(tmp_path):
+    """Names are found by bisection, and offsets over 31 bits are looked up in their own table."""
+    import random
+
+    rnd = random.Random(1)
+    names = sorted({bytes(rnd.randrange(256) for _ in range(20)) for _ in range(500)})
+    offsets = [(1 << 31 | 0) if k == 7 else 12 + k for k in range(len(names))]
+    fan = [sum(n[0] <= k for n in names) for k in range(256)]
+    data = b"\xfftOc" + struct.pack(">I", 2) + struct.pack(">256I", *fan) + b"".join(names) + bytes(4 * len(names))
+    data += b"".join(struct.pack(">I", o) for o in offsets) + struct.pack(">Q", 5 << 32) + bytes(40)
+    index = gitstore.PackIndex(data)
+    for k, n in enumerate(names):
+        assert index.oid(k) == n.hex() and index.offset(n.hex()) == (5 << 32 if k == 7 else 12 + k)
+    assert index.offset("00" * 20) is None and index.offset("ff" * 20) is None and index.offset("a" * 64) is None
+
+
+def test_depth(tmp_path):
+    """A chain of 50 deltas is read; one of 51 is not, and neither across packs."""
+    repo = Repo(tmp_path)
+    chain = [(oid("blob", b"x0"), 3, b"x0", b"")]
+    for k in range(1, 53):
+        before = chain[-1][0]
+        chain.append((oid("blob", b"x%d" % k), 7, varint(len(b"x%d" % (k - 1))) + varint(len(b"x%d" % k)) + bytes([len(b"x%d" % k)]) + b"x%d" % k, bytes.fromhex(before)))
+    repo.pack(chain[:30], "a")
+    repo.pack(chain[30:], "b")
+    store = gitstore.Store(str(repo.git))
+    assert store.read(chain[50][0]) == ("blob", b"x50")
+    with pytest.raises(gitstore.CorruptObject):
+        store.read(chain[51][0])
+
+
+def test_only_changed_trees_are_opened(tmp_path, spark):
+    repo = Repo(tmp_path)
+    files = {f"d{i}/e{j}/f{k}": b"%d %d %d" % (i, j, k) for i in range(10) for j in range(5) for k in range(4)}
+    one = repo.commit(files)
+    two = repo.commit(files | {"d3/e2/f1": b"changed", "d3/e2/new": b"new"}, one)
+    store = gitstore.Store(str(repo.git))
+    root = lambda sha: store.read(sha)[1][5:45].decode()
+    trees = gitstore.Trees(store)
+    new, old, store.reads = root(two), root(one), 0
+    assert sorted(p for p, _, _ in trees.diff(new, old)) == ["d3/e2/f1", "d3/e2/new"]
+    assert store.reads == 6  # three trees of each side, of 61
+    assert sum(1 for _ in gitstore.Trees(store).diff(new, None)) == 201 and trees.find(new, "d3/e2/new") and trees.find(new, "d3/none/x") is None
+    assert [p for p, _, _ in gitstore.Trees(store).diff(old, new)] == ["d3/e2/f1"]  # what is gone gives nothing
+
+
+def test_canonical_order():
+    entries = [(0o40000, "a", ""), (0o100644, "a.b", ""), (0o100644, "a0", ""), (0o100644, "a-", "")]
+    assert [n for _, n, _ in sorted(entries, key=gitstore.canonical)] == ["a-", "a.b", "a", "a0"]
+
+
 def test_discovery(tmp_path):
     repo = Repo(tmp_path / "r")
     (tmp_path / "r" / "sub").mkdir()
@@ -83,8 +162,23 @@ def test_refs(tmp_path):
     r = gitstore.discover(tmp_path, {})
     assert gitstore.resolve_ref(r, "main") == sha and gitstore.resolve_ref(r, "v1") == old and gitstore.resolve_ref(r, "HEAD") == sha and gitstore.resolve_ref(r, "C" * 40) == "c" * 40
     assert gitstore.all_refs(r) == {"refs/heads/main": sha, "refs/tags/v1": old, "HEAD": sha}
+    # All loose refs come before packed ones, whatever kind they are of.
+    tag = "d" * 40
+    (repo.git / "packed-refs").write_text(f"{old} refs/heads/x\n{old} refs/heads/main\n{old} refs/tags/v1\n")
+    (repo.git / "refs" / "tags").mkdir()
+    (repo.git / "refs" / "tags" / "x").write_text(tag + "\n")
+    assert gitstore.resolve_ref(r, "x") == tag and gitstore.resolve_ref(r, "heads/x") == old
+    (repo.git / "ORIG_HEAD").write_text(old + "\n")
+    assert gitstore.resolve_ref(r, "ORIG_HEAD") == old
+    # A symbolic ref does not leave the repository.
+    (tmp_path / "outside").write_text(sha + "\n")
+    for k, target in enumerate(("../outside", "/etc/passwd", "refs/../../outside", "a b", "")):
+        (repo.git / "refs" / "heads" / f"evil{k}").write_text(f"ref: {target}\n")
+        with pytest.raises(gitstore.NotFound):
+            gitstore.resolve_ref(r, f"evil{k}")
+    assert not any("evil" in name for name in gitstore.all_refs(r))
     (repo.git / "loop").write_text("ref: loop\n")
-    for bad in ("nope", "a..b", "x^1", "HEAD@{1}", "/x", "a.lock"):
+    for bad in ("nope", "a..b", "x^1", "HEAD@{1}", "/x", "a.lock", ".", "..", "refs/heads/../../HEAD", "refs/heads/main/"):
         with pytest.raises(gitstore.NotFound):
             gitstore.resolve_ref(r, bad)
     with pytest.raises(gitstore.CorruptObject):
@@ -164,6 +258,50 @@ def test_colour(spark, history):
     assert "\x1b[1;31mSIDE\x1b[0m" in lines[0]
 
 
+def test_original_head_and_branches(spark, history):
+    (history.git / "ORIG_HEAD").write_text((history.git / "refs" / "heads" / "side").read_text())
+    assert len(run(spark, history, "-c", "SIDE", "ORIG_HEAD")[1]) == 1 and run(spark, history, "x", "ORIG")[0] == 2
+    assert len(run(spark, history, "-c", "SIDE", "HEAD~2", "--", "src")[1]) == 0
+
+
+def test_deleted_and_renamed(spark, tmp_path):
+    """History keeps what is gone; a file under a new name is told there too."""
+    repo = Repo(tmp_path)
+    one = repo.commit({"old": b"needle\n", "gone": b"needle here\n"}, when=1700000000)
+    two = repo.commit({"new": b"needle\n"}, one, when=1700000100)
+    repo.commit({"other": b"x\n"}, two, when=1700000200)
+    assert sorted(x.split(":")[1] for x in run(spark, repo, "--no-heading", "needle")[1]) == ["gone", "new", "old"]
+
+
+def test_empty_repository(spark, tmp_path):
+    code, lines, _ = run(spark, Repo(tmp_path), "x")
+    assert code in (1, 2) and not lines
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    repo = Repo(tmp_path)
+    repo.commit({"latin": b"caf\xe9 needle here \xff\xfe needle\n", "bin": b"\0\xe9 needle\n"})
+    found = engine.search(spark, engine.from_git(spark, str(tmp_path), {}), SearchOptions(("needle",), color="always"))
+    row = found.rows.where("NOT is_binary").first()
+    assert [(s.start, s.end) for s in row.submatches] == [(5, 11), (20, 26)] and found.rows.where("is_binary").count() == 1
+    _, lines, _ = run(spark, repo, "--color=always", "--no-heading", "needle", "--", "latin")
+    assert "caf\ufffd \x1b[1;31mneedle\x1b[0m here \ufffd\ufffd \x1b[1;31mneedle" in lines[0]
+    assert len(run(spark, repo, "-a", "-c", "needle")[1]) == 2 and run(spark, repo, "--no-heading", "caf. n", "--", "latin")[0] == 0
+    assert found.out().where("out LIKE '%caf\ufffd needle%'").count() == 1
+
+
+def test_skewed_clocks(spark, tmp_path):
+    """A child that is older than its parent waits in the heap: the walk, not the dates, says who is met first."""
+    repo = Repo(tmp_path)
+    base = repo.commit({"f": b"a\n"}, when=1000)
+    early = repo.commit({"f": b"needle\n"}, base, when=5000, author="Early <e@x>")
+    back = repo.commit({"f": b"a\n"}, early, when=200, author="Back <b@x>")
+    late = repo.commit({"f": b"needle\n"}, back, when=100, author="Late <l@x>")
+    repo.commit({"f": b"needle\n", "g": b"x\n"}, late, when=6000)
+    _, lines, _ = run(spark, repo, "needle")
+    assert any("Late" in x for x in lines) and not any("Early" in x for x in lines)
+
+
 def test_unreadable(spark, tmp_path):
     repo = Repo(tmp_path)
     repo.commit({"good": b"needle\n", "bad": b"needle too\n"})

@@ -52,9 +52,46 @@ def test_filters(spark):
     assert shas(c.where(history.commit_filter(author="MID@"))) == {"Mid"} and shas(c.where(history.commit_filter(committer="^bot$", author="late"))) == {"Late"}
 
 
-def test_walk_orders():
-    graph = {"m": (["a", "b"], 3), "a": (["r"], 1), "b": (["r"], 9), "r": ([], 5)}
-    assert history.heap_order(graph, ["m"]) == ["m", "b", "r", "a"]  # r is newer than its child a, but waits for b only
+def test_walk_orders(spark):
+    c = commits(spark, ("m", ["a", "b"], 9, "t"), ("a", ["r"], 1, "t"), ("b", ["r"], 8, "t"), ("r", [], 5, "t"), ("x", ["m"], 7, "t"))
+    graph = history.Graph(c)
+    walked = lambda *a, **k: [r.sha for r in history.heap_order(graph, spark, *a, **k).orderBy("walk").collect()]
+    assert graph.skewed and walked(["m"]) == ["m", "b", "r", "a"]  # r is newer than its child a, but waits for b only
+    assert walked(["x"]) == ["x", "m", "b", "r", "a"] and walked(["m"], first_parent=True) == ["m", "a", "r"] and walked(["m"], ["b"]) == ["m", "a"]
+    assert not history.Graph(commits(spark, *DIAMOND)).skewed
+    assert [(r.sha, r.walk_seq) for r in history.walk_order(c.repartition(3)).orderBy("walk_seq").collect()] == [("m", 1), ("b", 2), ("x", 3), ("r", 4), ("a", 5)]
+
+
+def test_closures_by_jump_tables(spark):
+    """Lines, merges that turn off again and again, and unknown parents, against a plain search."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(f"c{i}", [f"c{rnd.randrange(i)}" for _ in range(rnd.choice((1, 1, 1, 2, 3)))] if i else [], i, "t") for i in range(120)]
+    rows += [(f"l{i}", [f"l{i - 1}"] if i else ["gone"], i, "t") for i in range(70)]
+    c = commits(spark, *rows)
+    parents = {r[0]: r[1] for r in rows}
+
+    def plain(start, first=False):
+        seen, todo = set(), list(start)
+        while todo:
+            s = todo.pop()
+            if s in parents and s not in seen:
+                seen.add(s)
+                todo += parents[s][:1] if first else parents[s]
+        return seen
+    for start in (["c119"], ["c60", "l69"], ["l5", "nowhere"]):
+        for first in (False, True):
+            got = shas(history.ancestors_by_joins(c, spark.createDataFrame([(s,) for s in start], "sha string"), first))
+            assert got == plain(start, first) == shas(history.ancestors(c, start, first))
+
+
+def test_ancestry_by_jump_tables(spark, monkeypatch):
+    c = commits(spark, *[(str(i), [str(i - 1)] if i else [], i % 50, "t") for i in range(40)])
+    monkeypatch.setattr(history, "DRIVER_GRAPH", 10)
+    assert history.nth_ancestor(c, "39", 37) == "2" and history.nth_ancestor(c, "39", 0) == "39" and shas(history.rev_range(c, ["20"], ["15"])) == {str(i) for i in range(16, 21)}
+    with pytest.raises(ValueError):
+        history.nth_ancestor(c, "39", 40)
 
 
 def test_diff(spark):
@@ -66,6 +103,18 @@ def test_diff(spark):
     assert history.tree_diff(c, f, expand_commits=True).count() == 2 + 3 * 3
 
 
+def test_diff_of_some_commits(spark):
+    """Parents that are not selected are still what their children are compared with."""
+    c = commits(spark, ("c1", [], 0, "t1"), ("c2", ["c1"], 1, "t2"))
+    f = files(spark, ("t1", "a", 0o100644, "x"), ("t2", "a", 0o100644, "x"), ("t2", "b", 0o100644, "y"))
+    assert [r.path for r in history.tree_diff(c.where("sha = 'c2'"), f, False, c).collect()] == ["b"]
+
+
+def test_met_order(spark):
+    o = occurrences(spark, ("b1", "p", "s1", 1, "x"), ("b2", "a", "s9", 9, "x"), ("b2", "z", "s0", 0, "x"), ("b3", "q", "s5", 5, "x"))
+    assert [(r.blob_oid, r.path) for r in attribution.as_met(o).collect()] == [("b2", "a"), ("b2", "z"), ("b3", "q"), ("b1", "p")]
+
+
 def test_merges(spark):
     c = commits(spark, ("m", ["a", "b"], 3, "tm"), ("a", [], 1, "ta"), ("b", [], 2, "tb"))
     f = files(spark, ("tm", "p", 0o100644, "1"), ("tm", "q", 0o100644, "2"), ("ta", "p", 0o100644, "0"), ("tb", "p", 0o100644, "1"), ("tb", "q", 0o100644, "3"))

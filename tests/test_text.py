@@ -20,13 +20,13 @@ def search(spark, content, *patterns, **options):
 
 
 def test_matching(spark):
-    code = 'func main() {\n\tprintln("hello world")\n}\n'
-    assert search(spark, code, 'println("hello', fixed_strings=True) == [2] and search(spark, code, r"func\s+main\(\)") == [1]
-    fruit = "Apple\napple\nBANANA\n"
-    assert search(spark, fruit, "apple", smart_case=True) == [1, 2] and search(spark, fruit, "Apple", smart_case=True) == [1] and search(spark, fruit, "banana", ignore_case=True) == [3]
-    assert search(spark, "target\nmy_target_val\ntarget_two\n", "target", word_regexp=True) == [1]
-    some = "match 1\nskip\nmatch 2\nskip\nmatch 3\n"
-    assert search(spark, some, "skip", invert_match=True) == [1, 3, 5] and search(spark, some, "match", max_count=2) == [1, 3] and search(spark, some, "match", max_count=0) == [1, 3, 5]
+    poem = "Roses (red)\nviolets [blue]\nROSES again\nprimroses\n"
+    assert search(spark, poem, "(red)", fixed_strings=True) == [1] and search(spark, poem, r"\[b\w+\]") == [2]
+    assert search(spark, poem, "roses", smart_case=True) == [1, 3, 4] and search(spark, poem, "Roses", smart_case=True) == [1] and search(spark, poem, "roses", ignore_case=True) == [1, 3, 4]
+    assert search(spark, poem, "roses", word_regexp=True) == [] and search(spark, poem, "roses", word_regexp=True, ignore_case=True) == [1, 3]
+    assert search(spark, poem, "e", invert_match=True) == [3] and search(spark, poem, "again", "blue") == [2, 3]
+    log = "ok\nerr\nok\nerr\nok\n"
+    assert search(spark, log, "ok", max_count=2) == [1, 3] and search(spark, log, "ok", max_count=0) == [1, 3, 5] and search(spark, log, "ok", invert_match=True, max_count=1) == [2]
 
 
 def test_two_stages(spark):
