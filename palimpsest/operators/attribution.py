@@ -58,12 +58,16 @@ def in_order(rows: DataFrame, *last: str) -> DataFrame:
     return rows.join(newest, "path").orderBy(F.desc("__newest"), "path", F.desc("commit_ts"), F.desc("commit_sha"), *last).drop("__newest")
 
 
+def first_met(rows: DataFrame) -> DataFrame:
+    """(blob_oid, __met): where a walk, newest commit first, meets each blob first."""
+    seq = ("walk_seq",) if "walk_seq" in rows.columns else ((-F.unix_micros("commit_ts")).alias("newest"), "commit_sha")
+    return rows.groupBy("blob_oid").agg(F.min(F.struct(*seq, "path")).alias("__met"))
+
+
 def as_met(rows: DataFrame, *last: str) -> DataFrame:
-    """Rows in the order in which a walk, newest commit first, meets their blobs; each occurrence of a blob together."""
-    first = rows.groupBy("blob_oid").agg(F.min(F.struct("walk_seq", "path")).alias("__met")) if "walk_seq" in rows.columns else None
-    if first is None:
-        first = rows.groupBy("blob_oid").agg(F.min(F.struct((-F.unix_micros("commit_ts")).alias("newest"), "commit_sha", "path")).alias("__met"))
-    return rows.join(first, "blob_oid").orderBy("__met", "blob_oid", "walk_seq" if "walk_seq" in rows.columns else F.desc("commit_ts"), "path", *last).drop("__met")
+    """Rows in the order in which the walk meets their blobs; each occurrence of a blob together."""
+    within = [F.asc("walk_seq")] if "walk_seq" in rows.columns else [F.desc("commit_ts"), F.asc("commit_sha")]
+    return rows.join(first_met(rows), "blob_oid").orderBy("__met", "blob_oid", *within, "path", *last).drop("__met")
 
 
 def totals(rows: DataFrame) -> DataFrame:

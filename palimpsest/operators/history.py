@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import tempfile
+import uuid
 from collections.abc import Iterable
 from functools import cached_property
 
@@ -19,15 +20,22 @@ REGULAR = 0o100000
 KIND = 0o170000
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder's path where the driver and all executors see it; a temporary one only in local mode, where one
+    machine is all."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="palimpsest-")
+    return f"{base.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder; a temporary one only in local mode, where one machine is all."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """df written to the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = folder or tempfile.mkdtemp(prefix="palimpsest-")
+        folder = shared_folder(df.sparkSession, "checkpoints")
         context.setCheckpointDir(f"file://{folder}" if folder.startswith("/") else folder)
     return df.checkpoint()
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import globs
 from palimpsest.operators import attribution, history, text
-from palimpsest.options import SearchOptions
-from palimpsest.plans.engine import Source, search
+from palimpsest.options import OptionError, SearchOptions, parse_args
+from palimpsest.plans.engine import Source, from_git, search, select_commits
 from palimpsest.sinks import render
+from palimpsest.sinks.gitpack import History, write_blobs
 from palimpsest.sources import gitstore, tables
 from palimpsest.sources.shipping import ship
 
@@ -88,6 +91,7 @@ _search("search_ignore_case_unicode", O("É[a-z]+T", ignore_case=True), _re("É[
 _search("search_smart_case_lower", O("thing", smart_case=True), _re("thing", "mi"))
 _search("search_smart_case_upper", O("Thing", smart_case=True), _re("Thing"))
 _search("search_case_sensitive", O("The", case_sensitive=True, smart_case=True), _re("The"))
+_search("search_ignore_case_dotless", O("[a-z]+istr|licen[s]", ignore_case=True), _re("[a-z]+istr|licen[s]", "mi"))
 _search("search_fixed", O("ed. T", fixed_strings=True), "contains($t, 'ed. T')")
 _search("search_fixed_ignore_case", O("ED. t", fixed_strings=True, ignore_case=True), _re(r"ED\. t", "mi"))
 _search("search_word", O("than", word_regexp=True), _re(r"\bthan\b"))
@@ -202,10 +206,13 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.where(text.blob_matches(F.col("content"), options)).select("page_id", F.regexp_count("content", F.lit(options.regex())).alias("n"))
 
 
-@register("type_catalogue", "SELECT * FROM (VALUES ('go', '.go'), ('rust', '.rs'), ('zig', '.zig'), ('sql', '.sql')) AS t(name, extensions)")
+_TYPES = ", ".join(f"('{n}', '{' '.join(e)}', '{' '.join(w)}')" for n, (e, w) in sorted(globs.FILE_TYPES.items()))
+
+
+@register("type_catalogue", f"SELECT * FROM (VALUES {_TYPES}) AS t(name, extensions, names)")
 def type_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, " ".join(globs.lookup_type(n)[0])) for n in globs.list_types() if n in ("go", "rust", "zig", "sql")]
-    return spark.createDataFrame(rows, "name string, extensions string")
+    rows = [(n, *map(" ".join, globs.lookup_type(f" {n.upper()} "))) for n in globs.list_types()]
+    return spark.createDataFrame(rows, "name string, extensions string, names string")
 
 
 COMMITS = "commits AS (SELECT sha1(event_id::VARCHAR) AS sha, ts AS commit_ts, 'user_' || user_id AS name, 'user_' || user_id || ' <user_' || user_id || '@example.com>' AS author, 'bot ' || event_type AS committer FROM events)"
@@ -242,48 +249,55 @@ def _tips(commits: DataFrame) -> DataFrame:
     return commits.groupBy("cust").agg(F.max_by("sha", F.struct("commit_ts", F.col("sha").cast("long"))).alias("sha"))
 
 
-def _heads(commits: DataFrame, low: int, high: int) -> list[str]:
-    """Branch tips of a range of customers, a fixed number of them."""
-    return [r.sha for r in _tips(commits.where(F.col("cust").between(low, high))).toLocalIterator()]
-
+ALL_TIPS = _reach("edges", "SELECT sha FROM tips")
+OLD = "SELECT sha FROM commits WHERE sha IN (SELECT sha FROM tips) AND commit_ts < TIMESTAMP '2000-01-01 00:00:00'"
 
-_closure("ancestors", f"WITH RECURSIVE {ORDERS}, {TIPS}, {_reach('edges', 'SELECT sha FROM tips WHERE cust BETWEEN 10 AND 30')} SELECT sha FROM r",
-         lambda c, spark: history.ancestors(c, _heads(c, 10, 30)))
-_closure("ancestors_by_joins", f"WITH RECURSIVE {ORDERS}, {TIPS}, {_reach('edges', 'SELECT sha FROM tips WHERE cust % 3 = 0')} SELECT sha FROM r",
-         lambda c, spark: history.ancestors_by_joins(c, _tips(c).where("cust % 3 = 0").select("sha")))
-_closure("first_parent", f"WITH RECURSIVE {ORDERS}, {TIPS}, fp AS (SELECT sha AS child, p1 AS parent FROM commits WHERE p1 IS NOT NULL), {_reach('fp', 'SELECT sha FROM tips WHERE cust BETWEEN 10 AND 30')} SELECT sha FROM r",
-         lambda c, spark: history.ancestors(c, _heads(c, 10, 30), first_parent=True))
-_closure("rev_range", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {_reach('edges', 'SELECT sha FROM tips WHERE cust BETWEEN 10 AND 30')}, {_reach('edges', 'SELECT sha FROM tips WHERE cust BETWEEN 15 AND 20', 'x')}
-SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""", lambda c, spark: history.rev_range(c, _heads(c, 10, 30), _heads(c, 15, 20)).select("sha"))
-_closure("all_refs", f"WITH RECURSIVE {ORDERS}, {TIPS}, {_reach('edges', 'SELECT sha FROM tips')} SELECT count(*) AS n, min(sha) AS least FROM r",
-         lambda c, spark: history.ancestors_by_joins(c, _tips(c).select("sha")).agg(F.count("*").alias("n"), F.min("sha").alias("least")))
-_closure("branches", f"WITH RECURSIVE {ORDERS}, {TIPS}, {_reach('edges', 'SELECT sha FROM tips WHERE cust IN (7, 50)')} SELECT sha FROM r",
-         lambda c, spark: history.ancestors(c, _heads(c, 7, 7) + _heads(c, 50, 50)))
-_closure("ancestry_tilde", f"WITH {ORDERS}, {TIPS} SELECT c2.p1 AS sha FROM tips t JOIN commits c1 ON c1.sha = t.sha JOIN commits c2 ON c2.sha = c1.p1 WHERE t.cust = 10",
-         lambda c, spark: spark.createDataFrame([(history.nth_ancestor(c, _heads(c, 10, 10)[0], 2),)], "sha string"))
-_closure("walk_order", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY commit_ts DESC, sha) AS walk_seq FROM commits WHERE cust <= 100",
-         lambda c, spark: history.walk_order(c.where("cust <= 100")).select("sha", F.col("walk_seq").cast("long").alias("walk_seq")))
 
+def _heads(commits: DataFrame, condition: str = "true") -> list[str]:
+    return [r.sha for r in _tips(commits).join(commits.select("sha", "commit_ts"), "sha").where(condition).select("sha").toLocalIterator()]
 
-# The same over all tips and all commits, with every member returned.
-ALL_TIPS = _reach("edges", "SELECT sha FROM tips")
 
+def _order_source(commits: DataFrame) -> Source:
+    """Orders as a history with a branch for each customer; HEAD is the newest tip."""
+    rows = _tips(commits).join(commits.select("sha", "commit_ts"), "sha").collect()  # refs: names and oids, which any search holds
+    head = max(rows, key=lambda r: (r.commit_ts, int(r.sha)))
+    return Source(commits, refs={f"refs/heads/cust_{r.cust}": r.sha for r in rows} | {"HEAD": head.sha})
 
-def _all_heads(commits: DataFrame, condition: str = "true") -> list[str]:
-    return [r.sha for r in _tips(commits).join(commits.select("sha", "commit_ts"), "sha").where(condition).select("sha").toLocalIterator()]
 
+HEAD = "head AS (SELECT max_by(t.sha, {'ts': commit_ts, 'k': t.sha::BIGINT}) AS sha FROM tips t JOIN commits c ON c.sha = t.sha)"
 
-_closure("ancestors_all", f"WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS} SELECT sha FROM r", lambda c, spark: history.ancestors(c, _all_heads(c)))
-_closure("ancestors_by_joins_all", f"WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS} SELECT sha FROM r",
+_closure("ancestors", f"WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS} SELECT sha FROM r", lambda c, spark: history.ancestors(c, _heads(c)))
+_closure("ancestors_by_joins", f"WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS} SELECT sha FROM r",
          lambda c, spark: history.ancestors_by_joins(c, _tips(c).select("sha")))
-_closure("first_parent_all", f"WITH RECURSIVE {ORDERS}, {TIPS}, fp AS (SELECT sha AS child, p1 AS parent FROM commits WHERE p1 IS NOT NULL), {_reach('fp', 'SELECT sha FROM tips')} SELECT sha FROM r",
-         lambda c, spark: history.ancestors(c, _all_heads(c), first_parent=True))
-_closure("rev_range_all", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS}, {_reach('edges', "SELECT sha FROM commits WHERE sha IN (SELECT sha FROM tips) AND commit_ts < TIMESTAMP '2000-01-01 00:00:00'", 'x')}
-SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""",
-         lambda c, spark: history.rev_range(c, _all_heads(c), _all_heads(c, "commit_ts < TIMESTAMP '2000-01-01 00:00:00'")).select("sha"))
-_closure("walk_order_all", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY commit_ts DESC, sha) AS walk_seq FROM commits",
+_closure("first_parent", f"""WITH RECURSIVE {ORDERS}, {TIPS}, fp AS (SELECT sha AS child, p1 AS parent FROM commits WHERE p1 IS NOT NULL),
+{_reach('fp', 'SELECT sha FROM tips')} SELECT sha FROM r""", lambda c, spark: history.ancestors(c, _heads(c), first_parent=True))
+_closure("rev_range", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS}, {_reach('edges', OLD, 'x')} SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""",
+         lambda c, spark: history.rev_range(c, _heads(c), _heads(c, "commit_ts < TIMESTAMP '2000-01-01 00:00:00'")).select("sha"))
+_closure("rev_range_by_joins", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS}, {_reach('edges', OLD, 'x')} SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""",
+         lambda c, spark: history.ancestors_by_joins(c, _tips(c).select("sha")).join(history.ancestors_by_joins(
+             c, _tips(c).join(c.select("sha", "commit_ts"), "sha").where("commit_ts < TIMESTAMP '2000-01-01 00:00:00'").select("sha")), "sha", "left_anti"))
+_closure("all_refs", f"WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS} SELECT sha FROM r",
+         lambda c, spark: select_commits(_order_source(c), O("x", all=True)).select("sha"))
+# Named branches come on top of HEAD; one that does not exist adds nothing.
+_closure("branches", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {HEAD}, {_reach('edges', 'SELECT sha FROM head UNION SELECT sha FROM tips WHERE cust IN (7, 50)')} SELECT sha FROM r""",
+         lambda c, spark: select_commits(_order_source(c), O("x", branches=("cust_7", "cust_50", "nobody"))).select("sha"))
+_closure("rev_spec", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {HEAD}, {_reach('edges', 'SELECT sha FROM head')}, {_reach('edges', 'SELECT p1 AS sha FROM commits WHERE sha IN (SELECT sha FROM head) AND p1 IS NOT NULL', 'x')}
+SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""", lambda c, spark: select_commits(_order_source(c), O("x", rev_range="HEAD~1..HEAD")).select("sha"))
+_closure("ancestry_tilde", f"WITH {ORDERS}, {TIPS} SELECT t.sha AS tip, c2.p1 AS sha FROM tips t JOIN commits c1 ON c1.sha = t.sha JOIN commits c2 ON c2.sha = c1.p1 WHERE c2.p1 IS NOT NULL",
+         lambda c, spark: _tilde(c, 2))
+_closure("walk_order", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY commit_ts DESC, sha) AS walk_seq FROM commits",
          lambda c, spark: history.walk_order(c).select("sha", F.col("walk_seq").cast("long").alias("walk_seq")))
 
+
+def _tilde(commits: DataFrame, n: int) -> DataFrame:
+    """The n-th first parent of each tip that has one, from the graph."""
+    graph = history.Graph(commits)
+    tips = _heads(commits)
+    found = [(tip, *graph.nth_ancestor(graph.places([tip])[0], n)) for tip in tips]
+    rows = [(tip, graph.shas[place].as_py()) for tip, place, steps in found if steps == n]
+    return commits.sparkSession.createDataFrame(rows, "tip string, sha string")
+
+
 DIFF = """diff AS (SELECT c.sha, f.path, f.mode, f.oid FROM commits c JOIN files f ON f.root = c.sha WHERE f.mode = 33188
   AND NOT EXISTS (SELECT 1 FROM files p WHERE p.root = c.p1 AND p.path = f.path AND p.oid = f.oid)),
 kept AS (SELECT * FROM diff d WHERE NOT EXISTS (SELECT 1 FROM commits c JOIN files p ON p.root = c.p2 WHERE c.sha = d.sha AND p.path = d.path AND p.oid = d.oid))"""
@@ -453,7 +467,7 @@ def _objects(spark: SparkSession, sf_dir: str, run) -> DataFrame:
 
 @register("git_loose", "SELECT doc_id, sha1(text) AS oid, octet_length(encode(text))::BIGINT AS size FROM documents")
 def git_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text is stored as a loose object and read back."""
+    """Each text as the bytes of a loose object, decoded."""
     decode = gitstore.decode_loose
 
     def run(batches):
@@ -508,3 +522,181 @@ def git_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.concat(F.hex(F.concat(F.when(F.col("l_partkey") % 10 == 0, F.lit("120000")).otherwise(F.lit("100644")), F.lit(" p"), F.col("l_partkey").cast("string"))), F.lit("00"), F.sha1(F.col("l_partkey").cast("string")))
     trees = e.groupBy(F.col("l_orderkey").cast("string").alias("oid")).agg(F.unhex(F.array_join(F.sort_array(F.collect_list(entry)), "")).alias("data"))
     return gitstore.parse_trees(trees.withColumn("type", F.lit("tree"))).select("tree_oid", "name", "mode", "oid")
+
+
+# A repository written from documents: a commit a batch of fifty, each document a file of its own in packs with deltas;
+# every 97th blob is a loose object that cannot be read. Commits are a day apart and tagged, every other tag packed.
+BATCH, DAY, START = 50, 86_400, 1_700_000_000
+REPO = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, (doc_id // {BATCH})::BIGINT AS k, coalesce(source, 'none') || '/b' || (doc_id // {BATCH})::BIGINT || '/' || doc_id || {EXT} AS path,
+  sha1('blob ' || octet_length(encode(coalesce(text, ''))) || chr(0) || coalesce(text, '')) AS oid FROM documents),
+broken AS (SELECT DISTINCT oid FROM d WHERE doc_id % 97 = 5),
+ks AS (SELECT DISTINCT k FROM d), batch AS (SELECT k, 'batch ' || k AS summary, {START} + {DAY} * k AS seconds, row_number() OVER (ORDER BY k DESC) - 1 AS back FROM ks)"""
+
+
+def _repository(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of that repository. Blobs are packed by tasks, trees and commits from their paths and oids here."""
+    folder = history.shared_folder(spark, "repository")
+    made = History(folder)
+    docs = tables.table(spark, sf_dir, "documents").select(
+        "doc_id", (F.floor(F.col("doc_id") / BATCH)).cast("long").alias("k"), F.concat(F.coalesce("source", F.lit("none")), F.lit("/b"), (F.floor(F.col("doc_id") / BATCH)).cast("string"), F.lit("/"), F.col("doc_id"), F.regexp_extract(tables.document_path(), r"(\.\w+)$", 1)).alias("path"),
+        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    head = F.concat(F.lit("blob "), F.octet_length("data").cast("string"), F.lit("\0"))
+    docs = docs.withColumn("oid", F.sha1(F.concat(F.encode(head, "UTF-8"), F.col("data"))))
+    lost = docs.where("doc_id % 97 = 5").select("oid").distinct()
+    history.checkpointed(write_blobs(docs.join(lost, "oid", "left_anti").select("data"), made.git_dir))
+    for r in lost.toLocalIterator():
+        Path(made.git_dir, "objects", r.oid[:2]).mkdir(exist_ok=True)
+        Path(made.git_dir, "objects", r.oid[:2], r.oid[2:]).write_bytes(b"damaged")
+    parent: tuple = ()
+    at = None
+
+    def commit() -> tuple:
+        sha = made.commit(START + DAY * at, f"batch {at}", *parent)
+        made.ref(f"refs/tags/b{at}", sha, packed=at % 2 == 0)
+        return (sha,)
+    for r in docs.select("k", "path", "oid").orderBy("k", "path").toLocalIterator():
+        if at is not None and r.k != at:
+            parent = commit()
+        at = r.k
+        made.change(r.path, r.oid)
+    if at is not None:
+        made.ref("refs/heads/main", commit()[0])
+    made.close()
+    return folder
+
+
+def _in_repository(spark: SparkSession, sf_dir: str, **options):
+    return search(spark, from_git(spark, _repository(spark, sf_dir), {}), O(r"hation\b", color="never", **options))
+
+
+def _git_search(name: str, condition: str, **options) -> None:
+    sql = f"""WITH {REPO}, blobs AS (SELECT DISTINCT oid AS blob_oid, text AS content FROM d WHERE oid NOT IN (SELECT oid FROM broken)), {_lines_of('blobs')}
+SELECT path, summary, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%d') AS commit_date, line_num, line_text FROM lines l JOIN d ON d.oid = l.blob_oid JOIN batch b ON b.k = d.k WHERE regexp_matches(line_text, '(?m)hation\\b') AND {condition}"""
+
+    @register(name, sql)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _in_repository(spark, sf_dir, **options).rows.select("path", "summary", "commit_date", "line_num", "line_text")
+
+
+_git_search("git_search", "true")
+_git_search("git_search_range", "back < 2", rev_range="HEAD~2..HEAD")
+_git_search("git_search_dates", f"seconds >= {START + 3 * DAY} AND seconds <= {START + 9 * DAY}", since=str(START + 3 * DAY), until="2023-11-23T22:13:20Z")
+_git_search("git_search_paths", "starts_with(path, 'src1/') AND ends_with(path, '.go')", paths=("src1/",), types=("go",))
+
+
+@register("git_objects", f"WITH {REPO} SELECT DISTINCT oid, 'blob' AS type, octet_length(encode(text))::BIGINT AS size FROM d WHERE oid NOT IN (SELECT oid FROM broken)")
+def git_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = gitstore.discover(_repository(spark, sf_dir), {})
+    return gitstore.objects(spark, repo, "blob").where("error IS NULL").select("oid", "type", "size")
+
+
+@register("git_soft_errors", f"WITH {REPO} SELECT oid AS blob_oid FROM broken")
+def git_soft_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_repository(spark, sf_dir).skipped.select("blob_oid")
+
+
+@register("git_refs", f"""WITH {REPO} SELECT 'refs/tags/b' || k AS name, summary, 'b' || k AS short FROM batch
+UNION ALL SELECT name, (SELECT summary FROM batch WHERE back = 0), short FROM (VALUES ('HEAD', 'HEAD'), ('refs/heads/main', 'main')) AS t(name, short)""")
+def git_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loose and packed refs with the commits that they and their short names resolve to."""
+    folder = _repository(spark, sf_dir)
+    repo, commits = gitstore.discover(folder, {}), from_git(spark, folder, {}).commits
+    refs = gitstore.all_refs(repo)
+    short = {name: name.rsplit("/", 1)[-1] for name in refs}
+    rows = [(name, short[name], sha) for name, sha in refs.items() if gitstore.resolve_ref(repo, short[name]) == sha]
+    return spark.createDataFrame(rows, "name string, short string, sha string").join(commits.select("sha", "summary"), "sha").select("name", "summary", "short")
+
+
+@register("commit_summary", f"WITH {REPO} SELECT summary, seconds::BIGINT AS seconds, CASE WHEN back + 1 = (SELECT count(*) FROM batch) THEN 0 ELSE 1 END::INT AS n_parents FROM batch")
+def commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = from_git(spark, _repository(spark, sf_dir), {}).commits
+    return commits.select("summary", F.unix_seconds("commit_ts").alias("seconds"), F.size("parents").alias("n_parents"))
+
+
+@register("first_seen", f"""WITH {OCC}, m AS (SELECT blob_oid, min(ROW(-epoch_us(commit_ts), commit_sha, path)) AS met FROM occ GROUP BY blob_oid)
+SELECT blob_oid, row_number() OVER (ORDER BY met, blob_oid) AS seen FROM m""")
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs in the order in which an unordered report tells them."""
+    met = attribution.first_met(tables.document_occurrences(spark, sf_dir))
+    return history.numbered(met, "seen", F.asc("__met"), F.asc("blob_oid")).select("blob_oid", F.col("seen").cast("long").alias("seen"))
+
+
+@register("unordered", f"WITH {HITS} SELECT path, commit_sha, line_num FROM hits")
+def unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, color="never", unordered=True).ordered.select("path", "commit_sha", "line_num")
+
+
+def _report(spark: SparkSession, sf_dir: str, color: bool = False, **options) -> DataFrame:
+    """The lines of a report, numbered."""
+    lines = _found(spark, sf_dir, **options).lines(color)
+    return spark.createDataFrame(list(enumerate(lines, 1)), "n long, out string")
+
+
+REPORT = f"""WITH {HITS}, n AS (SELECT path, max(commit_ts) AS newest FROM hits GROUP BY path), f AS (SELECT path, row_number() OVER (ORDER BY newest DESC, path) AS fr FROM n),
+c AS (SELECT DISTINCT path, commit_sha, commit_ts, author_name FROM hits), cr AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY commit_ts DESC, commit_sha DESC) AS cr FROM c)"""
+
+
+@register("grouped_report", f"""{REPORT}, rows_ AS (
+SELECT fr, 0 AS cr, 0 AS kind, 0 AS line_num, '' AS out FROM f WHERE fr > 1 UNION ALL SELECT fr, 0, 1, 0, path FROM f
+UNION ALL SELECT fr, cr, 2, 0, '[' || left(commit_sha, 7) || ' ' || strftime(commit_ts, '%Y-%m-%d') || ' ' || author_name || ']' FROM cr JOIN f USING (path)
+UNION ALL SELECT fr, cr, 3, line_num, line_num || ':' || line_text FROM hits JOIN cr USING (path, commit_sha) JOIN f USING (path))
+SELECT row_number() OVER (ORDER BY fr, cr, kind, line_num) AS n, out FROM rows_""")
+def grouped_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, color=False)
+
+
+def _painted(code: str, what: str) -> str:
+    return f"chr(27) || '[{code}m' || {what} || chr(27) || '[0m'"
+
+
+@register("color_report", f"""{REPORT} SELECT row_number() OVER (ORDER BY fr, cr, line_num) AS n, {_painted('33', 'left(commit_sha, 7)')} || {_painted('36', "':'")} || {_painted('35', 'path')} || {_painted('36', "':'")}
+|| {_painted('32', 'line_num')} || {_painted('36', "':'")} || regexp_replace(line_text, '(hation)\\b', chr(27) || '[1;31m' || '\\1' || chr(27) || '[0m', 'g') AS out FROM hits JOIN cr USING (path, commit_sha) JOIN f USING (path)""")
+def color_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, color=True, heading=False)
+
+
+@register("stream_counts", f"WITH {BLOBS}, {_lines_of('blobs')} SELECT blob_oid, count(*) AS n_matches FROM lines WHERE regexp_matches(line_text, '(?m)of') GROUP BY blob_oid")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive as a stream, are searched as they come, and each micro-batch is told to a sink."""
+    from palimpsest.streaming.search import aggregate_channel, stream_matches
+
+    schema = tables.table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(f"{sf_dir}/documents.parquet*")
+    blobs = docs.select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), F.col("text").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("arrived"))
+    out = history.shared_folder(spark, "stream")
+    query = aggregate_channel(stream_matches(blobs, O("of")), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/told/batch={n}"), f"{out}/state")
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/told").select("blob_oid", "n_matches")
+
+
+# Command lines and what they mean: pattern, revision, paths, flags that are set.
+_LINES = [
+    (("-i", "pat", "HEAD~2", "src"), "pat", "HEAD~2", "src", "ignore_case"), (("-e", "a", "-e", "b", "main"), "a b", "main", "", ""), (("-lcv", "x"), "x", "", "", "files_with_matches count invert_match"),
+    (("-C3", "x", "--", "p", "-q"), "x", "", "p -q", "before_context=3 after_context=3"), (("-A", "1", "-B2", "-m=7", "x"), "x", "", "", "before_context=2 after_context=1 max_count=7"),
+    (("--no-heading", "-N", "x"), "x", "", "", "!line_number !heading"), (("--line-number=no", "x"), "x", "", "", "!line_number"), (("-S", "--ignore-case=false", "x"), "x", "", "", "case_sensitive smart_case"),
+    (("--all-commits", "--first-parent", "--unordered", "-a", "x"), "x", "", "", "text first_parent expand_commits unordered"), (("-g", "*.go", "-t", "py", "--branch=dev", "x"), "x", "", "", "globs=*.go types=py branches=dev"),
+    (("--since", "2024-01-01", "--until=now", "--author", "A", "--committer=B", "x"), "x", "", "", "since=2024-01-01 until=now author=A committer=B"), (("-F", "-w", "--all", "-q", "x"), "x", "", "", "fixed_strings word_regexp quiet all"),
+    (("--color", "never", "x"), "x", "", "", "color=never"), (("--color", "x"), "x", "", "", "color=always"), (("-m", "-1", "x"), None, None, None, None), (("--nope", "x"), None, None, None, None), ((), None, None, None, None),
+]
+_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else "'" + v + "'" for v in (" ".join(a), *rest)) + ")" for a, *rest in _LINES)
+
+
+@register("parse_options", f"SELECT * FROM (VALUES {_VALUES}) AS t(args, pattern, rev, paths, flags)")
+def parse_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's grammar: each line as parsed, or nulls where it is refused."""
+    plain = SearchOptions()
+
+    def told(args: tuple) -> tuple:
+        try:
+            o = parse_args(list(args))
+        except OptionError:
+            return " ".join(args), None, None, None, None
+        flags = []
+        for f in fields(SearchOptions):
+            value = getattr(o, f.name)
+            if f.name in ("patterns", "rev_range", "paths") or value == getattr(plain, f.name):
+                continue
+            text = " ".join(value) if isinstance(value, tuple) else str(value)
+            flags.append(f"{'' if value else '!'}{f.name}" if isinstance(value, bool) else f"{f.name}={text}")
+        return " ".join(args), " ".join(o.patterns), o.rev_range, " ".join(o.paths), " ".join(flags)
+    return spark.createDataFrame([told(a) for a, *_ in _LINES], "args string, pattern string, rev string, paths string, flags string")

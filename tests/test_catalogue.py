@@ -31,3 +31,16 @@ def test_query(spark, duck, name):
     want = duck.sql(catalogue.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_every_commit_is_reached_and_ranked(spark):
+    from palimpsest.sources import tables
+
+    commits = sorted(r.sha for r in tables.order_commits(spark, SF).select("sha").collect())
+    run = catalogue.queries()
+    for name in ("ancestors", "ancestors_by_joins", "first_parent", "all_refs"):
+        assert sorted(r.sha for r in run[name](spark, SF).collect()) == commits
+    ranks = run["walk_order"](spark, SF).collect()
+    assert sorted(r.sha for r in ranks) == commits and sorted(r.walk_seq for r in ranks) == list(range(1, len(commits) + 1))
+    assert 0 < run["rev_range"](spark, SF).count() < len(commits)
