@@ -671,7 +671,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Command lines and what they mean: pattern, revision, paths, flags that are set.
 _LINES = [
-    (("-i", "pat", "HEAD~2", "src"), "pat", "HEAD~2", "src", "ignore_case"), (("-e", "a", "-e", "b", "main"), "a b", "main", "", ""), (("-lcv", "x"), "x", "", "", "files_with_matches count invert_match"),
+    (("-i", "pat", "HEAD~2", "src"), "pat", "HEAD~2", "src", "ignore_case"), (("-e", "a", "-e", "b", "main"), "a b", "main", "", ""), (("-lcv", "x"), "x", "", "", "invert_match files_with_matches count"),
     (("-C3", "x", "--", "p", "-q"), "x", "", "p -q", "before_context=3 after_context=3"), (("-A", "1", "-B2", "-m=7", "x"), "x", "", "", "before_context=2 after_context=1 max_count=7"),
     (("--no-heading", "-N", "x"), "x", "", "", "!line_number !heading"), (("--line-number=no", "x"), "x", "", "", "!line_number"), (("-S", "--ignore-case=false", "x"), "x", "", "", "case_sensitive smart_case"),
     (("--all-commits", "--first-parent", "--unordered", "-a", "x"), "x", "", "", "text first_parent expand_commits unordered"), (("-g", "*.go", "-t", "py", "--branch=dev", "x"), "x", "", "", "globs=*.go types=py branches=dev"),
