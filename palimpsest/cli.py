@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from palimpsest.options import OptionError, parse_args
 
@@ -12,7 +13,7 @@ HELP = """usage: palimpsest [FLAGS] PATTERN [REV] [PATH...] [-- PATH...]
   output     -n/-N line numbers  -l files  -c counts  -q quiet  -A/-B/-C N context  --heading/--no-heading  --color WHEN  --unordered
   paths      -g GLOB (! excludes)  -t TYPE
   history    --all  --branch NAME  --first-parent  --since DATE  --until DATE  --author RE  --committer RE  --expand-commits
-exit code: 0 matches, 1 none, 2 error"""
+exit code: 0 matches, 1 none, 2 error, 130 interrupted"""
 
 
 def main(args: list[str] | None = None, spark=None, start: str = ".", out=None, err=None, source=None) -> int:
@@ -30,16 +31,25 @@ def main(args: list[str] | None = None, spark=None, start: str = ".", out=None,
         from palimpsest.sources.gitstore import CorruptObject, NotFound
 
         spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        group = f"palimpsest-{uuid.uuid4().hex}"
+        spark.sparkContext.setJobGroup(group, "palimpsest search", interruptOnCancel=True)
         try:
-            result = search(spark, source or from_git(spark, start), options)
-        except (CorruptObject, NotFound) as e:
-            raise OptionError(str(e)) from None
-        if not options.quiet:
-            for line in result.lines(use_color(options.color, out)):
-                print(line, file=out)
-        for row in result.skipped.select("blob_oid", "error").toLocalIterator():
-            print(f"warning: skipped {row.blob_oid}: {row.error}", file=err)
-        return result.exit_code()
+            try:
+                result = search(spark, source or from_git(spark, start), options)
+            except (CorruptObject, NotFound) as e:
+                raise OptionError(str(e)) from None
+            if not options.quiet:
+                for line in result.lines(use_color(options.color, out)):
+                    print(line, file=out)
+            for row in result.skipped.select("blob_oid", "error").toLocalIterator():
+                print(f"warning: skipped {row.blob_oid}: {row.error}", file=err)
+            return result.exit_code()
+        except KeyboardInterrupt:  # jobs of this search that still run are stopped
+            spark.sparkContext.cancelJobGroup(group)
+            print("interrupted", file=err)
+            return 130
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     except OptionError as e:
         print(f"error: {e}", file=err)
         return 2

@@ -258,6 +258,15 @@ def test_colour(spark, history):
     assert "\x1b[1;31mSIDE\x1b[0m" in lines[0]
 
 
+def test_interrupted(spark, history):
+    class Full(io.StringIO):
+        def write(self, text):
+            raise KeyboardInterrupt
+    err = io.StringIO()
+    assert cli.main(["TODO"], spark, str(history.folder), Full(), err) == 130 and "interrupted" in err.getvalue()
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds() and run(spark, history, "-q", "TODO")[0] == 0
+
+
 def test_original_head_and_branches(spark, history):
     (history.git / "ORIG_HEAD").write_text((history.git / "refs" / "heads" / "side").read_text())
     assert len(run(spark, history, "-c", "SIDE", "ORIG_HEAD")[1]) == 1 and run(spark, history, "x", "ORIG")[0] == 2
