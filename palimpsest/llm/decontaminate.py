@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palimpsest.llm.common import map_batches, renamed, ship, table, text_of
+from palimpsest.llm.common import cut, map_batches, narrowed, renamed, ship, table, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCK = 1_000_000  # shingles of test items that are broadcast at once, about 100 MB at most; more items take more passes
+BLOCK = 1_000_000  # words of test items that are broadcast, about 100 MB at most; sketches of more items are joined with documents
+FILTER_BITS = 27  # of the bitmap of sketch values, 16 MB
+FEW = 2_000_000  # hashes of texts with leaks that are broadcast; more are joined by a shuffle
 VOCABULARY = 1_000_000  # word hashes that a task remembers
 
 SCHEMA = "doc_id {id}, item_id {item}, n_shingles long, n_shared long, containment double"
@@ -135,18 +137,85 @@ class Sketches:
         return out
 
 
-def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple]]:
-    """Items in lists of at most `block` words (one item at least)."""
-    held, n = [], 0
-    for item, text in items.toLocalIterator():
-        size = len(text) // 2 + 1
-        if held and n + size > block:
-            yield held
-            held, n = [], 0
-        held.append((item, text))
-        n += size
-    if held:
-        yield held
+def _within(items: DataFrame, block: int) -> list[tuple] | None:
+    """The items, if they have at most `block` words; else None."""
+    words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+    return [tuple(r) for r in items.toLocalIterator()] if words <= block else None
+
+
+def _sketch_rows(items: DataFrame, threshold: float) -> DataFrame:
+    """(item, size, hash) of (item, text): the sketch of each, and the number of words of a shingle."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        memory = WordHashes()
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
+                words = split_words(text.as_py())
+                if found := shingles(words):
+                    sketch = np.unique(shingle_hashes(words, memory))[: len(found) - needed(len(found), threshold) + 1]
+                    out += [(item, min(SHINGLE, len(words)), h) for h in sketch.view("<i8").tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int32(), pa.int64()))], names=["item", "size", "hash"])
+
+    return map_batches(items.select("item", "text"), run, "item long, size int, hash long")
+
+
+def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(body, item, n, k) for any number of items, of documents (body, text) and (item, text).
+
+    Sketches stay a table. Documents give the hashes that a bounded bitmap of all sketch values lets through, these are
+    joined with the sketches, and only the texts of candidates move, to be verified exactly.
+    """
+    import numpy as np
+
+    sketches = cut(_sketch_rows(items, threshold))
+    sizes = [r["size"] for r in sketches.select("size").distinct().collect()]  # one to SHINGLE
+    place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    bits = np.zeros((1 << (FILTER_BITS - 15), 4096), dtype=np.uint8)
+    pieces = sketches.groupBy(F.shiftright(place, 15).alias("piece")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    for r in pieces.toLocalIterator():  # 16 MB at most
+        bits[r.piece, :len(r.bits)] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast((sizes, bits.reshape(-1)))
+
+    def probe(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        sizes, bits = shared.value
+        memory = WordHashes()
+        for batch in batches:
+            bodies, hashes, of_size = [], [], []
+            for body, text in zip(batch.column("body").to_pylist(), batch.column("text")):
+                words = split_words(text.as_py())
+                for size in sizes:
+                    if len(words) >= size:
+                        h = np.unique(shingle_hashes(words, memory, size))
+                        at = h >> np.uint64(64 - FILTER_BITS)
+                        h = h[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                        bodies.append(np.full(len(h), body, dtype=np.int64))
+                        hashes.append(h.view("<i8"))
+                        of_size.append(np.full(len(h), size, dtype=np.int32))
+            columns = [np.concatenate(c) if c else np.zeros(0, k) for c, k in ((bodies, "<i8"), (of_size, "<i4"), (hashes, "<i8"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["body", "size", "hash"])
+
+    def verify(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for body, item, doc, text in zip(*(batch.column(c).to_pylist() for c in ("body", "item", "doc", "text"))):
+                wanted, words = shingles(split_words(text)), split_words(doc)
+                size = len(next(iter(wanted)))
+                shared = len(wanted & set(zip(*[words[i:] for i in range(size)])))
+                if shared >= needed(len(wanted), threshold):
+                    out.append((body, item, len(wanted), shared))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [()] * 4], names=["body", "item", "n", "k"])
+
+    near = cut(map_batches(docs, probe, "body long, size int, hash long").join(sketches, ["hash", "size"]).select("body", "item").distinct())
+    texts = narrowed(docs, F.col("body"), near.select("body")).dropDuplicates(["body"]).select("body", F.col("text").alias("doc"))
+    return cut(map_batches(near.join(texts, "body").join(items.select("item", "text"), "item"), verify, "body long, item long, n long, k long"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
@@ -157,49 +226,55 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     item of fewer than five words is one shingle of that many, which any run of the same words has. Null texts are
     empty; null ids pass. Rows that share an id are told apart only by their matches: repeated rows give repeated
     results. Of no documents or no items, no rows come; other columns are left out, whatever their names. Documents of
-    any length are taken whole. Items are the query set: however many there are, a bounded block at a time goes to the
-    executors, and documents are never shuffled.
+    any length are taken whole. Items of up to `block` words in all go to the executors, and documents are not
+    shuffled; the sketches of more items are a table that documents' hashes are joined with, in one pass over documents.
     """
     spark = ship(docs.sparkSession)
     slim = renamed(docs, doc_id=id_col, text=text_col).select("doc_id", text_of(F.col("text")).alias("text"))
     items = renamed(benchmark, item_id=item_col, text=item_text).select("item_id", text_of(F.col("text")).alias("text"))
     schema = SCHEMA.format(id=dict(slim.dtypes)["doc_id"], item=dict(items.dtypes)["item_id"])
-    found = None
-    for part in _blocks(items, block):
-        sketches = Sketches(part, threshold)
-        sketches.item_type = to_arrow_type(items.schema["item_id"].dataType)
-        sketches = spark.sparkContext.broadcast(sketches)
-
-        def run(batches: Iterator, sketches=sketches) -> Iterator:
-            import pyarrow as pa
+    part = _within(items, block)
+    if part is None:
+        items = cut(items.withColumn("item", F.monotonically_increasing_id()))
+        keyed = slim.withColumn("body", F.xxhash64("text"))
+        found = _joined(keyed.select("body", "text"), items, threshold).join(items.select("item", "item_id"), "item")
+        rows = keyed.select("doc_id", "body").join(found, "body")
+        return rows.select("doc_id", "item_id", F.col("n").alias("n_shingles"), F.col("k").alias("n_shared"), (F.col("k") / F.col("n")).alias("containment"))
+    sketches = Sketches(part, threshold)
+    sketches.item_type = to_arrow_type(items.schema["item_id"].dataType)
+    sketches = spark.sparkContext.broadcast(sketches)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-            memory = WordHashes()
-            for batch in batches:
-                hits = [(at, *hit) for at, t in enumerate(batch.column("text")) for hit in sketches.value.matches(t.as_py(), memory)]
-                at, items, n, k = zip(*hits) if hits else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, sketches.value.item_type), pa.array(n, pa.int64()),
-                    pa.array(k, pa.int64()), pa.array([y / x for x, y in zip(n, k)], pa.float64()),
-                ], names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
+        memory = WordHashes()
+        for batch in batches:
+            hits = [(at, *hit) for at, t in enumerate(batch.column("text")) for hit in sketches.value.matches(t.as_py(), memory)]
+            at, items, n, k = zip(*hits) if hits else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, sketches.value.item_type), pa.array(n, pa.int64()),
+                pa.array(k, pa.int64()), pa.array([y / x for x, y in zip(n, k)], pa.float64()),
+            ], names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
-        one = map_batches(slim, run, schema)
-        found = one if found is None else found.unionByName(one)
-    return spark.createDataFrame([], schema) if found is None else found
+    return map_batches(slim, run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its columns, without the rows that contain a test item; found and applied in one pass, without a shuffle.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs with its columns, without the rows that contain a test item; in one pass without a shuffle, for few items.
 
     For nulls, empty and very long texts, repeated rows and short items see find_leaks(). Without items, all rows stay.
     """
     spark = ship(docs.sparkSession)
     items = renamed(benchmark, item_id="item_id", text="text").select("item_id", text_of(F.col("text")).alias("text"))
-    kept = docs
-    for part in _blocks(items, BLOCK):
-        sketches = spark.sparkContext.broadcast(Sketches(part, threshold))
-
-        kept = kept.where(_cleaner(sketches)(text_of(F.col(f"`{text_col}`"))))
-    return kept
+    part = _within(items, block)
+    text = text_of(F.col(f"`{text_col}`"))
+    if part is not None:
+        return docs.where(_cleaner(spark.sparkContext.broadcast(Sketches(part, threshold)))(text))
+    items = cut(items.withColumn("item", F.monotonically_increasing_id()))
+    gone = _joined(docs.select(F.xxhash64(text).alias("body"), text.alias("text")), items, threshold).select(F.col("body").alias("__leak_body")).distinct()
+    few = gone.limit(FEW + 1).count() <= FEW
+    kept = docs.withColumn("__leak_own", F.xxhash64(text)).join(F.broadcast(gone) if few else gone, F.col("__leak_own") == F.col("__leak_body"), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _cleaner(sketches):

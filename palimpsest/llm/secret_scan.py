@@ -8,9 +8,8 @@ intersected to candidates, and only those are verified with the pattern. A rule
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass
-from re import _constants as sre
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,55 +53,101 @@ def _mandatory(strings: set[str]) -> list[frozenset]:
     return list(dict.fromkeys(frozenset(s[i:i + 3] for i in range(len(s) - 2)) for s in strings))
 
 
-def _part(op, arg) -> tuple[set[str] | None, list[frozenset]]:
-    """The strings that a part stands for, if few, else None; and a query that holds wherever it matches."""
-    nothing = [frozenset()]
-    if op is sre.LITERAL:
-        return {chr(arg).lower()}, nothing
-    if op is sre.IN:
-        chars = set()
-        for kind, value in arg:
-            if kind is sre.LITERAL:
-                chars.add(chr(value).lower())
-            elif kind is sre.RANGE and value[1] - value[0] < LIMIT:
-                chars |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
+class _Reader:
+    """Reads the common subset of regex dialects, from left to right; what a part stands for comes with what it asks for.
+
+    A part is (the strings that it stands for, if few and known, else None; a query that holds wherever it matches).
+    """
+
+    def __init__(self, pattern: str):
+        self.s, self.at = pattern, 0
+
+    def alternatives(self) -> tuple[set[str] | None, list[frozenset]]:
+        parts = [self.sequence()]
+        while self.s[self.at:self.at + 1] == "|":
+            self.at += 1
+            parts.append(self.sequence())
+        if len(parts) == 1:
+            return parts[0]
+        if all(strings is not None for strings, _ in parts) and len(u := set().union(*(strings for strings, _ in parts))) <= LIMIT:
+            return u, NOTHING
+        return None, list(dict.fromkeys(q for strings, qs in parts for q in (qs if strings is None else _both(qs, _mandatory(strings)))))
+
+    def sequence(self) -> tuple[set[str] | None, list[frozenset]]:
+        """Literal neighbours are joined as far as they go, as trigrams reach across them."""
+        run, query, whole = {""}, NOTHING, True
+        while self.at < len(self.s) and self.s[self.at] not in "|)":
+            strings, wanted = self.repeated()
+            query = _both(query, wanted)
+            if strings is not None and len(run) * len(strings) <= LIMIT:
+                run = {a + b for a in run for b in strings}
             else:
-                return None, nothing
-        return (chars, nothing) if len(chars) <= LIMIT // 2 else (None, nothing)
-    if op is sre.SUBPATTERN:
-        return _sequence(arg[3])
-    if op is sre.BRANCH:
-        parts = [_sequence(x) for x in arg[1]]
-        if all(s is not None for s, _ in parts) and len(u := set().union(*(s for s, _ in parts))) <= LIMIT:
-            return u, nothing
-        return None, list(dict.fromkeys(q for s, qs in parts for q in (qs if s is None else _both(qs, _mandatory(s)))))
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-        low, high, inner = arg
-        strings, query = _sequence(inner)
+                query, run, whole = _both(query, _mandatory(run)), strings or {""}, False
+        return (run, query) if whole else (None, _both(query, _mandatory(run)))
+
+    def repeated(self) -> tuple[set[str] | None, list[frozenset]]:
+        strings, query = self.atom()
+        m = REPEAT.match(self.s, self.at)
+        if not m:
+            return strings, query
+        self.at = m.end()
+        low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(m.group(1)) or (int(m.group(2)), int(m.group(4)) if m.group(4) else None if m.group(3) else int(m.group(2)))
         if strings is not None and (low, high) == (0, 1):
-            return strings | {""}, nothing
+            return strings | {""}, NOTHING
         if strings is not None and low == high and len(strings) ** low <= LIMIT:
             return {"".join(x) for x in itertools.product(strings, repeat=low)}, query
-        return None, nothing if low == 0 else query if strings is None else _mandatory(strings)
-    return ({""}, nothing) if op is sre.AT else (None, nothing)
-
-
-def _sequence(items) -> tuple[set[str] | None, list[frozenset]]:
-    """Literal neighbours are joined as far as they go, as trigrams reach across them."""
-    run, query, whole = {""}, [frozenset()], True
-    for op, arg in items:
-        strings, wanted = _part(op, arg)
-        query = _both(query, wanted)
-        if strings is not None and len(run) * len(strings) <= LIMIT:
-            run = {a + b for a in run for b in strings}
-        else:
-            query, run, whole = _both(query, _mandatory(run)), strings or {""}, False
-    return (run, query) if whole else (None, _both(query, _mandatory(run)))
+        return None, NOTHING if low == 0 else query if strings is None else _mandatory(strings)
+
+    def atom(self) -> tuple[set[str] | None, list[frozenset]]:
+        c = self.s[self.at]
+        self.at += 1
+        if c == "(":
+            m = GROUP.match(self.s, self.at)
+            self.at = m.end() if m else self.at
+            found = self.alternatives()
+            self.at += 1  # the closing bracket
+            return found
+        if c == "[":
+            return self.chars()
+        if c in "^$":
+            return {""}, NOTHING
+        if c == ".":
+            return None, NOTHING
+        return ({c.lower()}, NOTHING) if c != "\\" else self.escaped()
+
+    def escaped(self) -> tuple[set[str] | None, list[frozenset]]:
+        c = self.s[self.at]
+        if c == "x":
+            self.at += 3
+            return {chr(int(self.s[self.at - 2:self.at], 16)).lower()}, NOTHING
+        self.at += 1
+        if c in "bBAz":
+            return {""}, NOTHING
+        return (None if c.isalnum() else {c}), NOTHING
+
+    def chars(self) -> tuple[set[str] | None, list[frozenset]]:
+        """A class; one that is negated or large is unknown."""
+        start = self.at
+        end = self.at = CLASS_END.match(self.s, self.at).end()
+        found: set[str] = set()
+        for m in MEMBER.finditer(self.s, start, end - 1):
+            low, high = (x and (chr(int(x[2:], 16)) if x.startswith("\\x") else x[-1]) for x in m.groups())
+            if m.start() == start and low == "^" or m.group(1)[0] == "\\" and m.group(1)[1:].isalpha() or high and ord(high) - ord(low) >= LIMIT:
+                return None, NOTHING
+            found |= {chr(k).lower() for k in range(ord(low), ord(high or low) + 1)}
+        return (found if len(found) <= LIMIT // 2 else None), NOTHING
+
+
+NOTHING = [frozenset()]
+REPEAT = re.compile(r"([?*+])|\{(\d+)(,?)(\d*)\}")
+GROUP = re.compile(r"\?(?:[a-z]*:|P?<\w+>)")
+CLASS_END = re.compile(r"\^?\]?(?:\\.|[^\]\\])*\]")
+MEMBER = re.compile(r"(\\x[0-9A-Fa-f]{2}|\\.|[^\\])(?:-(\\x[0-9A-Fa-f]{2}|\\.|[^\\]))?")
 
 
 def trigram_query(pattern: str) -> list[frozenset]:
     """An or of ands of trigrams that every match contains, or [] if the pattern has no mandatory trigrams."""
-    strings, query = _sequence(_parser.parse(pattern))
+    strings, query = _Reader(pattern).alternatives()
     query = query if strings is None else _both(query, _mandatory(strings))
     if any(not q for q in query):
         return []
