@@ -157,7 +157,8 @@ def _sketch_rows(items: DataFrame, threshold: float) -> DataFrame:
                 if found := shingles(words):
                     sketch = np.unique(shingle_hashes(words, memory))[: len(found) - needed(len(found), threshold) + 1]
                     out += [(item, min(SHINGLE, len(words)), h) for h in sketch.view("<i8").tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int32(), pa.int64()))], names=["item", "size", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int32(), pa.int64()))],
+                names=["item", "size", "hash"])
 
     return map_batches(items.select("item", "text"), run, "item long, size int, hash long")
 
@@ -259,7 +260,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return map_batches(slim, run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+    block: int = BLOCK) -> DataFrame:
     """docs with its columns, without the rows that contain a test item; in one pass without a shuffle, for few items.
 
     For nulls, empty and very long texts, repeated rows and short items see find_leaks(). Without items, all rows stay.

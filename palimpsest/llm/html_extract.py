@@ -316,34 +316,46 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, object]]:
         title = rnd.choice(("h1", "h2", "h3", "h4"))
         emphasis = rnd.choice(("b", "em", "i", "strong", "span", "code"))
         plain = rnd.choice((
-            f"<{title}>{words(1, 6)}</{title}>", f"<p><{emphasis}>{words(1, 3)}</{emphasis}> {words(3, 60)}</p>", f"<blockquote><p>{words(3, 30)}</p></blockquote>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>",
-            f"<ol><li>{words(1, 20)}</li><li>{words(1, 20)}</li></ol>", f"<figure><figcaption>{words(2, 12)}</figcaption></figure>", f"<pre>{words(2, 20)}</pre>", f"<label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>", ""))
-        inner = plain + rnd.choice((f"<ul>{links()}</ul>", f"<p>{words(2, 40)}</p>", words(2, 40), f"<div>{words(1, 20)}</div>", links("span"), f"<p>{words(3, 20)} <a href='#'>{words(1, 3)}</a></p><p>{words(3, 30)}</p>"))
+            f"<{title}>{words(1, 6)}</{title}>", f"<p><{emphasis}>{words(1, 3)}</{emphasis}> {words(3, 60)}</p>",
+                f"<blockquote><p>{words(3, 30)}</p></blockquote>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>",
+            f"<ol><li>{words(1, 20)}</li><li>{words(1, 20)}</li></ol>", f"<figure><figcaption>{words(2, 12)}</figcaption></figure>",
+                f"<pre>{words(2, 20)}</pre>", f"<label>{words(1, 3)}</label><input><button>{words(1, 2)}</button>", ""))
+        inner = plain + rnd.choice((f"<ul>{links()}</ul>", f"<p>{words(2, 40)}</p>", words(2, 40), f"<div>{words(1, 20)}</div>", links("span"),
+            f"<p>{words(3, 20)} <a href='#'>{words(1, 3)}</a></p><p>{words(3, 30)}</p>"))
         return f"<{tag} class='n {' '.join(marks)}'>{inner}</{tag}>"
 
-    around = ("nav", "nav.menu", "div.menu", "div.navigation", "ul.nav", "header", "header.site", "div.header", "div.banner", "div.cookie.notice", "div.notice", "div.consent",
-              "div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "aside", "aside.sidebar", "div.sidebar", "div.widget", "div.breadcrumb", "div.alert", "section.ads", "div.popup", "p.ad", "p.notice")
-    after = ("footer", "footer.site", "div.footer", "div.copyright", "div.comments", "section.comments", "div.comment", "ul.comments", "ol.commentlist", "div.disqus", "div.related", "aside.related", "section.related",
-             "div.share", "div.social", "form", "form.search", "form.subscribe", "div.newsletter", "div.pagination", "nav.pager", "div.responses", "section.discussion")
+    around = ("nav", "nav.menu", "div.menu", "div.navigation", "ul.nav", "header", "header.site", "div.header", "div.banner", "div.cookie.notice",
+        "div.notice", "div.consent",
+              "div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.promo", "aside", "aside.sidebar", "div.sidebar", "div.widget",
+                  "div.breadcrumb", "div.alert", "section.ads", "div.popup", "p.ad", "p.notice")
+    after = ("footer", "footer.site", "div.footer", "div.copyright", "div.comments", "section.comments", "div.comment", "ul.comments", "ol.commentlist",
+        "div.disqus", "div.related", "aside.related", "section.related",
+             "div.share", "div.social", "form", "form.search", "form.subscribe", "div.newsletter", "div.pagination", "nav.pager", "div.responses",
+                 "section.discussion")
 
     def inline() -> str:
-        return rnd.choice((f"<b>{words(1, 4)}</b>", f"<a href='#'>{words(1, 4)}</a>", f"<i>{words(1, 3)}</i>", f"<em>{words(1, 3)}</em>", f"<strong>{words(1, 3)}</strong>", f"<code>{words(1, 2)}</code>", f"<span>{words(1, 5)}</span>"))
+        return rnd.choice((f"<b>{words(1, 4)}</b>", f"<a href='#'>{words(1, 4)}</a>", f"<i>{words(1, 3)}</i>", f"<em>{words(1, 3)}</em>",
+            f"<strong>{words(1, 3)}</strong>", f"<code>{words(1, 2)}</code>", f"<span>{words(1, 5)}</span>"))
 
     def paragraph() -> str:
         body = rnd.choice((words(1, 5), words(5, 60), words(60, 200), f"{words(1, 30)} {inline()} {words(1, 30)}", f"<b>{words(2, 30)}<br>", inline()))
         kind = rnd.random()
         if kind < 0.75:
             return f"<p>{body}</p>"
-        return rnd.choice((f"<h2>{words(1, 8)}</h2>", f"<h3>{words(1, 8)}</h3>", f"<ul><li>{words(1, 20)}</li><li>{words(1, 20)}</li></ul>", f"<ol><li>{words(1, 20)}</li></ol>", f"<blockquote><p>{body}</p></blockquote>",
-                           f"<pre>{words(1, 30)}</pre>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", f"<div>{body}</div>", f"<section><h2>{words(1, 6)}</h2><p>{body}</p></section>", f"<figure><figcaption>{words(2, 12)}</figcaption></figure>"))
+        return rnd.choice((f"<h2>{words(1, 8)}</h2>", f"<h3>{words(1, 8)}</h3>", f"<ul><li>{words(1, 20)}</li><li>{words(1, 20)}</li></ul>",
+            f"<ol><li>{words(1, 20)}</li></ol>", f"<blockquote><p>{body}</p></blockquote>",
+                           f"<pre>{words(1, 30)}</pre>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", f"<div>{body}</div>",
+                               f"<section><h2>{words(1, 6)}</h2><p>{body}</p></section>", f"<figure><figcaption>{words(2, 12)}</figcaption></figure>"))
 
-    homes = ("article", "article.post", "main", "div.content", "div.article", "div.post", "div.entry", "div.story", "section.article", "div.main", "div.text", "div.body", "article.entry", "main.content", "div", "div", "section", "body", "body", "td")
+    homes = ("article", "article.post", "main", "div.content", "div.article", "div.post", "div.entry", "div.story", "section.article", "div.main",
+        "div.text", "div.body", "article.entry", "main.content", "div", "div", "section", "body", "body", "td")
     pages = []
     for _ in range(count):
         tag, *marks = rnd.choice(homes).split(".")
         inside = [paragraph() for _ in range(rnd.randint(1, 25))]
         for _ in range(rnd.choice((0, 0, 0, 1, 2))):
-            inside.insert(rnd.randint(0, len(inside)), off("div.ad", "aside", "div.share", "div.related", "div.advert", "form", "div.promo", "aside.related", "div.newsletter", "div.comments", "nav.toc", "div.notice"))
+            inside.insert(rnd.randint(0, len(inside)), off("div.ad", "aside", "div.share", "div.related", "div.advert", "form", "div.promo",
+                "aside.related", "div.newsletter", "div.comments", "nav.toc", "div.notice"))
         head = rnd.choice((f"<h1>{words(1, 12)}</h1>", f"<header class='y'><h1>{words(1, 12)}</h1></header>", f"<h1>{words(1, 12)}</h1>", ""))
         article = head + "".join(inside)
         body = article if tag == "body" else f"<{tag} class='y {' '.join(marks)}'>{article}</{tag}>"
@@ -355,7 +367,8 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, object]]:
         before = "".join(off(*around) for _ in range(rnd.randint(least, 4)))
         behind = "".join(off(*after) for _ in range(rnd.randint(least, 4)))
         if not marks:  # plain pages have plain parts
-            before = rnd.choice((f"<header class='n'>{words(1, 4)}</header>", off("header"), "")) + rnd.choice((off("nav"), f"<nav class='n'>{links('span')}</nav>", "")) + before
+            before = rnd.choice((f"<header class='n'>{words(1, 4)}</header>", off("header"), "")) + rnd.choice((off("nav"),
+                f"<nav class='n'>{links('span')}</nav>", "")) + before
             behind += rnd.choice((f"<footer class='n'>{words(1, 8)}</footer>", off("footer"), ""))
         open_body = "<body class='y'>" if tag == "body" else "<body>"
         pages.append((f"<html><head><title>{words(1, 9)}</title></head>{open_body}{before}{body}{behind}</body></html>", _label))

@@ -104,4 +104,5 @@ WITH l AS (
 SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (d.k IS NOT NULL AND d.keep <> l.doc_id)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (d.k IS NULL OR d.keep = l.doc_id), '')) AS kept_sha256
 FROM l LEFT JOIN d ON l.k = d.k GROUP BY l.doc_id
-""".replace("lower_az(line)", "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+""".replace("lower_az(line)",
+    "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")

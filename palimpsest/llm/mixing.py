@@ -52,12 +52,14 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
     def spread(a: Column) -> Column:
         t, g, d = (a[c].cast("double") for c in "tgd")
         mean = F.when(t == 0, F.lit(0.0)).otherwise(d * g / t)
-        return F.struct(a["t"].alias("t"), a["g"].alias("g"), a["d"].alias("d"), mean.alias("mean"), (12 + 12 * F.sqrt(F.greatest(F.lit(0.0), F.when(t < 2, F.lit(0.0)).otherwise(d * g / t * (1 - g / t) * (t - d) / (t - 1))))).alias("by"))
+        return F.struct(a["t"].alias("t"), a["g"].alias("g"), a["d"].alias("d"), mean.alias("mean"),
+            (12 + 12 * F.sqrt(F.greatest(F.lit(0.0), F.when(t < 2, F.lit(0.0)).otherwise(d * g / t * (1 - g / t) * (t - d) / (t - 1))))).alias("by"))
 
     def bounds(a: Column) -> Column:
         least = F.greatest(F.lit(0).cast("long"), a["d"] - (a["t"] - a["g"]), F.floor(a["mean"] - a["by"]).cast("long"))
         most = F.least(a["g"], a["d"], F.ceil(a["mean"] + a["by"]).cast("long"))
-        return F.struct(a["t"].alias("t"), a["g"].alias("g"), a["d"].alias("d"), least.alias("least"), most.alias("most"), F.floor(a["mean"]).cast("long").alias("middle"))
+        return F.struct(a["t"].alias("t"), a["g"].alias("g"), a["d"].alias("d"), least.alias("least"), most.alias("most"),
+            F.floor(a["mean"]).cast("long").alias("middle"))
 
     def pick(a: Column) -> Column:
         log_p = lambda x: -(log_factorial(x) + log_factorial(a["g"] - x) + log_factorial(a["d"] - x) + log_factorial(a["t"] - a["g"] - a["d"] + x))
@@ -155,7 +157,8 @@ def plan(slim: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """
     blocks = cut(slim.groupBy(F.col(SOURCE).alias("source"), F.col(BLOCK).alias("block")).agg(F.sum(SIZE).alias("words")))
     goal = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")))
-    goal = cut(goal.withColumn("copies", F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.lit(CAP), F.floor(F.col("target") / F.col("source_size")))).cast("int"))
+    goal = cut(goal.withColumn("copies", F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.lit(CAP),
+        F.floor(F.col("target") / F.col("source_size")))).cast("int"))
                .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size"))))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     summed = _cumulated(blocks, "block")
@@ -173,9 +176,11 @@ def plan(slim: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
                .withColumn("n", F.col("copies") + (F.shiftleft("block", BITS) < F.col("cutoff")).cast("int")))
     # The slots of a source's quota, in the order of its permutation, and the shards that draw them.
     cut_of = F.when(F.col("copy") <= F.col("copies"), F.lit(1 << 2 * BITS)).otherwise(F.col("cutoff"))
-    slots = full.where("n > 0").select("source", "rank", "block", "copies", "cutoff", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).withColumn("cut", cut_of)
+    slots = full.where("n > 0").select("source", "rank", "block", "copies", "cutoff",
+        F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).withColumn("cut", cut_of)
     slots = slots.withColumn("slot", F.expr("row_number() OVER (PARTITION BY rank ORDER BY copy, block) - 1"))
-    quotas = goal.select("rank").join(slots.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank", F.coalesce("quota", F.lit(0)).alias("quota"))
+    quotas = goal.select("rank").join(slots.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank",
+        F.coalesce("quota", F.lit(0)).alias("quota"))
     drawn = cut(split_tree(quotas, shards, seed)).withColumn("upto", F.expr("sum(n) OVER (PARTITION BY rank ORDER BY shard)"))
     dealt = drawn.where("n > 0").select("rank", "shard", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("slot"))
     draws = slots.join(dealt, ["rank", "slot"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "cut"))).alias("draws"))

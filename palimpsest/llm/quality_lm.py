@@ -130,7 +130,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = ship(docs.sparkSession)
     here = blocked(docs)
-    slim = here.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (lang_col, "lang"), ("__block", "block"))], text_of(F.col(f"`{text_col}`")).alias("text"))
+    slim = here.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (lang_col, "lang"), ("__block", "block"))],
+        text_of(F.col(f"`{text_col}`")).alias("text"))
     slim = slim.select("id", F.col("lang").cast("string").alias("lang"), "block", "text")
     trusted = trusted_documents(slim, labels)
     held = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
@@ -150,15 +151,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
         size = bucket(F.col(f"{at}n"))
         other = lambda df, *keys: _near(df.where("lang IS NULL").select(*keys, F.col("limit").alias("__quality_other")))
-        named = lambda df, *keys: _near(df.where("lang IS NOT NULL").select(F.col("lang").alias("__quality_lang"), *keys, F.col("limit").alias("__quality_limit")))
+        named = lambda df, *keys: _near(df.where("lang IS NOT NULL").select(F.col("lang").alias("__quality_lang"), *keys,
+            F.col("limit").alias("__quality_limit")))
         everywhere = by_lang.where("lang IS NULL").first()["limit"]
-        own = own.join(named(by_lang), lang == F.col("__quality_lang"), "left").withColumn("__quality_t", F.coalesce("__quality_limit", F.lit(everywhere))).drop("__quality_lang", "__quality_limit")
+        own = own.join(named(by_lang), lang == F.col("__quality_lang"), "left").withColumn("__quality_t",
+            F.coalesce("__quality_limit", F.lit(everywhere))).drop("__quality_lang", "__quality_limit")
         key = F.col("bucket").alias("__quality_bucket")
-        own = own.join(named(by_length, key), (lang == F.col("__quality_lang")) & (size == F.col("__quality_bucket")), "left").drop("__quality_bucket", "__quality_lang")
+        own = own.join(named(by_length, key), (lang == F.col("__quality_lang")) & (size == F.col("__quality_bucket")), "left").drop("__quality_bucket",
+            "__quality_lang")
         own = own.join(other(by_length, key), size == F.col("__quality_bucket"), "left")
         limit, longest = F.col("__quality_t"), F.coalesce("__quality_limit", "__quality_other", F.lit(far))
     result = F.struct(
-        F.col(f"{at}n").alias("n_chars"), ppl.alias("perplexity"), limit.alias("threshold"), F.col(f"{at}redundancy").alias("redundancy"), cost.alias("charge"), longest.alias("limit"),
+        F.col(f"{at}n").alias("n_chars"), ppl.alias("perplexity"), limit.alias("threshold"), F.col(f"{at}redundancy").alias("redundancy"),
+            cost.alias("charge"), longest.alias("limit"),
         (F.coalesce(ppl <= limit, F.lit(False)) & F.coalesce(cost <= longest, F.lit(True))).alias("kept"))
     return own.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("__quality"))
 

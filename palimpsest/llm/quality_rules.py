@@ -9,9 +9,12 @@ from palimpsest.llm.common import WHITE_CLASS, WORD, let, renamed, text_of, word
 
 # Frequent function words, by language; a language that is not listed is not held to the stop-word rule.
 STOP_WORDS = {
-    "en": ("the", "be", "to", "of", "and", "a", "in", "that", "have", "with", "for", "is", "on", "it", "as", "was", "by", "at", "this", "are", "from", "or", "an"),
-    "de": ("der", "die", "das", "und", "in", "den", "von", "zu", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au", "sur", "ne", "avec"),
+    "en": ("the", "be", "to", "of", "and", "a", "in", "that", "have", "with", "for", "is", "on", "it", "as", "was", "by", "at", "this", "are", "from", "or",
+        "an"),
+    "de": ("der", "die", "das", "und", "in", "den", "von", "zu", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als",
+        "auch", "es", "an"),
+    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au", "sur", "ne",
+        "avec"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como", "más"),
 }
 
@@ -39,7 +42,8 @@ def repeated_windows(w: Column) -> Column:
 
     def covered(sorted_: Column) -> Column:
         n = F.size(sorted_)
-        pairs = F.zip_with(F.slice(sorted_, F.lit(1), n - 1), F.slice(sorted_, F.lit(2), n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))
+        pairs = F.zip_with(F.slice(sorted_, F.lit(1), n - 1), F.slice(sorted_, F.lit(2), n - 1), lambda a,
+            b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))
         return F.size(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
 
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(

@@ -91,7 +91,8 @@ class _Reader:
         if not m:
             return strings, query
         self.at = m.end()
-        low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(m.group(1)) or (int(m.group(2)), int(m.group(4)) if m.group(4) else None if m.group(3) else int(m.group(2)))
+        low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(m.group(1)) or (int(m.group(2)),
+            int(m.group(4)) if m.group(4) else None if m.group(3) else int(m.group(2)))
         if strings is not None and (low, high) == (0, 1):
             return strings | {""}, NOTHING
         if strings is not None and low == high and len(strings) ** low <= LIMIT:
@@ -178,7 +179,8 @@ def _matches(rule: Rule, asked: Column) -> Column:
     hits = F.regexp_extract_all(text, at, F.lit(0))
     sized = F.regexp_extract_all(text, at, F.lit(rule.group)) if rule.group else hits
     rows = F.transform(F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), sized.alias("part")), lambda x, i: F.struct(
-        F.lit(rule.kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"), (F.length(x["part"]) >= rule.min_chars).alias("ok")))
+        F.lit(rule.kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"),
+            (F.length(x["part"]) >= rule.min_chars).alias("ok")))
     return F.when(asked, F.filter(rows, lambda x: x["len"].isNotNull()))
 
 
@@ -193,7 +195,8 @@ def _spans(texts: DataFrame, asked: dict[Rule, Column | None], rules: tuple[Rule
     order = "(PARTITION BY doc, body, row, m.kind ORDER BY m.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     ends = rows.withColumn("end", F.expr(f"sum(m.gap + m.len) OVER {order}"))
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("m.kind"))
-    span = F.when(F.col("m.ok"), F.struct((F.col("end") - F.col("m.len")).alias("start"), rank.alias("rank"), F.col("m.kind").alias("kind"), F.col("end").alias("end")))
+    span = F.when(F.col("m.ok"), F.struct((F.col("end") - F.col("m.len")).alias("start"), rank.alias("rank"), F.col("m.kind").alias("kind"),
+        F.col("end").alias("end")))
     # Rows that share id and text have the same spans: those of one of them are taken.
     one = ends.groupBy("doc", "body", "row").agg(F.collect_list(span).alias("spans")).groupBy("doc", "body").agg(F.first("spans").alias("spans"))
     return one.withColumn("part", F.lit(part))
@@ -251,7 +254,8 @@ def joined(spans: Column) -> Column:
 def digest(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return scan(docs).select(F.col("doc").alias("doc_id"), *[count(r.kind) for r in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return scan(docs).select(F.col("doc").alias("doc_id"), *[count(r.kind) for r in BASE], F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"))
 
 
 def _sql_kind(rule: Rule, rank: int) -> str:

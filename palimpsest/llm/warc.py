@@ -43,7 +43,8 @@ def record(page: str | None, url: str | None, payload: bytes, digest: str, origi
     ]
     head += [f"X-Page-Id: {quote(str(page), safe='')}"] * (page is not None) + [f"WARC-Target-URI: {target}"] * bool(target)
     if original is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(original)}", f"X-Refers-To-Page: {quote(str(original), safe='')}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(original)}",
+            f"X-Refers-To-Page: {quote(str(original), safe='')}"]
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     return squeeze.compress(raw) + squeeze.flush()
@@ -63,7 +64,8 @@ def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     known = cut(known.where("n > 1").select(F.col("digest").alias("known_digest"), "first"))
     joined = slim.join(known, F.col("digest") == F.col("known_digest"), "left")
     original = F.when(F.col("key") < F.col("first.key"), F.col("first.page"))
-    return joined.select(F.col("page").cast("string").alias("page"), F.col("url").cast("string").alias("url"), "html", "digest", original.cast("string").alias("original"))
+    return joined.select(F.col("page").cast("string").alias("page"), F.col("url").cast("string").alias("url"), "html", "digest",
+        original.cast("string").alias("original"))
 
 
 def write(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
@@ -181,7 +183,8 @@ def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True, id_t
     does not decode to its end is left out, and reading goes on behind its start. Ids are cast to id_type. Of no archives,
     and of empty ones, no rows come.
     """
-    ranges = found.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start")).where("bytes > 0")
+    ranges = found.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)),
+        F.lit(range_bytes).cast("long"))).alias("start")).where("bytes > 0")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -201,7 +204,8 @@ def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True, id_t
                         stored = r.get("warc-payload-digest", "").removeprefix("sha1:")
                         name = lambda k, r=r: unquote(r[k]) if k in r else None
                         rows.append((name("x-page-id"), r.get("warc-target-uri"), r["warc-type"], name("x-refers-to-page"),
-                                     len(r["payload"]) if own else number("x-payload-length"), hashlib.sha1(r["payload"]).hexdigest() if own else stored, stored, r["payload"] if own and payloads else None))
+                                     len(r["payload"]) if own else number("x-payload-length"), hashlib.sha1(r["payload"]).hexdigest() if own else stored,
+                                         stored, r["payload"] if own and payloads else None))
                         held += len(raw)
                         if held > 16 << 20 or len(rows) >= 1000:
                             yield make(rows)

@@ -38,7 +38,8 @@ def test_groups(make):
     base = words(1, 2000).split()
     near = list(base)
     near[7] = "zzz"
-    rows = [(9, None), (3, ""), (4, " "), (5, "hi"), (6, "HI"), (10, " ".join(base)), (11, " ".join(near)), (2, " ".join(base).upper()), (20, words(2, 300)), (20, words(2, 300)), (21, words(3, 200_000)), (None, "lonely text of null"), (None, " ".join(base))]
+    rows = [(9, None), (3, ""), (4, " "), (5, "hi"), (6, "HI"), (10, " ".join(base)), (11, " ".join(near)), (2, " ".join(base).upper()),
+        (20, words(2, 300)), (20, words(2, 300)), (21, words(3, 200_000)), (None, "lonely text of null"), (None, " ".join(base))]
     got = simhash.groups(make(*rows)).collect()
     prints = {i: simhash.fingerprint(t or "") for i, t in rows if i is not None}
     want = brute(prints)

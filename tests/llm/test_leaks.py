@@ -21,7 +21,9 @@ def test_against_brute_force(spark, make):
     changed[20] = "changed"
     far = list(changed)
     far[8] = far[30] = "changed"
-    docs = [(1, words(3, 5000) + " " + passage.upper() + "\n" + words(4, 5000)), (2, passage), (3, " ".join(changed)), (4, " ".join(far)), (5, passage[:60]), (6, None), (7, ""), (8, "two words"), (9, passage + " " + other), (9, passage + " " + other), (10, passage.replace(" ", "\n\t ")), (None, passage), (11, "all of Two words here"), (12, "two other words")]
+    docs = [(1, words(3, 5000) + " " + passage.upper() + "\n" + words(4, 5000)), (2, passage), (3, " ".join(changed)), (4, " ".join(far)),
+        (5, passage[:60]), (6, None), (7, ""), (8, "two words"), (9, passage + " " + other), (9, passage + " " + other),
+            (10, passage.replace(" ", "\n\t ")), (None, passage), (11, "all of Two words here"), (12, "two other words")]
     tests = [(1, passage), (2, other), (3, None), (4, "  "), (5, "Two  words"), (6, passage), (6, passage)]
     for block in (1_000_000, 10):
         got = decontaminate.find_leaks(make(*docs), items(spark, *tests), block=block)

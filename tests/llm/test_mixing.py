@@ -107,7 +107,8 @@ def test_shuffled(make, spark, tmp_path):
     """Each shard, read file by file in order, is in the order of the hashes, and is not the order of the ids."""
     mixed = mixing.mix(make(*[(i, words(i, 30), "en", "ab"[i % 2]) for i in range(200)]), shards=3)
     mixing.shuffled(mixed).write.parquet(str(tmp_path / "out"))
-    rows = spark.read.parquet(str(tmp_path / "out")).select("mix_shard", "mix_order", "doc_id", F.input_file_name().alias("f"), F.shiftright("mix_order", 60).alias("piece")).collect()
+    rows = spark.read.parquet(str(tmp_path / "out")).select("mix_shard", "mix_order", "doc_id", F.input_file_name().alias("f"),
+        F.shiftright("mix_order", 60).alias("piece")).collect()
     assert len(rows) == mixed.count()
     for shard in range(3):
         pieces = {}

@@ -10,7 +10,8 @@ def tables(spark, make, folder):
     line = "a line that many documents of this corpus share"
     leak = words(50, 30)
     rows = [(i, f"{words(i, 150)}\n{line}" if i % 4 == 0 else words(i, 150), "en", "ab"[i % 2]) for i in range(120)]
-    rows += [(200, words(1, 150), "en", "a"), (201, words(2, 150) + ".", "en", "b"), (202, f"{words(60, 80)} {leak} {words(61, 80)}", "en", "a"), (203, "#$%&*" * 200, "en", "a"), (204, None, None, None), (205, "", "en", "b"), (1, words(1, 150), "en", "b")]
+    rows += [(200, words(1, 150), "en", "a"), (201, words(2, 150) + ".", "en", "b"), (202, f"{words(60, 80)} {leak} {words(61, 80)}", "en", "a"),
+        (203, "#$%&*" * 200, "en", "a"), (204, None, None, None), (205, "", "en", "b"), (1, words(1, 150), "en", "b")]
     docs = make(*rows)
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(203, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
