@@ -27,7 +27,8 @@ HEADLINE = (
     "tree_diff", "merge_suppression", "glob_last_wins",
 )
 # commits, files, share of blobs that repeat
-HISTORIES = {"150x30_unique": (150, 30, 0.0), "150x30_reuse90": (150, 30, 0.9), "100x20": (100, 20, 0.5), "500x50": (500, 50, 0.5), "1000x100": (1000, 100, 0.5)}
+HISTORIES = {"150x30_unique": (150, 30, 0.0), "150x30_reuse90": (150, 30, 0.9), "100x20": (100, 20, 0.5), "500x50": (500, 50, 0.5),
+    "1000x100": (1000, 100, 0.5)}
 
 
 def repository(folder: str, commits: int, files: int, reuse: float) -> str:
@@ -65,8 +66,10 @@ def main() -> None:
 
     began = time.perf_counter()
     spark = (
-        SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "16m").getOrCreate()
+        SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory",
+            "8g").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes",
+            "16m").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     start = time.perf_counter() - began
@@ -86,7 +89,8 @@ def main() -> None:
     finally:
         shutil.rmtree(folder, ignore_errors=True)
     total = sum(t for name, t in times.items() if not name.startswith("load_"))
-    print(json.dumps({"metric": "headline queries, best of runs on a warm session", "value": round(total, 3), "unit": "sec", "queries": times, "sf": SF, "session_start": round(start, 2)}))
+    print(json.dumps({"metric": "headline queries, best of runs on a warm session", "value": round(total, 3), "unit": "sec", "queries": times, "sf": SF,
+        "session_start": round(start, 2)}))
 
 
 if __name__ == "__main__":

@@ -98,7 +98,8 @@ class _Translator:
         if not self.flags["i"]:
             return target
         letters = "iI" + TURKISH + FOLDED
-        folds, plain = (dict(zip(letters, pc.match_substring_regex(pa.array(list(letters)), pattern=f"{flags}^(?:{source})$").to_pylist())) for flags in ("(?i)", ""))
+        folds, plain = (dict(zip(letters, pc.match_substring_regex(pa.array(list(letters)),
+            pattern=f"{flags}^(?:{source})$").to_pylist())) for flags in ("(?i)", ""))
         dotted = "iI" + TURKISH
         differ = [c for c in letters if (len({folds[x] for x in dotted}) > 1 if c in dotted else folds[c] != plain[c])]
         into, out = ("".join(c for c in differ if folds[c] is want) for want in (True, False))

@@ -35,7 +35,8 @@ def attribute(matches: DataFrame, occurrences: DataFrame, unique: bool = False)
     """
     if unique:
         return matches.join(occurrences, "blob_oid")
-    one = occurrences.groupBy("path", "commit_sha").agg(F.min_by(F.struct(*[c for c in occurrences.columns if c not in ("path", "commit_sha")]), "blob_oid").alias("o"))
+    one = occurrences.groupBy("path", "commit_sha").agg(F.min_by(F.struct(*[c for c in occurrences.columns if c not in ("path", "commit_sha")]),
+        "blob_oid").alias("o"))
     one = one.select("path", "commit_sha", "o.*")
     return matches.join(one, "blob_oid")
 

@@ -61,7 +61,8 @@ class Graph:
         import pyarrow.compute as pc
 
         dated = "commit_ts" in commits.columns
-        rows = commits.select("sha", "parents", F.unix_micros("commit_ts").alias("ts") if dated else F.lit(0).cast("long").alias("ts")).toArrow().combine_chunks()
+        rows = commits.select("sha", "parents",
+            F.unix_micros("commit_ts").alias("ts") if dated else F.lit(0).cast("long").alias("ts")).toArrow().combine_chunks()
         self.shas = rows.column("sha").combine_chunks()
         lists = pc.fill_null(rows.column("parents").combine_chunks(), [])
         places = pc.index_in(lists.flatten(), value_set=self.shas)
@@ -163,7 +164,8 @@ def jump_tables(commits: DataFrame) -> list[DataFrame]:
     tables = [checkpointed(edges(commits, True).join(known, "parent", "left_semi").select("child", "parent"))]
     while True:
         last = tables[-1]
-        following = last.join(last.select(F.col("child").alias("parent"), F.col("parent").alias("farther")), "parent").select("child", F.col("farther").alias("parent"))
+        following = last.join(last.select(F.col("child").alias("parent"), F.col("parent").alias("farther")), "parent").select("child",
+            F.col("farther").alias("parent"))
         following = checkpointed(following)
         if following.isEmpty():
             return tables

@@ -55,7 +55,8 @@ def line_array(content: Column) -> Column:
 def split_lines(blobs: DataFrame) -> DataFrame:
     """Adds line_num, from 1, and line_text, in place of content and data."""
     keep = [c for c in blobs.columns if c not in ("content", "data")]
-    return blobs.select(*keep, F.posexplode(line_array(F.col("content"))).alias("pos", "line_text")).select(*keep, (F.col("pos") + 1).alias("line_num"), "line_text")
+    return blobs.select(*keep, F.posexplode(line_array(F.col("content"))).alias("pos", "line_text")).select(*keep, (F.col("pos") + 1).alias("line_num"),
+        "line_text")
 
 
 def match_lines(blobs: DataFrame, options: SearchOptions) -> DataFrame:

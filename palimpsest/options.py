@@ -134,7 +134,8 @@ def _check_rev(rev: str, spec: str) -> None:
 
 
 # The date formats that filters accept.
-DATE_FORMATS = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%a, %d %b %Y %H:%M:%S %Z", "%d %b %y %H:%M %Z", "%Y/%m/%d", "%Y/%m/%d %H:%M:%S", "%m/%d/%Y", "%d-%b-%Y")
+DATE_FORMATS = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%a, %d %b %Y %H:%M:%S %Z", "%d %b %y %H:%M %Z", "%Y/%m/%d", "%Y/%m/%d %H:%M:%S",
+    "%m/%d/%Y", "%d-%b-%Y")
 RELATIVE = re.compile(r"(\d+)\s+(second|minute|hour|day|week|month|year)s?(?:\s+ago)?")
 
 
@@ -185,12 +186,15 @@ BOOLEAN = {
     "all-commits": {"expand_commits": True},
     "unordered": {"unordered": True},
 }
-NUMBER = {"context": ("before_context", "after_context"), "after-context": ("after_context",), "before-context": ("before_context",), "max-count": ("max_count",)}
+NUMBER = {"context": ("before_context", "after_context"), "after-context": ("after_context",), "before-context": ("before_context",),
+    "max-count": ("max_count",)}
 TEXT = {"since": "since", "until": "until", "author": "author", "committer": "committer"}
 LISTS = {"glob": "globs", "type": "types", "regexp": "patterns", "branch": "branches"}
 SHORT = {
-    "h": "help", "V": "version", "i": "ignore-case", "s": "case-sensitive", "S": "smart-case", "F": "fixed-strings", "w": "word-regexp", "v": "invert-match", "n": "line-number",
-    "N": "no-line-number", "l": "files-with-matches", "c": "count", "q": "quiet", "a": "text", "H": "heading", "C": "context", "A": "after-context", "B": "before-context",
+    "h": "help", "V": "version", "i": "ignore-case", "s": "case-sensitive", "S": "smart-case", "F": "fixed-strings", "w": "word-regexp",
+        "v": "invert-match", "n": "line-number",
+    "N": "no-line-number", "l": "files-with-matches", "c": "count", "q": "quiet", "a": "text", "H": "heading", "C": "context", "A": "after-context",
+        "B": "before-context",
     "m": "max-count", "g": "glob", "t": "type", "e": "regexp",
 }
 TAKES = {*NUMBER, *TEXT, *LISTS}

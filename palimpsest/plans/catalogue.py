@@ -47,8 +47,10 @@ EDGES = BLOBS + """, edge AS (SELECT blob_oid, CASE length(content) % 5 WHEN 0 T
 
 def _lines_of(source: str) -> str:
     """Lines (blob_oid, content, line_num, line_text) of a table of blobs."""
-    return f"""lines AS (SELECT blob_oid, content, p::INT AS line_num, CASE WHEN ends_with(line, chr(13)) THEN left(line, length(line)::INT - 1) ELSE line END AS line_text
-  FROM (SELECT blob_oid, content, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS p, len(parts) AS n FROM (SELECT blob_oid, content, string_split(content, chr(10)) AS parts FROM {source}))
+    return f"""lines AS (SELECT blob_oid, content, p::INT AS line_num, CASE
+  WHEN ends_with(line, chr(13)) THEN left(line, length(line)::INT - 1) ELSE line END AS line_text
+  FROM (SELECT blob_oid, content, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS p, len(parts) AS n
+  FROM (SELECT blob_oid, content, string_split(content, chr(10)) AS parts FROM {source}))
   WHERE NOT (p = n AND line = ''))"""
 
 
@@ -59,10 +61,12 @@ INTRO = "intro AS (SELECT blob_oid, path, min(ROW(commit_ts, commit_sha, author_
 INTRO += ", sel AS (SELECT blob_oid, path, o[1] AS commit_ts, o[2] AS commit_sha, o[3] AS author_name FROM intro)"
 ORDERS = """o0 AS (SELECT o_orderkey, o_custkey, o_orderdate::TIMESTAMP AS commit_ts, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders),
 firsts AS (SELECT o_custkey + 1 AS o_custkey, min(o_orderkey) AS other FROM orders GROUP BY 1),
-commits AS (SELECT o_orderkey::VARCHAR AS sha, parent::VARCHAR AS p1, CASE WHEN o_orderkey % 5 = 0 AND parent IS NOT NULL AND other IS NOT NULL THEN other::VARCHAR END AS p2, commit_ts, o0.o_custkey AS cust
+commits AS (SELECT o_orderkey::VARCHAR AS sha, parent::VARCHAR AS p1, CASE WHEN o_orderkey % 5 = 0 AND parent IS NOT NULL
+  AND other IS NOT NULL THEN other::VARCHAR END AS p2, commit_ts, o0.o_custkey AS cust
   FROM o0 LEFT JOIN firsts ON o0.o_custkey = firsts.o_custkey),
 edges AS (SELECT sha AS child, p1 AS parent FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT sha, p2 FROM commits WHERE p2 IS NOT NULL)"""
-FILES = """f0 AS (SELECT l_orderkey::VARCHAR AS root, 'part/' || (l_partkey % 40)::VARCHAR || '.txt' AS path, CASE WHEN l_partkey % 10 = 0 THEN 40960 ELSE 33188 END AS mode,
+FILES = """f0 AS (SELECT l_orderkey::VARCHAR AS root, 'part/' || (l_partkey % 40)::VARCHAR || '.txt' AS path, CASE
+  WHEN l_partkey % 10 = 0 THEN 40960 ELSE 33188 END AS mode,
   sha1((l_partkey % 40)::VARCHAR || ':' || (q % 3)::INT::VARCHAR) AS oid FROM (SELECT l_orderkey, l_partkey, min(l_quantity) AS q FROM lineitem GROUP BY ALL)),
 files AS (SELECT root, path, f.mode, f.oid FROM (SELECT root, path, min({'mode': mode, 'oid': oid}) AS f FROM f0 GROUP BY root, path))"""
 
@@ -71,7 +75,8 @@ def _search(name: str, options: SearchOptions, condition: str, edge: bool = Fals
     """Matching lines (blob_oid, line_num, line_text). condition: of `t`, for the blob (if it does not start with NOT) and the line."""
     blob = "true" if condition.startswith("NOT") else condition.replace("$t", "content")
 
-    @register(name, f"WITH {EDGES if edge else BLOBS}, {_lines_of('edge' if edge else 'blobs')} SELECT blob_oid, line_num, line_text FROM lines WHERE {blob} AND {condition.replace('$t', 'line_text')}")
+    @register(name,
+        f"WITH {EDGES if edge else BLOBS}, {_lines_of('edge' if edge else 'blobs')} SELECT blob_oid, line_num, line_text FROM lines WHERE {blob} AND {condition.replace('$t', 'line_text')}")
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         blobs = (tables.edge_blobs if edge else tables.blobs)(spark, sf_dir)
         return text.match_lines(blobs, options).select("blob_oid", "line_num", "line_text")
@@ -118,7 +123,9 @@ def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("submatch_spans", f"""WITH {BLOBS}, {_lines_of('blobs')},
-m AS (SELECT blob_oid, line_num, unnest(range(1, len(h) + 1)) AS i, g, h FROM (SELECT blob_oid, line_num, string_split_regex(line_text, 'é\\w+|th\\w+') AS g, regexp_extract_all(line_text, 'é\\w+|th\\w+') AS h FROM lines WHERE regexp_matches(line_text, 'é\\w+|th\\w+'))),
+m AS (SELECT blob_oid, line_num, unnest(range(1, len(h) + 1)) AS i, g, h
+  FROM (SELECT blob_oid, line_num, string_split_regex(line_text, 'é\\w+|th\\w+') AS g, regexp_extract_all(line_text, 'é\\w+|th\\w+') AS h FROM lines
+  WHERE regexp_matches(line_text, 'é\\w+|th\\w+'))),
 e AS (SELECT blob_oid, line_num, i, octet_length(encode(h[i])) AS n, sum(octet_length(encode(g[i])) + octet_length(encode(h[i]))) OVER (PARTITION BY blob_oid, line_num ORDER BY i) AS e FROM m)
 SELECT blob_oid, line_num, (e - n)::INT AS start, e::INT AS "end" FROM e""")
 def submatch_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,12 +135,14 @@ def submatch_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("max_count", f"""WITH {BLOBS}, {_lines_of('blobs')}
-SELECT blob_oid, line_num, line_text FROM lines WHERE regexp_matches(line_text, '(?m)the') QUALIFY row_number() OVER (PARTITION BY blob_oid ORDER BY line_num) <= 2""")
+SELECT blob_oid, line_num, line_text FROM lines
+  WHERE regexp_matches(line_text, '(?m)the') QUALIFY row_number() OVER (PARTITION BY blob_oid ORDER BY line_num) <= 2""")
 def max_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.match_lines(tables.blobs(spark, sf_dir), O("the", max_count=2)).select("blob_oid", "line_num", "line_text")
 
 
-@register("match_count", f"WITH {BLOBS}, {_lines_of('blobs')} SELECT blob_oid, count(*) AS n_matches FROM lines WHERE regexp_matches(line_text, '(?m)of') GROUP BY blob_oid")
+@register("match_count",
+    f"WITH {BLOBS}, {_lines_of('blobs')} SELECT blob_oid, count(*) AS n_matches FROM lines WHERE regexp_matches(line_text, '(?m)of') GROUP BY blob_oid")
 def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.match_counts(text.match_lines(tables.blobs(spark, sf_dir), O("of")))
 
@@ -141,7 +150,8 @@ def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _context_sql(before: int, after: int) -> str:
     return f"""WITH {BLOBS}, {_lines_of('blobs')},
 h AS (SELECT blob_oid, line_num, line_text, regexp_matches(line_text, 'than\\b') AS hit FROM lines WHERE regexp_matches(content, '(?m)than\\b')),
-n AS (SELECT DISTINCT a.blob_oid, a.line_num, a.line_text, a.hit FROM h a JOIN h b ON a.blob_oid = b.blob_oid AND b.hit AND a.line_num BETWEEN b.line_num - {before} AND b.line_num + {after})
+n AS (SELECT DISTINCT a.blob_oid, a.line_num, a.line_text, a.hit FROM h a JOIN h b ON a.blob_oid = b.blob_oid AND b.hit
+  AND a.line_num BETWEEN b.line_num - {before} AND b.line_num + {after})
 SELECT blob_oid, (sum(new) OVER (PARTITION BY blob_oid ORDER BY line_num))::INT AS group_id, line_num, line_text, hit AS is_match FROM
   (SELECT *, CASE WHEN {'true' if before == after == 0 else 'false'} OR lag(line_num) OVER (PARTITION BY blob_oid ORDER BY line_num) IS NULL OR line_num > 1 + lag(line_num) OVER (PARTITION BY blob_oid ORDER BY line_num) THEN 1 ELSE 0 END AS new FROM n)"""
 
@@ -160,16 +170,20 @@ def binary_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("binary_notice", f"""WITH {OCC}, {INTRO}
-SELECT DISTINCT 'Binary file ' || path || ' matches in ' || left(commit_sha, 7) AS out FROM sel JOIN documents d ON sel.blob_oid = sha1(d.text) WHERE octet_length(encode(text)) < 8000 AND contains(text, 'ing')""")
+SELECT DISTINCT 'Binary file ' || path || ' matches in ' || left(commit_sha, 7) AS out FROM sel JOIN documents d ON sel.blob_oid = sha1(d.text)
+  WHERE octet_length(encode(text)) < 8000 AND contains(text, 'ing')""")
 def binary_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.table(spark, sf_dir, "documents").select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), F.col("text").alias("content"), F.concat(F.encode("text", "UTF-8"), F.lit(b"\0")).alias("data"))
+    docs = tables.table(spark, sf_dir, "documents").select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), F.col("text").alias("content"),
+        F.concat(F.encode("text", "UTF-8"), F.lit(b"\0")).alias("data"))
     found = text.distinct_blobs(docs).where(text.is_binary(F.col("data")) & text.blob_matches(F.col("content"), O("ing", fixed_strings=True)))
-    return attribution.attribute(found.select("blob_oid"), attribution.introducing(tables.document_occurrences(spark, sf_dir))).select(render.binary_notice().alias("out")).distinct()
+    return attribution.attribute(found.select("blob_oid"), attribution.introducing(tables.document_occurrences(spark,
+        sf_dir))).select(render.binary_notice().alias("out")).distinct()
 
 
 @register("blob_dedup", f"WITH {BLOBS} SELECT blob_oid, length(content)::BIGINT AS n FROM blobs")
 def blob_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.distinct_blobs(tables.table(spark, sf_dir, "documents").select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), F.length("text").cast("long").alias("n")))
+    return text.distinct_blobs(tables.table(spark, sf_dir, "documents").select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"),
+        F.length("text").cast("long").alias("n")))
 
 
 @register("quiet_exists", "SELECT count(*) > 0 AS found FROM documents WHERE regexp_matches(text, '(?m)^The .* stupid')")
@@ -185,7 +199,8 @@ def _paths(name: str, keep: Callable[[Column], Column], condition: str) -> None:
 
 
 def _documents(name: str, keep: Callable[[Column], Column], condition: str) -> None:
-    @register(name, f"SELECT doc_id, path FROM (SELECT doc_id, source || '/m' || ((doc_id // 20) % 10)::BIGINT || {EXT} AS path, source || '/m' AS head, {EXT} AS ext, (doc_id // 20) % 10 AS m FROM documents) WHERE {condition}")
+    @register(name,
+        f"SELECT doc_id, path FROM (SELECT doc_id, source || '/m' || ((doc_id // 20) % 10)::BIGINT || {EXT} AS path, source || '/m' AS head, {EXT} AS ext, (doc_id // 20) % 10 AS m FROM documents) WHERE {condition}")
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tables.table(spark, sf_dir, "documents").select("doc_id", tables.document_path().alias("path")).where(keep(F.col("path")))
 
@@ -193,10 +208,13 @@ def _documents(name: str, keep: Callable[[Column], Column], condition: str) -> N
 _documents("path_prefix", lambda p: globs.prefix_filter(p, ["src1", "src3/m4.go", "."]), "starts_with(path, 'src1/') OR path = 'src3/m4.go'")
 _documents("glob_include", lambda p: globs.glob_filter(p, ["*.go", "src2/**"]), "ext = '.go' OR starts_with(path, 'src2/')")
 _documents("glob_exclude", lambda p: globs.glob_filter(p, ["!*.md", "!src1?/**"]), "ext <> '.md' AND NOT regexp_matches(path, '^src1[^/]/')")
-_documents("glob_last_wins", lambda p: globs.glob_filter(p, ["**/*.rs", "!src5/**", "src5/m[1-3].rs", "!src5/m2*"]), "ext = '.rs' AND (NOT starts_with(path, 'src5/') OR m IN (1, 3))")
+_documents("glob_last_wins", lambda p: globs.glob_filter(p, ["**/*.rs", "!src5/**", "src5/m[1-3].rs", "!src5/m2*"]),
+    "ext = '.rs' AND (NOT starts_with(path, 'src5/') OR m IN (1, 3))")
 _documents("file_type", lambda p: globs.type_filter(p, ["py", "Rust ", "sql"]), "ext IN ('.py', '.rs', '.sql')")
-_documents("path_conjunction", lambda p: globs.path_filter(p, ["src1", "src2"], ["!*.txt"], ["md", "go"]), "(starts_with(path, 'src1/') OR starts_with(path, 'src2/')) AND ext IN ('.md', '.go')")
-_paths("glob_pages", lambda p: globs.glob_filter(p, ["*.com/en/*", "!m.*"]), "regexp_matches(path, '^[^/]*\\.com/en/[^/]*$') AND NOT starts_with(regexp_extract(path, '([^/]*)$', 1), 'm.')")
+_documents("path_conjunction", lambda p: globs.path_filter(p, ["src1", "src2"], ["!*.txt"], ["md", "go"]),
+    "(starts_with(path, 'src1/') OR starts_with(path, 'src2/')) AND ext IN ('.md', '.go')")
+_paths("glob_pages", lambda p: globs.glob_filter(p, ["*.com/en/*", "!m.*"]),
+    "regexp_matches(path, '^[^/]*\\.com/en/[^/]*$') AND NOT starts_with(regexp_extract(path, '([^/]*)$', 1), 'm.')")
 
 
 @register("search_pages", "SELECT page_id, (len(regexp_extract_all(html, '(?i)</?p>')))::INT AS n FROM pages WHERE regexp_matches(html, '(?i)</?p>')")
@@ -227,7 +245,8 @@ def _commits(name: str, condition: str, **filters) -> None:
 
 _commits("since", "commit_ts >= TIMESTAMP '2024-01-10 00:00:00'", since="2024-01-10 00:00:00")
 _commits("until", "commit_ts <= TIMESTAMP '2024-01-10 00:00:00'", until="2024-01-10 00:00:00")
-_commits("between_dates", "commit_ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'", since="2024-01-05 00:00:00", until="2024-01-20 00:00:00")
+_commits("between_dates", "commit_ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'", since="2024-01-05 00:00:00",
+    until="2024-01-20 00:00:00")
 _commits("author_filter", "regexp_matches(author, '(?i)USER_1\\d?@')", author=r"USER_1\d?@")
 _commits("committer_filter", "regexp_matches(committer, '(?i)bot (click|view)')", committer="bot (click|view)")
 
@@ -273,17 +292,21 @@ _closure("first_parent", f"""WITH RECURSIVE {ORDERS}, {TIPS}, fp AS (SELECT sha
 {_reach('fp', 'SELECT sha FROM tips')} SELECT sha FROM r""", lambda c, spark: history.ancestors(c, _heads(c), first_parent=True))
 _closure("rev_range", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS}, {_reach('edges', OLD, 'x')} SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""",
          lambda c, spark: history.rev_range(c, _heads(c), _heads(c, "commit_ts < TIMESTAMP '2000-01-01 00:00:00'")).select("sha"))
-_closure("rev_range_by_joins", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS}, {_reach('edges', OLD, 'x')} SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""",
+_closure("rev_range_by_joins",
+    f"""WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS}, {_reach('edges', OLD, 'x')} SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""",
          lambda c, spark: history.ancestors_by_joins(c, _tips(c).select("sha")).join(history.ancestors_by_joins(
              c, _tips(c).join(c.select("sha", "commit_ts"), "sha").where("commit_ts < TIMESTAMP '2000-01-01 00:00:00'").select("sha")), "sha", "left_anti"))
 _closure("all_refs", f"WITH RECURSIVE {ORDERS}, {TIPS}, {ALL_TIPS} SELECT sha FROM r",
          lambda c, spark: select_commits(_order_source(c), O("x", all=True)).select("sha"))
 # Named branches come on top of HEAD; one that does not exist adds nothing.
-_closure("branches", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {HEAD}, {_reach('edges', 'SELECT sha FROM head UNION SELECT sha FROM tips WHERE cust IN (7, 50)')} SELECT sha FROM r""",
+_closure("branches",
+    f"""WITH RECURSIVE {ORDERS}, {TIPS}, {HEAD}, {_reach('edges', 'SELECT sha FROM head UNION SELECT sha FROM tips WHERE cust IN (7, 50)')} SELECT sha FROM r""",
          lambda c, spark: select_commits(_order_source(c), O("x", branches=("cust_7", "cust_50", "nobody"))).select("sha"))
-_closure("rev_spec", f"""WITH RECURSIVE {ORDERS}, {TIPS}, {HEAD}, {_reach('edges', 'SELECT sha FROM head')}, {_reach('edges', 'SELECT p1 AS sha FROM commits WHERE sha IN (SELECT sha FROM head) AND p1 IS NOT NULL', 'x')}
+_closure("rev_spec",
+    f"""WITH RECURSIVE {ORDERS}, {TIPS}, {HEAD}, {_reach('edges', 'SELECT sha FROM head')}, {_reach('edges', 'SELECT p1 AS sha FROM commits WHERE sha IN (SELECT sha FROM head) AND p1 IS NOT NULL', 'x')}
 SELECT sha FROM r WHERE sha NOT IN (SELECT sha FROM x)""", lambda c, spark: select_commits(_order_source(c), O("x", rev_range="HEAD~1..HEAD")).select("sha"))
-_closure("ancestry_tilde", f"WITH {ORDERS}, {TIPS} SELECT t.sha AS tip, c2.p1 AS sha FROM tips t JOIN commits c1 ON c1.sha = t.sha JOIN commits c2 ON c2.sha = c1.p1 WHERE c2.p1 IS NOT NULL",
+_closure("ancestry_tilde",
+    f"WITH {ORDERS}, {TIPS} SELECT t.sha AS tip, c2.p1 AS sha FROM tips t JOIN commits c1 ON c1.sha = t.sha JOIN commits c2 ON c2.sha = c1.p1 WHERE c2.p1 IS NOT NULL",
          lambda c, spark: _tilde(c, 2))
 _closure("walk_order", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY commit_ts DESC, sha) AS walk_seq FROM commits",
          lambda c, spark: history.walk_order(c).select("sha", F.col("walk_seq").cast("long").alias("walk_seq")))
@@ -300,7 +323,8 @@ def _tilde(commits: DataFrame, n: int) -> DataFrame:
 
 DIFF = """diff AS (SELECT c.sha, f.path, f.mode, f.oid FROM commits c JOIN files f ON f.root = c.sha WHERE f.mode = 33188
   AND NOT EXISTS (SELECT 1 FROM files p WHERE p.root = c.p1 AND p.path = f.path AND p.oid = f.oid)),
-kept AS (SELECT * FROM diff d WHERE NOT EXISTS (SELECT 1 FROM commits c JOIN files p ON p.root = c.p2 WHERE c.sha = d.sha AND p.path = d.path AND p.oid = d.oid))"""
+kept AS (SELECT * FROM diff d WHERE NOT EXISTS (SELECT 1 FROM commits c JOIN files p ON p.root = c.p2 WHERE c.sha = d.sha AND p.path = d.path
+  AND p.oid = d.oid))"""
 
 
 @register("tree_diff", f"WITH {ORDERS}, {FILES}, {DIFF} SELECT sha, path, mode, oid FROM diff")
@@ -320,7 +344,8 @@ def merge_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("occurrence_dedup", f"""WITH {ORDERS}, {FILES}, {DIFF}
-SELECT oid AS blob_oid, path, arg_min(k.sha, {{'d': -epoch_us(c.commit_ts), 's': k.sha}}) AS commit_sha FROM kept k JOIN commits c ON c.sha = k.sha GROUP BY oid, path""")
+SELECT oid AS blob_oid, path, arg_min(k.sha, {{'d': -epoch_us(c.commit_ts), 's': k.sha}}) AS commit_sha FROM kept k JOIN commits c ON c.sha = k.sha
+  GROUP BY oid, path""")
 def occurrence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = tables.order_commits(spark, sf_dir)
     found = merge_suppression(spark, sf_dir).join(commits.select("sha", "commit_ts"), "sha").select(
@@ -346,17 +371,21 @@ def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as trees of two levels: a folder a tenth of parts, named in the tree of its order."""
     e = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 10).alias("d"), (F.col("l_partkey") % 4).alias("f")).distinct()
     top, sub = F.col("l_orderkey").cast("string"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("d").cast("string"))
-    folders = e.select(top.alias("tree_oid"), F.lit(0o040000).alias("mode"), F.concat(F.lit("d"), F.col("d").cast("string")).alias("name"), sub.alias("oid")).distinct()
-    files = e.select(sub.alias("tree_oid"), F.lit(0o100644).alias("mode"), F.concat(F.lit("f"), F.col("f").cast("string")).alias("name"), F.concat_ws(":", F.col("d").cast("string"), F.col("f").cast("string")).alias("oid"))
+    folders = e.select(top.alias("tree_oid"), F.lit(0o040000).alias("mode"), F.concat(F.lit("d"), F.col("d").cast("string")).alias("name"),
+        sub.alias("oid")).distinct()
+    files = e.select(sub.alias("tree_oid"), F.lit(0o100644).alias("mode"), F.concat(F.lit("f"), F.col("f").cast("string")).alias("name"),
+        F.concat_ws(":", F.col("d").cast("string"), F.col("f").cast("string")).alias("oid"))
     return history.expand_trees(folders.unionByName(files), e.select(top.alias("tree_oid")).distinct()).select("root", "path", "oid")
 
 
 @register("snapshot_diff", """WITH s AS (SELECT conv_id, turn, role AS path, sha1(text) AS oid FROM conversations)
-SELECT conv_id, turn, path, oid FROM s WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.conv_id = s.conv_id AND p.turn = s.turn - 1 AND p.path = s.path AND p.oid = s.oid)""")
+SELECT conv_id, turn, path, oid FROM s WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.conv_id = s.conv_id AND p.turn = s.turn - 1 AND p.path = s.path
+  AND p.oid = s.oid)""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables.conversation_files(spark, sf_dir)
     commit = lambda turn: F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
-    commits = s.select(commit(F.col("turn")).alias("sha"), commit(F.col("turn")).alias("tree_oid"), F.array(commit(F.col("turn") - 1)).alias("parents")).distinct()
+    commits = s.select(commit(F.col("turn")).alias("sha"), commit(F.col("turn")).alias("tree_oid"),
+        F.array(commit(F.col("turn") - 1)).alias("parents")).distinct()
     files = s.select(commit(F.col("turn")).alias("root"), "path", F.lit(0o100644).alias("mode"), "oid")
     at = F.split("sha", "/")
     return history.tree_diff(commits, files).select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "path", "oid")
@@ -373,7 +402,8 @@ def expand_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HITS = f"""{BLOBS}, {_lines_of('blobs')}, {OCC}, {INTRO}, one AS (SELECT path, commit_sha, min(blob_oid) AS blob_oid FROM sel GROUP BY ALL),
-hits AS (SELECT s.*, l.line_num, l.line_text FROM lines l JOIN sel s ON s.blob_oid = l.blob_oid JOIN one o ON o.path = s.path AND o.commit_sha = s.commit_sha AND o.blob_oid = s.blob_oid WHERE regexp_matches(line_text, '(?m)hation\\b'))"""
+hits AS (SELECT s.*, l.line_num, l.line_text FROM lines l JOIN sel s ON s.blob_oid = l.blob_oid JOIN one o ON o.path = s.path
+  AND o.commit_sha = s.commit_sha AND o.blob_oid = s.blob_oid WHERE regexp_matches(line_text, '(?m)hation\\b'))"""
 
 
 def _source(spark: SparkSession, sf_dir: str) -> Source:
@@ -398,13 +428,15 @@ def provenance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def author_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.table(spark, sf_dir, "events")
     name = F.concat(F.lit("user_"), F.col("user_id"))
-    return e.select("event_id", attribution.author(F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(name), F.concat(name, F.lit(" <x>"))).alias("author"))
+    return e.select("event_id", attribution.author(F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(name),
+        F.concat(name, F.lit(" <x>"))).alias("author"))
 
 
 RANKS = """c AS (SELECT DISTINCT path, commit_sha, commit_ts FROM occ), n AS (SELECT path, max(commit_ts) AS newest FROM c GROUP BY path), r AS (SELECT path, row_number() OVER (ORDER BY newest DESC, path) AS file_rank FROM n)"""
 
 
-@register("sort_commits", f"WITH {OCC}, {RANKS} SELECT path, commit_sha, row_number() OVER (PARTITION BY path ORDER BY commit_ts DESC, commit_sha DESC) AS commit_rank FROM c")
+@register("sort_commits",
+    f"WITH {OCC}, {RANKS} SELECT path, commit_sha, row_number() OVER (PARTITION BY path ORDER BY commit_ts DESC, commit_sha DESC) AS commit_rank FROM c")
 def sort_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.ranked(tables.document_occurrences(spark, sf_dir)).select("path", "commit_sha", F.col("commit_rank").cast("long").alias("commit_rank"))
 
@@ -434,27 +466,33 @@ def count_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, color="never", count=True).out().select("out")
 
 
-@register("grouped", f"WITH {HITS} SELECT path, '[' || left(commit_sha, 7) || ' ' || strftime(commit_ts, '%Y-%m-%d') || ' ' || author_name || ']' AS header, line_num || ':' || line_text AS out FROM hits")
+@register("grouped",
+    f"WITH {HITS} SELECT path, '[' || left(commit_sha, 7) || ' ' || strftime(commit_ts, '%Y-%m-%d') || ' ' || author_name || ']' AS header, line_num || ':' || line_text AS out FROM hits")
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, color="never").rows.select("path", render.subheader().alias("header"), render.grouped_line().alias("out"))
 
 
-@register("identity_parse", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'user ' || user_id ELSE 'user ' || user_id END AS name, CASE WHEN event_id % 4 = 0 THEN '' ELSE user_id || '@x.org' END AS email,
+@register("identity_parse",
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'user ' || user_id ELSE 'user ' || user_id END AS name, CASE
+  WHEN event_id % 4 = 0 THEN '' ELSE user_id || '@x.org' END AS email,
 CASE WHEN event_id % 4 <> 0 THEN (event_id * 1000)::BIGINT END AS seconds, CASE WHEN event_id % 4 <> 0 THEN '+0200' END AS tz FROM events""")
 def identity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.table(spark, sf_dir, "events")
     name = F.concat(F.lit("user "), F.col("user_id").cast("string"))
     whole = F.concat(name, F.lit(" <"), F.col("user_id").cast("string"), F.lit("@x.org> "), (F.col("event_id") * 1000).cast("string"), F.lit(" +0200"))
     raw = e.select("event_id", F.when(F.col("event_id") % 4 == 0, name).otherwise(whole).alias("who"))
-    return gitstore.parse_identities(raw, "who").select("event_id", F.col("who_name").alias("name"), F.col("who_email").alias("email"), F.unix_seconds("who_ts").alias("seconds"), F.col("who_tz").alias("tz"))
+    return gitstore.parse_identities(raw, "who").select("event_id", F.col("who_name").alias("name"), F.col("who_email").alias("email"),
+        F.unix_seconds("who_ts").alias("seconds"), F.col("who_tz").alias("tz"))
 
 
-@register("commit_parse", f"""WITH {ORDERS} SELECT sha, sha1(sha) AS tree_oid, (CASE WHEN p1 IS NULL THEN 0 WHEN p2 IS NULL THEN 1 ELSE 2 END)::INT AS n_parents, 'cust ' || cust AS author_name, sha::BIGINT AS seconds, 'order ' || sha AS summary FROM commits""")
+@register("commit_parse",
+    f"""WITH {ORDERS} SELECT sha, sha1(sha) AS tree_oid, (CASE WHEN p1 IS NULL THEN 0 WHEN p2 IS NULL THEN 1 ELSE 2 END)::INT AS n_parents, 'cust ' || cust AS author_name, sha::BIGINT AS seconds, 'order ' || sha AS summary FROM commits""")
 def commit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.order_commits(spark, sf_dir)
     who = F.concat(F.lit("cust "), F.col("cust"), F.lit(" <c@x.org> "), F.col("sha"), F.lit(" +0100"))
     parents = F.array_join(F.transform("parents", lambda p: F.concat(F.lit("parent "), F.sha1(p), F.lit("\n"))), "")
-    data = F.concat(F.lit("tree "), F.sha1("sha"), F.lit("\n"), parents, F.lit("author "), who, F.lit("\ncommitter "), who, F.lit("\ngpgsig -----BEGIN\n more\n -----END\n\n\n order "), F.col("sha"), F.lit(" \n\nbody\n"))
+    data = F.concat(F.lit("tree "), F.sha1("sha"), F.lit("\n"), parents, F.lit("author "), who, F.lit("\ncommitter "), who,
+        F.lit("\ngpgsig -----BEGIN\n more\n -----END\n\n\n order "), F.col("sha"), F.lit(" \n\nbody\n"))
     parsed = gitstore.parse_commits(c.select(F.col("sha").alias("oid"), F.lit("commit").alias("type"), F.encode(data, "UTF-8").alias("data")))
     return parsed.select("sha", "tree_oid", F.size("parents").alias("n_parents"), "author_name", F.unix_seconds("commit_ts").alias("seconds"), "summary")
 
@@ -478,7 +516,8 @@ def git_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         for b in batches:
             read = [decode(zlib.compress(b"blob %d\0" % len(d) + d))[1] for d in b.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.sha1(d).hexdigest() for d in read]), pa.array([len(d) for d in read], pa.int64())], names=["doc_id", "oid", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.sha1(d).hexdigest() for d in read]),
+                pa.array([len(d) for d in read], pa.int64())], names=["doc_id", "oid", "size"])
 
     return _objects(spark, sf_dir, run)
 
@@ -509,17 +548,20 @@ def git_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         for b in batches:
             read = [apply(d, varint(len(d)) + varint(2 * len(d) + 2) + copies(len(d)) + b"\x02!!" + copies(len(d))) for d in b.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.sha1(d).hexdigest() for d in read]), pa.array([len(d) for d in read], pa.int64())], names=["doc_id", "oid", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.sha1(d).hexdigest() for d in read]),
+                pa.array([len(d) for d in read], pa.int64())], names=["doc_id", "oid", "size"])
 
     return _objects(spark, sf_dir, run)
 
 
 @register("git_tree", """WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
-SELECT l_orderkey::VARCHAR AS tree_oid, 'p' || l_partkey AS name, CASE WHEN l_partkey % 10 = 0 THEN 40960 ELSE 33188 END AS mode, sha1(l_partkey::VARCHAR) AS oid FROM e""")
+SELECT l_orderkey::VARCHAR AS tree_oid, 'p' || l_partkey AS name, CASE
+  WHEN l_partkey % 10 = 0 THEN 40960 ELSE 33188 END AS mode, sha1(l_partkey::VARCHAR) AS oid FROM e""")
 def git_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tree objects, encoded by Spark and parsed."""
     e = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    entry = F.concat(F.hex(F.concat(F.when(F.col("l_partkey") % 10 == 0, F.lit("120000")).otherwise(F.lit("100644")), F.lit(" p"), F.col("l_partkey").cast("string"))), F.lit("00"), F.sha1(F.col("l_partkey").cast("string")))
+    entry = F.concat(F.hex(F.concat(F.when(F.col("l_partkey") % 10 == 0, F.lit("120000")).otherwise(F.lit("100644")), F.lit(" p"),
+        F.col("l_partkey").cast("string"))), F.lit("00"), F.sha1(F.col("l_partkey").cast("string")))
     trees = e.groupBy(F.col("l_orderkey").cast("string").alias("oid")).agg(F.unhex(F.array_join(F.sort_array(F.collect_list(entry)), "")).alias("data"))
     return gitstore.parse_trees(trees.withColumn("type", F.lit("tree"))).select("tree_oid", "name", "mode", "oid")
 
@@ -538,7 +580,9 @@ def _repository(spark: SparkSession, sf_dir: str) -> str:
     folder = history.shared_folder(spark, "repository")
     made = History(folder)
     docs = tables.table(spark, sf_dir, "documents").select(
-        "doc_id", (F.floor(F.col("doc_id") / BATCH)).cast("long").alias("k"), F.concat(F.coalesce("source", F.lit("none")), F.lit("/b"), (F.floor(F.col("doc_id") / BATCH)).cast("string"), F.lit("/"), F.col("doc_id"), F.regexp_extract(tables.document_path(), r"(\.\w+)$", 1)).alias("path"),
+        "doc_id", (F.floor(F.col("doc_id") / BATCH)).cast("long").alias("k"), F.concat(F.coalesce("source", F.lit("none")), F.lit("/b"),
+            (F.floor(F.col("doc_id") / BATCH)).cast("string"), F.lit("/"), F.col("doc_id"),
+                F.regexp_extract(tables.document_path(), r"(\.\w+)$", 1)).alias("path"),
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     head = F.concat(F.lit("blob "), F.octet_length("data").cast("string"), F.lit("\0"))
     docs = docs.withColumn("oid", F.sha1(F.concat(F.encode(head, "UTF-8"), F.col("data"))))
@@ -571,7 +615,8 @@ def _in_repository(spark: SparkSession, sf_dir: str, **options):
 
 def _git_search(name: str, condition: str, **options) -> None:
     sql = f"""WITH {REPO}, blobs AS (SELECT DISTINCT oid AS blob_oid, text AS content FROM d WHERE oid NOT IN (SELECT oid FROM broken)), {_lines_of('blobs')}
-SELECT path, summary, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%d') AS commit_date, line_num, line_text FROM lines l JOIN d ON d.oid = l.blob_oid JOIN batch b ON b.k = d.k WHERE regexp_matches(line_text, '(?m)hation\\b') AND {condition}"""
+SELECT path, summary, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%d') AS commit_date, line_num, line_text FROM lines l
+  JOIN d ON d.oid = l.blob_oid JOIN batch b ON b.k = d.k WHERE regexp_matches(line_text, '(?m)hation\\b') AND {condition}"""
 
     @register(name, sql)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -584,7 +629,8 @@ _git_search("git_search_dates", f"seconds >= {START + 3 * DAY} AND seconds <= {S
 _git_search("git_search_paths", "starts_with(path, 'src1/') AND ends_with(path, '.go')", paths=("src1/",), types=("go",))
 
 
-@register("git_objects", f"WITH {REPO} SELECT DISTINCT oid, 'blob' AS type, octet_length(encode(text))::BIGINT AS size FROM d WHERE oid NOT IN (SELECT oid FROM broken)")
+@register("git_objects",
+    f"WITH {REPO} SELECT DISTINCT oid, 'blob' AS type, octet_length(encode(text))::BIGINT AS size FROM d WHERE oid NOT IN (SELECT oid FROM broken)")
 def git_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo = gitstore.discover(_repository(spark, sf_dir), {})
     return gitstore.objects(spark, repo, "blob").where("error IS NULL").select("oid", "type", "size")
@@ -607,7 +653,8 @@ def git_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, short string, sha string").join(commits.select("sha", "summary"), "sha").select("name", "summary", "short")
 
 
-@register("commit_summary", f"WITH {REPO} SELECT summary, seconds::BIGINT AS seconds, CASE WHEN back + 1 = (SELECT count(*) FROM batch) THEN 0 ELSE 1 END::INT AS n_parents FROM batch")
+@register("commit_summary",
+    f"WITH {REPO} SELECT summary, seconds::BIGINT AS seconds, CASE WHEN back + 1 = (SELECT count(*) FROM batch) THEN 0 ELSE 1 END::INT AS n_parents FROM batch")
 def commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = from_git(spark, _repository(spark, sf_dir), {}).commits
     return commits.select("summary", F.unix_seconds("commit_ts").alias("seconds"), F.size("parents").alias("n_parents"))
@@ -632,8 +679,10 @@ def _report(spark: SparkSession, sf_dir: str, color: bool = False, **options) ->
     return spark.createDataFrame(list(enumerate(lines, 1)), "n long, out string")
 
 
-REPORT = f"""WITH {HITS}, n AS (SELECT path, max(commit_ts) AS newest FROM hits GROUP BY path), f AS (SELECT path, row_number() OVER (ORDER BY newest DESC, path) AS fr FROM n),
-c AS (SELECT DISTINCT path, commit_sha, commit_ts, author_name FROM hits), cr AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY commit_ts DESC, commit_sha DESC) AS cr FROM c)"""
+REPORT = f"""WITH {HITS}, n AS (SELECT path, max(commit_ts) AS newest FROM hits
+  GROUP BY path), f AS (SELECT path, row_number() OVER (ORDER BY newest DESC, path) AS fr FROM n),
+c AS (SELECT DISTINCT path, commit_sha, commit_ts, author_name
+  FROM hits), cr AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY commit_ts DESC, commit_sha DESC) AS cr FROM c)"""
 
 
 @register("grouped_report", f"""{REPORT}, rows_ AS (
@@ -649,20 +698,23 @@ def _painted(code: str, what: str) -> str:
     return f"chr(27) || '[{code}m' || {what} || chr(27) || '[0m'"
 
 
-@register("color_report", f"""{REPORT} SELECT row_number() OVER (ORDER BY fr, cr, line_num) AS n, {_painted('33', 'left(commit_sha, 7)')} || {_painted('36', "':'")} || {_painted('35', 'path')} || {_painted('36', "':'")}
+@register("color_report",
+    f"""{REPORT} SELECT row_number() OVER (ORDER BY fr, cr, line_num) AS n, {_painted('33', 'left(commit_sha, 7)')} || {_painted('36', "':'")} || {_painted('35', 'path')} || {_painted('36', "':'")}
 || {_painted('32', 'line_num')} || {_painted('36', "':'")} || regexp_replace(line_text, '(hation)\\b', chr(27) || '[1;31m' || '\\1' || chr(27) || '[0m', 'g') AS out FROM hits JOIN cr USING (path, commit_sha) JOIN f USING (path)""")
 def color_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir, color=True, heading=False)
 
 
-@register("stream_counts", f"WITH {BLOBS}, {_lines_of('blobs')} SELECT blob_oid, count(*) AS n_matches FROM lines WHERE regexp_matches(line_text, '(?m)of') GROUP BY blob_oid")
+@register("stream_counts",
+    f"WITH {BLOBS}, {_lines_of('blobs')} SELECT blob_oid, count(*) AS n_matches FROM lines WHERE regexp_matches(line_text, '(?m)of') GROUP BY blob_oid")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive as a stream, are searched as they come, and each micro-batch is told to a sink."""
     from palimpsest.streaming.search import aggregate_channel, stream_matches
 
     schema = tables.table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(f"{sf_dir}/documents.parquet*")
-    blobs = docs.select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), F.col("text").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("arrived"))
+    blobs = docs.select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), F.col("text").alias("content"),
+        F.lit("2024-01-01").cast("timestamp").alias("arrived"))
     out = history.shared_folder(spark, "stream")
     query = aggregate_channel(stream_matches(blobs, O("of")), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/told/batch={n}"), f"{out}/state")
     query.awaitTermination()
@@ -671,12 +723,18 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Command lines and what they mean: pattern, revision, paths, flags that are set.
 _LINES = [
-    (("-i", "pat", "HEAD~2", "src"), "pat", "HEAD~2", "src", "ignore_case"), (("-e", "a", "-e", "b", "main"), "a b", "main", "", ""), (("-lcv", "x"), "x", "", "", "invert_match files_with_matches count"),
-    (("-C3", "x", "--", "p", "-q"), "x", "", "p -q", "before_context=3 after_context=3"), (("-A", "1", "-B2", "-m=7", "x"), "x", "", "", "before_context=2 after_context=1 max_count=7"),
-    (("--no-heading", "-N", "x"), "x", "", "", "!line_number !heading"), (("--line-number=no", "x"), "x", "", "", "!line_number"), (("-S", "--ignore-case=false", "x"), "x", "", "", "case_sensitive smart_case"),
-    (("--all-commits", "--first-parent", "--unordered", "-a", "x"), "x", "", "", "text first_parent expand_commits unordered"), (("-g", "*.go", "-t", "py", "--branch=dev", "x"), "x", "", "", "globs=*.go types=py branches=dev"),
-    (("--since", "2024-01-01", "--until=now", "--author", "A", "--committer=B", "x"), "x", "", "", "since=2024-01-01 until=now author=A committer=B"), (("-F", "-w", "--all", "-q", "x"), "x", "", "", "fixed_strings word_regexp quiet all"),
-    (("--color", "never", "x"), "x", "", "", "color=never"), (("--color", "x"), "x", "", "", "color=always"), (("-m", "-1", "x"), None, None, None, None), (("--nope", "x"), None, None, None, None), ((), None, None, None, None),
+    (("-i", "pat", "HEAD~2", "src"), "pat", "HEAD~2", "src", "ignore_case"), (("-e", "a", "-e", "b", "main"), "a b", "main", "", ""),
+        (("-lcv", "x"), "x", "", "", "invert_match files_with_matches count"),
+    (("-C3", "x", "--", "p", "-q"), "x", "", "p -q", "before_context=3 after_context=3"),
+        (("-A", "1", "-B2", "-m=7", "x"), "x", "", "", "before_context=2 after_context=1 max_count=7"),
+    (("--no-heading", "-N", "x"), "x", "", "", "!line_number !heading"), (("--line-number=no", "x"), "x", "", "", "!line_number"),
+        (("-S", "--ignore-case=false", "x"), "x", "", "", "case_sensitive smart_case"),
+    (("--all-commits", "--first-parent", "--unordered", "-a", "x"), "x", "", "", "text first_parent expand_commits unordered"),
+        (("-g", "*.go", "-t", "py", "--branch=dev", "x"), "x", "", "", "globs=*.go types=py branches=dev"),
+    (("--since", "2024-01-01", "--until=now", "--author", "A", "--committer=B", "x"), "x", "", "", "since=2024-01-01 until=now author=A committer=B"),
+        (("-F", "-w", "--all", "-q", "x"), "x", "", "", "fixed_strings word_regexp quiet all"),
+    (("--color", "never", "x"), "x", "", "", "color=never"), (("--color", "x"), "x", "", "", "color=always"), (("-m", "-1", "x"), None, None, None, None),
+        (("--nope", "x"), None, None, None, None), ((), None, None, None, None),
 ]
 _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else "'" + v + "'" for v in (" ".join(a), *rest)) + ")" for a, *rest in _LINES)
 

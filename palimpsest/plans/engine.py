@@ -107,14 +107,17 @@ def occurrences(source: Source, options: SearchOptions) -> DataFrame:
     commits = select_commits(source, options)
     date = F.date_format("commit_ts", "yyyy-MM-dd")
     if "commit_tz" in commits.columns:  # the date where the commit was made
-        minutes = F.concat(F.substring("commit_tz", 1, 1), F.lit("1")).cast("int") * (F.substring("commit_tz", 2, 2).cast("int") * 60 + F.substring("commit_tz", 4, 2).cast("int"))
+        minutes = F.concat(F.substring("commit_tz", 1, 1), F.lit("1")).cast("int") * (F.substring("commit_tz", 2,
+            2).cast("int") * 60 + F.substring("commit_tz", 4, 2).cast("int"))
         date = F.date_format(F.col("commit_ts") + F.coalesce(F.make_dt_interval(mins=minutes), F.make_dt_interval()), "yyyy-MM-dd")
     summary = F.col("summary") if "summary" in commits.columns else F.lit("")
-    told = ("commit_ts", F.coalesce(date, F.lit("")).alias("commit_date"), attribution.author(F.col("author_name"), F.col("author")).alias("author"), summary.alias("summary"), "walk_seq")
+    told = ("commit_ts", F.coalesce(date, F.lit("")).alias("commit_date"), attribution.author(F.col("author_name"), F.col("author")).alias("author"),
+        summary.alias("summary"), "walk_seq")
     expand, first = options.expand_commits, options.first_parent
     if source.repo is not None:
         changed = gitstore.tree_changes(commits.select("sha", "tree_oid", "parents", *told), source.repo, expand, first)
-        placed = changed.select(F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"), "commit_ts", "commit_date", "author", "summary", "walk_seq")
+        placed = changed.select(F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"), "commit_ts", "commit_date", "author", "summary",
+            "walk_seq")
     else:
         named = commits.select(F.col("sha").alias("commit_sha"), *told)
         if source.occurrences is not None:
@@ -208,6 +211,7 @@ def search(spark: SparkSession, source: Source, options: SearchOptions) -> Searc
     if options.text:
         found = hits
     else:
-        notices = good.where(binary & text.blob_matches(F.col("content"), options)).select("blob_oid", F.lit(0).alias("group_id"), F.lit(0).alias("line_num"), F.lit("").alias("line_text"))
+        notices = good.where(binary & text.blob_matches(F.col("content"), options)).select("blob_oid", F.lit(0).alias("group_id"),
+            F.lit(0).alias("line_num"), F.lit("").alias("line_text"))
         found = hits.unionByName(notices.withColumns({"is_match": F.lit(False), "is_binary": F.lit(True), "submatches": F.lit(None).cast(NO_SPANS)}))
     return SearchResult(attribution.attribute(found, where, source.occurrences is None), skipped, options)

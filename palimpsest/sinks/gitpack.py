@@ -163,11 +163,13 @@ class History:
     def _tree(self, node: dict) -> str:
         if "" not in node:
             entries = [(n + "/" * isinstance(v, dict), n, ("40000", self._tree(v)) if isinstance(v, dict) else v) for n, v in node.items()]
-            node[""] = self.put("tree", b"".join(f"{mode} {n}\0".encode() + bytes.fromhex(oid) for _, n, (mode, oid) in sorted(entries, key=lambda e: e[0].encode())))
+            node[""] = self.put("tree", b"".join(f"{mode} {n}\0".encode() + bytes.fromhex(oid) for _, n,
+                (mode, oid) in sorted(entries, key=lambda e: e[0].encode())))
         return node[""]
 
     def commit(self, when: int, message: str, *parents: str, author: str = "Ann <ann@example.com>") -> str:
-        lines = [f"tree {self._tree(self.root)}", *[f"parent {p}" for p in parents], f"author {author} {when} +0000", f"committer {author} {when} +0000", "", message, ""]
+        lines = [f"tree {self._tree(self.root)}", *[f"parent {p}" for p in parents], f"author {author} {when} +0000", f"committer {author} {when} +0000",
+            "", message, ""]
         return self.put("commit", "\n".join(lines).encode())
 
     def ref(self, name: str, sha: str, packed: bool = False) -> None:

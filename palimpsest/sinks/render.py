@@ -33,7 +33,8 @@ def shown(text: Column) -> Column:
 def single_line(rows: DataFrame, line_number: bool = True) -> DataFrame:
     """Adds `out`: sha:path:line:text, with - in place of every : on context lines."""
     sep = F.when(F.col("is_match"), ":").otherwise("-")
-    parts = [short(F.col("commit_sha")), sep, F.col("path"), sep] + ([F.col("line_num").cast("string"), sep] if line_number else []) + [shown(F.col("line_text"))]
+    parts = [short(F.col("commit_sha")), sep, F.col("path"), sep] + ([F.col("line_num").cast("string"),
+        sep] if line_number else []) + [shown(F.col("line_text"))]
     return rows.withColumn("out", F.when(F.col("is_binary"), binary_notice()).otherwise(F.concat(*parts)))
 
 

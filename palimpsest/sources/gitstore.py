@@ -554,7 +554,8 @@ def read_blobs(oids: DataFrame, repo: Repository) -> DataFrame:
 
         store = Store(common)
         kinds = (pa.string(), pa.string(), pa.bool_(), pa.string())
-        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["blob_oid", "content", "is_binary", "error"])
+        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)],
+            names=["blob_oid", "content", "is_binary", "error"])
         for batch in batches:
             held, n = [], 0
             for oid in batch.column(0).to_pylist():
@@ -670,7 +671,8 @@ def tree_changes(commits: DataFrame, repo: Repository, expand_commits: bool = Fa
             def flush():
                 columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns]
                 paths, modes, oids = zip(*found) if found else ((), (), ())
-                return pa.RecordBatch.from_arrays([*columns, pa.array(paths, pa.string()), pa.array(modes, pa.int32()), pa.array(oids, pa.string())], names=[*batch.schema.names, "path", "mode", "oid"])
+                return pa.RecordBatch.from_arrays([*columns, pa.array(paths, pa.string()), pa.array(modes, pa.int32()), pa.array(oids, pa.string())],
+                    names=[*batch.schema.names, "path", "mode", "oid"])
 
             for k, (new, parents) in enumerate(zip(batch.column("tree_oid").to_pylist(), batch.column("parents").to_pylist())):
                 parents = [] if expand_commits else parents or []
@@ -737,12 +739,15 @@ def parse_trees(objects_: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(oid, i, *entry) for oid, data in zip(batch.column("oid").to_pylist(), batch.column("data").to_pylist()) for i, entry in enumerate(tree_entries(data))]
+            rows = [(oid, i, *entry) for oid, data in zip(batch.column("oid").to_pylist(), batch.column("data").to_pylist()) for i,
+                entry in enumerate(tree_entries(data))]
             cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["tree_oid", "ord", "mode", "name", "oid"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))],
+                names=["tree_oid", "ord", "mode", "name", "oid"])
 
     ship(objects_.sparkSession)
-    return objects_.where("type = 'tree' AND data IS NOT NULL").select("oid", "data").mapInArrow(run, "tree_oid string, ord int, mode int, name string, oid string")
+    return objects_.where("type = 'tree' AND data IS NOT NULL").select("oid", "data").mapInArrow(run,
+        "tree_oid string, ord int, mode int, name string, oid string")
 
 
 def tree_entries(data: bytes) -> list[tuple[int, str, str]]:

@@ -15,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct texts of documents by their hash."""
-    return table(spark, sf_dir, "documents").select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), F.col("text").alias("content")).dropDuplicates(["blob_oid"])
+    return table(spark, sf_dir, "documents").select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"),
+        F.col("text").alias("content")).dropDuplicates(["blob_oid"])
 
 
 def edge_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blobs of which a fifth ends in a carriage return and line feed, and a fifth in a line feed."""
     n = F.pmod(F.length("content"), F.lit(5))
-    return blobs(spark, sf_dir).withColumn("content", F.when(n == 0, F.concat("content", F.lit("\r\n"))).when(n == 1, F.concat("content", F.lit("\n"))).otherwise(F.col("content")))
+    return blobs(spark, sf_dir).withColumn("content", F.when(n == 0, F.concat("content", F.lit("\r\n"))).when(n == 1,
+        F.concat("content", F.lit("\n"))).otherwise(F.col("content")))
 
 
 def document_path() -> Column:
@@ -32,7 +34,8 @@ def document_path() -> Column:
 def document_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(blob_oid, path, commit_sha, commit_ts, author_name): a document occurs in the commit of the event of its number."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), document_path().alias("path"))
-    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("commit_ts"), F.concat(F.lit("user_"), F.col("user_id")).alias("author_name"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("commit_ts"),
+        F.concat(F.lit("user_"), F.col("user_id")).alias("author_name"))
     return docs.join(events, F.col("doc_id") == F.col("event_id")).select(
         "blob_oid", "path", F.sha1(F.col("doc_id").cast("string")).alias("commit_sha"), "commit_ts", "author_name")
 
@@ -44,8 +47,10 @@ def document_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.concat(name, F.lit("@example.com"))
     who = F.concat(name, F.lit(" <"), mail, F.lit(">"))
     return e.select(
-        F.sha1(F.col("event_id").cast("string")).alias("sha"), F.lit(None).cast("string").alias("tree_oid"), F.array().cast("array<string>").alias("parents"), F.col("ts").cast("timestamp").alias("commit_ts"),
-        who.alias("author"), name.alias("author_name"), mail.alias("author_email"), F.concat(F.lit("bot "), F.col("event_type")).alias("committer"), F.concat(F.lit("bot "), F.col("event_type")).alias("committer_name"), F.lit("").alias("committer_email"))
+        F.sha1(F.col("event_id").cast("string")).alias("sha"), F.lit(None).cast("string").alias("tree_oid"),
+            F.array().cast("array<string>").alias("parents"), F.col("ts").cast("timestamp").alias("commit_ts"),
+        who.alias("author"), name.alias("author_name"), mail.alias("author_email"), F.concat(F.lit("bot "), F.col("event_type")).alias("committer"),
+            F.concat(F.lit("bot "), F.col("event_type")).alias("committer_name"), F.lit("").alias("committer_email"))
 
 
 def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,8 @@ def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderkey").cast("string").alias("tree_oid"),
         F.filter(F.array(F.col("parent").cast("string"), F.when(merge, F.col("other").cast("string"))), lambda p: p.isNotNull()).alias("parents"),
-        "commit_ts", F.col("o_custkey").alias("cust"), name.alias("author"), name.alias("author_name"), F.concat(name, F.lit("@example.com")).alias("author_email"))
+        "commit_ts", F.col("o_custkey").alias("cust"), name.alias("author"), name.alias("author_name"),
+            F.concat(name, F.lit("@example.com")).alias("author_email"))
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,8 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = li.groupBy("l_orderkey", "l_partkey").agg(F.min("l_quantity").alias("q"))
     return one.select(
         F.col("l_orderkey").cast("string").alias("root"), F.concat(F.lit("part/"), (F.col("l_partkey") % 40).cast("string"), F.lit(".txt")).alias("path"),
-        F.when(F.col("l_partkey") % 10 == 0, 0o120000).otherwise(0o100644).alias("mode"), F.sha1(F.concat((F.col("l_partkey") % 40).cast("string"), F.lit(":"), (F.col("q") % 3).cast("int").cast("string"))).alias("oid"),
+        F.when(F.col("l_partkey") % 10 == 0, 0o120000).otherwise(0o100644).alias("mode"),
+            F.sha1(F.concat((F.col("l_partkey") % 40).cast("string"), F.lit(":"), (F.col("q") % 3).cast("int").cast("string"))).alias("oid"),
     ).groupBy("root", "path").agg(F.min(F.struct("mode", "oid")).alias("f")).select("root", "path", "f.mode", "f.oid")
 
 

@@ -48,5 +48,6 @@ def stream_matches(blobs: DataFrame, options: SearchOptions, occurrences: DataFr
 def aggregate_channel(matches: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Feeds each micro-batch of matches to a sink as counts per blob; stop() of what is returned cancels."""
     keys = [c for c in ("blob_oid", "path", "commit_sha") if c in matches.columns]
-    writer = matches.writeStream.foreachBatch(lambda df, n: sink(df.groupBy(*keys).agg(F.count("*").alias("n_matches")), n)).option("checkpointLocation", checkpoint)
+    writer = matches.writeStream.foreachBatch(lambda df, n: sink(df.groupBy(*keys).agg(F.count("*").alias("n_matches")), n)).option("checkpointLocation",
+        checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

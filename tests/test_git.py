@@ -102,7 +102,8 @@ def test_depth(tmp_path):
     chain = [(oid("blob", b"x0"), 3, b"x0", b"")]
     for k in range(1, 53):
         before = chain[-1][0]
-        chain.append((oid("blob", b"x%d" % k), 7, varint(len(b"x%d" % (k - 1))) + varint(len(b"x%d" % k)) + bytes([len(b"x%d" % k)]) + b"x%d" % k, bytes.fromhex(before)))
+        chain.append((oid("blob", b"x%d" % k), 7, varint(len(b"x%d" % (k - 1))) + varint(len(b"x%d" % k)) + bytes([len(b"x%d" % k)]) + b"x%d" % k,
+            bytes.fromhex(before)))
     repo.pack(chain[:30], "a")
     repo.pack(chain[30:], "b")
     store = gitstore.Store(str(repo.git))
@@ -160,7 +161,8 @@ def test_refs(tmp_path):
     (repo.git / "packed-refs").write_text(f"# pack-refs\n{old} refs/heads/main\n{old} refs/tags/v1\n^{sha}\n")
     (repo.git / "refs" / "heads" / "main").write_text(sha + "\n")
     r = gitstore.discover(tmp_path, {})
-    assert gitstore.resolve_ref(r, "main") == sha and gitstore.resolve_ref(r, "v1") == old and gitstore.resolve_ref(r, "HEAD") == sha and gitstore.resolve_ref(r, "C" * 40) == "c" * 40
+    assert gitstore.resolve_ref(r, "main") == sha and gitstore.resolve_ref(r, "v1") == old and gitstore.resolve_ref(r,
+        "HEAD") == sha and gitstore.resolve_ref(r, "C" * 40) == "c" * 40
     assert gitstore.all_refs(r) == {"refs/heads/main": sha, "refs/tags/v1": old, "HEAD": sha}
     # All loose refs come before packed ones, whatever kind they are of.
     tag = "d" * 40
@@ -187,22 +189,29 @@ def test_refs(tmp_path):
 
 def test_commits_and_trees(tmp_path, spark):
     data = b"tree t1\nparent p1\nparent p2\nauthor A B <a@x> 1609459200 +0200\ncommitter broken\ngpgsig -----\n line\n -----\n\n\n  Subject \n\nBody"
-    df = spark.createDataFrame([("c1", "commit", data), ("c2", "commit", b"author x\n\nno tree"), ("c3", "commit", b"tree t\r\nauthor \xff <e> 5 +0000\r\n\r\nhi")], "oid string, type string, data binary")
+    df = spark.createDataFrame([("c1", "commit", data), ("c2", "commit", b"author x\n\nno tree"),
+        ("c3", "commit", b"tree t\r\nauthor \xff <e> 5 +0000\r\n\r\nhi")], "oid string, type string, data binary")
     rows = {r.sha: r for r in gitstore.parse_commits(df).collect()}
     c = rows["c1"]
-    assert c.tree_oid == "t1" and c.parents == ["p1", "p2"] and c.author_name == "A B" and c.author_email == "a@x" and c.commit_ts.year == 2021 - (c.commit_ts.month == 12) and c.commit_tz == "+0200" and c.summary == "Subject"
+    assert c.tree_oid == "t1" and c.parents == ["p1",
+        "p2"] and c.author_name == "A B" and c.author_email == "a@x" and c.commit_ts.year == 2021 - (c.commit_ts.month == 12) and c.commit_tz == "+0200" and c.summary == "Subject"
     assert c.committer == c.committer_name == "broken" and c.committer_ts is None and c.error is None and rows["c2"].error and rows["c3"].summary == "hi" and rows["c3"].tree_oid == "t"
     payload = b"100644 a\0" + bytes(20) + b"40000 dir\0" + b"\1" * 20
-    assert gitstore.tree_entries(payload) == [(0o100644, "a", "00" * 20), (0o40000, "dir", "01" * 20)] and gitstore.tree_entries(payload + b"junk") == gitstore.tree_entries(payload)
+    assert gitstore.tree_entries(payload) == [(0o100644, "a", "00" * 20), (0o40000, "dir",
+        "01" * 20)] and gitstore.tree_entries(payload + b"junk") == gitstore.tree_entries(payload)
 
 
 @pytest.fixture(scope="module")
 def history(tmp_path_factory):
     repo = Repo(tmp_path_factory.mktemp("repo"))
-    one = repo.commit({"src/main.go": b"package main\nfunc main() {}\nTODO one\n", "doc/readme.md": b"hello\nTODO two\n"}, when=1673740800, author="Alice <alice@x.org>", committer="bot <bot@x.org>")
-    two = repo.commit({"src/main.go": b"package main\nfunc main() { run() }\nTODO one\n", "doc/readme.md": b"hello\nTODO two\n", "bin": b"\0TODO"}, one, when=1686787200, author="Bob <bob@x.org>")
-    side = repo.commit({"src/main.go": b"package main\nSIDE\nTODO one\n", "doc/readme.md": b"hello\nTODO two\n"}, one, when=1686790800, author="Cy <cy@x.org>", ref="side")
-    repo.commit({"src/main.go": b"package main\nSIDE\nTODO one\n", "src/new.rs": b"TODO two\n", "bin": b"\0TODO", "doc/readme.md": b"hello\nTODO two\n"}, two, side, when=1699999999, author="Alice <alice@x.org>")
+    one = repo.commit({"src/main.go": b"package main\nfunc main() {}\nTODO one\n", "doc/readme.md": b"hello\nTODO two\n"}, when=1673740800,
+        author="Alice <alice@x.org>", committer="bot <bot@x.org>")
+    two = repo.commit({"src/main.go": b"package main\nfunc main() { run() }\nTODO one\n", "doc/readme.md": b"hello\nTODO two\n", "bin": b"\0TODO"}, one,
+        when=1686787200, author="Bob <bob@x.org>")
+    side = repo.commit({"src/main.go": b"package main\nSIDE\nTODO one\n", "doc/readme.md": b"hello\nTODO two\n"}, one, when=1686790800,
+        author="Cy <cy@x.org>", ref="side")
+    repo.commit({"src/main.go": b"package main\nSIDE\nTODO one\n", "src/new.rs": b"TODO two\n", "bin": b"\0TODO", "doc/readme.md": b"hello\nTODO two\n"},
+        two, side, when=1699999999, author="Alice <alice@x.org>")
     (repo.folder / "src").mkdir()
     return repo
 
@@ -229,7 +238,8 @@ def test_search(spark, history):
     code, lines, _ = run(spark, history, "--no-heading", "func main")
     assert code == 0 and [x.split(":", 1)[1] for x in lines] == ["src/main.go:2:func main() { run() }", "src/main.go:2:func main() {}"]
     code, lines, _ = run(spark, history, "TODO")
-    assert code == 0 and lines[0] == "src/new.rs" and lines[1].endswith("2023-11-14 Alice]") and lines[2:4] == ["1:TODO two", ""] and any(x.startswith("Binary file bin matches in") for x in lines)
+    assert code == 0 and lines[0] == "src/new.rs" and lines[1].endswith("2023-11-14 Alice]") and lines[2:4] == ["1:TODO two",
+        ""] and any(x.startswith("Binary file bin matches in") for x in lines)
     assert run(spark, history, "nothing here")[0] == 1 and run(spark, history, "(")[0] == 2 and run(spark, history, "x", "nope")[0] == 2
 
 
@@ -241,7 +251,8 @@ def test_merges_and_first_parent(spark, history):
 
 def test_filters_and_sinks(spark, history):
     count = lambda *a: len(run(spark, history, *a)[1])
-    assert count("-c", "TODO", "--author", "alice") == 3 and count("-c", "TODO", "--committer", "bot@") == 2 and count("-c", "TODO", "--since", "2023-05-01", "--until", "2023-06-15 00:30:00") == 2
+    assert count("-c", "TODO", "--author", "alice") == 3 and count("-c", "TODO", "--committer", "bot@") == 2 and count("-c", "TODO", "--since",
+        "2023-05-01", "--until", "2023-06-15 00:30:00") == 2
     assert count("-l", "-g", "*.md", "TODO") == 1 and count("-l", "-t", "rust", "TODO") == 1 and count("-c", "TODO", "HEAD", "src") == 4
     assert count("-c", "TODO", "HEAD~1..HEAD") == 2 and count("-c", "TODO", "HEAD~2") == 2 and count("-c", "--all-commits", "TODO", "--", "doc") == 4
     code, lines, _ = run(spark, history, "-q", "TODO")

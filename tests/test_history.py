@@ -28,7 +28,8 @@ DIAMOND = [("m", ["a", "b"], 3, "tm"), ("a", ["r"], 1, "ta"), ("b", ["r"], 2, "t
 @pytest.mark.parametrize("joins", [False, True])
 def test_closures(spark, joins):
     c = commits(spark, *DIAMOND)
-    reach = (lambda start, **k: shas(history.ancestors_by_joins(c, spark.createDataFrame([(s,) for s in start], "sha string"), **k))) if joins else lambda start, **k: shas(history.ancestors(c, start, **k))
+    reach = (lambda start, **k: shas(history.ancestors_by_joins(c, spark.createDataFrame([(s,) for s in start], "sha string"),
+        **k))) if joins else lambda start, **k: shas(history.ancestors(c, start, **k))
     assert reach(["m"]) == {"m", "a", "b", "r"} and reach(["m"], first_parent=True) == {"m", "a", "r"} and reach(["x", "unknown"]) == {"x"}
     assert shas(history.rev_range(c, ["m"], ["a"])) == {"m", "b"}
 
@@ -48,7 +49,8 @@ def test_tilde(spark):
 def test_filters(spark):
     c = commits(spark, ("Early", [], 0, "t"), ("Mid", ["Early"], 151, "t"), ("Late", ["Mid"], 304, "t"))
     since, until = F.lit(datetime(2023, 5, 1)), F.lit(datetime(2023, 7, 1))
-    assert shas(c.where(history.commit_filter(since=since))) == {"Mid", "Late"} and shas(c.where(history.commit_filter(until=until))) == {"Early", "Mid"} and shas(c.where(history.commit_filter(since, until))) == {"Mid"}
+    assert shas(c.where(history.commit_filter(since=since))) == {"Mid", "Late"} and shas(c.where(history.commit_filter(until=until))) == {"Early",
+        "Mid"} and shas(c.where(history.commit_filter(since, until))) == {"Mid"}
     assert shas(c.where(history.commit_filter(author="MID@"))) == {"Mid"} and shas(c.where(history.commit_filter(committer="^bot$", author="late"))) == {"Late"}
 
 
@@ -59,7 +61,8 @@ def test_walk_orders(spark):
     assert graph.skewed and walked(["m"]) == ["m", "b", "r", "a"]  # r is newer than its child a, but waits for b only
     assert walked(["x"]) == ["x", "m", "b", "r", "a"] and walked(["m"], first_parent=True) == ["m", "a", "r"] and walked(["m"], ["b"]) == ["m", "a"]
     assert not history.Graph(commits(spark, *DIAMOND)).skewed
-    assert [(r.sha, r.walk_seq) for r in history.walk_order(c.repartition(3)).orderBy("walk_seq").collect()] == [("m", 1), ("b", 2), ("x", 3), ("r", 4), ("a", 5)]
+    assert [(r.sha, r.walk_seq) for r in history.walk_order(c.repartition(3)).orderBy("walk_seq").collect()] == [("m", 1), ("b", 2), ("x", 3), ("r", 4),
+        ("a", 5)]
 
 
 def test_closures_by_jump_tables(spark):
@@ -89,14 +92,16 @@ def test_closures_by_jump_tables(spark):
 def test_ancestry_by_jump_tables(spark, monkeypatch):
     c = commits(spark, *[(str(i), [str(i - 1)] if i else [], i % 50, "t") for i in range(40)])
     monkeypatch.setattr(history, "DRIVER_GRAPH", 10)
-    assert history.nth_ancestor(c, "39", 37) == "2" and history.nth_ancestor(c, "39", 0) == "39" and shas(history.rev_range(c, ["20"], ["15"])) == {str(i) for i in range(16, 21)}
+    assert history.nth_ancestor(c, "39", 37) == "2" and history.nth_ancestor(c, "39",
+        0) == "39" and shas(history.rev_range(c, ["20"], ["15"])) == {str(i) for i in range(16, 21)}
     with pytest.raises(ValueError):
         history.nth_ancestor(c, "39", 40)
 
 
 def test_diff(spark):
     c = commits(spark, ("c1", [], 0, "t1"), ("c2", ["c1"], 1, "t2"), ("c3", ["c2"], 2, "t2"), ("c4", ["lost"], 3, "t2"))
-    f = files(spark, ("t1", "a", 0o100644, "x"), ("t1", "b", 0o100644, "y"), ("t1", "l", 0o120000, "z"), ("t2", "a", 0o100755, "x"), ("t2", "b", 0o100644, "w"), ("t2", "l", 0o100644, "z"), ("t2", "s", 0o160000, "q"))
+    f = files(spark, ("t1", "a", 0o100644, "x"), ("t1", "b", 0o100644, "y"), ("t1", "l", 0o120000, "z"), ("t2", "a", 0o100755, "x"),
+        ("t2", "b", 0o100644, "w"), ("t2", "l", 0o100644, "z"), ("t2", "s", 0o160000, "q"))
     got = {(r.sha, r.path) for r in history.tree_diff(c, f).collect()}
     # a changed its mode alone; l was a link with the same oid; c3 has its parent's tree; c4's parent is unknown
     assert got == {("c1", "a"), ("c1", "b"), ("c2", "b"), ("c4", "a"), ("c4", "b"), ("c4", "l")}
@@ -124,7 +129,8 @@ def test_merges(spark):
 
 
 def test_expand(spark):
-    e = spark.createDataFrame([("r", 0o40000, "d", "t1"), ("r", 0o100644, "a", "x"), ("t1", 0o40000, "e", "t2"), ("t1", 0o100644, "b", "y"), ("t2", 0o120000, "l", "z")], "tree_oid string, mode int, name string, oid string")
+    e = spark.createDataFrame([("r", 0o40000, "d", "t1"), ("r", 0o100644, "a", "x"), ("t1", 0o40000, "e", "t2"), ("t1", 0o100644, "b", "y"),
+        ("t2", 0o120000, "l", "z")], "tree_oid string, mode int, name string, oid string")
     roots = spark.createDataFrame([("r",), ("t1",), ("r",)], "tree_oid string")
     got = {(r.root, r.path, r.oid) for r in history.expand_trees(e, roots).collect()}
     assert got == {("r", "a", "x"), ("r", "d/b", "y"), ("r", "d/e/l", "z"), ("t1", "b", "y"), ("t1", "e/l", "z")}
@@ -134,7 +140,8 @@ def test_expand(spark):
 
 
 def occurrences(spark, *rows):
-    return spark.createDataFrame([(b, p, s, T0 + timedelta(days=d), a) for b, p, s, d, a in rows], "blob_oid string, path string, commit_sha string, commit_ts timestamp, author string")
+    return spark.createDataFrame([(b, p, s, T0 + timedelta(days=d), a) for b, p, s, d, a in rows],
+        "blob_oid string, path string, commit_sha string, commit_ts timestamp, author string")
 
 
 def test_attribution(spark):

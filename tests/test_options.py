@@ -37,9 +37,12 @@ def test_case():
 
 
 @pytest.mark.parametrize("bad", [
-    {"patterns": ()}, {"patterns": ("(",)}, {"patterns": ("a",), "rev_range": "A...B"}, {"patterns": ("a",), "rev_range": "../x"}, {"patterns": ("a",), "rev_range": "a b"}, {"patterns": ("a",), "rev_range": "~1"},
-    {"patterns": ("a",), "rev_range": "a~x"}, {"patterns": ("a",), "branches": ("release/v1",)}, {"patterns": ("a",), "paths": (" ",)}, {"patterns": ("a",), "since": "someday"}, {"patterns": ("a",), "max_count": -1},
-    {"patterns": ("a",), "color": "red"}, {"patterns": ("a",), "types": ("nope",)}, {"patterns": ("a",), "author": "("}, {"patterns": ("a",), "globs": ("a\0",)},
+    {"patterns": ()}, {"patterns": ("(",)}, {"patterns": ("a",), "rev_range": "A...B"}, {"patterns": ("a",), "rev_range": "../x"},
+        {"patterns": ("a",), "rev_range": "a b"}, {"patterns": ("a",), "rev_range": "~1"},
+    {"patterns": ("a",), "rev_range": "a~x"}, {"patterns": ("a",), "branches": ("release/v1",)}, {"patterns": ("a",), "paths": (" ",)},
+        {"patterns": ("a",), "since": "someday"}, {"patterns": ("a",), "max_count": -1},
+    {"patterns": ("a",), "color": "red"}, {"patterns": ("a",), "types": ("nope",)}, {"patterns": ("a",), "author": "("},
+        {"patterns": ("a",), "globs": ("a\0",)},
 ])
 def test_validation(bad):
     with pytest.raises(OptionError):

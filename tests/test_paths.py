@@ -11,13 +11,18 @@ def passing(spark, paths, make):
 
 @pytest.mark.parametrize("rules,path,expected", [
     # without a slash, a rule is for the file's name; with one, for the whole path
-    (["*.tex"], "thesis.tex", True), (["*.tex"], "part/one/thesis.tex", True), (["*.tex"], "thesis.tex.bak", False), (["part/*.tex"], "part/one.tex", True), (["part/*.tex"], "my/part/one.tex", False), (["part/*.tex"], "part/a/one.tex", False),
+    (["*.tex"], "thesis.tex", True), (["*.tex"], "part/one/thesis.tex", True), (["*.tex"], "thesis.tex.bak", False), (["part/*.tex"], "part/one.tex", True),
+        (["part/*.tex"], "my/part/one.tex", False), (["part/*.tex"], "part/a/one.tex", False),
     # ** crosses slashes, **/ may be nothing
-    (["part/**/fig?.svg"], "part/fig1.svg", True), (["part/**/fig?.svg"], "part/a/b/fig2.svg", True), (["part/**/fig?.svg"], "part/a/fig10.svg", False), (["**/x"], "x", True), (["a/**"], "a/b/c", True), (["a/**"], "a", False),
+    (["part/**/fig?.svg"], "part/fig1.svg", True), (["part/**/fig?.svg"], "part/a/b/fig2.svg", True), (["part/**/fig?.svg"], "part/a/fig10.svg", False),
+        (["**/x"], "x", True), (["a/**"], "a/b/c", True), (["a/**"], "a", False),
     # rules that exclude, and the last one that matches
-    (["!*.log"], "run.txt", True), (["!*.log"], "run.log", False), (["*.txt", "!draft*"], "draft1.txt", False), (["!draft*", "*.txt"], "draft1.txt", True), (["!tmp/**", "tmp/keep/**"], "tmp/keep/a", True), (["!tmp/**", "tmp/keep/**"], "tmp/lose", False),
+    (["!*.log"], "run.txt", True), (["!*.log"], "run.log", False), (["*.txt", "!draft*"], "draft1.txt", False), (["!draft*", "*.txt"], "draft1.txt", True),
+        (["!tmp/**", "tmp/keep/**"], "tmp/keep/a", True), (["!tmp/**", "tmp/keep/**"], "tmp/lose", False),
     # classes, escapes, and what is not syntax
-    (["v[0-9].[^a]"], "v1.b", True), (["v[!0-9]"], "v7", False), (["{x,y}"], "x", False), (["{x,y}"], "{x,y}", True), (["/top"], "top", False), (["sub/"], "sub/file", False), ([r"\?"], "?", True), ([r"\?"], "a", False), (["a.b"], "axb", False), (["  *.c  "], "a.c", True), ([" ", ""], "any", True),
+    (["v[0-9].[^a]"], "v1.b", True), (["v[!0-9]"], "v7", False), (["{x,y}"], "x", False), (["{x,y}"], "{x,y}", True), (["/top"], "top", False),
+        (["sub/"], "sub/file", False), ([r"\?"], "?", True), ([r"\?"], "a", False), (["a.b"], "axb", False), (["  *.c  "], "a.c", True),
+            ([" ", ""], "any", True),
 ])
 def test_globs(spark, rules, path, expected):
     assert (path in passing(spark, [path], lambda p: globs.glob_filter(p, rules))) is expected

@@ -3,12 +3,14 @@ from palimpsest.sinks.render import highlight, painter, render, use_color
 
 
 def row(path="a.go", sha="1234567890", n=1, text="x", match=True, group=0, binary=False, spans=()):
-    return {"path": path, "commit_sha": sha, "commit_date": "2024-01-02", "author": "Ann", "line_num": n, "line_text": text, "is_match": match, "group_id": group, "is_binary": binary, "submatches": spans}
+    return {"path": path, "commit_sha": sha, "commit_date": "2024-01-02", "author": "Ann", "line_num": n, "line_text": text, "is_match": match,
+        "group_id": group, "is_binary": binary, "submatches": spans}
 
 
 def test_grouped():
     rows = [row(n=3), row(n=5, text="y"), row(sha="abcdefghij", n=1), row(path="b", n=0, binary=True)]
-    assert list(render(rows, SearchOptions(("x",)))) == ["a.go", "[1234567 2024-01-02 Ann]", "3:x", "5:y", "[abcdefg 2024-01-02 Ann]", "1:x", "", "b", "[1234567 2024-01-02 Ann]", "Binary file b matches in 1234567"]
+    assert list(render(rows, SearchOptions(("x",)))) == ["a.go", "[1234567 2024-01-02 Ann]", "3:x", "5:y", "[abcdefg 2024-01-02 Ann]", "1:x", "", "b",
+        "[1234567 2024-01-02 Ann]", "Binary file b matches in 1234567"]
     rows = [row(n=1, group=1, match=False), row(n=2, group=1), row(n=9, group=2)]
     assert list(render(rows, SearchOptions(("x",), before_context=1)))[2:] == ["1-x", "2:x", "--", "9:x"]
     assert list(render([row()], SearchOptions(("x",), line_number=False)))[-1] == "x"

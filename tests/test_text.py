@@ -22,11 +22,13 @@ def search(spark, content, *patterns, **options):
 def test_matching(spark):
     poem = "Roses (red)\nviolets [blue]\nROSES again\nprimroses\n"
     assert search(spark, poem, "(red)", fixed_strings=True) == [1] and search(spark, poem, r"\[b\w+\]") == [2]
-    assert search(spark, poem, "roses", smart_case=True) == [1, 3, 4] and search(spark, poem, "Roses", smart_case=True) == [1] and search(spark, poem, "roses", ignore_case=True) == [1, 3, 4]
+    assert search(spark, poem, "roses", smart_case=True) == [1, 3, 4] and search(spark, poem, "Roses", smart_case=True) == [1] and search(spark, poem,
+        "roses", ignore_case=True) == [1, 3, 4]
     assert search(spark, poem, "roses", word_regexp=True) == [] and search(spark, poem, "roses", word_regexp=True, ignore_case=True) == [1, 3]
     assert search(spark, poem, "e", invert_match=True) == [3] and search(spark, poem, "again", "blue") == [2, 3]
     log = "ok\nerr\nok\nerr\nok\n"
-    assert search(spark, log, "ok", max_count=2) == [1, 3] and search(spark, log, "ok", max_count=0) == [1, 3, 5] and search(spark, log, "ok", invert_match=True, max_count=1) == [2]
+    assert search(spark, log, "ok", max_count=2) == [1, 3] and search(spark, log, "ok", max_count=0) == [1, 3, 5] and search(spark, log, "ok",
+        invert_match=True, max_count=1) == [2]
 
 
 def test_two_stages(spark):
@@ -36,13 +38,15 @@ def test_two_stages(spark):
 
 
 def test_lines(spark):
-    got = {c: [r.line_text for r in text.split_lines(blobs(spark, c)).orderBy("line_num").collect()] for c in ("", "\n", "a", "a\n", "a\r\nb\r\r\n", "a\n\n", "\r\n")}
+    got = {c: [r.line_text for r in text.split_lines(blobs(spark, c)).orderBy("line_num").collect()] for c in ("", "\n", "a", "a\n", "a\r\nb\r\r\n",
+        "a\n\n", "\r\n")}
     assert got == {"": [], "\n": [""], "a": ["a"], "a\n": ["a"], "a\r\nb\r\r\n": ["a", "b\r"], "a\n\n": ["a", ""], "\r\n": [""]}
 
 
 def groups(spark, before, after, max_count=0):
     content = "".join(f"{'match' if i in (3, 5, 8) else 'line'} {i}\n" for i in range(1, 10))
-    rows = text.context_lines(blobs(spark, content), SearchOptions(("match",), before_context=before, after_context=after, max_count=max_count)).orderBy("line_num").collect()
+    rows = text.context_lines(blobs(spark, content), SearchOptions(("match",), before_context=before, after_context=after,
+        max_count=max_count)).orderBy("line_num").collect()
     return [(r.group_id, r.line_num, r.is_match) for r in rows]
 
 
@@ -60,7 +64,8 @@ def test_binary(spark):
 
 
 @pytest.mark.parametrize("line,pattern,expected", [
-    ("héllo wörld", "[lo]+", None), ("abcabc", "b", [(1, 2), (4, 5)]), ("baaac", "a*", [(0, 0), (1, 4), (5, 5)]), ("éé", "é", [(0, 2), (2, 4)]), ("", "x*", [(0, 0)]), ("aaa", "a", [(0, 1), (1, 2), (2, 3)]), ("xay", "(a)|(b)", [(1, 2)]),
+    ("héllo wörld", "[lo]+", None), ("abcabc", "b", [(1, 2), (4, 5)]), ("baaac", "a*", [(0, 0), (1, 4), (5, 5)]), ("éé", "é", [(0, 2), (2, 4)]),
+        ("", "x*", [(0, 0)]), ("aaa", "a", [(0, 1), (1, 2), (2, 3)]), ("xay", "(a)|(b)", [(1, 2)]),
 ])
 def test_spans(spark, line, pattern, expected):
     if expected is None:
