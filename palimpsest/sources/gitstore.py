@@ -546,7 +546,10 @@ def decoded(data: bytes) -> str:
 
 
 def read_blobs(oids: DataFrame, repo: Repository) -> DataFrame:
-    """(blob_oid, content, is_binary, error) of the oids in the first column, looked up where they are asked."""
+    """(blob_oid, content, is_binary, error) of the oids in the first column, looked up where they are asked.
+
+    Names are small and blobs are not, so the rows are dealt over all cores, whatever few partitions their bytes would fill.
+    """
     common = repo.common_dir
 
     def run(batches):
@@ -567,8 +570,8 @@ def read_blobs(oids: DataFrame, repo: Repository) -> DataFrame:
                     held, n = [], 0
             yield make(held)
 
-    ship(oids.sparkSession)
-    return oids.mapInArrow(run, BLOBS)
+    spark = ship(oids.sparkSession)
+    return oids.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, BLOBS)
 
 
 def loose_kind(file: Path) -> str:
