@@ -55,3 +55,27 @@ def test_hot_buckets_chains_and_shared_passages(spark, make, monkeypatch):
     roots = brute(texts)
     got = {r.doc_id for r in near_dup.keep_one(make(*texts.items())).collect()}
     assert got == {i for i in texts if roots[i] == i}
+
+
+def test_fingerprints_link_first(spark):
+    base, other = words(20, 3000), words(21, 3000)
+    texts = {1: base, 2: altered(base, (50,)), 3: base.upper(), 4: other, 5: words(22, 3000)}
+    prints = {i: simhash.fingerprint(t, near_dup.SHINGLE) for i, t in texts.items()}
+    near = {(i, j) for i in texts for j in texts if i != j and bin((prints[i] ^ prints[j]) & (2**64 - 1)).count("1") <= 3}
+    got = {(r.node, r.mate) for r in near_dup.neighbours(spark.createDataFrame(list(prints.items()), "node long, fp long")).collect()}
+    assert got and got <= near and {i for p in got for i in p} == {i for p in near for i in p} == {1, 2, 3}
+
+
+def test_links_do_not_grow_with_pairs(spark, monkeypatch):
+    rnd, base = np.random.default_rng(5), words(30, 150)
+    texts = {i: altered(base, rnd.choice(150, i % 9, replace=False)) for i in range(150)}
+    texts |= {200 + i: f"{words(400 + i, 60)} {words(31, 30)}" for i in range(40)}
+    roots = brute(texts)
+    rows = [(i, t) for i, t in texts.items()] + [(0, texts[0])] * 20
+    for block in (near_dup.BLOCK, 5000):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        found = near_dup.edges(spark.createDataFrame(rows, "node long, text string"))
+        pairs = [(r.a, r.b) for r in found.collect()]
+        assert len(pairs) < (len(texts) if block > 5000 else 10 * len(texts))
+        linked = {r.node: r.root for r in simhash.components(found).collect()}
+        assert {i: linked.get(i, i) for i in texts} == roots
