@@ -57,12 +57,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+HEAP_SHARE = 0.25  # of the driver's heap that may be in use before it is collected
+
+
+def collected(spark: SparkSession) -> None:
+    """Has the driver's garbage collected once HEAP_SHARE of its heap is in use.
+
+    Each stage and each broadcast leaves buffers of some megabytes there, and Spark lets go of what it holds for them only
+    when their owners are collected. Many short jobs make the heap grow by these before the JVM would collect by itself.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() - runtime.freeMemory() > HEAP_SHARE * runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and goes on from there, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    done = df.checkpoint()
+    collected(df.sparkSession)
+    return done
 
 
 def file_system(uri: str):

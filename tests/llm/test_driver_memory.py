@@ -1,0 +1,22 @@
+from palimpsest.llm.common import cut
+
+
+def collections(spark):
+    """How often the driver's whole heap was collected."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_cut_collects_a_heap_in_use(spark):
+    share = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() * 0.3
+    held = spark._jvm.java.util.ArrayDeque()
+    for _ in range(int(share) >> 25):
+        held.add(spark._jvm.java.nio.ByteBuffer.allocate(32 << 20))
+    before = collections(spark)
+    assert cut(spark.range(3)).count() == 3
+    assert collections(spark) > before
+    held.clear()
+    spark._jvm.java.lang.System.gc()
+    before = collections(spark)
+    assert cut(spark.range(3)).count() == 3
+    assert collections(spark) == before  # little is in use
