@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, decontaminate, html_extract, line_dedup, mixing, quality_lm, quality_rules, secret_scan, simhash, warc
+from palimpsest.llm import chat, decontaminate, html_extract, line_dedup, minhash, mixing, quality_lm, quality_rules, secret_scan, simhash, warc
 from palimpsest.llm.common import table
 
 
@@ -22,6 +22,7 @@ def queries():
         "op8_line_dedup": _over("documents", line_dedup.digest),
         "op9_secret_scan": _over("documents", secret_scan.digest),
         "op10_simhash": _over("documents", simhash.digest),
+        "op11_minhash": _over("documents", minhash.digest),
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql():
         "op7_warc": warc.SQL,
         "op8_line_dedup": line_dedup.SQL,
         "op9_secret_scan": secret_scan.SQL,
+        "op11_minhash": minhash.SQL,
     }
