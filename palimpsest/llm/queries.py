@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, decontaminate, html_extract, line_dedup, minhash, mixing, quality_lm, quality_rules, secret_scan, simhash, warc
+from palimpsest.llm import (chat, decontaminate, hard_negatives, html_extract, line_dedup, minhash, mixing, quality_lm, quality_rules, secret_scan,
+    simhash, warc, whitening)
 from palimpsest.llm.common import table
 
 
@@ -23,6 +24,8 @@ def queries():
         "op9_secret_scan": _over("documents", secret_scan.digest),
         "op10_simhash": _over("documents", simhash.digest),
         "op11_minhash": _over("documents", minhash.digest),
+        "op12_hard_negatives": _over("embeddings", hard_negatives.digest),
+        "op13_whitening": _over("embeddings", whitening.digest),
     }
 
 
@@ -34,4 +37,5 @@ def oracle_sql():
         "op8_line_dedup": line_dedup.SQL,
         "op9_secret_scan": secret_scan.SQL,
         "op11_minhash": minhash.SQL,
+        "op12_hard_negatives": hard_negatives.SQL,
     }
