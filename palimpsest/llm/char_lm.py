@@ -5,15 +5,19 @@ A gram lies in the shard of its context, the gram without its last symbol. So a
 and can tell both what Kneser-Ney keeps for a seen gram (alpha) and the share that its context leaves to shorter ones
 (gamma): P(gram) = alpha + gamma * P(gram without its first symbol).
 
-Documents do not move. The distinct grams of a block, which is a split of the input, are asked of the shards; what
-comes back is written to the shared folder, a folder for each block, and read by the task that scores the block. Sets of
-grams travel as one compressed row for each block (or task) and shard, about a byte a gram.
+Documents do not move. The distinct grams of a block are asked of the shards; what comes back (counts, and four numbers
+for each context, so nothing is rounded on the way) is written to the shared folder, a folder for each block, and read by
+the task that scores the block, one order at a time. A block is a run of rows within a split of the input, of RUN
+characters and at most one text more, so what a task holds does not follow the size of splits. Sets of grams travel as
+one compressed row for each block (or task) and shard, about a byte a gram. The grams of one symbol, whose context is
+empty, are sharded by their symbol; the two numbers of their one context are known to all.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import cut, file_system, map_batches
 
 ORDER = 6
-CHUNK = 1 << 20  # characters that are taken at once
+CHUNK = 1 << 20  # characters of a text that are taken at once
+GROUP = 1 << 18  # characters of several texts that are taken at once
+RUN = 16 << 20  # characters of a block before the next one begins
 HELD = 3 << 19  # distinct grams that a task gathers before it passes them on
 SHARD_CHARS = 8 << 20  # characters of all documents for each shard
 START = 0  # the symbol before a text; code points are one up
@@ -36,7 +42,7 @@ def symbols(text: str):
 
 
 def padded(texts: list[str]) -> Iterator[tuple]:
-    """(texts' places, starts, sizes, symbols): ORDER - 1 start symbols before each text, about CHUNK characters at once.
+    """(texts' places, starts, sizes, symbols): ORDER - 1 start symbols before each text, about GROUP characters at once.
 
     A text of more than CHUNK characters comes in pieces, each behind the last symbols of the piece before it.
     """
@@ -57,7 +63,7 @@ def padded(texts: list[str]) -> Iterator[tuple]:
             held.append((at, s, before))
             before = s[-(ORDER - 1):] if len(s) >= ORDER - 1 else pad
             n += len(s)
-            if n >= CHUNK:
+            if n >= GROUP:
                 yield packed(held)
                 held, n = [], 0
     if held:
@@ -137,7 +143,7 @@ def by_shard(columns, shards: int, *values) -> Iterator[tuple]:
     """(shard, columns, values) with the grams of each shard in order."""
     import numpy as np
 
-    context = hashed(columns[:-1]) if len(columns) > 1 else np.zeros(len(columns[0]), dtype=np.uint64)
+    context = hashed(columns[:-1] or columns)
     shard = ((context >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
     order = np.lexsort([*columns[::-1], shard])
     columns, values, shard = [c[order] for c in columns], [v[order] for v in values], shard[order]
@@ -239,14 +245,14 @@ def _merged_shards(rows: DataFrame, order: int, what: str, make) -> DataFrame:
     return map_batches(rows.repartition("shard").sortWithinPartitions("shard"), run, what)
 
 
-COUNTED = PACKED + ", n1 long, n2 long, n3 long, n4 long"
+COUNTED = PACKED + ", n1 long, n2 long, n3 long, n4 long, total long"
 
 
 def _counted(rows: DataFrame, order: int) -> DataFrame:
     """One row a shard: its distinct grams with their counts, and how many have each of the counts one to four."""
     def make(shard, columns, counts):
         for s, cs, (n,) in by_shard(columns, 1, counts):
-            yield _rows([(shard, len(n), pack(cs), pack_values(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)))], COUNTED)
+            yield _rows([(shard, len(n), pack(cs), pack_values(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int(n.sum()))], COUNTED)
 
     return cut(_merged_shards(rows, order, COUNTED, make))
 
@@ -261,14 +267,22 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 class Tables:
     """The counts of each order, sharded, and what is known of them as a whole: some ten numbers an order."""
 
-    def __init__(self, counts: dict[int, DataFrame], found: dict[int, list[float]], vocabulary: int, shards: int):
-        self.counts, self.discounts, self.vocabulary, self.shards = counts, found, vocabulary, shards
+    def __init__(self, counts: dict[int, DataFrame], found: dict[int, list[float]], first: tuple[int, ...], shards: int):
+        """first: of the empty context, how many symbols follow it in all, and how many of them once, twice and more often."""
+        self.counts, self.discounts, self.first, self.shards = counts, found, first, shards
+
+    @property
+    def vocabulary(self) -> int:
+        return sum(self.first[1:])
 
     @property
     def uniform(self) -> float:
         """The probability that no count speaks for; one more symbol than seen stands for all others."""
         return 1.0 / (self.vocabulary + 1)
 
+    def model(self, folder: str) -> Model:
+        return Model(folder, self.uniform, self.discounts, self.first)
+
 
 def train(trusted: DataFrame, shards: int) -> Tables | None:
     """The model of the column `text` of all rows; None if there is no character in them.
@@ -299,29 +313,39 @@ def train(trusted: DataFrame, shards: int) -> Tables | None:
     rows = map_batches(trusted.select("text"), gather, PACKED)
     for order in range(ORDER, 0, -1):
         counts[order] = _counted(rows, order)
-        *seen, size = counts[order].agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)], F.sum("size")).first()
+        *seen, size, total = counts[order].agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)], F.sum("size"), F.sum("total")).first()
         if not size:
             return None
         found[order] = discounts(*seen)
         if order > 1:
             rows = map_batches(counts[order].select("grams", "size"), shorter(order), PACKED)
-    return Tables(counts, found, size, shards)
+    return Tables(counts, found, (total, seen[0], seen[1], size - seen[0] - seen[1]), shards)
+
 
+def contexts(columns):
+    """Where, among sorted grams, those of another context begin."""
+    import numpy as np
+
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns[:-1]:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-def alpha_gamma(columns, counts, d: list[float]):
-    """(alpha of each gram, keys of its contexts sorted, gamma of each context) of a whole shard."""
+
+def follow(columns, counts):
+    """(keys of the contexts, sorted; for each how many symbols follow in all, and how many once, twice, more often)."""
     import numpy as np
 
-    context = hashed(columns[:-1]) if len(columns) > 1 else np.zeros(len(counts), dtype=np.uint64)
-    keys, number = np.unique(context, return_inverse=True)
-    own = np.array(d)[np.minimum(counts, 3) - 1]
-    total = np.bincount(number, weights=counts)
-    gamma = np.bincount(number, weights=own) / total
-    return (counts - own) / total[number], keys, gamma
+    starts = contexts(columns)
+    keys = hashed([c[starts] for c in columns[:-1]])
+    kinds = [np.add.reduceat(x, starts) for x in (counts, counts == 1, counts == 2, counts > 2)]
+    order = np.argsort(keys)
+    return keys[order], np.stack(kinds).astype(np.int64)[:, order]
 
 
 ASKED = "shard long, level int, kind int, block long, size long, grams binary, counts binary"
-TOLD = "block long, level int, size long, grams binary, alpha binary, gamma binary"
+TOLD = "block long, level int, size long, grams binary, counts binary, known long, follow binary"
 
 
 def ask(docs: DataFrame, shards: int) -> DataFrame:
@@ -341,7 +365,7 @@ def ask(docs: DataFrame, shards: int) -> DataFrame:
         held: dict[int, Gatherer] = {}
         for batch in batches:
             blocks = batch.column("block").to_numpy()
-            for block in np.unique(blocks).tolist():
+            for block in dict.fromkeys(blocks.tolist()):
                 if block not in held and held:  # a task reads one split after another
                     gone = next(iter(held))
                     for columns, _ in held.pop(gone).rest():
@@ -358,16 +382,11 @@ def ask(docs: DataFrame, shards: int) -> DataFrame:
     return map_batches(docs.select("block", "text"), run, ASKED)
 
 
-def coarse(values):
-    """With 13 bits of fraction, which compress better; a character's loss is off by one part in 8,000 at most."""
-    import numpy as np
-
-    return ((values.view("<u4") + np.uint32(1 << 9)) & ~np.uint32((1 << 10) - 1)).view("<f4")
-
-
 def answer(asked: DataFrame, tables: Tables) -> DataFrame:
-    """Each request with alpha and gamma. A shard's counts of an order come before the requests for them, one at a time."""
-    d = tables.discounts
+    """Each request with its grams' counts and what follows each of their contexts (zeros where nothing is known).
+
+    A shard's counts of an order come before the requests for them, one at a time.
+    """
     none = F.lit(None)
     known = None
     for order, rows in tables.counts.items():
@@ -384,61 +403,124 @@ def answer(asked: DataFrame, tables: Tables) -> DataFrame:
                 columns = unpack(row["grams"], order, row["size"])
                 if row["kind"] == 0:
                     at = row["shard"], order
-                    alpha, contexts, gamma = alpha_gamma(columns, unpack_values(row["counts"], "<i8", row["size"]), d[order])
+                    counts = unpack_values(row["counts"], "<i8", row["size"])
                     keys = hashed(columns)
+                    if order > 1:
+                        own, followed = follow(columns, counts)
                     sort = np.argsort(keys)
-                    keys, alpha = keys[sort], alpha[sort]
+                    keys, counts = keys[sort], counts[sort]
                     continue
-                a, g = np.zeros(row["size"], dtype="<f4"), np.ones(row["size"], dtype="<f4")
+                wanted = hashed(columns)
+                starts = contexts(columns) if order > 1 else np.zeros(0, dtype=np.int64)
+                c, f = np.zeros(len(wanted), dtype="<i8"), np.zeros((4, len(starts)), dtype="<i8")
                 if at == (row["shard"], order):
-                    wanted = hashed(columns)
                     place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                    a = np.where(keys[place] == wanted, alpha[place], 0).astype("<f4")
-                    context = hashed(columns[:-1]) if order > 1 else np.zeros(row["size"], dtype=np.uint64)
-                    place = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-                    g = np.where(contexts[place] == context, gamma[place], 1).astype("<f4")
-                yield _rows([(row["block"], order, row["size"], row["grams"], pack_values(coarse(a)), pack_values(coarse(g)))], TOLD)
+                    c = np.where(keys[place] == wanted, counts[place], 0)
+                    if order > 1:
+                        context = hashed([x[starts] for x in columns[:-1]])
+                        place = np.minimum(np.searchsorted(own, context), len(own) - 1)
+                        f = np.where(own[place] == context, followed[:, place], 0)
+                yield _rows([(row["block"], order, row["size"], row["grams"], pack_values(c), len(starts), pack_values(f.reshape(-1)))], TOLD)
 
     met = asked.unionByName(known).repartition("shard", "level").sortWithinPartitions("shard", "level", "kind")
     return map_batches(met, run, TOLD)
 
 
 def write_answers(docs: DataFrame, tables: Tables, folder: str) -> None:
-    """The grams of each block with their alpha and gamma, in a folder for each block, as Parquet."""
-    answer(ask(docs, tables.shards), tables).repartition("block").write.partitionBy("block").parquet(folder)
+    """The grams of each block with what the tables know of them, in a folder for each block, as Parquet, shortest grams first."""
+    answer(ask(docs, tables.shards), tables).repartition("block").sortWithinPartitions("block", "level").write.option(
+        "parquet.block.size", 1 << 20).partitionBy("block").parquet(folder)
+
+
+def runs(chars_of_run: int = RUN):
+    """(block, characters) of the rows of splits, in order -> the number of each row's run, as a function of columns.
+
+    It must see all rows of a split, so nothing that drops rows may go before it: it is marked as not deterministic,
+    which keeps filters above it.
+    """
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def number(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        at, before = None, 0
+        for blocks, chars in batches:
+            out, blocks, chars = np.zeros(len(blocks), dtype=np.int64), blocks.to_numpy(), chars.to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]])) if len(blocks) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if blocks[a] != at:
+                    at, before = blocks[a], 0
+                sums = np.cumsum(chars[a:b])
+                out[a:b] = (before + sums - chars[a:b]) // chars_of_run
+                before += int(sums[-1])
+            yield pd.Series(out)
+
+    number.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return pandas_udf(number, "long").asNondeterministic()
+
+
+class Model(NamedTuple):
+    """What a task needs besides a block's answers: some twenty numbers."""
+
+    folder: str
+    uniform: float
+    discounts: dict[int, list[float]]
+    first: tuple[int, ...]
 
 
 class Block:
-    """The log-probability of each of a block's longest grams, found by key."""
+    """The log-probability of each of a block's longest grams, found by key; answers are read one order at a time."""
 
-    def __init__(self, folder: str, block: int, uniform: float):
+    def __init__(self, model: Model, block: int):
         import numpy as np
         import pyarrow.parquet as pq
 
-        fs, base = file_system(f"{folder.rstrip('/')}/block={block}")
-        table = pq.read_table(base, filesystem=fs, partitioning=None)
-        parts: dict[int, list] = {}
-        for row in table.to_pylist():
-            n, order = row["size"], row["level"]
-            parts.setdefault(order, []).append((unpack(row["grams"], order, n), unpack_values(row["alpha"], "<f4", n), unpack_values(row["gamma"], "<f4", n)))
-        del table
+        fs, base = file_system(f"{model.folder.rstrip('/')}/block={block}")
+        files = [f.path for f in fs.get_file_info(_selector(base)) if f.path.endswith(".parquet")]
         keys, p = None, None
         for order in range(1, ORDER + 1):
-            columns = [np.concatenate(c) for c in zip(*(c for c, _, _ in parts[order]))]
-            alpha, gamma = (np.concatenate([row[k] for row in parts[order]]).astype(np.float64) for k in (1, 2))
-            lower = uniform
-            if order > 1:
-                lower = p[np.searchsorted(keys, hashed(columns[1:]))]
-            own = hashed(columns)
+            d = np.array([0.0, *model.discounts[order]])
+            own, found = [], []
+            for path in files:
+                with fs.open_input_file(path) as source:
+                    parquet = pq.ParquetFile(source)
+                    for g in _groups_of(parquet, order):
+                        for batch in parquet.iter_batches(16, [g]):
+                            for row in batch.to_pylist():
+                                if row["level"] == order:
+                                    k, values = self._answer(row, order, d, model, keys, p)
+                                    own.append(k)
+                                    found.append(values)
+            own, found = np.concatenate(own), np.concatenate(found)
             sort = np.argsort(own)
-            keys, p = own[sort], (alpha + gamma * lower)[sort]
+            keys, p = own[sort], found[sort]
         # A block may have asked for a gram twice; both answers are the same.
-        self.keys, self.log = keys, np.log(p)
+        self.keys, self.log = keys, np.log(p).astype(np.float32)
         bits = max(10, int(len(keys) * 4).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.slots = np.zeros(1 << bits, dtype=np.int32)
         self.slots[(keys & self.mask).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
 
+    @staticmethod
+    def _answer(row: dict, order: int, d, model: Model, keys, p):
+        """(keys, probabilities) of the grams of one row, from those of the order below."""
+        import numpy as np
+
+        n = row["size"]
+        columns, counts = unpack(row["grams"], order, n), unpack_values(row["counts"], "<i8", n)
+        if order == 1:
+            lower, total, spare = model.uniform, model.first[0], float(np.dot(d[1:], model.first[1:]))
+        else:
+            lower = p[np.searchsorted(keys, hashed(columns[1:]))]
+            starts = contexts(columns)
+            sizes = np.diff(np.append(starts, n))
+            follow = unpack_values(row["follow"], "<i8", 4 * row["known"]).reshape(4, -1)
+            total, spare = np.repeat(follow[0], sizes), np.repeat(d[1:] @ follow[1:], sizes)
+        # Of an unknown context, all is left to the shorter gram.
+        known = (counts - d[np.minimum(counts, 3)] + spare * lower) / np.maximum(total, 1)
+        return hashed(columns), np.where(np.asarray(total) > 0, known, lower)
+
     def log_probabilities(self, wanted):
         import numpy as np
 
@@ -451,6 +533,21 @@ class Block:
         return self.log[at]
 
 
+def _selector(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(folder)
+
+
+def _groups_of(parquet, order: int) -> Iterator[int]:
+    """The row groups that may have answers of an order."""
+    place = parquet.schema_arrow.get_field_index("level")
+    for g in range(parquet.num_row_groups):
+        seen = parquet.metadata.row_group(g).column(place).statistics
+        if seen is None or not seen.has_min_max or seen.min <= order <= seen.max:
+            yield g
+
+
 def measure(texts: list[str], block: Block | None):
     """(log-probability, characters, redundancy) of each text, as arrays.
 

@@ -48,7 +48,7 @@ def bucket(n: Column) -> Column:
     return F.floor(F.log2(n)).cast("int")
 
 
-def scorer(folder: str, uniform: float, known: bool):
+def scorer(model: char_lm.Model | None):
     """(text, block) -> loss (nats), n and redundancy, as a function of columns; a task holds the tables of one block."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
@@ -60,15 +60,15 @@ def scorer(folder: str, uniform: float, known: bool):
         for texts, blocks in batches:
             out = [np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))]
             blocks = blocks.to_numpy()
-            for block in np.unique(blocks).tolist():
+            for block in dict.fromkeys(blocks.tolist()):  # in the order that they come in
                 places = np.flatnonzero(blocks == block)
                 for begin in range(0, len(places), SLICE):
                     here = places[begin:begin + SLICE]
                     part = texts.iloc[here].tolist()
-                    if known and any(part) and at != block:
+                    if model and any(part) and at != block:
                         held = None  # let go before the next is read
-                        at, held = block, char_lm.Block(folder, block, uniform)
-                    for column, values in zip(out, char_lm.measure(part, held if known and any(part) else None)):
+                        at, held = block, char_lm.Block(model, block)
+                    for column, values in zip(out, char_lm.measure(part, held if model and any(part) else None)):
                         column[here] = values
             yield pd.DataFrame({"loss": -out[0], "n": out[1], "redundancy": out[2]})
 
@@ -119,7 +119,8 @@ def _near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(10_001).count() <= 10_000 else df
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             run: int = char_lm.RUN) -> DataFrame:
     """docs with a column __quality: n_chars, perplexity, threshold, redundancy, charge, limit, kept.
 
     Null and empty texts have no perplexity and are rejected. A language without held-out documents, and a null one,
@@ -130,6 +131,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = ship(docs.sparkSession)
     here = blocked(docs)
+    number = char_lm.runs(run)(F.col("__block"), F.length(text_of(F.col(f"`{text_col}`"))).cast("long"))
+    here = here.withColumn("__block", F.xxhash64("__block", number))
     slim = here.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (lang_col, "lang"), ("__block", "block"))],
         text_of(F.col(f"`{text_col}`")).alias("text"))
     slim = slim.select("id", F.col("lang").cast("string").alias("lang"), "block", "text")
@@ -139,7 +142,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     folder = f"{shared_dir(spark).rstrip('/')}/quality-{uuid.uuid4().hex}"
     if tables:
         char_lm.write_answers(slim.where("text <> ''"), tables, folder)
-    score = scorer(folder, tables.uniform if tables else 1.0, tables is not None)
+    score = scorer(tables.model(folder) if tables else None)
     seen = trusted.where(held).where("text <> ''").select("lang", score("text", "block").alias("s")).select("lang", "s.*")
     by_lang, by_length, mean, far = limits(cut(seen)) if tables else (None, None, None, math.inf)
 
