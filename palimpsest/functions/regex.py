@@ -23,6 +23,7 @@ POSIX = {
 # Letters that fold differently here and there. The two i's of Turkish fold to nothing in RE2; long s and
 # the Kelvin sign fold to s and k there, but not in every class here.
 TURKISH, FOLDED = "\u0130\u0131", "\u017f\u212a"
+OPEN_ENDED = 50  # repetitions that count as any number
 QUANTIFIER = re.compile(r"\{\d+(?:,\d*)?\}")
 CATEGORY = re.compile(r"[A-Z][a-z]?&?$")
 
@@ -60,11 +61,14 @@ class _Translator:
         self.s, self.at, self.out = pattern, 0, []
         self.flags = {"m": multiline, "i": ignore_case, "s": False, "U": False}
         self.saved: list[dict] = []
+        self.closed = False  # whether a group ended just before
+        self.groups = self.loops = 0  # repeated groups, and open-ended repetitions of single characters
 
     def run(self) -> str:
         s = self.s
         while self.at < len(s):
             c = s[self.at]
+            closed, self.closed = self.closed, c == ")"
             if c == "\\":
                 self._escape(False)
             elif c == "[":
@@ -75,7 +79,7 @@ class _Translator:
                 self.flags = self.saved.pop()
                 self._put(")")
             elif c in "*+?" or c == "{" and QUANTIFIER.match(s, self.at):
-                self._quantifier()
+                self._quantifier(closed)
             elif c in "{}]":
                 self._put("\\" + c)
             elif c == "^":
@@ -110,13 +114,16 @@ class _Translator:
         self.out.append(text)
         self.at += width
 
-    def _quantifier(self) -> None:
+    def _quantifier(self, of_group: bool) -> None:
         m = QUANTIFIER.match(self.s, self.at)
         q = m.group() if m else self.s[self.at]
         lazy = self.s[self.at + len(q):self.at + len(q) + 1] == "?"
         after = self.at + len(q) + lazy
         if self.s[after:after + 1] in ("*", "+", "?") or QUANTIFIER.match(self.s, after):
             raise PatternError(f"invalid regular expression '{self.s}': invalid nested repetition operator")
+        most = OPEN_ENDED if q in "*+" or q.endswith(",}") else 1 if q == "?" else int(q.strip("{}").rpartition(",")[2])
+        self.groups += of_group and most > 1
+        self.loops += not of_group and most >= OPEN_ENDED
         self._put(q + "?" * (lazy != self.flags["U"]), len(q) + lazy)
 
     def _escape(self, in_class: bool) -> None:
@@ -211,3 +218,11 @@ def translate(pattern: str, multiline: bool = True, ignore_case: bool = False) -
     flags = "d" + "m" * multiline + "iu" * ignore_case
     return f"(?{flags})" + _Translator(pattern, multiline, ignore_case).run()
 
+
+
+def repeats(pattern: str) -> tuple[int, int]:
+    """(groups that may repeat, open-ended repetitions of single characters) of a pattern. Raises PatternError."""
+    check(pattern)
+    reader = _Translator(pattern, True, False)
+    reader.run()
+    return reader.groups, reader.loops

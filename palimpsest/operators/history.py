@@ -245,7 +245,7 @@ def nth_ancestor(commits: DataFrame, sha: str, n: int, graph: Graph | None = Non
 
 def commit_filter(since=None, until=None, author: str = "", committer: str = "") -> Column:
     """Filters on commits that traversal has reached; they do not stop it."""
-    from palimpsest.functions.regex import translate
+    from palimpsest.functions import linear
 
     keep = F.lit(True)
     if since is not None:
@@ -254,8 +254,8 @@ def commit_filter(since=None, until=None, author: str = "", committer: str = "")
         keep = keep & (F.col("commit_ts") <= F.lit(until))
     for pattern, who in ((author, "author"), (committer, "committer")):
         if pattern:
-            regex = translate(pattern, multiline=False, ignore_case=True)
-            keep = keep & (F.col(who).rlike(regex) | F.col(f"{who}_name").rlike(regex) | F.col(f"{who}_email").rlike(regex))
+            found = lambda c: linear.search(F.col(c), pattern, multiline=False, ignore_case=True)  # noqa: E731, B023
+            keep = keep & (found(who) | found(f"{who}_name") | found(f"{who}_email"))
     return keep
 
 

@@ -1,7 +1,8 @@
 """Operators on blobs and their lines: dedup, prefilter, matching, spans, limits, context, binaries.
 
-A blob table has blob_oid and content (text), and may have data (bytes) and error. Every operator keeps to built-in
-functions, so matching runs in generated code, partition by partition; only limits and context need a window.
+A blob table has blob_oid and content (text), and may have data (bytes) and error. Matching runs partition by partition,
+in generated code, or in Arrow's RE2 kernels where a pattern could backtrack without bound; only limits and context need a
+window.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import linear
 from palimpsest.options import SearchOptions
 
 BINARY_PREFIX = 8000
@@ -21,7 +23,15 @@ BAD = "\ufdd3"
 def matches(text: Column, options: SearchOptions) -> Column:
     """Whether the text has a match. A plain literal is looked up without a regex."""
     literal = options.literal()
-    return F.contains(text, F.lit(literal)) if literal is not None else text.rlike(options.regex())
+    return F.contains(text, F.lit(literal)) if literal is not None else linear.search(text, options.pattern(), ignore_case=options.folds_case())
+
+
+def matches_each(texts: Column, options: SearchOptions) -> Column:
+    """Whether each text of an array has a match."""
+    literal = options.literal()
+    if literal is not None:
+        return F.transform(texts, lambda t: F.contains(t, F.lit(literal)))
+    return linear.search_each(texts, options.pattern(), ignore_case=options.folds_case())
 
 
 def blob_matches(content: Column, options: SearchOptions) -> Column:
@@ -91,7 +101,10 @@ def spans(line: Column, options: SearchOptions) -> Column:
     """
     if options.invert_match:
         return F.array().cast("array<struct<start:int,end:int>>")
-    marked = F.regexp_replace(F.translate(line, OPEN + CLOSE, LIKE + LIKE), f"{_grouped(options.regex())}", f"{OPEN}$1{CLOSE}")
+    free = F.translate(line, OPEN + CLOSE, LIKE + LIKE)
+    if linear.backtracks(options.pattern()):
+        return linear.spans(free, options.pattern(), (OPEN, CLOSE, BAD), ignore_case=options.folds_case())
+    marked = F.regexp_replace(free, f"{_grouped(options.regex())}", f"{OPEN}$1{CLOSE}")
     parts = F.transform(F.split(marked, OPEN, -1), lambda p, i: F.struct(
         F.when(i == 0, F.lit(0)).otherwise(width(F.substring_index(p, CLOSE, 1))).alias("hit"),
         F.when(i == 0, width(p)).otherwise(width(p) - width(F.substring_index(p, CLOSE, 1)) - len(CLOSE.encode())).alias("gap"),

@@ -54,6 +54,8 @@ def _lines_of(source: str) -> str:
   WHERE NOT (p = n AND line = ''))"""
 
 
+LONG = """joined AS (SELECT coalesce(string_agg(translate(text, chr(10) || chr(13), '  '), ' ' ORDER BY doc_id, text), '') AS content FROM documents GROUP BY source, doc_id // 20),
+blobs AS (SELECT DISTINCT sha1(content) AS blob_oid, content FROM joined)"""
 EXT = "['.go', '.py', '.md', '.json', '.rs', '.sql', '.txt'][(doc_id % 7 + 1)::INT]"
 OCC = f"""occ AS (SELECT sha1(d.text) AS blob_oid, d.source || '/m' || ((doc_id // 20) % 10)::BIGINT || {EXT} AS path, sha1(doc_id::VARCHAR) AS commit_sha, e.ts AS commit_ts, 'user_' || e.user_id AS author_name
   FROM documents d JOIN events e ON d.doc_id = e.event_id)"""
@@ -122,6 +124,45 @@ def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.split_lines(tables.edge_blobs(spark, sf_dir)).select("blob_oid", "line_num", "line_text")
 
 
+# Patterns with repeated groups over lines of many documents: backtracking takes a stack frame for each turn there.
+REPEATED = r"(?:\w+,?\s)+the|\"(?:[^\"\\]|\\.)*\""
+
+
+def _spans_sql(blobs: str, pattern: str) -> str:
+    return f"""WITH {blobs}, {_lines_of('blobs')},
+m AS (SELECT blob_oid, line_num, unnest(range(1, len(h) + 1)) AS i, g, h
+  FROM (SELECT blob_oid, line_num, string_split_regex(line_text, '{pattern}') AS g, regexp_extract_all(line_text, '{pattern}') AS h FROM lines
+  WHERE regexp_matches(line_text, '{pattern}'))),
+e AS (SELECT blob_oid, line_num, i, octet_length(encode(h[i])) AS n, sum(octet_length(encode(g[i])) + octet_length(encode(h[i]))) OVER (PARTITION BY blob_oid, line_num ORDER BY i) AS e FROM m)
+SELECT blob_oid, line_num, (e - n)::INT AS start, e::INT AS "end" FROM e"""
+
+
+@register("search_repeated_groups", f"WITH {LONG}, {_lines_of('blobs')} SELECT blob_oid, line_num FROM lines WHERE regexp_matches(line_text, '(?m)^(\\S+\\s)+\\S+$|(a|e)*ly of')")
+def search_repeated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.match_lines(tables.long_blobs(spark, sf_dir), O(r"^(\S+\s)+\S+$|(a|e)*ly of")).select("blob_oid", "line_num")
+
+
+@register("search_repeated_groups_inverted", f"WITH {BLOBS}, {_lines_of('blobs')} SELECT blob_oid, line_num FROM lines WHERE NOT regexp_matches(line_text, '(?mi)(?:[aeiou][a-z])+[ns]\\b')")
+def search_repeated_groups_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = O(r"(?:[aeiou][a-z])+[ns]\b", ignore_case=True, invert_match=True)
+    return text.match_lines(tables.blobs(spark, sf_dir), options).select("blob_oid", "line_num")
+
+
+@register("submatch_spans_repeated_groups", _spans_sql(LONG, REPEATED))
+def submatch_spans_repeated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.match_lines(tables.long_blobs(spark, sf_dir), O(REPEATED))
+    return lines.select("blob_oid", "line_num", F.inline(text.spans(F.col("line_text"), O(REPEATED))))
+
+
+@register("context_repeated_groups", f"""WITH {BLOBS}, {_lines_of('blobs')},
+h AS (SELECT blob_oid, line_num, line_text, regexp_matches(line_text, '(?:\\w+\\s)+than\\b') AS hit FROM lines WHERE regexp_matches(content, '(?m)(?:\\w+\\s)+than\\b')),
+w AS (SELECT blob_oid, line_num, hit, bool_or(hit) OVER (PARTITION BY blob_oid ORDER BY line_num ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM h)
+SELECT blob_oid, line_num, hit AS is_match FROM w WHERE near""")
+def context_repeated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = O(r"(?:\w+\s)+than\b", before_context=1, after_context=1)
+    return text.context_lines(tables.blobs(spark, sf_dir), options).select("blob_oid", "line_num", "is_match")
+
+
 @register("submatch_spans", f"""WITH {BLOBS}, {_lines_of('blobs')},
 m AS (SELECT blob_oid, line_num, unnest(range(1, len(h) + 1)) AS i, g, h
   FROM (SELECT blob_oid, line_num, string_split_regex(line_text, 'é\\w+|th\\w+') AS g, regexp_extract_all(line_text, 'é\\w+|th\\w+') AS h FROM lines

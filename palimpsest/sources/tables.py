@@ -26,6 +26,15 @@ def edge_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("content", F.lit("\n"))).otherwise(F.col("content")))
 
 
+def long_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a source joined to one line, twenty documents' numbers each, as minified files are."""
+    line = F.translate("text", "\n\r", "  ")
+    docs = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 20).alias("k"), F.struct("doc_id", line.alias("line")).alias("d"))
+    lines = docs.groupBy("source", "k").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    lines = lines.select(F.array_join(F.transform("d", lambda d: d["line"]), " ").alias("content"))
+    return lines.select(F.sha1(F.encode("content", "UTF-8")).alias("blob_oid"), "content").dropDuplicates(["blob_oid"])
+
+
 def document_path() -> Column:
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))
     return F.concat("source", F.lit("/m"), (F.floor(F.col("doc_id") / 20) % 10).cast("string"), ext)

@@ -37,8 +37,9 @@ def stream_matches(blobs: DataFrame, options: SearchOptions, occurrences: DataFr
     options.validate()
     once = first_arrivals(blobs, delay)
     lines = text.line_array(F.col("content"))
-    hit = lambda x: ~text.matches(x, options) if options.invert_match else text.matches(x, options)
-    found = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_num"), x.alias("line_text"))), lambda s: hit(s["line_text"]))
+    placed = F.transform(F.arrays_zip(lines.alias("line"), text.matches_each(lines, options).alias("hit")),
+        lambda s, i: F.struct((i + 1).alias("line_num"), s["line"].alias("line_text"), s["hit"].alias("hit")))
+    found = F.transform(F.filter(placed, lambda s: s["hit"] != F.lit(options.invert_match)), lambda s: F.struct(s["line_num"], s["line_text"]))
     if options.max_count > 0:
         found = F.slice(found, 1, options.max_count)
     rows = text.prefilter(once, options).select("blob_oid", F.inline(found))

@@ -5,7 +5,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from palimpsest.functions import linear
 from palimpsest.functions.regex import PatternError, quote, translate
+from palimpsest.operators import text
+from palimpsest.options import SearchOptions
 
 TEXTS = ["", "foo", "foo\r", "a foo b\nbar", "étion nation", "É é K k ſ", "x\x0by z", "a.b[c]{2}", "\u0085 ", "ab\n", "[x]&&y", "tab\there", "0123456789",
     "aaa{,2}", "über Straße", "\n", "A-Z_9", "istanbul", "\u0131stanbul", "\u0130STANBUL", "\u0131x \u0130x ix", "\u212a \u017f"]
@@ -51,3 +54,55 @@ def test_rejects(pattern):
 def test_quote(spark):
     text = r"a.b*c[d](e){f}|^$\?+"
     assert spark.createDataFrame([(text,)], "t string").where(F.col("t").rlike(translate(quote(text)))).count() == 1
+
+
+@pytest.mark.parametrize("pattern,hands_over", [("plain", False), (r"\bword\b", False), ("a+b", False), ("(?:x)?y+", False), ("(x|y)", False), ("[)]+", False), (r"\)+x", False),
+    (r"\Q(a)\E+", False), ("a{3}b{2}", False), ("(ab)+", True), ("(?:ab)*c", True), ("(a|b){2,}", True), ("(ab){3}", True), ("(?i:x)+", True), (".*x.*y", True), ("a{60}b{0,70}", True)])
+def test_what_is_handed_to_the_automaton(pattern, hands_over):
+    assert linear.backtracks(pattern) is hands_over
+
+
+def found(spark, texts, patterns, **flags):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    return df.select("i", *[linear.search(F.col("t"), p, **flags).alias(f"p{k}") for k, p in enumerate(patterns)]).orderBy("i").collect()
+
+
+def test_long_texts_in_linear_time(spark):
+    texts = ["word " * 20_000, "word " * 20_000 + "!", "ab" * 50_000 + "c", "ab" * 50_000, '"' + 'x\\"' * 33_000 + '"', '"' + 'x\\"' * 33_000, "a" * 100_000, None]
+    patterns = [r"(\w+\s)+$", "(a|b)*c", r'"([^"\\]|\\.)*"', "(a+)+$", "(a+)+!", ".*b.*c.*d"]
+    for k, p in enumerate(patterns):
+        want = pc.match_substring_regex(pa.array(texts), pattern="(?m)" + p).to_pylist()
+        assert [r[f"p{k}"] for r in found(spark, texts, patterns)] == want, p
+
+
+GROUPS = ["(?:i|x)+", "(a|b)*", "(?:[a-z]\\s?)+", "(\\w+ )+", "(?:é|E)*x", "(x+x+)+y", "(?:^|a)+", "(?i:K|s)+", "(ab?){2,3}", "(a*)*$", "(?:b|)+", ".*i.*"]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(GROUPS), st.sampled_from(PIECES)).map("".join), min_size=6, max_size=6),
+    st.lists(st.tuples(st.text(alphabet="iI\u0131kK\u212asabxé 1\n", max_size=6), st.sampled_from([1, 3, 4000])).map(lambda p: p[0] * p[1]), min_size=20, max_size=20),
+    st.booleans(), st.booleans())
+def test_random_repeated_groups_agree_with_re2(spark, patterns, texts, ignore_case, multiline):
+    rows = found(spark, texts, patterns, ignore_case=ignore_case, multiline=multiline)
+    flags = "m" * multiline + "i" * ignore_case
+    for k, p in enumerate(patterns):
+        want = pc.match_substring_regex(pa.array(texts), pattern=(f"(?{flags})" if flags else "") + p).to_pylist()
+        assert [r[f"p{k}"] for r in rows] == want, p
+
+
+def test_both_ways_give_the_same_spans(spark, monkeypatch):
+    lines = ["", "foo bar foo", "é foo\ufdd3foo", "aaa", "\ufdd0 a \ufdd1", "x", "ééé\ufdd3\ufdd3a", None, "abab ab"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").coalesce(2)
+    for p in ("(?:foo)+", "a*", "(ab)+", "x|", "(?:é)+", "[^ ]+ *[^ ]+", "(?:\ufdd3|a)+", "^", "$"):
+        got = []
+        for way in (True, False):
+            monkeypatch.setattr(linear, "backtracks", lambda pattern, way=way: way)
+            rows = df.select("i", text.spans(F.col("t"), SearchOptions((p,))).alias("s")).orderBy("i").collect()
+            got.append([[tuple(s) for s in r.s or []] for r in rows])
+        assert got[0] == got[1], p
+
+
+def test_arrays_of_texts(spark):
+    df = spark.createDataFrame([(1, ["ab ab", None, "x"]), (2, []), (3, None), (4, ["ab"])], "i int, t array<string>").coalesce(1)
+    for p in ("(ab ?)+$", "ab"):
+        assert [r.h for r in df.select("i", linear.search_each(F.col("t"), p).alias("h")).orderBy("i").collect()] == [[True, None, False], [], None, [True]]
