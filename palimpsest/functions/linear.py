@@ -1,9 +1,9 @@
 """Matching in time that grows with the text's length, for patterns whose backtracking would not.
 
 RLIKE backtracks: a repeated group takes a stack frame for each turn, so a long line overflows the stack and takes its
-executor along, and several open-ended repetitions try every split of a text among them. Such patterns are told by their
-syntax and handed, a batch of texts at a time, to Arrow's RE2 kernels, which simulate an automaton. What they find becomes
-columns again without a loop over rows.
+executor along, and open-ended repetitions try every place and length that a long text offers. Such patterns are told by
+their syntax and handed, a batch of texts at a time, to Arrow's RE2 kernels, which simulate an automaton. What they find
+becomes columns again without a loop over rows.
 """
 
 from __future__ import annotations
@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.regex import repeats, translate
 
-LOOPS = 2  # open-ended repetitions of single characters that are left to backtracking, less one
-
 
 def backtracks(pattern: str) -> bool:
-    """Whether RLIKE's time or stack may grow faster than with the square of a text's length."""
+    """Whether RLIKE's time or stack may grow faster than with a text's length."""
     groups, loops = repeats(pattern)
-    return groups > 0 or loops > LOOPS - 1
+    return groups + loops > 0
 
 
 def flagged(pattern: str, multiline: bool, ignore_case: bool) -> str:

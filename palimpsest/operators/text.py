@@ -88,46 +88,15 @@ def first_matches(lines: DataFrame, max_count: int) -> DataFrame:
     return lines.withColumn("__rank", rank).where(F.col("__rank") <= max_count).drop("__rank")
 
 
-def width(text: Column) -> Column:
-    """Bytes of a text as it was stored."""
-    bad = F.length(text) - F.length(F.replace(text, F.lit(BAD), F.lit("")))
-    return F.octet_length(text) - (len(BAD.encode()) - 1) * bad
-
-
 def spans(line: Column, options: SearchOptions) -> Column:
     """Byte ranges of a line's matches, leftmost and not overlapping, as an array of (start, end), end exclusive.
 
-    Matches are marked by a replacement and the marks' places are summed up. An empty match right behind another is none.
+    Matches are marked by a replacement, and the marks' places tell the ranges. An empty match right behind another is none.
     """
     if options.invert_match:
         return F.array().cast("array<struct<start:int,end:int>>")
     free = F.translate(line, OPEN + CLOSE, LIKE + LIKE)
-    if linear.backtracks(options.pattern()):
-        return linear.spans(free, options.pattern(), (OPEN, CLOSE, BAD), ignore_case=options.folds_case())
-    marked = F.regexp_replace(free, f"{_grouped(options.regex())}", f"{OPEN}$1{CLOSE}")
-    parts = F.transform(F.split(marked, OPEN, -1), lambda p, i: F.struct(
-        F.when(i == 0, F.lit(0)).otherwise(width(F.substring_index(p, CLOSE, 1))).alias("hit"),
-        F.when(i == 0, width(p)).otherwise(width(p) - width(F.substring_index(p, CLOSE, 1)) - len(CLOSE.encode())).alias("gap"),
-    ))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("last"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + p["hit"]
-        none = (p["hit"] == 0) & (acc["at"] == acc["last"])
-        return F.struct(
-            (end + p["gap"]).alias("at"), F.when(none, acc["last"]).otherwise(end).alias("last"),
-            F.when(none, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).alias("out"),
-        )
-
-    first = F.get(parts, F.lit(0))["gap"]
-    rest = F.slice(parts, F.lit(2), F.size(parts))
-    return F.aggregate(rest, F.struct(first.alias("at"), zero["last"].alias("last"), zero["out"].alias("out")), step, lambda a: a["out"])
-
-
-def _grouped(regex: str) -> str:
-    """The pattern in one capturing group, its leading flags kept in front."""
-    flags, _, body = regex.partition(")")
-    return f"{flags})({body})"
+    return linear.spans(free, options.pattern(), (OPEN, CLOSE, BAD), ignore_case=options.folds_case())
 
 
 def match_counts(lines: DataFrame) -> DataFrame:
