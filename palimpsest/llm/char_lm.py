@@ -28,7 +28,7 @@ ORDER = 6
 CHUNK = 1 << 20  # characters of a text that are taken at once
 GROUP = 1 << 18  # characters of several texts that are taken at once
 RUN = 16 << 20  # characters of a block before the next one begins
-HELD = 3 << 19  # distinct grams that a task gathers before it passes them on
+HELD = 5 << 18  # distinct grams that a task gathers before it passes them on
 SHARD_CHARS = 8 << 20  # characters of all documents for each shard
 START = 0  # the symbol before a text; code points are one up
 
@@ -177,8 +177,9 @@ class Gatherer:
                 own[ends[ends < len(own)]] = False
             columns = [c[own] for c in columns]
             if len(columns[0]):
-                first, number = distinct(hashed(columns))
-                self.parts.append(([c[first] for c in columns], np.bincount(number)))
+                keys = hashed(columns)
+                first, number = distinct(keys)
+                self.parts.append(([c[first] for c in columns], keys[first], np.bincount(number)))
                 self.n += len(first)
             if self.n > HELD:
                 self.shrink()
@@ -188,15 +189,19 @@ class Gatherer:
     def shrink(self) -> None:
         import numpy as np
 
-        columns = [np.concatenate(c) for c in zip(*(p for p, _ in self.parts))]
-        self.parts = [merged(columns, np.concatenate([c for _, c in self.parts]))]
-        self.n = len(self.parts[0][1])
+        keys = np.concatenate([k for _, k, _ in self.parts])
+        first, number = distinct(keys)
+        counts = np.bincount(number, weights=np.concatenate([c for _, _, c in self.parts]), minlength=len(first)).astype(np.int64)
+        del number
+        columns = [np.concatenate([p[0][k] for p in self.parts])[first] for k in range(ORDER)]  # one at a time
+        self.parts, self.n = [(columns, keys[first], counts)], len(first)
 
     def rest(self) -> Iterator[tuple]:
         if self.parts:
             self.shrink()
-            yield self.parts[0]
-        self.parts, self.n = [], 0
+            columns, _, counts = self.parts[0]
+            self.parts, self.n = [], 0
+            yield columns, counts
 
 
 PACKED = "shard long, size long, grams binary, counts binary"
@@ -280,8 +285,8 @@ class Tables:
         """The probability that no count speaks for; one more symbol than seen stands for all others."""
         return 1.0 / (self.vocabulary + 1)
 
-    def model(self, folder: str) -> Model:
-        return Model(folder, self.uniform, self.discounts, self.first)
+    def model(self, folder: str, run: int = RUN) -> Model:
+        return Model(folder, self.uniform, self.discounts, self.first, run)
 
 
 def train(trusted: DataFrame, shards: int) -> Tables | None:
@@ -348,10 +353,35 @@ ASKED = "shard long, level int, kind int, block long, size long, grams binary, c
 TOLD = "block long, level int, size long, grams binary, counts binary, known long, follow binary"
 
 
-def ask(docs: DataFrame, shards: int) -> DataFrame:
-    """(block, text) -> the distinct grams of each block, of every order, as rows for the shards that know of them."""
+class Runs:
+    """Numbers the blocks of the rows of splits, which must come in order and none of which may be missing but empty texts."""
+
+    def __init__(self, chars: int = RUN):
+        self.chars, self.split, self.before = chars, None, 0
+
+    def blocks(self, splits, sizes):
+        """A block for each row, from its split and its characters."""
+        import numpy as np
+
+        out = np.zeros(len(splits), dtype=np.uint64)
+        edges = np.flatnonzero(np.concatenate([[True], splits[1:] != splits[:-1], [True]])) if len(splits) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if splits[a] != self.split:
+                self.split, self.before = splits[a], 0
+            sums = np.cumsum(sizes[a:b])
+            run = ((self.before + sums - sizes[a:b]) // self.chars).astype(np.uint64)
+            out[a:b] = hashed([splits[a:b].view(np.uint64), run])
+            self.before += int(sums[-1])
+        return out.view(np.int64)
+
+
+def ask(docs: DataFrame, shards: int, run: int = RUN) -> DataFrame:
+    """(split, text) -> the distinct grams of each block, of every order, as rows for the shards that know of them."""
+    chars = run
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow.compute as pc
 
         def told(block: int, columns) -> Iterator:
             for order in range(ORDER, 0, -1):
@@ -363,8 +393,9 @@ def ask(docs: DataFrame, shards: int) -> DataFrame:
                     columns = [c[first] for c in columns]
 
         held: dict[int, Gatherer] = {}
+        runs = Runs(chars)
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
+            blocks = runs.blocks(batch.column("split").to_numpy(), pc.utf8_length(batch.column("text")).to_numpy())
             for block in dict.fromkeys(blocks.tolist()):
                 if block not in held and held:  # a task reads one split after another
                     gone = next(iter(held))
@@ -379,7 +410,7 @@ def ask(docs: DataFrame, shards: int) -> DataFrame:
             for columns, _ in rest.rest():
                 yield from told(block, columns)
 
-    return map_batches(docs.select("block", "text"), run, ASKED)
+    return map_batches(docs.select("split", "text"), run, ASKED)
 
 
 def answer(asked: DataFrame, tables: Tables) -> DataFrame:
@@ -426,40 +457,12 @@ def answer(asked: DataFrame, tables: Tables) -> DataFrame:
     return map_batches(met, run, TOLD)
 
 
-def write_answers(docs: DataFrame, tables: Tables, folder: str) -> None:
+def write_answers(docs: DataFrame, tables: Tables, folder: str, run: int = RUN) -> None:
     """The grams of each block with what the tables know of them, in a folder for each block, as Parquet, shortest grams first."""
-    answer(ask(docs, tables.shards), tables).repartition("block").sortWithinPartitions("block", "level").write.option(
+    answer(ask(docs, tables.shards, run), tables).repartition("block").sortWithinPartitions("block", "level").write.option(
         "parquet.block.size", 1 << 20).partitionBy("block").parquet(folder)
 
 
-def runs(chars_of_run: int = RUN):
-    """(block, characters) of the rows of splits, in order -> the number of each row's run, as a function of columns.
-
-    It must see all rows of a split, so nothing that drops rows may go before it: it is marked as not deterministic,
-    which keeps filters above it.
-    """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    def number(batches: Iterator) -> Iterator:
-        import numpy as np
-
-        at, before = None, 0
-        for blocks, chars in batches:
-            out, blocks, chars = np.zeros(len(blocks), dtype=np.int64), blocks.to_numpy(), chars.to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]])) if len(blocks) else []
-            for a, b in zip(edges[:-1], edges[1:]):
-                if blocks[a] != at:
-                    at, before = blocks[a], 0
-                sums = np.cumsum(chars[a:b])
-                out[a:b] = (before + sums - chars[a:b]) // chars_of_run
-                before += int(sums[-1])
-            yield pd.Series(out)
-
-    number.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return pandas_udf(number, "long").asNondeterministic()
-
-
 class Model(NamedTuple):
     """What a task needs besides a block's answers: some twenty numbers."""
 
@@ -467,6 +470,7 @@ class Model(NamedTuple):
     uniform: float
     discounts: dict[int, list[float]]
     first: tuple[int, ...]
+    run: int
 
 
 class Block:

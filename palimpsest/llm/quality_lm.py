@@ -35,11 +35,15 @@ SLICE = 500  # rows of a batch whose texts are held as strings at once
 OWN = ("__quality_score", "__block")  # columns that are added to the caller's
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame, label_id: str = "doc_id", quality: str = "quality") -> DataFrame:
-    """The rows of docs (id, ...) that labels call good, each once; where labels disagree, a document is not trusted."""
+def trusted_ids(labels: DataFrame, label_id: str = "doc_id", quality: str = "quality") -> tuple[DataFrame, bool]:
+    """(label_id) of what labels call good, each once, and whether they are few; where labels disagree, a document is not trusted."""
     good = renamed(labels, label_id=label_id, quality=quality).groupBy("label_id").agg(F.min("quality").alias("q"))
     good = good.where("q = 1").select("label_id")
-    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return good, good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
+def trusted_documents(docs: DataFrame, good: DataFrame, few: bool) -> DataFrame:
+    """The rows of docs (id, ...) whose ids are trusted."""
     return docs.join(F.broadcast(good) if few else good, F.col("id") == F.col("label_id"), "left_semi")
 
 
@@ -49,31 +53,39 @@ def bucket(n: Column) -> Column:
 
 
 def scorer(model: char_lm.Model | None):
-    """(text, block) -> loss (nats), n and redundancy, as a function of columns; a task holds the tables of one block."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    """(text, split, characters) -> loss (nats), n and redundancy, as a function of columns.
+
+    All rows of a split must come, for its blocks are counted off by their characters; a null text is not scored. A task
+    holds the tables of one block.
+    """
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
 
     def score(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
 
         at, held = None, None
-        for texts, blocks in batches:
+        runs = char_lm.Runs(model.run if model else char_lm.RUN)
+        for texts, splits, sizes in batches:
             out = [np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))]
-            blocks = blocks.to_numpy()
+            blocks = runs.blocks(splits.to_numpy(), sizes.to_numpy())
+            wanted = texts.is_valid().to_numpy(zero_copy_only=False)
             for block in dict.fromkeys(blocks.tolist()):  # in the order that they come in
-                places = np.flatnonzero(blocks == block)
+                places = np.flatnonzero((blocks == block) & wanted)
                 for begin in range(0, len(places), SLICE):
                     here = places[begin:begin + SLICE]
-                    part = texts.iloc[here].tolist()
+                    part = texts.take(pa.array(here)).to_pylist()
                     if model and any(part) and at != block:
                         held = None  # let go before the next is read
                         at, held = block, char_lm.Block(model, block)
                     for column, values in zip(out, char_lm.measure(part, held if model and any(part) else None)):
                         column[here] = values
-            yield pd.DataFrame({"loss": -out[0], "n": out[1], "redundancy": out[2]})
+            yield pa.StructArray.from_arrays([pa.array(-out[0]), pa.array(out[1]), pa.array(out[2])], names=["loss", "n", "redundancy"])
 
-    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return pandas_udf(score, "loss double, n long, redundancy double")
+    score.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    # Not deterministic, for it depends on the rows before: filters stay behind it.
+    return arrow_udf(score, "struct<loss:double,n:long,redundancy:double>").asNondeterministic()
 
 
 def _smoothed(m: Column, own: Column, other: Column) -> Column:
@@ -131,22 +143,25 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = ship(docs.sparkSession)
     here = blocked(docs)
-    number = char_lm.runs(run)(F.col("__block"), F.length(text_of(F.col(f"`{text_col}`"))).cast("long"))
-    here = here.withColumn("__block", F.xxhash64("__block", number))
-    slim = here.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (lang_col, "lang"), ("__block", "block"))],
+    slim = here.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (lang_col, "lang"), ("__block", "split"))],
         text_of(F.col(f"`{text_col}`")).alias("text"))
-    slim = slim.select("id", F.col("lang").cast("string").alias("lang"), "block", "text")
-    trusted = trusted_documents(slim, labels)
+    slim = slim.select("id", F.col("lang").cast("string").alias("lang"), "split", "text")
+    good, few = trusted_ids(labels)
     held = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
-    tables = char_lm.train(trusted.where(~held), char_lm.shard_count(slim))
+    tables = char_lm.train(trusted_documents(slim, good, few).where(~held), char_lm.shard_count(slim))
     folder = f"{shared_dir(spark).rstrip('/')}/quality-{uuid.uuid4().hex}"
     if tables:
-        char_lm.write_answers(slim.where("text <> ''"), tables, folder)
-    score = scorer(tables.model(folder) if tables else None)
-    seen = trusted.where(held).where("text <> ''").select("lang", score("text", "block").alias("s")).select("lang", "s.*")
+        char_lm.write_answers(slim.where("text <> ''"), tables, folder, run)
+    score = scorer(tables.model(folder, run) if tables else None)
+    # Rows keep their place; where the ids are too many to go out, all held-out rows are scored and asked for theirs then.
+    asked = slim.join(F.broadcast(good), F.col("id") == F.col("label_id"), "left") if few else slim.withColumn("label_id", F.col("id"))
+    seen = asked.select("id", "lang", score(F.when(F.col("label_id").isNotNull() & held & (F.col("text") != ""), F.col("text")), "split",
+        F.length("text").cast("long")).alias("s")).where("s.n > 0").select("id", "lang", "s.*")
+    seen = (seen if few else trusted_documents(seen, good, few)).drop("id")
     by_lang, by_length, mean, far = limits(cut(seen)) if tables else (None, None, None, math.inf)
 
-    own = here.withColumn("__quality_score", score(text_of(F.col(f"`{text_col}`")), F.col("__block")))
+    body = text_of(F.col(f"`{text_col}`"))
+    own = here.withColumn("__quality_score", score(body, F.col("__block"), F.length(body).cast("long")))
     at = "__quality_score."
     ppl, cost = perplexity(mean, at), charge(mean, at)
     limit = longest = F.lit(math.inf)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import char_lm, quality_lm
 from palimpsest.llm.common import blocked, shared_dir
@@ -58,10 +59,10 @@ class Dictionary:
 def scores(spark, train, docs, shards):
     trusted = spark.createDataFrame([(t,) for t in train], "text string").repartition(3)
     tables = char_lm.train(trusted, shards)
-    here = blocked(spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "id int, text string").repartition(2)).withColumnRenamed("__block", "block")
+    here = blocked(spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "id int, text string").repartition(2)).withColumnRenamed("__block", "split")
     folder = f"{shared_dir(spark)}/test-{random.random()}"
     char_lm.write_answers(here, tables, folder)
-    rows = here.select("id", quality_lm.scorer(tables.model(folder))("text", "block").alias("s")).select("id", "s.*").collect()
+    rows = here.select("id", quality_lm.scorer(tables.model(folder))("text", "split", F.length("text").cast("long")).alias("s")).select("id", "s.*").collect()
     return {r.id: r for r in rows}, tables
 
 
@@ -106,8 +107,10 @@ def test_no_text_no_model(spark):
     assert char_lm.train(spark.createDataFrame([("",)], "text string"), 3) is None
 
 
-def test_runs_within_a_split_change_nothing(spark, make, tmp_path):
-    """Filters and joins behind the numbering of runs must not be moved before it."""
+@pytest.mark.parametrize("few", [True, False])
+def test_runs_within_a_split_change_nothing(spark, make, tmp_path, monkeypatch, few):
+    """Filters and joins behind the counting of runs must not be moved before it."""
+    monkeypatch.setattr(quality_lm, "BROADCAST_IDS", 10_000 if few else 5)
     rows = [(None if i % 11 == 3 else i, text(i, 5 + i % 30) if i % 7 else "", ("en", "fr", None)[i % 3], "s") for i in range(150)]
     make(*rows).coalesce(1).write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
