@@ -109,7 +109,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): for each node with an edge, the smallest node that it reaches.
 
     Large star, then small star, until nothing changes; each round is written to the shared folder, and only a count
-    and a checksum come to the driver.
+    and a checksum come to the driver. Joins are by sorting: a broadcast for each round would pass small tables through
+    the driver again and again.
     """
     edges, before = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
     while True:
@@ -120,9 +121,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct())
 
 
