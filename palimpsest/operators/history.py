@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 DRIVER_GRAPH = 3_000_000  # commits whose graph is walked on the driver
@@ -40,6 +40,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, which: Column) -> tuple[DataFrame, int]:
+    """df written to the shared folder, and how many of its rows are such; the writing itself counts them."""
+    seen = Observation()
+    done = checkpointed(df.observe(seen, F.count_if(which).alias("n")))
+    return done, seen.get["n"]
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with the rank of each row, from 1, in a total order: a range-partitioned sort, and offsets of its partitions."""
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

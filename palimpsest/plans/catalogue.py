@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import globs
-from palimpsest.operators import attribution, history, text
+from palimpsest.operators import attribution, history, text, treediff
 from palimpsest.options import OptionError, SearchOptions, parse_args
 from palimpsest.plans.engine import Source, from_git, search, select_commits
 from palimpsest.sinks import render
@@ -368,19 +368,32 @@ kept AS (SELECT * FROM diff d WHERE NOT EXISTS (SELECT 1 FROM commits c JOIN fil
   AND p.oid = d.oid))"""
 
 
+def _changes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """What orders change as commits, by the recursion over pairs of trees; both tables are derived once."""
+    commits = history.checkpointed(tables.order_commits(spark, sf_dir).select("sha", "tree_oid", "parents"))
+    return treediff.tree_changes(commits, treediff.by_joins(history.checkpointed(tables.order_entries(spark, sf_dir))), **options)
+
+
 @register("tree_diff", f"WITH {ORDERS}, {FILES}, {DIFF} SELECT sha, path, mode, oid FROM diff")
 def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.tree_diff(tables.order_commits(spark, sf_dir), tables.order_files(spark, sf_dir))
+    return _changes(spark, sf_dir, first_parent=True)
 
 
 @register("tree_full", f"WITH {ORDERS}, {FILES} SELECT sha, path, mode, oid FROM commits JOIN files ON root = sha WHERE mode = 33188")
 def tree_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.tree_diff(tables.order_commits(spark, sf_dir), tables.order_files(spark, sf_dir), expand_commits=True)
+    return _changes(spark, sf_dir, expand_commits=True)
 
 
 @register("merge_suppression", f"WITH {ORDERS}, {FILES}, {DIFF} SELECT sha, path, mode, oid FROM kept")
 def merge_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits, files = tables.order_commits(spark, sf_dir), tables.order_files(spark, sf_dir)
+    return _changes(spark, sf_dir)
+
+
+@register("file_diff", f"WITH {ORDERS}, {FILES}, {DIFF} SELECT sha, path, mode, oid FROM kept")
+def file_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of trees that are given as lists of files."""
+    commits = history.checkpointed(tables.order_commits(spark, sf_dir).select("sha", "tree_oid", "parents"))
+    files = history.checkpointed(tables.order_files(spark, sf_dir))
     return history.suppress_merged(history.tree_diff(commits, files), commits, files)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.globs import path_filter
-from palimpsest.operators import attribution, history, text
+from palimpsest.operators import attribution, history, text, treediff
 from palimpsest.options import OptionError, SearchOptions, parse_date
 from palimpsest.sinks import render
 from palimpsest.sources import gitstore
@@ -23,14 +23,16 @@ class Source:
     """What a search reads.
 
     commits: sha, tree_oid, parents, commit_ts, author, author_name, author_email, committer..., commit_tz (optional)
-    files:   root (a tree's oid), path, mode, oid; or, in place of trees, occurrences ready-made
+    entries: tree_oid, mode, name, oid of trees; or, in place of trees, files (root, a tree's oid, path, mode, oid) or
+             occurrences ready-made
     blobs:   blob_oid, content, and optionally data (bytes) and error
     refs:    name -> oid
-    repo:    a repository, whose trees and blobs are read where they are needed, in place of files and blobs
+    repo:    a repository, whose trees and blobs are read where they are needed, in place of entries and blobs
     """
 
     commits: DataFrame
     blobs: DataFrame | None = None
+    entries: DataFrame | None = None
     files: DataFrame | None = None
     occurrences: DataFrame | None = None
     refs: dict[str, str] = field(default_factory=dict)
@@ -114,20 +116,19 @@ def occurrences(source: Source, options: SearchOptions) -> DataFrame:
     told = ("commit_ts", F.coalesce(date, F.lit("")).alias("commit_date"), attribution.author(F.col("author_name"), F.col("author")).alias("author"),
         summary.alias("summary"), "walk_seq")
     expand, first = options.expand_commits, options.first_parent
-    if source.repo is not None:
-        changed = gitstore.tree_changes(commits.select("sha", "tree_oid", "parents", *told), source.repo, expand, first)
-        placed = changed.select(F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"), "commit_ts", "commit_date", "author", "summary",
-            "walk_seq")
+    named = commits.select(F.col("sha").alias("commit_sha"), *told)
+    if source.occurrences is not None:
+        found = source.occurrences.select("blob_oid", "path", "commit_sha")
     else:
-        named = commits.select(F.col("sha").alias("commit_sha"), *told)
-        if source.occurrences is not None:
-            found = source.occurrences.select("blob_oid", "path", "commit_sha")
-        else:
+        if source.files is not None:
             diff = history.tree_diff(commits, source.files, expand, source.commits)
             if not first and not expand:
                 diff = history.suppress_merged(diff, commits, source.files, source.commits)
-            found = diff.select(F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"))
-        placed = found.join(named, "commit_sha")
+        else:
+            opened = gitstore.open_pairs(source.repo) if source.repo else treediff.by_joins(source.entries)
+            diff = treediff.tree_changes(commits, opened, source.commits, expand, first)
+        found = diff.select(F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"))
+    placed = found.join(named, "commit_sha")
     placed = placed.where(path_filter(F.col("path"), options.paths, options.globs, options.types, options.subdirectory or source.subdirectory))
     if source.occurrences is not None:
         return attribution.select_occurrences(placed, expand)

@@ -30,7 +30,6 @@ OFS_DELTA, REF_DELTA = 6, 7
 MAX_OBJECT = 512 << 20
 MAX_DELTA_DEPTH = 50
 MAX_REF_DEPTH = 10
-MAX_TREE_DEPTH = 256
 PACK_RANGE = 2000  # objects of a pack that one task reads
 LOOSE_FILES = 2000  # loose objects that one task reads, about
 TREES = 4096  # parsed trees that a task remembers
@@ -587,7 +586,7 @@ def loose_kind(file: Path) -> str:
 
 
 class Trees:
-    """Parsed trees by oid, the latest TREES of them remembered; and what the pruned diff of two trees gives."""
+    """Parsed trees by oid, the latest TREES of them remembered."""
 
     def __init__(self, store: Store):
         self.store, self.held = store, {}
@@ -603,36 +602,17 @@ class Trees:
             self.held[oid] = sorted(tree_entries(data), key=canonical)
         return self.held[oid]
 
-    def find(self, root: str, path: str) -> str | None:
-        """The oid of the entry at a path."""
-        for name in path.split("/"):
-            try:
-                root = next((oid for _, n, oid in self.entries(root) if n == name), None)
-            except (CorruptObject, NotFound, OSError):
-                return None
-            if root is None:
-                return None
-        return root
-
-    def diff(self, new: str, old: str | None, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, int, str]]:
-        """(path, mode, oid) of regular files in `new` that are not in `old` at their path. Equal subtrees are never opened."""
-        if new == old:
-            return
-        if depth > MAX_TREE_DEPTH:
-            raise CorruptObject(f"trees are nested deeper than {MAX_TREE_DEPTH}, or contain themselves")
+    def changed(self, new: str, old: str) -> Iterator[tuple[str, int, str, str]]:
+        """(name, mode, oid, oid before) of entries in `new` that `old` has not, or with another oid."""
+        is_tree = lambda mode: mode & 0o170000 == 0o040000
         try:
-            before = {(name, mode & 0o170000 == 0o040000): oid for mode, name, oid in (self.entries(old) if old else ())}
+            before = {(name, is_tree(mode)): oid for mode, name, oid in (self.entries(old) if old else ())}
         except (CorruptObject, NotFound, OSError):
             before = {}  # what cannot be read has nothing in common
         for mode, name, oid in self.entries(new):
-            tree = mode & 0o170000 == 0o040000
-            had = before.get((name, tree))
-            if had == oid:
-                continue
-            if tree:
-                yield from self.diff(oid, had, f"{prefix}{name}/", depth + 1)
-            elif mode & 0o170000 == 0o100000:
-                yield prefix + name, mode, oid
+            had = before.get((name, is_tree(mode)), "")
+            if had != oid:
+                yield name, mode, oid, had
 
 
 def canonical(entry: tuple[int, str, str]) -> bytes:
@@ -641,57 +621,33 @@ def canonical(entry: tuple[int, str, str]) -> bytes:
     return name.encode("utf-8", "surrogateescape") + (b"/" if mode & 0o170000 == 0o040000 else b"")
 
 
-def tree_changes(commits: DataFrame, repo: Repository, expand_commits: bool = False, first_parent: bool = False) -> DataFrame:
-    """Commits with sha, tree_oid and parents -> the same rows with path, mode and oid, a row for each file that a commit
-    has and its first parent lacks or has with another oid.
+PAIRS_A_TASK = 500
+
+
+def open_pairs(repo: Repository):
+    """Opens pairs of trees (see operators.treediff) by reads of a repository: of each pair, its two trees.
 
-    A commit is the work of one task, which opens only subtrees that differ; commits are spread over tasks, and nothing
-    is joined or shuffled. Without a parent that can be read, and with expand_commits, all files come. Of a merge, what
-    any other parent has at the same path with the same oid does not, unless first parents alone count. A tree that
-    cannot be read fails the search.
+    Tasks are as many as the pairs ask for, however few bytes those have. A new tree that cannot be read fails the search;
+    an old one has nothing in common with the new.
     """
     common = repo.common_dir
 
     def run(batches):
         import pyarrow as pa
 
-        store = Store(common)
-        trees, of_commit = Trees(store), {}
-
-        def tree_of(sha: str) -> str | None:
-            if sha not in of_commit:
-                try:
-                    kind, data = store.read(sha)
-                    line = data.partition(b"\n")[0].strip()
-                    of_commit[sha] = line[5:].decode() if kind == "commit" and line.startswith(b"tree ") else None
-                except (CorruptObject, NotFound, OSError):
-                    of_commit[sha] = None
-            return of_commit[sha]
-
+        trees = Trees(Store(common))
+        kinds = [pa.string()] * 3 + [pa.int32()] + [pa.string()] * 2
         for batch in batches:
-            at, found = [], []
-
-            def flush():
-                columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns]
-                paths, modes, oids = zip(*found) if found else ((), (), ())
-                return pa.RecordBatch.from_arrays([*columns, pa.array(paths, pa.string()), pa.array(modes, pa.int32()), pa.array(oids, pa.string())],
-                    names=[*batch.schema.names, "path", "mode", "oid"])
-
-            for k, (new, parents) in enumerate(zip(batch.column("tree_oid").to_pylist(), batch.column("parents").to_pylist())):
-                parents = [] if expand_commits else parents or []
-                others = [] if first_parent else [t for t in map(tree_of, parents[1:]) if t]
-                for path, mode, oid in trees.diff(new, tree_of(parents[0]) if parents else None):
-                    if not any(trees.find(other, path) == oid for other in others):
-                        at.append(k)
-                        found.append((path, mode, oid))
-                if len(found) >= 10_000:
-                    yield flush()
-                    at, found = [], []
-            yield flush()
-
-    spark = ship(commits.sparkSession)
-    schema = ", ".join(f"`{c}` {t}" for c, t in commits.dtypes) + ", path string, mode int, oid string"
-    return commits.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
+            rows = [(new, old, *entry) for new, old in zip(*(batch.column(k).to_pylist() for k in (0, 1))) for entry in trees.changed(new, old)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)],
+                names=["new", "old", "name", "mode", "oid", "had"])
+
+    def opened(pairs: DataFrame, n: int) -> DataFrame:
+        spark = ship(pairs.sparkSession)
+        tasks = max(1, min(n, spark.sparkContext.defaultParallelism), n // PAIRS_A_TASK)
+        return pairs.repartition(tasks, "new").mapInArrow(run, "new string, old string, name string, mode int, oid string, had string")
+
+    return opened
 
 
 IDENTITY = r"(?s)^(.*?)\s*<([^>]*)>\s*(-?\d+)\s+([+-]\d{4})\s*$"

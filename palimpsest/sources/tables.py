@@ -91,6 +91,16 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).groupBy("root", "path").agg(F.min(F.struct("mode", "oid")).alias("f")).select("root", "path", "f.mode", "f.oid")
 
 
+def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree_oid, mode, name, oid): those files as trees, named by order on top and below by what is in them."""
+    files = order_files(spark, sf_dir).withColumn("name", F.element_at(F.split("path", "/"), 2))
+    told = F.sort_array(F.collect_list(F.concat_ws(" ", F.col("mode").cast("string"), "name", "oid")))
+    tops = files.groupBy("root").agg(F.collect_list(F.struct("mode", "name", "oid")).alias("held"), F.sha1(F.array_join(told, "\n").cast("binary")).alias("sub"))
+    top = tops.select(F.col("root").alias("tree_oid"), F.lit(0o040000).alias("mode"), F.lit("part").alias("name"), F.col("sub").alias("oid"))
+    below = tops.dropDuplicates(["sub"]).select(F.col("sub").alias("tree_oid"), F.inline("held"))
+    return top.unionByName(below)
+
+
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as snapshots: (conv_id, turn, path, oid), path the role."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("path"), F.sha1(F.encode("text", "UTF-8")).alias("oid"))

@@ -6,6 +6,7 @@ import zlib
 import pytest
 
 from palimpsest import cli
+from palimpsest.operators import treediff
 from palimpsest.options import SearchOptions
 from palimpsest.plans import engine
 from palimpsest.sources import gitstore
@@ -119,12 +120,24 @@ def test_only_changed_trees_are_opened(tmp_path, spark):
     two = repo.commit(files | {"d3/e2/f1": b"changed", "d3/e2/new": b"new"}, one)
     store = gitstore.Store(str(repo.git))
     root = lambda sha: store.read(sha)[1][5:45].decode()
-    trees = gitstore.Trees(store)
-    new, old, store.reads = root(two), root(one), 0
-    assert sorted(p for p, _, _ in trees.diff(new, old)) == ["d3/e2/f1", "d3/e2/new"]
-    assert store.reads == 6  # three trees of each side, of 61
-    assert sum(1 for _ in gitstore.Trees(store).diff(new, None)) == 201 and trees.find(new, "d3/e2/new") and trees.find(new, "d3/none/x") is None
-    assert [p for p, _, _ in gitstore.Trees(store).diff(old, new)] == ["d3/e2/f1"]  # what is gone gives nothing
+    new, old = root(two), root(one)
+    found = gitstore.discover(tmp_path, {})
+    pairs = lambda *p: spark.createDataFrame(p, "new string, old string")
+    opened, levels = gitstore.open_pairs(found), []
+
+    def counted(frontier, n):
+        levels.append(frontier.count())
+        return opened(frontier, n)
+
+    changed = lambda *p: sorted(r.path for r in treediff.pair_changes(pairs(*p), counted, len(p)).collect())
+    assert changed((new, old)) == ["d3/e2/f1", "d3/e2/new"] and levels == [1, 1, 1]  # three pairs, of 61 trees a side
+    assert changed((old, new)) == ["d3/e2/f1"]  # what is gone gives nothing
+    levels.clear()
+    assert len(changed((new, ""))) == 201 and levels == [1, 10, 50]
+    with pytest.raises(Exception, match="f{40}"):
+        changed(("f" * 40, old))
+    levels.clear()
+    assert len(changed((old, "f" * 40))) == 200 and levels == [1, 10, 50]  # what cannot be read has nothing in common
 
 
 def test_canonical_order():
