@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import shutil
 import sys
 import tempfile
@@ -31,20 +32,22 @@ HISTORIES = {"150x30_unique": (150, 30, 0.0), "150x30_reuse90": (150, 30, 0.9),
     "1000x100": (1000, 100, 0.5)}
 
 
+WORDS = "amber basin cedar delta ember fjord grove haven inlet juniper knoll lagoon meadow notch orchard prairie quarry ridge summit tundra".split()
+
+
 def repository(folder: str, commits: int, files: int, reuse: float) -> str:
-    """A linear history, packed: each commit writes a fifth of the files in turn; a share of what is written is one text."""
-    made = History(folder)
-    touched = max(1, files // 5)
-    parent: tuple = ()
-    for c in range(1, commits + 1):
-        for f in range(touched):
-            at = (c * touched + f) % files
-            text = "// what many files share\nconst token = \"BENCHMARK_shared\";\n"
-            if (c + 7 * f) % 100 >= int(100 * reuse):
-                text = f"package m\n// commit {c}, file {at}\nvar token{c} = \"BENCHMARK_own_{c}\";\nfunc step{at}() int {{ return {10 * c} }}\n"
-            made.change(f"src/pkg{at // 10:02d}/module_{at:03d}.go", made.put("blob", text.encode()))
-        parent = (made.commit(1670000000 + 60 * c, f"revision {c}", *parent),)
-    made.ref("refs/heads/main", parent[0])
+    """A linear history, packed. A commit writes a fifth of the files, drawn at random; a share of the texts comes from a
+    small stock, the others are new."""
+    draw, made = random.Random(f"{commits} {files} {reuse}"), History(folder)
+    paths = [f"{draw.choice(WORDS)}/{draw.choice(WORDS)}_{k}.rst" for k in range(files)]
+    prose = lambda: "\n".join(" ".join(draw.choices(WORDS, k=9)) for _ in range(6)) + f"\nlandmark {draw.getrandbits(40):x}\n"
+    stock = [prose() for _ in range(12)]
+    before: tuple = ()
+    for k in range(commits):
+        for path in draw.sample(paths, max(1, files // 5)):
+            made.change(path, made.put("blob", (draw.choice(stock) if draw.random() < reuse else prose()).encode()))
+        before = (made.commit(1_500_000_000 + 3600 * k, f"edition {k}", *before),)
+    made.ref("refs/heads/main", before[0])
     made.close()
     return folder
 
@@ -78,7 +81,7 @@ def main() -> None:
         print(name, round(time.perf_counter() - began), file=sys.stderr, flush=True)
         times[name] = timed(lambda: queries[name](spark, SF).write.format("noop").mode("overwrite").save())
     folder = tempfile.mkdtemp(prefix="bench-")
-    options = SearchOptions(("BENCHMARK_",), count=True, color="never")
+    options = SearchOptions(("landmark",), count=True, color="never")
     count = lambda source: search(spark, source, options).out().write.format("noop").mode("overwrite").save()
     try:
         for name, shape in HISTORIES.items():

@@ -47,11 +47,17 @@ def test_tilde(spark):
 
 
 def test_filters(spark):
-    c = commits(spark, ("Early", [], 0, "t"), ("Mid", ["Early"], 151, "t"), ("Late", ["Mid"], 304, "t"))
-    since, until = F.lit(datetime(2023, 5, 1)), F.lit(datetime(2023, 7, 1))
-    assert shas(c.where(history.commit_filter(since=since))) == {"Mid", "Late"} and shas(c.where(history.commit_filter(until=until))) == {"Early",
-        "Mid"} and shas(c.where(history.commit_filter(since, until))) == {"Mid"}
-    assert shas(c.where(history.commit_filter(author="MID@"))) == {"Mid"} and shas(c.where(history.commit_filter(committer="^bot$", author="late"))) == {"Late"}
+    """Both ends of the dates count; patterns look at any part of a name, in either case."""
+    days = {"Wren": 3, "wrenfield": 40, "Plover": 41, "Dunlin": 90}
+    c = commits(spark, *[(s, [], d, "t") for s, d in days.items()])
+    got = lambda **k: shas(c.where(history.commit_filter(**k)))
+    for low in (0, 3, 40, 91):
+        for high in (2, 40, 41, 400):
+            since, until = (F.lit(T0 + timedelta(days=d)) for d in (low, high))
+            assert got(since=since, until=until) == {s for s, d in days.items() if low <= d <= high}
+            assert got(since=since) == {s for s, d in days.items() if low <= d} and got(until=until) == {s for s, d in days.items() if d <= high}
+    assert got(author="wren") == {"Wren", "wrenfield"} and got(author="^wren$") == {"Wren"} and got(author="(?:n@|r@)x") == {"Wren", "Dunlin", "Plover"}
+    assert got(committer="^bot$", author="plov") == {"Plover"} and got(committer="plov") == set()
 
 
 def test_walk_orders(spark):

@@ -18,9 +18,10 @@ def passing(spark, paths, make):
         (["**/x"], "x", True), (["a/**"], "a/b/c", True), (["a/**"], "a", False),
     # rules that exclude, and the last one that matches
     (["!*.log"], "run.txt", True), (["!*.log"], "run.log", False), (["*.txt", "!draft*"], "draft1.txt", False), (["!draft*", "*.txt"], "draft1.txt", True),
-        (["!tmp/**", "tmp/keep/**"], "tmp/keep/a", True), (["!tmp/**", "tmp/keep/**"], "tmp/lose", False),
+        (["docs/*", "!docs/*_draft.*", "docs/final_*"], "docs/final_draft.rst", True), (["docs/*", "!docs/*_draft.*", "docs/final_*"], "docs/old_draft.rst", False),
+        (["docs/*", "!docs/*_draft.*", "docs/final_*"], "docs/plan.rst", True), (["docs/*", "!docs/*_draft.*", "docs/final_*"], "plan.rst", False),
     # classes, escapes, and what is not syntax
-    (["v[0-9].[^a]"], "v1.b", True), (["v[!0-9]"], "v7", False), (["{x,y}"], "x", False), (["{x,y}"], "{x,y}", True), (["/top"], "top", False),
+    (["[b-d]ox[^.]"], "coxy", True), (["[b-d]ox[^.]"], "cox.", False), (["[!b-d]ox"], "box", False), (["[!b-d]ox"], "fox", True), (["{x,y}"], "x", False), (["{x,y}"], "{x,y}", True), (["/top"], "top", False),
         (["sub/"], "sub/file", False), ([r"\?"], "?", True), ([r"\?"], "a", False), (["a.b"], "axb", False), (["  *.c  "], "a.c", True),
             ([" ", ""], "any", True),
 ])

@@ -43,19 +43,24 @@ def test_lines(spark):
     assert got == {"": [], "\n": [""], "a": ["a"], "a\n": ["a"], "a\r\nb\r\r\n": ["a", "b\r"], "a\n\n": ["a", ""], "\r\n": [""]}
 
 
-def groups(spark, before, after, max_count=0):
-    content = "".join(f"{'match' if i in (3, 5, 8) else 'line'} {i}\n" for i in range(1, 10))
-    rows = text.context_lines(blobs(spark, content), SearchOptions(("match",), before_context=before, after_context=after,
-        max_count=max_count)).orderBy("line_num").collect()
-    return [(r.group_id, r.line_num, r.is_match) for r in rows]
-
-
-def test_context(spark):
-    one = groups(spark, 1, 1)
-    assert [n for _, n, _ in one] == list(range(2, 10)) and {g for g, _, _ in one} == {1}
-    assert [(g, n) for g, n, _ in groups(spark, 1, 0)] == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 7), (2, 8)]
-    assert [(g, n) for g, n, _ in groups(spark, 0, 0)] == [(1, 3), (2, 5), (3, 8)]
-    assert [(n, m) for _, n, m in groups(spark, 0, 2, 1)] == [(3, True), (4, False), (5, False)]
+def groups(hits, n, before, after, most=0):
+    """[(group, line, whether it is a match)] of n lines: ranges around the first matches, joined where they touch."""
+    counted = hits[:most] if most else hits
+    near = [i for i in range(1, n + 1) if any(h - before <= i <= h + after for h in counted)]
+    out = []
+    for i in near:
+        new = not out or i > out[-1][1] + 1 or not before and not after
+        out.append((out[-1][0] + new if out else 1, i, i in counted))
+    return out
+
+
+@pytest.mark.parametrize("before,after,most", [(0, 0, 0), (1, 1, 0), (2, 0, 0), (0, 2, 0), (3, 1, 2), (0, 3, 1), (9, 9, 0)])
+def test_context(spark, before, after, most):
+    texts = [[1], [2, 3, 9, 17], [4, 8, 12, 13, 20], [20], []]
+    df = blobs(spark, *["".join(f"{'otter' if i in hits else 'heron'} {i}\n" for i in range(1, 21)) for hits in texts])
+    rows = text.context_lines(df, SearchOptions(("otter",), before_context=before, after_context=after, max_count=most)).orderBy("blob_oid", "line_num").collect()
+    for k, hits in enumerate(texts):
+        assert [(r.group_id, r.line_num, r.is_match) for r in rows if r.blob_oid == f"b{k}"] == groups(hits, 20, before, after, most)
 
 
 def test_binary(spark):
