@@ -173,6 +173,7 @@ def parse_record(raw: bytes) -> dict:
     return out | {"payload": block}
 
 
+TASKS = 100_000
 READ = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, stored_digest string, payload binary"
 
 
@@ -181,8 +182,11 @@ def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True, id_t
 
     A revisit stores no payload: its size and digest are those that it declares, its payload is null. A member that
     does not decode to its end is left out, and reading goes on behind its start. Ids are cast to id_type. Of no archives,
-    and of empty ones, no rows come.
+    and of empty ones, no rows come. A record is held whole, however long, and one that decodes is never cut; other columns
+    of `found` may have any names. Each range is a task's work, up to TASKS of them: a range is many megabytes to read but
+    few bytes as a row, by which partitions would be merged.
     """
+    n = found.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
     ranges = found.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)),
         F.lit(range_bytes).cast("long"))).alias("start")).where("bytes > 0")
 
@@ -213,7 +217,7 @@ def read(found: DataFrame, range_bytes: int = RANGE, payloads: bool = True, id_t
                 if rows:
                     yield make(rows)
 
-    rows = map_batches(ranges.repartition("path", "start"), run, READ)
+    rows = map_batches(ranges.repartition(min(int(n), TASKS)), run, READ)
     return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
