@@ -26,7 +26,7 @@ def main(args: list[str] | None = None, spark=None, start: str = ".", out=None,
             return 0
         from pyspark.sql import SparkSession
 
-        from palimpsest.plans.engine import from_git, search
+        from palimpsest.plans.engine import first_match, from_git, quiet_code, search
         from palimpsest.sinks.render import use_color
         from palimpsest.sources.gitstore import CorruptObject, NotFound
 
@@ -35,12 +35,15 @@ def main(args: list[str] | None = None, spark=None, start: str = ".", out=None,
         spark.sparkContext.setJobGroup(group, "palimpsest search", interruptOnCancel=True)
         try:
             try:
-                result = search(spark, source or from_git(spark, start), options)
+                source = source or from_git(spark, start)
+                if options.quiet:
+                    found, skipped, _ = first_match(spark, source, options)
+                    return quiet_code(found, skipped)
+                result = search(spark, source, options)
             except (CorruptObject, NotFound) as e:
                 raise OptionError(str(e)) from None
-            if not options.quiet:
-                for line in result.lines(use_color(options.color, out)):
-                    print(line, file=out)
+            for line in result.lines(use_color(options.color, out)):
+                print(line, file=out)
             for row in result.skipped.select("blob_oid", "error").toLocalIterator():
                 print(f"warning: skipped {row.blob_oid}: {row.error}", file=err)
             return result.exit_code()

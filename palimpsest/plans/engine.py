@@ -104,9 +104,11 @@ def select_commits(source: Source, options: SearchOptions) -> DataFrame:
     return reached.where(keep).withColumn("walk_seq", seq)
 
 
-def occurrences(source: Source, options: SearchOptions) -> DataFrame:
-    """(blob_oid, path, commit_sha, commit_ts, commit_date, author, summary): what each commit introduces, or all it holds."""
-    commits = select_commits(source, options)
+def occurrences(source: Source, options: SearchOptions, commits: DataFrame | None = None) -> DataFrame:
+    """(blob_oid, path, commit_sha, commit_ts, commit_date, author, summary): what each commit introduces, or all it holds.
+
+    Of the commits that the options select, or of some of these."""
+    commits = select_commits(source, options) if commits is None else commits
     date = F.date_format("commit_ts", "yyyy-MM-dd")
     if "commit_tz" in commits.columns:  # the date where the commit was made
         minutes = F.concat(F.substring("commit_tz", 1, 1), F.lit("1")).cast("int") * (F.substring("commit_tz", 2,
@@ -182,17 +184,9 @@ class SearchResult:
         return 2 if text.exists(self.skipped) else 0 if found else 1
 
 
-def search(spark: SparkSession, source: Source, options: SearchOptions) -> SearchResult:
-    """Plans a search: occurrences pick the blobs, each distinct blob is searched once, and its matches are attributed.
-
-    Occurrences are used twice, to pick blobs and to attribute matches. Those of a repository are written down for it.
-    Both uses are equi-joins on the blob's oid that Spark broadcasts or sorts by their size, and splits if one blob has
-    most occurrences.
-    """
-    options.validate()
-    where = occurrences(source, options)
+def matched(source: Source, options: SearchOptions, where: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of matches and notices by blob_oid, blobs that could not be read) of the blobs that occurrences name, each searched once."""
     if source.repo is not None:
-        where = history.checkpointed(where)
         blobs = gitstore.read_blobs(where.select("blob_oid").distinct(), source.repo)
     else:
         blobs = text.distinct_blobs(source.blobs.join(where.select("blob_oid"), "blob_oid", "left_semi"))
@@ -210,9 +204,50 @@ def search(spark: SparkSession, source: Source, options: SearchOptions) -> Searc
     spans = F.when(F.col("is_match"), text.spans(F.col("line_text"), options)) if options.color != "never" else F.lit(None).cast(NO_SPANS)
     hits = lines.select("blob_oid", "group_id", "line_num", "line_text", "is_match", F.lit(False).alias("is_binary"), spans.alias("submatches"))
     if options.text:
-        found = hits
-    else:
-        notices = good.where(binary & text.blob_matches(F.col("content"), options)).select("blob_oid", F.lit(0).alias("group_id"),
-            F.lit(0).alias("line_num"), F.lit("").alias("line_text"))
-        found = hits.unionByName(notices.withColumns({"is_match": F.lit(False), "is_binary": F.lit(True), "submatches": F.lit(None).cast(NO_SPANS)}))
+        return hits, skipped
+    notices = good.where(binary & text.blob_matches(F.col("content"), options)).select("blob_oid", F.lit(0).alias("group_id"),
+        F.lit(0).alias("line_num"), F.lit("").alias("line_text"))
+    return hits.unionByName(notices.withColumns({"is_match": F.lit(False), "is_binary": F.lit(True), "submatches": F.lit(None).cast(NO_SPANS)})), skipped
+
+
+def search(spark: SparkSession, source: Source, options: SearchOptions) -> SearchResult:
+    """Plans a search: occurrences pick the blobs, each distinct blob is searched once, and its matches are attributed.
+
+    Occurrences are used twice, to pick blobs and to attribute matches. Those of a repository are written down for it.
+    Both uses are equi-joins on the blob's oid that Spark broadcasts or sorts by their size, and splits if one blob has
+    most occurrences.
+    """
+    options.validate()
+    where = occurrences(source, options)
+    if source.repo is not None:
+        where = history.checkpointed(where)
+    found, skipped = matched(source, options, where)
     return SearchResult(attribution.attribute(found, where, source.occurrences is None), skipped, options)
+
+
+WAVE, GROWTH = 32, 4  # commits of the first wave, and by how much each wave is larger than the one before
+
+
+def first_match(spark: SparkSession, source: Source, options: SearchOptions, wave: int = WAVE) -> tuple[bool, list[DataFrame], int]:
+    """(whether anything matches, blobs that could not be read by then, commits that were looked at).
+
+    Commits are taken in waves in the order of the walk, newest first, each wave larger than all before it together. A
+    wave reads the trees and blobs of its own commits only, and within it Spark tries a few partitions at a time, so a
+    match in a new commit is told without reading the history behind it. Nothing is attributed or put in order.
+    """
+    options = options.validate().with_(color="never", before_context=0, after_context=0, max_count=0)
+    ranked = history.numbered(select_commits(source, options), "place", F.asc("walk_seq"))
+    n, start, skipped = ranked.count(), 1, []
+    while start <= n:
+        some = ranked.where(F.col("place").between(start, start + wave - 1)).drop("place")
+        found, bad = matched(source, options, occurrences(source, options, some))
+        if text.exists(found):
+            return True, skipped, min(n, start + wave - 1)
+        skipped.append(bad)
+        start, wave = start + wave, wave * GROWTH
+    return False, skipped, n
+
+
+def quiet_code(found: bool, skipped: list[DataFrame]) -> int:
+    """0 with a match, whatever could not be read; else 2 if something could not, else 1."""
+    return 0 if found else 2 if any(text.exists(s) for s in skipped) else 1

@@ -343,3 +343,43 @@ def test_unreadable(spark, tmp_path):
     code, lines, err = run(spark, repo, "-c", "needle")
     assert code == 2 and len(lines) == 1 and bad in err
     assert run(spark, repo, "-q", "needle")[0] == 0 and run(spark, repo, "absent")[0] == 2
+
+
+def test_quiet_stops_at_the_first_match(spark, tmp_path, monkeypatch):
+    """A match in the newest commit reads what the first wave of commits touches, of a long history."""
+    repo, parent = Repo(tmp_path), None
+    files = {f"d{i % 9}/f{i}": b"old %d\n" % i for i in range(90)}
+    for k in range(240):
+        files[f"d{k % 9}/f{k % 90}"] = b"edit %d\n" % k
+        if k == 239:
+            files["d1/f1"] = b"needle\n"
+        if k == 10:
+            files["d2/f2"] = b"early bird\n"
+        parent = repo.commit(dict(files), *([parent] if parent else []), when=1600000000 + 60 * k)
+    asked = {"trees": 0, "blobs": 0}
+    opens, reads = gitstore.open_pairs, gitstore.read_blobs
+
+    def open_pairs(found):
+        opened = opens(found)
+
+        def run(pairs, n):
+            asked["trees"] += 2 * pairs.count()
+            return opened(pairs, n)
+        return run
+
+    def read_blobs(oids, found):
+        asked["blobs"] += oids.count()
+        return reads(oids, found)
+
+    monkeypatch.setattr(gitstore, "open_pairs", open_pairs)
+    monkeypatch.setattr(gitstore, "read_blobs", read_blobs)
+    source, look = engine.from_git(spark, str(tmp_path), {}), lambda p: engine.first_match(spark, source, SearchOptions((p,), quiet=True), wave=4)
+    found, skipped, commits = look("needle")
+    assert found and not skipped and commits == 4
+    objects = sum(1 for f in (repo.git / "objects").rglob("*") if f.is_file())
+    assert objects > 900 and asked["trees"] + asked["blobs"] < 0.05 * objects
+    found, skipped, commits = look("early b[i]rd")
+    assert found and len(skipped) == 3 and commits == 240
+    found, skipped, commits = look("nowhere")
+    assert not found and commits == 240 and engine.quiet_code(found, skipped) == 1
+    assert run(spark, repo, "-q", "needle", start=tmp_path)[0] == 0
