@@ -8,10 +8,11 @@ symbols together then bound the candidates more tightly (WIDE). With Jaccard sim
 probability (1 - s) * 255/256: at 0.85 a pair is over RADIUS with probability 2e-5, over WIDE with less than 1e-6.
 
 No row is made for a pair. Within a bucket, candidates are joined to a spanning forest. A bucket of more than HOT nodes
-is not paired: what is near its first node is linked to it and what is farther goes on, twice with the next node, then
-under choices of the other chunks; what is crowded even there is linked to the bucket's first node, which adds candidates
-and loses none. Trees of candidates are families. A family's sets meet in one task, where common shingles are counted;
-of a larger one, random blocks meet first, and then whatever is not yet in the family's largest group meets all of it.
+is not paired: what is at all near its first node (3/2 WIDE) is linked to it, which adds candidates and loses none, and
+only where something is not does the bucket go on, twice with the next node, then under choices of the other chunks; what
+is crowded even there is linked to the bucket's first node as it is. Trees of candidates are families. A family's sets
+meet in one task, where common shingles are counted; of a larger one, random blocks meet first, and then whatever is not
+yet in the family's largest group meets all of it.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ CHUNKS = (6, 6, 6, 7, 7)  # symbols of each indexed chunk
 INDEXED, ERRORS = sum(CHUNKS), 2
 RADIUS = len(CHUNKS) * (ERRORS + 1) - 1  # of the indexed symbols, so many may differ
 DEEP_ERRORS = RADIUS // (len(CHUNKS) - 1)  # in one of the other chunks, if one chunk agrees
-HOT = 256  # nodes of a bucket that are compared with each other
+HOT = 4096  # nodes of a bucket that are compared with each other, in half a second and half a megabyte
 BLOCK = 1 << 20  # shingles that meet in one task
 ROUNDS = 2  # of random blocks, for families of more
-FEW = 200_000  # rows of some 200 bytes that are broadcast; more are joined by a shuffle
+FEW = 100_000  # rows of at most 150 bytes that are broadcast; more are joined by a shuffle
 STEP = 2048  # shingles that are hashed at once
 
 
@@ -122,7 +123,7 @@ def _near(df: DataFrame) -> DataFrame:
 
 
 def _under(nodes: DataFrame, errors: int, base: Column) -> DataFrame:
-    """(node, sig, bucket): each row under all its choices, within the bucket `base`."""
+    """(no, sig, bucket): each row under all its choices, within the bucket `base`."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -133,10 +134,10 @@ def _under(nodes: DataFrame, errors: int, base: Column) -> DataFrame:
                 own = keys(_symbols(b.column("sig")), errors)
                 offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * own.shape[1])
                 lists = pa.ListArray.from_arrays(offsets, pa.array(own.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["node", "sig", "base", "keys"])
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["no", "sig", "base", "keys"])
 
-    keyed = map_batches(nodes.select("node", "sig", base.alias("base")), run, "node binary, sig binary, base long, keys array<long>")
-    return keyed.select("node", "sig", "base", F.explode("keys").alias("k")).select("node", "sig", F.xxhash64("base", "k").alias("bucket"))
+    keyed = map_batches(nodes.select("no", "sig", base.alias("base")), run, "no long, sig binary, base long, keys array<long>")
+    return keyed.select("no", "sig", "base", F.explode("keys").alias("k")).select("no", "sig", F.xxhash64("base", "k").alias("bucket"))
 
 
 def _forest(rows: DataFrame) -> DataFrame:
@@ -147,26 +148,28 @@ def _forest(rows: DataFrame) -> DataFrame:
 
         def found(nodes, sigs):
             s = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(-1, SYMBOLS)
-            top = list(range(len(s)))
+            first, top = np.ascontiguousarray(s[:, :INDEXED]), list(range(len(s)))
+
+            def root(x):
+                while top[x] != x:
+                    top[x] = top[top[x]]
+                    x = top[x]
+                return x
+
             for i in range(len(s) - 1):
-                far = s[i + 1:] != s[i]
-                near = np.flatnonzero((far[:, :INDEXED].sum(axis=1) <= RADIUS) & (far.sum(axis=1) <= WIDE))
-                for j in (near + i + 1).tolist():
-                    x, y = i, j
-                    while top[x] != x:
-                        x = top[x]
-                    while top[y] != y:
-                        y = top[y]
+                near = i + 1 + np.flatnonzero(np.count_nonzero(first[i + 1:] != first[i], axis=1) <= RADIUS)
+                for j in near[np.count_nonzero(s[near] != s[i], axis=1) <= WIDE].tolist() if len(near) else ():
+                    x, y = root(i), root(j)
                     if x != y:
                         top[max(x, y)] = min(x, y)
                         yield nodes[i], nodes[j]
 
         def batch_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in list(zip(*pairs)) or [()] * 2], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*pairs)) or [()] * 2], names=["a", "b"])
 
         bucket, nodes, sigs, pairs = None, [], [], []
         for batch in batches:
-            for here, node, sig in zip(*[batch.column(c).to_pylist() for c in ("bucket", "node", "sig")]):
+            for here, node, sig in zip(*[batch.column(c).to_pylist() for c in ("bucket", "no", "sig")]):
                 if here != bucket:
                     if len(nodes) > 1:
                         pairs += found(nodes, sigs)
@@ -180,32 +183,39 @@ def _forest(rows: DataFrame) -> DataFrame:
             pairs += found(nodes, sigs)
         yield batch_of(pairs)
 
-    return map_batches(rows.repartition("bucket").sortWithinPartitions("bucket"), run, "a binary, b binary").distinct()
+    return map_batches(rows.repartition("bucket").sortWithinPartitions("bucket"), run, "a long, b long").distinct()
 
 
-def _against_hubs(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of crowded buckets against their bucket's first node: links to it, and the rows that must meet others still.
+def _against_hubs(hot: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(no, bucket, near) rows of crowded buckets against one node of each: links to it, and the rows that must go on.
 
-    What is within WIDE / 2 of the first node needs no other: of two such nodes both are linked to it, and one that is
-    near such a node is within 3/2 WIDE of the first and so linked to it too.
+    A bucket's hub is the first of the nodes that no hub is near yet. Nodes within 3/2 WIDE of it are linked to it and so
+    to each other. Where those are all, the bucket is done. Else the nodes that are not go on, and those that may be
+    within WIDE of such a one, which nodes within WIDE / 2 of the hub are not. A node meets a hub once, however many
+    buckets they share.
     """
-    hubs = cut(hot.groupBy("bucket").agg(F.min(F.struct("node", "sig")).alias("hub")))
+    hubs = hot.groupBy("bucket").agg(F.min(F.struct("near", "no")).alias("h")).select("bucket", F.col("h.no").alias("hub"))
+    placed = cut(hot.join(_near(cut(hubs)), "bucket").where("no <> hub").select("no", "bucket", "hub"))
+    pairs = placed.select("no", "hub").distinct()
+    firsts = pairs.select("hub").distinct().join(sigs.select(F.col("no").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             far = (_symbols(batch.column("sig")) != _symbols(batch.column("hub_sig"))).sum(axis=1)
-            own = [*batch.columns[:4], pa.array(2 * far <= 3 * WIDE), pa.array(2 * far > WIDE)]
-            yield pa.RecordBatch.from_arrays(own, names=["node", "sig", "bucket", "hub", "linked", "stays"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["no", "hub"]).columns, pa.array(far.astype("int32"))], names=["no", "hub", "far"])
 
-    met = hot.join(_near(hubs), "bucket").select("node", "sig", "bucket", F.col("hub.node").alias("hub"), F.col("hub.sig").alias("hub_sig")).where("node <> hub")
-    told = cut(map_batches(met, run, "node binary, sig binary, bucket long, hub binary, linked boolean, stays boolean"))
-    return told.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")), told.where("stays").select("node", "sig", "bucket")
+    met = pairs.join(sigs, "no").join(_near(cut(firsts)), "hub").select("no", "hub", "sig", "hub_sig")
+    told = cut(map_batches(met, run, "no long, hub long, far int"))
+    linked = told.where(2 * F.col("far") <= 3 * WIDE).select(F.col("no").alias("a"), F.col("hub").alias("b"))
+    placed = placed.join(told.where(2 * F.col("far") > WIDE), ["no", "hub"]).select("no", "bucket", (2 * F.col("far") <= 3 * WIDE).alias("near"))
+    open_ = placed.where("NOT near").select("bucket").distinct()
+    return linked, placed.join(open_, "bucket", "left_semi")
 
 
-def candidates(rows: DataFrame, depth: int = 0) -> DataFrame:
-    """(node, sig, bucket) -> (a, b), edges that join all nodes of a bucket whose signatures are within RADIUS and WIDE."""
+def candidates(rows: DataFrame, sigs: DataFrame, depth: int = 0) -> DataFrame:
+    """(no, sig, bucket[, near]) -> (a, b), edges that join all nodes of a bucket whose signatures are within RADIUS and WIDE."""
     shared = cut(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
     met = narrowed(rows, F.col("bucket"), shared.select("bucket"))
     crowded = cut(shared.where(F.col("c") > HOT).select("bucket"))
@@ -213,14 +223,17 @@ def candidates(rows: DataFrame, depth: int = 0) -> DataFrame:
         return _forest(met)
     crowded = _near(crowded)
     out = _forest(met.join(crowded, "bucket", "left_anti"))
-    hot = cut(met.join(crowded, "bucket", "left_semi"))
+    near = F.col("near") if "near" in rows.columns else F.lit(False)
+    hot = cut(met.join(crowded, "bucket", "left_semi").select("no", "bucket", near.alias("near")))
     if depth == 3:
-        first = hot.groupBy("bucket").agg(F.min("node").alias("b"))
-        return out.unionByName(hot.join(first, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    linked, rest = _against_hubs(hot)
-    if depth == 1:
-        rest = _under(rest, DEEP_ERRORS, F.col("bucket"))
-    return out.unionByName(linked.distinct()).unionByName(candidates(rest, depth + 1))
+        first = hot.groupBy("bucket").agg(F.min("no").alias("b"))
+        return out.unionByName(hot.join(first, "bucket").where("no <> b").select(F.col("no").alias("a"), "b").distinct())
+    linked, rest = _against_hubs(hot, sigs)
+    out, rest = out.unionByName(linked), cut(rest)
+    if rest.isEmpty():
+        return out
+    rest = rest.join(sigs, "no")
+    return out.unionByName(candidates(_under(rest, DEEP_ERRORS, F.col("bucket")) if depth == 1 else rest, sigs, depth + 1))
 
 
 def confirmed(nodes: list, groups: list, sets: list) -> list:
@@ -278,20 +291,20 @@ def confirmed(nodes: list, groups: list, sets: list) -> list:
 
 
 def _meet(rows: DataFrame) -> DataFrame:
-    """(meeting, node, part, set) -> (a, b), the confirmed links of each meeting; part names what is joined already."""
+    """(meeting, no, part, set) -> (a, b), the confirmed links of each meeting; part names what is joined already."""
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         def found(rows):
             pairs = confirmed(*zip(*rows)) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in list(zip(*pairs)) or [()] * 2], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*pairs)) or [()] * 2], names=["a", "b"])
 
         meeting, rows = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                for here, node, part, s in zip(*[b.column(c).to_pylist() for c in ("meeting", "node", "part", "set")]):
+                for here, node, part, s in zip(*[b.column(c).to_pylist() for c in ("meeting", "no", "part", "set")]):
                     if here != meeting:
                         yield found(rows)
                         meeting, rows = here, []
@@ -299,14 +312,14 @@ def _meet(rows: DataFrame) -> DataFrame:
                         rows.append((node, part, np.frombuffer(s, dtype="<i8")))
         yield found(rows)
 
-    slim = rows.select("meeting", "node", "part", "set").repartition("meeting").sortWithinPartitions("meeting", "node")
-    return map_batches(slim, run, "a binary, b binary")
+    slim = rows.select("meeting", "no", "part", "set").repartition("meeting").sortWithinPartitions("meeting", "no")
+    return map_batches(slim, run, "a long, b long")
 
 
 def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root, blocks, set) of the members' texts; a node's text is that of its first row."""
+    """(no, root, blocks, set) of the members' texts; a node's text is that of its first row."""
     slim = renamed(docs, id=id_col, text=text_col).select("id", text_of(F.col("text")).alias("text")).withColumn("body", F.xxhash64("text"))
-    wanted = members.select("node", "root", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.body").alias("rep_body"))
+    wanted = members.select("no", "node", "root", "blocks", F.col("rep.id").alias("rep_id"), F.col("rep.body").alias("rep_body"))
     held = narrowed(slim, F.col("body"), wanted.select("rep_body")).join(
         wanted, (F.col("body") == F.col("rep_body")) & F.col("id").eqNullSafe(F.col("rep_id")))
 
@@ -317,39 +330,41 @@ def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> Da
             found = [shingles(t.as_py()) for t in batch.column("text")]
             own = pa.array([node_key(s) == k for s, k in zip(found, batch.column("node").to_pylist())], pa.bool_())
             sets = pa.array([s.tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.select(["node", "root", "blocks"]).columns, sets], names=["node", "root", "blocks", "set"]).filter(own)
+            yield pa.RecordBatch.from_arrays([*batch.select(["no", "root", "blocks"]).columns, sets], names=["no", "root", "blocks", "set"]).filter(own)
 
-    return map_batches(held.select("node", "root", "blocks", "text"), run, "node binary, root binary, blocks long, set binary")
+    return map_batches(held.select("no", "node", "root", "blocks", "text"), run, "no long, root long, blocks long, set binary")
 
 
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, n, rep, sig) -> (a, b), similar pairs that join all that similar pairs under the radius join."""
-    families = components(candidates(_under(nodes, ERRORS, F.lit(0).cast("long"))))
-    members = cut(families.join(nodes.select("node", "n", "rep"), "node"))
+    """(no, node, n, rep, sig) -> (a, b), similar pairs that join all that similar pairs under the radius join."""
+    sigs = nodes.select("no", "sig")
+    families = components(candidates(_under(nodes, ERRORS, F.lit(0).cast("long")), sigs)).withColumnRenamed("node", "no")
+    members = cut(families.join(nodes.select("no", "node", "n", "rep"), "no"))
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("blocks"))
     sets = cut(_sets(docs, members.join(blocks, "root"), id_col, text_col))
-    none = F.lit(None).cast("binary").alias("part")
-    out = _meet(sets.where("blocks = 1").select(F.xxhash64("root").alias("meeting"), "node", none, "set"))
-    large = sets.where("blocks > 1").dropDuplicates(["node"]).withColumn("n", F.octet_length("set") / 8)
+    none = F.lit(None).cast("long").alias("part")
+    out = _meet(sets.where("blocks = 1").select(F.xxhash64("root").alias("meeting"), "no", none, "set"))
+    large = sets.where("blocks > 1").dropDuplicates(["no"]).withColumn("n", F.octet_length("set") / 8)
     if large.isEmpty():
         return out
-    found, parted = None, large.withColumn("part", F.col("node"))
+    found, parts = None, None
     for r in range(ROUNDS):
-        block = F.pmod(F.xxhash64(F.lit(r), "node"), "blocks")
-        here = _meet(parted.select(F.xxhash64("root", F.lit(r), block).alias("meeting"), "node", "part", "set"))
+        block = F.pmod(F.xxhash64(F.lit(r), "no"), "blocks")
+        parted = large.withColumn("part", F.col("no")) if parts is None else large.join(parts, "no", "left").withColumn("part", F.coalesce("part", "no"))
+        here = _meet(parted.select(F.xxhash64("root", F.lit(r), block).alias("meeting"), "no", "part", "set"))
         found = cut(here if found is None else found.unionByName(here))
-        parted = cut(large.join(components(found).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")))
-    main = parted.groupBy("root", "part").agg(F.sum("n").alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("main"))
-    parted = parted.join(main, "root").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
-    apart = parted.where("part <> main")
+        parts = components(found).select(F.col("node").alias("no"), F.col("root").alias("part"))
+    slim = cut(large.select("no", "root", "blocks", "n").join(parts, "no", "left").withColumn("part", F.coalesce("part", "no")))
+    main = slim.groupBy("root", "part").agg(F.sum("n").alias("n")).groupBy("root").agg(F.max_by("part", "n").alias("main"))
+    slim = slim.join(main, "root").withColumn("mine", F.pmod(F.xxhash64("no"), "blocks"))
+    apart = slim.where("part <> main")
     asking = apart.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("askers"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    meeting = F.xxhash64("root", F.lit("apart"), "i", "j").alias("meeting")
-    own = F.pmod(F.xxhash64(F.lit("apart"), "node"), "askers").alias("i")
-    asked = apart.join(asking, "root").select("root", "node", "part", "set", own, every("blocks").alias("j"))
-    told = parted.join(asking, "root").select("root", "node", "part", "set", F.col("mine").alias("j"), every("askers").alias("i"))
-    last = asked.unionByName(told).select(meeting, "node", "part", "set")
-    return out.unionByName(found).unionByName(_meet(last))
+    own = F.pmod(F.xxhash64(F.lit("apart"), "no"), "askers").alias("i")
+    asked = apart.join(asking, "root").select("root", "no", "part", own, every("blocks").alias("j"))
+    told = slim.join(asking, "root").select("root", "no", "part", F.col("mine").alias("j"), every("askers").alias("i"))
+    last = asked.unionByName(told).select(F.xxhash64("root", F.lit("apart"), "i", "j").alias("meeting"), "no", "part")
+    return out.unionByName(found).unionByName(_meet(last.join(large.select("no", "set"), "no")))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,9 +377,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     rows = cut(prints(docs, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("rep")
-    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(first, F.max("n").alias("n"), F.max("sig").alias("sig")))
-    roots = components(links(docs, nodes, id_col, text_col))
-    rooted = nodes.select("node", F.col("rep.id").alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(first, F.max("n").alias("n"), F.max("sig").alias("sig"))
+    nodes = cut(nodes.withColumn("no", F.monotonically_increasing_id()))  # a number of 8 bytes, and no two alike
+    roots = components(links(docs, nodes, id_col, text_col)).withColumnRenamed("node", "no")
+    rooted = nodes.select("node", "no", F.col("rep.id").alias("least")).join(roots, "no", "left").select("node", "least", F.coalesce("root", "no").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
     told = rows.where("node IS NOT NULL").select("id", "n", "node").join(named, "node").select("id", F.col("n").alias("n_shingles"), "component")
     return told.unionByName(rows.where("node IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component")))
