@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os.path
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -137,6 +140,23 @@ def occurrences(source: Source, options: SearchOptions, commits: DataFrame | Non
     return placed if expand else history.first_occurrences(placed)
 
 
+@contextmanager
+def running(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """Tags the jobs that this thread starts within; what it gives cancels them, from any thread.
+
+    Stages that are under way end with their tasks interrupted, and their readers and workers with them.
+    """
+    context, tag = spark.sparkContext, f"palimpsest-{uuid.uuid4().hex}"
+    held = context.getLocalProperty("spark.job.interruptOnCancel")
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
+    try:
+        yield lambda: context.cancelJobsWithTag(tag)
+    finally:
+        context.removeJobTag(tag)
+        context.setInterruptOnCancel(held == "true")
+
+
 @dataclass
 class SearchResult:
     """A search that has been planned; each property runs what it needs of it."""

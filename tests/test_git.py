@@ -1,6 +1,10 @@
 import hashlib
 import io
+import os
+import signal
 import struct
+import threading
+import time
 import zlib
 
 import pytest
@@ -383,3 +387,66 @@ def test_quiet_stops_at_the_first_match(spark, tmp_path, monkeypatch):
     found, skipped, commits = look("nowhere")
     assert not found and commits == 240 and engine.quiet_code(found, skipped) == 1
     assert run(spark, repo, "-q", "needle", start=tmp_path)[0] == 0
+
+
+def slow_source(spark):
+    """Commits and a blob whose search takes minutes."""
+    from pyspark.sql import functions as F
+
+    c = spark.createDataFrame([("a" * 40, "t", [], "n", "n")], "sha string, tree_oid string, parents array<string>, author string, author_name string")
+    nap = F.udf(lambda x: __import__("time").sleep(1) or x, "string").asNondeterministic()
+    blobs = spark.range(0, 4000, 1, 2).select(F.lpad(F.col("id").cast("string"), 40, "0").alias("blob_oid")).withColumn("content", nap("blob_oid"))
+    where = blobs.select("blob_oid", F.lit("p").alias("path"), F.lit("a" * 40).alias("commit_sha"))
+    return engine.Source(c.withColumn("commit_ts", F.lit(None).cast("timestamp")), blobs, occurrences=where)
+
+
+@pytest.mark.parametrize("number,code,word", [(signal.SIGTERM, 143, "terminated"), (signal.SIGINT, 130, "interrupted")])
+def test_signals_stop_the_jobs(spark, number, code, word):
+    """The first signal cancels and tells the exit code; a second would end the process, for nothing catches it any more."""
+    tracker, before = spark.sparkContext.statusTracker(), {n: signal.getsignal(n) for n in (signal.SIGINT, signal.SIGTERM)}
+    source, seen = slow_source(spark), []
+
+    class Told(io.StringIO):
+        def write(self, text):
+            seen.append(signal.getsignal(signal.SIGTERM))
+            return super().write(text)
+
+    def send():
+        while not tracker.getActiveJobsIds():
+            time.sleep(0.1)
+        time.sleep(1)
+        os.kill(os.getpid(), number)
+
+    thread = threading.Thread(target=send)
+    thread.start()
+    began, err = time.monotonic(), Told()
+    assert cli.main(["--no-heading", "x"], spark, ".", io.StringIO(), err, source) == code and word in err.getvalue()
+    thread.join()
+    assert time.monotonic() - began < 60 and seen[0] == signal.SIG_DFL
+    assert {n: signal.getsignal(n) for n in before} == before
+    for _ in range(100):
+        if not tracker.getActiveJobsIds():
+            break
+        time.sleep(0.1)
+    assert not tracker.getActiveJobsIds() and not tracker.getActiveStageIds()
+
+
+def test_callers_cancel_from_another_thread(spark):
+    source, got, cancels = slow_source(spark), [], []
+
+    def work():
+        with engine.running(spark) as cancel:
+            cancels.append(cancel)
+            try:
+                engine.search(spark, source, SearchOptions(("x",), color="never")).rows.count()
+            except Exception as e:
+                got.append(e)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    while not cancels or not spark.sparkContext.statusTracker().getActiveJobsIds():
+        time.sleep(0.1)
+    assert spark.range(10).count() == 10  # jobs of others go on
+    cancels[0]()
+    thread.join(60)
+    assert got and "cancel" in str(got[0]).lower() and not thread.is_alive()
