@@ -265,6 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """docs with its columns, without the rows that contain a test item; in one pass without a shuffle, for few items.
 
     For nulls, empty and very long texts, repeated rows and short items see find_leaks(). Without items, all rows stay.
+    Other columns pass, whatever their names but those that begin with __leak_.
     """
     spark = ship(docs.sparkSession)
     items = renamed(benchmark, item_id="item_id", text="text").select("item_id", text_of(F.col("text")).alias("text"))

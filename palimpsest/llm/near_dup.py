@@ -301,6 +301,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null text is empty; empty texts are one group. Of rows that agree in id and text one remains; rows of one id with
     different texts are told apart. Of no rows, no rows come. Texts are compared whole, however long.
+    Other columns pass, whatever their names but those that begin with __near_.
     """
     slim = renamed(docs, id=id_col, text=text_col).select("id", text_of(F.col("text")).alias("text")).withColumn("node", F.xxhash64("text"))
     # Of equal texts, the one with the smallest id goes on; repeated rows of it are one node all the same.

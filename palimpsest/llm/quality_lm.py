@@ -32,7 +32,6 @@ ACCURACY = 10_000  # of approximate quantiles: their rank is off by one part in
 PRIOR = 100  # characters' worth of all held-out texts' loss that a text is scored with
 BROADCAST_IDS = 2_000_000  # trusted ids of 8 bytes that are broadcast; more are joined by a shuffle
 SLICE = 500  # rows of a batch whose texts are held as strings at once
-OWN = ("__quality_score", "__block")  # columns that are added to the caller's
 
 
 def trusted_ids(labels: DataFrame, label_id: str = "doc_id", quality: str = "quality") -> tuple[DataFrame, bool]:
@@ -138,8 +137,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts have no perplexity and are rejected. A language without held-out documents, and a null one,
     has the limits of all; lengths that no held-out document has are held to twice the worst charge seen. With no trusted
     documents at all, every row with a text is kept. Rows that share an id or a text are scored alike, each by itself;
-    trusted are all rows of a trusted id. Very long texts are scored whole, in pieces. Of no rows, no rows come. Other
-    columns pass, whatever their names but OWN.
+    trusted are all rows of a trusted id. Very long texts are scored whole, in pieces. Of no rows, no rows come. A
+    document that is exactly at a limit is within it. Other columns pass, whatever their names but __block and those that
+    begin with __quality.
     """
     spark = ship(docs.sparkSession)
     here = blocked(docs)

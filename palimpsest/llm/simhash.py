@@ -44,7 +44,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, body, fp) for every row; body is a hash of the text, which tells rows of one id apart. Null text is empty."""
+    """(id, body, fp) for every row; body is a hash of the text, which tells rows of one id apart.
+
+    Null text is empty, and an empty one has fingerprint zero. Texts are taken whole, in steps of CHUNK shingles. Repeated
+    rows are rows by themselves. Only the two columns named are looked at, so others may have any names. Of no rows, no
+    rows come.
+    """
     slim = renamed(docs, id=id_col, text=text_col).select("id", F.xxhash64(text_of(F.col("text"))).alias("body"), text_of(F.col("text")).alias("text"))
 
     def run(batches: Iterator) -> Iterator:
@@ -131,7 +136,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """(id, body, fp, root, component) for every row; component is the smallest id of the group, root names the group.
 
     Null ids are members like any other but are not the smallest; a group of null ids alone has a null component.
-    Copies share a fingerprint and meet as one node. Of no rows, no rows come.
+    Copies share a fingerprint and meet as one node; repeated rows stay rows. For null, empty and very long texts and
+    clashing names see fingerprints(). Of no rows, no rows come.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))

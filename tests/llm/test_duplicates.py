@@ -88,3 +88,12 @@ def test_lines_keep_columns(make):
     assert out == {(1, "a\nb"), (2, ""), (3, f"{line}\n{line}"), (4, None), (3, "another row of three"), (None, "")}
     two = make((1, line), (1, line), (1, f"{line}\nx"), (2, line))
     assert {r.text for r in line_dedup.dedup_lines(two).collect()} == {line, f"{line}\nx"}  # two documents, however many rows
+
+
+def test_real_table(spark, sf):
+    """The registered query's whole rows against all pairs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    prints = {r.doc_id: simhash.fingerprint(r.text or "") for r in docs.collect()}
+    roots = brute(prints)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.digest(docs).collect()}
+    assert got == {i: (f"{p & MASK:016x}", roots[i]) for i, p in prints.items()} and len({c for _, c in got.values()}) < len(got)

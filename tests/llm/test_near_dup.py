@@ -79,3 +79,12 @@ def test_links_do_not_grow_with_pairs(spark, monkeypatch):
         assert len(pairs) < (len(texts) if block > 5000 else 10 * len(texts))
         linked = {r.node: r.root for r in simhash.components(found).collect()}
         assert {i: linked.get(i, i) for i in texts} == roots
+
+
+def test_real_table(spark, sf):
+    """Every pair of a whole table: what the stage keeps is what all pairs leave."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    roots = brute(texts)
+    kept = [r.doc_id for r in corpus_pipeline.near_deduplication(spark, docs, sf).collect()]
+    assert sorted(kept) == sorted(i for i in texts if roots[i] == i) and len(kept) < len(texts)

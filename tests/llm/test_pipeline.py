@@ -3,7 +3,14 @@ from collections import Counter
 import corpus_pipeline
 from palimpsest.llm import decontaminate, mixing, simhash
 from tests.llm.conftest import words
-from tests.llm.test_duplicates import brute
+from tests.llm.test_near_dup import brute
+
+
+def changed(text, *places):
+    w = text.split(" ")
+    for i in places:
+        w[i] = w[i][::-1] + "ab"
+    return " ".join(w)
 
 
 def tables(spark, make, folder):
@@ -11,7 +18,8 @@ def tables(spark, make, folder):
     leak = words(50, 30)
     rows = [(i, f"{words(i, 150)}\n{line}" if i % 4 == 0 else words(i, 150), "en", "ab"[i % 2]) for i in range(120)]
     rows += [(200, words(1, 150), "en", "a"), (201, words(2, 150) + ".", "en", "b"), (202, f"{words(60, 80)} {leak} {words(61, 80)}", "en", "a"),
-        (203, "#$%&*" * 200, "en", "a"), (204, None, None, None), (205, "", "en", "b"), (1, words(1, 150), "en", "b")]
+        (203, "#$%&*" * 200, "en", "a"), (204, None, None, None), (205, "", "en", "b"), (1, words(1, 150), "en", "b"),
+        (210, changed(words(3, 150), 30, 90), "en", "a"), (211, changed(words(5, 150), 10, 45, 80, 120), "en", "b")]  # Jaccard 0.87 and 0.76
     docs = make(*rows)
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(203, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -27,7 +35,9 @@ def test_run(spark, make, tmp_path):
     # The line is in thirty documents; the largest id keeps it.
     last = max(i for i, t, _ in kept if line in t)
     kept = [(i, t if i == last else t.replace("\n" + line, ""), s) for i, t, s in kept]
-    roots = brute({i: simhash.fingerprint(t) for i, t, _ in kept})
+    roots = brute(dict((i, t) for i, t, _ in kept))
+    far = simhash.fingerprint(words(3, 150)) ^ simhash.fingerprint(changed(words(3, 150), 30, 90))
+    assert roots[210] == 3 and (far & (2**64 - 1)).bit_count() > 3 and roots[211] == 211  # three bits of three words would tell otherwise
     kept = {i: (t, s) for i, t, s in kept if roots[i] == i}
     hits = {d for d, *_ in decontaminate.brute_force([(i, t) for i, (t, _) in kept.items()], [(1, leak)])}
     assert 202 in hits
