@@ -1,6 +1,6 @@
 """Operators on history: commits (sha, parents, commit_ts, ...) and the files of their trees (sha, path, mode, oid).
 
-Closures walk on the driver where the graph's arrays fit there, some 60 bytes a commit, which is checked; beyond that
+Closures walk on the driver where the graph's arrays fit there, some 200 bytes a commit, which is checked; beyond that
 they are joins with jump tables, in a number of rounds that follows the logarithm of history's depth.
 """
 
