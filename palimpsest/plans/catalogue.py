@@ -14,7 +14,7 @@ from palimpsest.operators import attribution, history, text, treediff
 from palimpsest.options import OptionError, SearchOptions, parse_args
 from palimpsest.plans.engine import Source, from_git, search, select_commits
 from palimpsest.sinks import render
-from palimpsest.sinks.gitpack import History, write_blobs
+from palimpsest.sinks.gitpack import History, write_blobs, write_trees
 from palimpsest.sources import gitstore, tables
 from palimpsest.sources.shipping import ship
 
@@ -621,7 +621,9 @@ def git_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A repository written from documents: a commit a batch of fifty, each document a file of its own in packs with deltas;
-# every 97th blob is a loose object that cannot be read. Commits are a day apart and tagged, every other tag packed.
+# every 97th blob is a loose object that cannot be read. Commits are a day apart and tagged, every other tag packed. A
+# commit has the batches of its WINDOW up to its own, as if files were archived and the tree began anew.
+WINDOW = 64
 BATCH, DAY, START = 50, 86_400, 1_700_000_000
 REPO = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, (doc_id // {BATCH})::BIGINT AS k, coalesce(source, 'none') || '/b' || (doc_id // {BATCH})::BIGINT || '/' || doc_id || {EXT} AS path,
   sha1('blob ' || octet_length(encode(coalesce(text, ''))) || chr(0) || coalesce(text, '')) AS oid FROM documents),
@@ -630,9 +632,10 @@ ks AS (SELECT DISTINCT k FROM d), batch AS (SELECT k, 'batch ' || k AS summary,
 
 
 def _repository(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of that repository. Blobs are packed by tasks, trees and commits from their paths and oids here."""
+    """The folder of that repository. Tasks write blobs and trees; commits, each with its parent's name, follow one by one here."""
     folder = history.shared_folder(spark, "repository")
     made = History(folder)
+    objects = f"{made.git_dir}/objects"
     docs = tables.table(spark, sf_dir, "documents").select(
         "doc_id", (F.floor(F.col("doc_id") / BATCH)).cast("long").alias("k"), F.concat(F.coalesce("source", F.lit("none")), F.lit("/b"),
             (F.floor(F.col("doc_id") / BATCH)).cast("string"), F.lit("/"), F.col("doc_id"),
@@ -641,24 +644,23 @@ def _repository(spark: SparkSession, sf_dir: str) -> str:
     head = F.concat(F.lit("blob "), F.octet_length("data").cast("string"), F.lit("\0"))
     docs = docs.withColumn("oid", F.sha1(F.concat(F.encode(head, "UTF-8"), F.col("data"))))
     lost = docs.where("doc_id % 97 = 5").select("oid").distinct()
+
+    def damage(batches):
+        for batch in batches:
+            for oid in batch.column("oid").to_pylist():
+                Path(objects, oid[:2]).mkdir(exist_ok=True)
+                Path(objects, oid[:2], oid[2:]).write_bytes(b"damaged")
+            yield batch
+
+    lost = history.checkpointed(lost.mapInArrow(damage, "oid string"))
     history.checkpointed(write_blobs(docs.join(lost, "oid", "left_anti").select("data"), made.git_dir))
-    for r in lost.toLocalIterator():
-        Path(made.git_dir, "objects", r.oid[:2]).mkdir(exist_ok=True)
-        Path(made.git_dir, "objects", r.oid[:2], r.oid[2:]).write_bytes(b"damaged")
+    snapshots = history.checkpointed(write_trees(docs.where("k IS NOT NULL"), made.git_dir, WINDOW))
     parent: tuple = ()
-    at = None
-
-    def commit() -> tuple:
-        sha = made.commit(START + DAY * at, f"batch {at}", *parent)
-        made.ref(f"refs/tags/b{at}", sha, packed=at % 2 == 0)
-        return (sha,)
-    for r in docs.select("k", "path", "oid").orderBy("k", "path").toLocalIterator():
-        if at is not None and r.k != at:
-            parent = commit()
-        at = r.k
-        made.change(r.path, r.oid)
-    if at is not None:
-        made.ref("refs/heads/main", commit()[0])
+    for k, tree in snapshots.orderBy("k").toLocalIterator():
+        parent = (made.commit(START + DAY * k, f"batch {k}", *parent, tree=tree),)
+        made.ref(f"refs/tags/b{k}", parent[0], packed=k % 2 == 0)
+    if parent:
+        made.ref("refs/heads/main", parent[0])
     made.close()
     return folder
 
@@ -703,7 +705,8 @@ def git_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo, commits = gitstore.discover(folder, {}), from_git(spark, folder, {}).commits
     refs = gitstore.all_refs(repo)
     short = {name: name.rsplit("/", 1)[-1] for name in refs}
-    rows = [(name, short[name], sha) for name, sha in refs.items() if gitstore.resolve_ref(repo, short[name]) == sha]
+    packed = gitstore.packed_refs(repo)
+    rows = [(name, short[name], sha) for name, sha in refs.items() if gitstore.resolve_ref(repo, short[name], packed) == sha]
     return spark.createDataFrame(rows, "name string, short string, sha string").join(commits.select("sha", "summary"), "sha").select("name", "summary", "short")
 
 

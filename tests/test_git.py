@@ -449,3 +449,25 @@ def test_callers_cancel_from_another_thread(spark):
     cancels[0]()
     thread.join(60)
     assert got and "cancel" in str(got[0]).lower() and not thread.is_alive()
+
+
+def test_repository_of_documents_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver makes commits only, and a tree has what its window brings, however long history is."""
+    from palimpsest.plans import catalogue
+    from palimpsest.sinks import gitpack
+
+    docs = [(i, None if i == 7 else f"text {i} of some hation\n", f"s{i % 3}/sub-s{i % 2}") for i in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(catalogue, "BATCH", 2)
+    kinds, put = set(), gitpack.History.put
+    monkeypatch.setattr(gitpack.History, "put", lambda self, kind, data: kinds.add(kind) or put(self, kind, data))
+    repo = gitstore.discover(catalogue._repository(spark, str(tmp_path)), {})
+    assert kinds == {"commit"}
+    objects = gitstore.objects(spark, repo, "tree").collect()
+    assert all(len(gitstore.tree_entries(o.data)) <= catalogue.WINDOW for o in objects)
+    assert gitstore.parse_commits(gitstore.objects(spark, repo, "commit")).count() == 300
+    monkeypatch.setattr(catalogue, "_repository", lambda *a: repo.work_tree)
+    rows = catalogue.queries()["git_search"](spark, str(tmp_path)).collect()
+    broken = {f"text {i} of some hation" for i in range(5, 600, 97)}
+    want = {(f"batch {i // 2}", t.strip()) for i, t, _ in docs if t and t.strip() not in broken}
+    assert {(r.summary, r.line_text) for r in rows} == want and len(rows) == len(want)
