@@ -769,7 +769,8 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.streaming.search import aggregate_channel, stream_matches
 
     schema = tables.table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(f"{sf_dir}/documents.parquet*")
+    # The table is a file or a folder of files; a stream wants a folder, or a pattern that stands for what lies there.
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
     blobs = docs.select(F.sha1(F.encode("text", "UTF-8")).alias("blob_oid"), F.col("text").alias("content"),
         F.lit("2024-01-01").cast("timestamp").alias("arrived"))
     out = history.shared_folder(spark, "stream")

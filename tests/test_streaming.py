@@ -18,3 +18,16 @@ def test_stream(spark, tmp_path, pattern):
     query = aggregate_channel(matches, lambda df, n: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "ck"))
     query.awaitTermination(120)
     assert sorted(got) == [("a", "p", "s1", 2), ("c", "q", "s2", 1), ("c", "r", "s2", 1)]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_counts_of_a_file_or_a_folder(spark, tmp_path, folder):
+    from palimpsest.plans import catalogue
+
+    rows = spark.createDataFrame([(i, f"one of {i}\nout of many\nnone") for i in range(6)], "doc_id long, text string")
+    rows.repartition(3 if folder else 1).write.parquet(f"{tmp_path}/out")
+    if folder:
+        (tmp_path / "out").rename(tmp_path / "documents.parquet")
+    else:
+        next((tmp_path / "out").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    assert sorted(r.n_matches for r in catalogue.queries()["stream_counts"](spark, str(tmp_path)).collect()) == [2] * 6
