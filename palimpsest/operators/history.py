@@ -1,7 +1,7 @@
 """Operators on history: commits (sha, parents, commit_ts, ...) and the files of their trees (sha, path, mode, oid).
 
 Closures walk on the driver where the graph's arrays fit there, some 200 bytes a commit, which is checked; beyond that
-they are joins with jump tables, in a number of rounds that follows the logarithm of history's depth.
+history is cut into chains, by joins that follow the logarithm of the longest chain, and what is reached is a place a chain.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ class Graph:
 
 
 def fits_driver(commits: DataFrame) -> bool:
-    return commits.select("sha").limit(DRIVER_GRAPH + 1).count() <= DRIVER_GRAPH
+    return commits.count() <= DRIVER_GRAPH
 
 
 def edges(commits: DataFrame, first_parent: bool = False) -> DataFrame:
@@ -151,79 +151,122 @@ def edges(commits: DataFrame, first_parent: bool = False) -> DataFrame:
 
 
 def _table(spark, shas) -> DataFrame:
+    """(sha) of names; of a table, the table."""
     import pyarrow as pa
 
-    return spark.createDataFrame(pa.table({"sha": pa.array(shas, pa.string())}))
+    if isinstance(shas, DataFrame):
+        return shas.select("sha")
+    return spark.createDataFrame(pa.table({"sha": shas if isinstance(shas, pa.Array) else pa.array(list(shas), pa.string())}))
 
 
-def ancestors(commits: DataFrame, start: Iterable[str], first_parent: bool = False) -> DataFrame:
-    """(sha): the commits among `commits` that are reached from the start, it included. Unknown parents are not followed."""
+def _names(shas: Iterable[str] | DataFrame) -> Iterable[str]:
+    return shas.select("sha").toArrow().column("sha").to_pylist() if isinstance(shas, DataFrame) else shas
+
+
+def ancestors(commits: DataFrame, start: Iterable[str] | DataFrame, first_parent: bool = False) -> DataFrame:
+    """(sha): the commits among `commits` that are reached from the start, it included. Unknown parents are not followed.
+
+    The start is names, or a table of them, which comes to the driver only where the graph is there.
+    """
     spark = commits.sparkSession
     if fits_driver(commits):
         graph = Graph(commits)
-        return _table(spark, graph.taken(graph.reach(graph.places(start), first_parent)))
-    return ancestors_by_joins(commits, _table(spark, list(start)), first_parent)
+        return _table(spark, graph.taken(graph.reach(graph.places(_names(start)), first_parent)))
+    return ancestors_by_joins(commits, _table(spark, start), first_parent)
 
 
-def jump_tables(commits: DataFrame) -> list[DataFrame]:
-    """(child, parent) for the 1st, 2nd, 4th, ... first parent, up to the depth of history; each is written down."""
-    known = commits.select(F.col("sha").alias("parent")).distinct()
-    tables = [checkpointed(edges(commits, True).join(known, "parent", "left_semi").select("child", "parent"))]
-    while True:
-        last = tables[-1]
-        following = last.join(last.select(F.col("child").alias("parent"), F.col("parent").alias("farther")), "parent").select("child",
-            F.col("farther").alias("parent"))
-        following = checkpointed(following)
-        if following.isEmpty():
-            return tables
-        tables.append(following)
+class Chains:
+    """History cut into chains: each commit goes on to its first parent, unless a child with a smaller sha does so already.
+
+    A commit's place is its chain, named by the commit at its end, and how far from there it is; places are found by
+    doubling. All other ways to a parent are turns, from a place to a place. So what a start reaches is the highest place
+    of each chain, and a round is needed only for each time that a path turns. What is found is written to the shared
+    folder, so neither plans nor recomputation grow with history.
+    """
+
+    def __init__(self, commits: DataFrame, first_parent: bool = False):
+        parents = F.slice("parents", 1, 1) if first_parent else F.col("parents")
+        self.known = checkpointed(commits.select("sha", parents.alias("parents")).dropDuplicates(["sha"]))
+        own = self.known.select(F.col("sha").alias("parent"))
+        self.steps = checkpointed(self.known.select(F.col("sha").alias("child"), F.posexplode("parents").alias("k", "parent")).join(own, "parent", "left_semi"))
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """(sha, chain, place)."""
+        following = self.steps.where("k = 0").groupBy("parent").agg(F.min("child").alias("sha"))
+        rows = self.known.select("sha").join(following, "sha", "left").select("sha", F.coalesce("parent", "sha").alias("chain"),
+            F.col("parent").isNotNull().cast("long").alias("place"))
+        rows = checkpointed(rows)
+        while True:
+            # A commit whose chain's name is not the end's yet takes twice the way.
+            ends = rows.select(F.col("sha").alias("chain"), F.col("chain").alias("farther"), F.col("place").alias("more"))
+            open_ = F.col("more") > 0
+            rows, n = counted(rows.join(ends, "chain").select("sha", F.col("farther").alias("chain"), (F.col("place") + F.col("more")).alias("place"),
+                open_.alias("went")), F.col("went"))
+            rows = rows.drop("went")
+            if not n:
+                return rows
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        """(chain, place, to, at), from a place to one of another chain."""
+        of = lambda c, chain, place: self.places.select(F.col("sha").alias(c), F.col("chain").alias(chain), F.col("place").alias(place))
+        ways = self.steps.select("child", "parent").distinct().join(of("child", "chain", "place"), "child").join(of("parent", "to", "at"), "parent")
+        return checkpointed(ways.where("chain <> to").groupBy("chain", "place", "to").agg(F.max("at").alias("at")))
+
+    def reached(self, start: DataFrame) -> DataFrame:
+        """(sha): what is reached from the start, it included."""
+        start = checkpointed(start.select("sha").distinct())
+        childless = self.known.select("sha").join(self.steps.select(F.col("parent").alias("sha")), "sha", "left_anti")
+        if childless.join(start, "sha", "left_anti").isEmpty():
+            return self.known.select("sha")  # every commit is reached from one without children
+        new = self.places.join(start, "sha", "left_semi").groupBy("chain").agg(F.max("place").alias("top"))
+        reach, new = None, checkpointed(new.withColumn("low", F.lit(-1).cast("long")))
+        while True:
+            # new: chains that are reached higher than before, from above `low` up to `top`.
+            reach = new.drop("low") if reach is None else checkpointed(reach.unionByName(new.drop("low")).groupBy("chain").agg(F.max("top").alias("top")))
+            step = self.turns.join(new, "chain").where("place > low AND place <= top").groupBy(F.col("to").alias("chain")).agg(F.max("at").alias("top"))
+            had = reach.select("chain", F.col("top").alias("low"))
+            new, n = counted(step.join(had, "chain", "left").select("chain", "top", F.coalesce("low", F.lit(-1)).alias("low")).where("top > low"), F.lit(True))
+            if not n:
+                return self.places.join(reach, "chain").where("place <= top").select("sha")
 
 
 def ancestors_by_joins(commits: DataFrame, start: DataFrame, first_parent: bool = False) -> DataFrame:
-    """The same for graphs of any size. Lines of first parents are followed by jump tables, so a line of n commits takes
-    log2(n) joins; a round is then needed only for each time that a path turns off into another parent.
+    """The same for graphs of any size, by chains."""
+    return Chains(commits, first_parent).reached(start)
 
-    What a round finds is written to the shared folder, so neither plans nor recomputation grow with history.
-    """
-    known = checkpointed(commits.select("sha").distinct())
-    tables = jump_tables(commits)
-    turns = None
-    if not first_parent:
-        others = commits.select(F.col("sha").alias("child"), F.explode(F.slice("parents", 2, 0x7FFFFFFF)).alias("parent"))
-        turns = checkpointed(others.join(known.withColumnRenamed("sha", "parent"), "parent", "left_semi").select("child", "parent").distinct())
-        if turns.isEmpty():
-            turns = None
-    reached, frontier = None, checkpointed(start.join(known, "sha", "left_semi").distinct())
-    while True:
-        line = frontier
-        for k, table in enumerate(tables):
-            up = table.join(line.withColumnRenamed("sha", "child"), "child", "left_semi").select(F.col("parent").alias("sha"))
-            line = line.unionByName(up).distinct()
-            if k % 4 == 3:
-                line = checkpointed(line)
-        line = checkpointed(line if reached is None else line.join(reached, "sha", "left_anti"))
-        reached = line if reached is None else checkpointed(reached.unionByName(line))
-        if turns is None:
-            return reached
-        step = turns.join(line.withColumnRenamed("sha", "child"), "child", "left_semi").select(F.col("parent").alias("sha")).distinct()
-        frontier = checkpointed(step.join(reached, "sha", "left_anti"))
-        if frontier.isEmpty():
-            return reached
-
-
-def rev_range(commits: DataFrame, include: list[str], exclude: list[str], first_parent: bool = False, graph: Graph | None = None) -> DataFrame:
-    """Commits reached from include but not from exclude; exclusion follows every parent."""
+
+def nth_ancestors(commits: DataFrame, start: DataFrame, n: int) -> DataFrame:
+    """(start, sha): the n-th first parent of each commit (sha) of the start that has one, by joins, two at most a bit of n."""
+    known = commits.select(F.col("sha").alias("parent")).distinct()
+    here = start.select("sha").distinct().join(known.select(F.col("parent").alias("sha")), "sha", "left_semi").select(F.col("sha").alias("start"), "sha")
+    way = edges(commits, True).distinct().join(known, "parent", "left_semi").select("child", "parent")
+    while n:
+        if n & 1:
+            here = here.join(way.withColumnRenamed("child", "sha"), "sha").select("start", F.col("parent").alias("sha"))
+        n >>= 1
+        if n:
+            farther = way.select(F.col("child").alias("parent"), F.col("parent").alias("farther"))
+            way = checkpointed(way.join(farther, "parent").select("child", F.col("farther").alias("parent")))
+    return here
+
+
+def rev_range(commits: DataFrame, include: Iterable[str] | DataFrame, exclude: Iterable[str] | DataFrame, first_parent: bool = False,
+              graph: Graph | None = None) -> DataFrame:
+    """Commits reached from include but not from exclude, each names or a table of them; exclusion follows every parent."""
     spark = commits.sparkSession
     if graph or fits_driver(commits):
         graph = graph or Graph(commits)
-        gone = graph.reach(graph.places(exclude))
-        seen = graph.reach(graph.places(include), first_parent)
+        gone = graph.reach(graph.places(_names(exclude)))
+        seen = graph.reach(graph.places(_names(include)), first_parent)
         if all(seen) and not any(gone):
             return commits
         return commits.join(_table(spark, graph.taken(bytes(a & ~b & 1 for a, b in zip(seen, gone)))), "sha", "left_semi")
-    wanted = ancestors_by_joins(commits, _table(spark, include), first_parent)
-    if exclude:
-        wanted = wanted.join(ancestors_by_joins(commits, _table(spark, exclude)), "sha", "left_anti")
+    chains = Chains(commits)
+    wanted = (Chains(commits, True) if first_parent else chains).reached(_table(spark, include))
+    if isinstance(exclude, DataFrame) or exclude:
+        wanted = wanted.join(chains.reached(_table(spark, exclude)), "sha", "left_anti")
     return commits.join(wanted, "sha", "left_semi")
 
 
@@ -236,18 +279,12 @@ def nth_ancestor(commits: DataFrame, sha: str, n: int, graph: Graph | None = Non
         if n and steps < n:
             raise ValueError(f"history of {sha} is shorter than {n}: no parent after {steps}")
         return graph.shas[place].as_py() if start else sha
-    here = sha
-    for k, table in enumerate(jump_tables(commits) if n else []):
-        if n >> k & 1:
-            row = table.where(F.col("child") == here).first()
-            if row is None:
-                raise ValueError(f"history of {sha} is shorter than {n}")
-            here = row.parent
-        if n >> k == 1:
-            return here
-    if n:
+    if not n:
+        return sha
+    row = nth_ancestors(commits, _table(commits.sparkSession, [sha]), n).first()
+    if row is None:
         raise ValueError(f"history of {sha} is shorter than {n}")
-    return here
+    return row.sha
 
 
 def commit_filter(since=None, until=None, author: str = "", committer: str = "") -> Column:

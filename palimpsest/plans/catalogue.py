@@ -313,15 +313,15 @@ ALL_TIPS = _reach("edges", "SELECT sha FROM tips")
 OLD = "SELECT sha FROM commits WHERE sha IN (SELECT sha FROM tips) AND commit_ts < TIMESTAMP '2000-01-01 00:00:00'"
 
 
-def _heads(commits: DataFrame, condition: str = "true") -> list[str]:
-    return [r.sha for r in _tips(commits).join(commits.select("sha", "commit_ts"), "sha").where(condition).select("sha").toLocalIterator()]
+def _heads(commits: DataFrame, condition: str = "true") -> DataFrame:
+    return _tips(commits).join(commits.select("sha", "commit_ts"), "sha").where(condition).select("sha")
 
 
 def _order_source(commits: DataFrame) -> Source:
     """Orders as a history with a branch for each customer; HEAD is the newest tip."""
-    rows = _tips(commits).join(commits.select("sha", "commit_ts"), "sha").collect()  # refs: names and oids, which any search holds
-    head = max(rows, key=lambda r: (r.commit_ts, int(r.sha)))
-    return Source(commits, refs={f"refs/heads/cust_{r.cust}": r.sha for r in rows} | {"HEAD": head.sha})
+    heads = history.checkpointed(_tips(commits).join(commits.select("sha", "commit_ts"), "sha"))
+    head = heads.agg(F.max_by("sha", F.struct("commit_ts", F.col("sha").cast("long"))).alias("oid")).select(F.lit("HEAD").alias("name"), "oid")
+    return Source(commits, refs=heads.select(F.concat(F.lit("refs/heads/cust_"), F.col("cust")).alias("name"), F.col("sha").alias("oid")).unionByName(head))
 
 
 HEAD = "head AS (SELECT max_by(t.sha, {'ts': commit_ts, 'k': t.sha::BIGINT}) AS sha FROM tips t JOIN commits c ON c.sha = t.sha)"
@@ -354,12 +354,8 @@ _closure("walk_order", f"WITH {ORDERS} SELECT sha, row_number() OVER (ORDER BY c
 
 
 def _tilde(commits: DataFrame, n: int) -> DataFrame:
-    """The n-th first parent of each tip that has one, from the graph."""
-    graph = history.Graph(commits)
-    tips = _heads(commits)
-    found = [(tip, *graph.nth_ancestor(graph.places([tip])[0], n)) for tip in tips]
-    rows = [(tip, graph.shas[place].as_py()) for tip, place, steps in found if steps == n]
-    return commits.sparkSession.createDataFrame(rows, "tip string, sha string")
+    """The n-th first parent of each tip that has one."""
+    return history.nth_ancestors(commits, _tips(commits), n).select(F.col("start").alias("tip"), "sha")
 
 
 DIFF = """diff AS (SELECT c.sha, f.path, f.mode, f.oid FROM commits c JOIN files f ON f.root = c.sha WHERE f.mode = 33188

@@ -29,7 +29,7 @@ class Source:
     entries: tree_oid, mode, name, oid of trees; or, in place of trees, files (root, a tree's oid, path, mode, oid) or
              occurrences ready-made
     blobs:   blob_oid, content, and optionally data (bytes) and error
-    refs:    name -> oid
+    refs:    name -> oid, or a table (name, oid) of them
     repo:    a repository, whose trees and blobs are read where they are needed, in place of entries and blobs
     """
 
@@ -38,7 +38,7 @@ class Source:
     entries: DataFrame | None = None
     files: DataFrame | None = None
     occurrences: DataFrame | None = None
-    refs: dict[str, str] = field(default_factory=dict)
+    refs: dict[str, str] | DataFrame = field(default_factory=dict)
     subdirectory: str = ""
     repo: gitstore.Repository | None = None
 
@@ -47,11 +47,17 @@ class Source:
         """The commits' graph on the driver, if it fits there."""
         return history.Graph(self.commits) if history.fits_driver(self.commits) else None
 
+    def _named(self, base: str) -> dict[str, str]:
+        """The refs that a name may stand for; of a table, only these come to the driver."""
+        if isinstance(self.refs, dict):
+            return self.refs
+        return {r.name: r.oid for r in self.refs.where(F.col("name").isin([prefix + base for prefix in gitstore.CANDIDATES])).collect()}
+
     def resolve(self, rev: str) -> str:
         """A revision, base or base~N, to a sha. What looks like an oid stands for itself."""
         base, tilde, n = rev.partition("~")
         try:
-            sha = gitstore.resolve_ref(self.repo, base) if self.repo else gitstore.find_ref(base, self.refs.get, {})
+            sha = gitstore.resolve_ref(self.repo, base) if self.repo else gitstore.find_ref(base, self._named(base).get, {})
             return history.nth_ancestor(self.commits, sha, int(n), self.graph) if tilde else sha
         except gitstore.NotFound as e:
             raise OptionError(e.args[0]) from None
@@ -76,11 +82,12 @@ def rev_spec(source: Source, spec: str) -> tuple[list[str], list[str]]:
     return [source.resolve(spec or "HEAD")], []
 
 
-def tips(source: Source, options: SearchOptions) -> tuple[list[str] | None, list[str]]:
+def tips(source: Source, options: SearchOptions) -> tuple[list[str] | DataFrame | None, list[str]]:
     """The commits that the walk starts from, None for all, and those that it leaves out with what they reach."""
+    table = isinstance(source.refs, DataFrame)
     if options.all:
-        return sorted(set(source.refs.values())), []
-    include, exclude = rev_spec(source, options.rev_range) if source.refs or source.repo or options.rev_range else (None, [])
+        return source.refs.select(F.col("oid").alias("sha")).distinct() if table else sorted(set(source.refs.values())), []
+    include, exclude = rev_spec(source, options.rev_range) if table or source.refs or source.repo or options.rev_range else (None, [])
     for b in options.branches:
         try:
             include = [*(include or []), source.resolve(b)]
@@ -100,7 +107,7 @@ def select_commits(source: Source, options: SearchOptions) -> DataFrame:
         reached = history.rev_range(source.commits, include, exclude, options.first_parent, source.graph)
     seq = F.struct((-F.unix_micros("commit_ts")).alias("newest"), F.col("sha").alias("name"))
     if include is not None and source.graph and source.graph.skewed:
-        order = history.heap_order(source.graph, source.commits.sparkSession, include, exclude, options.first_parent)
+        order = history.heap_order(source.graph, source.commits.sparkSession, history._names(include), exclude, options.first_parent)
         reached, seq = reached.join(order, "sha"), F.struct(F.col("walk").alias("newest"), F.col("sha").alias("name"))
     dates = {k: parse_date(v).replace(tzinfo=None) if v.strip() else None for k, v in (("since", options.since), ("until", options.until))}
     keep = history.commit_filter(*(F.lit(d).cast("timestamp") if d else None for d in dates.values()), options.author, options.committer)

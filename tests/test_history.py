@@ -164,3 +164,27 @@ def test_order(spark):
     ranks = {(r.path, r.commit_sha): (r.file_rank, r.commit_rank) for r in attribution.ranked(o).collect()}
     assert ranks == {("new", "s2"): (1, 1), ("old", "s4"): (2, 1), ("old", "s3"): (2, 2), ("old", "s1"): (2, 3)}
     assert tuple(attribution.totals(o).first()) == (4, 2) and tuple(attribution.totals(o.limit(0)).first()) == (0, 0)
+
+
+def test_tildes_of_many_starts_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(history, "Graph", None)
+    chain = [(f"{line}-{i}", [f"{line}-{i - 1}", "a-0"] if i else ["gone"], i, "t") for line in "abc" for i in range(12)]
+    c, start = commits(spark, *chain), spark.createDataFrame([("a-11",), ("b-5",), ("c-4",), ("none",)], "sha string")
+    for n, want in ((0, {("a-11", "a-11"), ("b-5", "b-5"), ("c-4", "c-4")}), (5, {("a-11", "a-6"), ("b-5", "b-0")}), (11, {("a-11", "a-0")}), (12, set())):
+        assert {(r.start, r.sha) for r in history.nth_ancestors(c, start, n).collect()} == want
+
+
+def test_refs_as_a_table_beyond_the_driver(spark, monkeypatch):
+    """What a table of refs selects is what their names do, without a graph or a list of refs on the driver."""
+    from palimpsest.options import SearchOptions
+    from palimpsest.plans.engine import Source, select_commits
+
+    c = commits(spark, *DIAMOND, ("n", ["m"], 5, "tn"))
+    refs = {"HEAD": "n", "refs/heads/a": "a", "refs/heads/x": "x"}
+    told = [SearchOptions(("p",), **o) for o in ({"all": True}, {"branches": ("x", "none")}, {"rev_range": "HEAD~1..HEAD"}, {"rev_range": "a"})]
+    want = [shas(select_commits(Source(c, refs=refs), o)) for o in told]
+    assert want == [{"n", "m", "a", "b", "r", "x"}, {"n", "m", "a", "b", "r", "x"}, {"n"}, {"a", "r"}]
+    monkeypatch.setattr(history, "DRIVER_GRAPH", 0)
+    monkeypatch.setattr(history, "Graph", None)
+    table = spark.createDataFrame(list(refs.items()), "name string, oid string")
+    assert [shas(select_commits(Source(c, refs=table), o)) for o in told] == want
