@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The extensions of derived paths, by doc_id modulo 7.
 EXTENSIONS = (".go", ".py", ".md", ".json", ".rs", ".sql", ".txt")
+PARTITION_ROWS = 250_000  # rows of a table for each partition that it is dealt to
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,24 +81,34 @@ def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(name, F.lit("@example.com")).alias("author_email"))
 
 
+def _parts_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order, path, f: mode and oid), dealt once by order, as keys and quantities; what follows by order is not dealt again.
+
+    Partitions are as many as the rows ask for, so what a task holds does not grow with the table.
+    """
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), "l_partkey", "l_quantity")
+    one = li.repartition(1 + li.count() // PARTITION_ROWS, "order").groupBy("order", "l_partkey").agg(F.min("l_quantity").alias("q"))
+    part = F.col("l_partkey") % 40
+    oid = F.sha1(F.concat(part.cast("string"), F.lit(":"), (F.col("q") % 3).cast("int").cast("string")))
+    one = one.select("order", part.alias("part"), F.struct(F.when(F.col("l_partkey") % 10 == 0, 0o120000).otherwise(0o100644).alias("mode"), oid.alias("oid")).alias("f"))
+    return one.groupBy("order", "part").agg(F.min("f").alias("f")).select("order", F.concat(F.lit("part/"), F.col("part").cast("string"),
+        F.lit(".txt")).alias("path"), "f")
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root, path, mode, oid): the parts of an order, a tenth of them symlinks; the oid is of the part and half its quantity's class."""
-    li = table(spark, sf_dir, "lineitem")
-    one = li.groupBy("l_orderkey", "l_partkey").agg(F.min("l_quantity").alias("q"))
-    return one.select(
-        F.col("l_orderkey").cast("string").alias("root"), F.concat(F.lit("part/"), (F.col("l_partkey") % 40).cast("string"), F.lit(".txt")).alias("path"),
-        F.when(F.col("l_partkey") % 10 == 0, 0o120000).otherwise(0o100644).alias("mode"),
-            F.sha1(F.concat((F.col("l_partkey") % 40).cast("string"), F.lit(":"), (F.col("q") % 3).cast("int").cast("string"))).alias("oid"),
-    ).groupBy("root", "path").agg(F.min(F.struct("mode", "oid")).alias("f")).select("root", "path", "f.mode", "f.oid")
+    return _parts_of_orders(spark, sf_dir).select(F.col("order").cast("string").alias("root"), "path", "f.mode", "f.oid")
 
 
 def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tree_oid, mode, name, oid): those files as trees, named by order on top and below by what is in them."""
-    files = order_files(spark, sf_dir).withColumn("name", F.element_at(F.split("path", "/"), 2))
+    files = _parts_of_orders(spark, sf_dir).select("order", F.element_at(F.split("path", "/"), 2).alias("name"), "f.mode", "f.oid")
     told = F.sort_array(F.collect_list(F.concat_ws(" ", F.col("mode").cast("string"), "name", "oid")))
-    tops = files.groupBy("root").agg(F.collect_list(F.struct("mode", "name", "oid")).alias("held"), F.sha1(F.array_join(told, "\n").cast("binary")).alias("sub"))
-    top = tops.select(F.col("root").alias("tree_oid"), F.lit(0o040000).alias("mode"), F.lit("part").alias("name"), F.col("sub").alias("oid"))
-    below = tops.dropDuplicates(["sub"]).select(F.col("sub").alias("tree_oid"), F.inline("held"))
+    tops = files.groupBy("order").agg(F.collect_list(F.struct("mode", "name", "oid")).alias("held"), F.sha1(F.array_join(told, "\n").cast("binary")).alias("sub"))
+    top = tops.select(F.col("order").cast("string").alias("tree_oid"), F.lit(0o040000).alias("mode"), F.lit("part").alias("name"), F.col("sub").alias("oid"))
+    # Of equal trees, that of the smallest order is told; only names are dealt for it.
+    first = tops.groupBy("sub").agg(F.min("order").alias("order"))
+    below = tops.join(first.select("order"), "order", "left_semi").select(F.col("sub").alias("tree_oid"), F.inline("held"))
     return top.unionByName(below)
 
 
