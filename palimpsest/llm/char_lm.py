@@ -29,6 +29,7 @@ CHUNK = 1 << 20  # characters of a text that are taken at once
 GROUP = 1 << 18  # characters of several texts that are taken at once
 RUN = 16 << 20  # characters of a block before the next one begins
 HELD = 5 << 18  # distinct grams that a task gathers before it passes them on
+TRAINING = 4  # of these, training holds one in so many: what it passes on is merged by shard at once
 SHARD_CHARS = 8 << 20  # characters of all documents for each shard
 START = 0  # the symbol before a text; code points are one up
 
@@ -161,10 +162,10 @@ def merged(columns, counts):
 
 
 class Gatherer:
-    """The distinct grams of texts with their counts, passed on whenever HELD of them are together."""
+    """The distinct grams of texts with their counts, passed on whenever so many of them, HELD if not told, are together."""
 
-    def __init__(self):
-        self.parts, self.n = [], 0
+    def __init__(self, most: int | None = None):
+        self.parts, self.n, self.most = [], 0, HELD if most is None else most
 
     def add(self, texts: list[str]) -> Iterator[tuple]:
         import numpy as np
@@ -181,9 +182,9 @@ class Gatherer:
                 first, number = distinct(keys)
                 self.parts.append(([c[first] for c in columns], keys[first], np.bincount(number)))
                 self.n += len(first)
-            if self.n > HELD:
+            if self.n > self.most:
                 self.shrink()
-                if self.n > HELD:
+                if self.n > self.most:
                     yield from self.rest()
 
     def shrink(self) -> None:
@@ -296,7 +297,7 @@ def train(trusted: DataFrame, shards: int) -> Tables | None:
     them. Each order is one shuffle of packed grams that its tasks have merged already.
     """
     def gather(batches: Iterator) -> Iterator:
-        held = Gatherer()
+        held = Gatherer(HELD // TRAINING)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for found in held.add(batch.column("text").slice(at, 500).to_pylist()):

@@ -118,3 +118,18 @@ def test_runs_within_a_split_change_nothing(spark, make, tmp_path, monkeypatch,
     whole, parts = (sorted(str((r.doc_id, r.text, round(r["__quality"].perplexity or 0, 3), r["__quality"].kept)) for r in
         quality_lm.classify(docs, labels, **options).collect()) for options in ({}, {"run": 300}))
     assert whole == parts and len(whole) == 150
+
+
+def test_training_holds_less_and_counts_the_same():
+    texts = [f"some text {k} of its own, {k * k}" for k in range(200)]
+
+    def counts(held):
+        total = {}
+        found = [x for t in texts for x in held.add([t])] + list(held.rest())
+        for columns, n in found:
+            for *gram, c in zip(*[k.tolist() for k in columns], n.tolist()):
+                total[tuple(gram)] = total.get(tuple(gram), 0) + c
+        return total, max(len(n) for _, n in found)
+
+    (small, most), (large, all_) = counts(char_lm.Gatherer(300)), counts(char_lm.Gatherer())
+    assert small == large and most < 400 < all_
