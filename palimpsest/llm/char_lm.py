@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, file_system, map_batches
+from palimpsest.llm.common import cut, file_system, map_batches, small_batches
 
 ORDER = 6
 CHUNK = 1 << 20  # characters of a text that are taken at once
@@ -30,6 +30,7 @@ GROUP = 1 << 18  # characters of several texts that are taken at once
 RUN = 16 << 20  # characters of a block before the next one begins
 HELD = 5 << 18  # distinct grams that a task gathers before it passes them on
 TRAINING = 4  # of these, training holds one in so many: what it passes on is merged by shard at once
+PENDING = 1 << 18  # grams that wait to be merged with the distinct ones a task has, or half as many as those
 SHARD_CHARS = 8 << 20  # characters of all documents for each shard
 START = 0  # the symbol before a text; code points are one up
 
@@ -95,15 +96,16 @@ def distinct(keys):
     global _slots
     if _slots is None:
         _slots = np.zeros(1 << 22, dtype=np.int32)
-    at = (keys & np.uint64(len(_slots) - 1)).astype(np.int64)
+    at = (keys & np.uint64(len(_slots) - 1)).astype(np.int32)
     _slots[at] = np.arange(len(keys), dtype=np.int32)
-    owner = _slots[at].astype(np.int64)
+    owner = _slots[at]
+    del at
     lost = np.flatnonzero(keys[owner] != keys)
     if len(lost):
         _, first, back = np.unique(keys[lost], return_index=True, return_inverse=True)
         owner[lost] = lost[first][back]
-    is_owner = owner == np.arange(len(keys))
-    number = np.cumsum(is_owner) - 1
+    is_owner = owner == np.arange(len(keys), dtype=np.int32)
+    number = np.cumsum(is_owner, dtype=np.int32) - np.int32(1)
     return np.flatnonzero(is_owner), number[owner]
 
 
@@ -165,7 +167,7 @@ class Gatherer:
     """The distinct grams of texts with their counts, passed on whenever so many of them, HELD if not told, are together."""
 
     def __init__(self, most: int | None = None):
-        self.parts, self.n, self.most = [], 0, HELD if most is None else most
+        self.parts, self.n, self.own, self.most = [], 0, 0, HELD if most is None else most
 
     def add(self, texts: list[str]) -> Iterator[tuple]:
         import numpy as np
@@ -182,7 +184,7 @@ class Gatherer:
                 first, number = distinct(keys)
                 self.parts.append(([c[first] for c in columns], keys[first], np.bincount(number)))
                 self.n += len(first)
-            if self.n > self.most:
+            if self.n > self.most or self.n - self.own > max(PENDING, self.own // 2):
                 self.shrink()
                 if self.n > self.most:
                     yield from self.rest()
@@ -194,14 +196,16 @@ class Gatherer:
         first, number = distinct(keys)
         counts = np.bincount(number, weights=np.concatenate([c for _, _, c in self.parts]), minlength=len(first)).astype(np.int64)
         del number
-        columns = [np.concatenate([p[0][k] for p in self.parts])[first] for k in range(ORDER)]  # one at a time
-        self.parts, self.n = [(columns, keys[first], counts)], len(first)
+        columns = []
+        for _ in range(ORDER):  # one at a time, and what it is made of goes
+            columns.append(np.concatenate([p[0].pop(0) for p in self.parts])[first])
+        self.parts, self.n, self.own = [(columns, keys[first], counts)], len(first), len(first)
 
     def rest(self) -> Iterator[tuple]:
         if self.parts:
             self.shrink()
-            columns, _, counts = self.parts[0]
-            self.parts, self.n = [], 0
+            columns, counts = self.parts[0][::2]
+            self.parts, self.n, self.own = [], 0, 0
             yield columns, counts
 
 
@@ -260,7 +264,8 @@ def _counted(rows: DataFrame, order: int) -> DataFrame:
         for s, cs, (n,) in by_shard(columns, 1, counts):
             yield _rows([(shard, len(n), pack(cs), pack_values(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int(n.sum()))], COUNTED)
 
-    return cut(_merged_shards(rows, order, COUNTED, make))
+    with small_batches(rows.sparkSession):
+        return cut(_merged_shards(rows, order, COUNTED, make))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -460,8 +465,9 @@ def answer(asked: DataFrame, tables: Tables) -> DataFrame:
 
 def write_answers(docs: DataFrame, tables: Tables, folder: str, run: int = RUN) -> None:
     """The grams of each block with what the tables know of them, in a folder for each block, as Parquet, shortest grams first."""
-    answer(ask(docs, tables.shards, run), tables).repartition("block").sortWithinPartitions("block", "level").write.option(
-        "parquet.block.size", 1 << 20).partitionBy("block").parquet(folder)
+    with small_batches(docs.sparkSession):
+        answer(ask(docs, tables.shards, run), tables).repartition("block").sortWithinPartitions("block", "level").write.option(
+            "parquet.block.size", 1 << 20).partitionBy("block").parquet(folder)
 
 
 class Model(NamedTuple):

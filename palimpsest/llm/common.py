@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +93,21 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """What is run inside hands so many rows at most to Python at once, for rows of kilobytes: both sides hold a batch or two."""
+    before = spark.conf.get(BATCH_ROWS)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the given names: what other columns are called cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

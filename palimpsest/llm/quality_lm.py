@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import char_lm
-from palimpsest.llm.common import blocked, cut, renamed, shared_dir, ship, table, text_of
+from palimpsest.llm.common import blocked, cut, renamed, shared_dir, ship, small_batches, table, text_of
 
 HELD_OUT = 5  # one trusted document of so many sets limits instead of training
 QUANTILE = 0.99  # of the held-out documents' perplexity
@@ -158,7 +158,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     seen = asked.select("id", "lang", score(F.when(F.col("label_id").isNotNull() & held & (F.col("text") != ""), F.col("text")), "split",
         F.length("text").cast("long")).alias("s")).where("s.n > 0").select("id", "lang", "s.*")
     seen = (seen if few else trusted_documents(seen, good, few)).drop("id")
-    by_lang, by_length, mean, far = limits(cut(seen)) if tables else (None, None, None, math.inf)
+    with small_batches(spark):
+        seen = cut(seen)
+    by_lang, by_length, mean, far = limits(seen) if tables else (None, None, None, math.inf)
 
     body = text_of(F.col(f"`{text_col}`"))
     own = here.withColumn("__quality_score", score(body, F.col("__block"), F.length(body).cast("long")))

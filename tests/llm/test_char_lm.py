@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import char_lm, quality_lm
-from palimpsest.llm.common import blocked, shared_dir
+from palimpsest.llm.common import blocked, shared_dir, small_batches
 
 WORDS = ["the", "and", "или", "привет", "你好", "ok", "a", "été", "\U0001F600", "x\0y"]
 
@@ -120,6 +120,33 @@ def test_runs_within_a_split_change_nothing(spark, make, tmp_path, monkeypatch,
     assert whole == parts and len(whole) == 150
 
 
+def test_what_waits_to_be_merged_is_bounded(monkeypatch):
+    texts = ["the same few words again and again, and again"] * 400
+    monkeypatch.setattr(char_lm, "GROUP", 40)
+    monkeypatch.setattr(char_lm, "PENDING", 100)
+    held, most = char_lm.Gatherer(), 0
+    for t in texts:
+        assert not list(held.add([t]))
+        most = max(most, held.n)
+    (columns, counts), = held.rest()
+    assert counts.sum() == sum(map(len, texts)) and most <= 200 + len(counts)
+
+
+def test_small_batches_end(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes = spark.conf.get(name), "n long"
+
+    def count(batches):
+        import pyarrow as pa
+
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+    with pytest.raises(KeyError), small_batches(spark):
+        assert spark.range(0, 1200, 1, 1).mapInArrow(count, sizes).agg(F.max("n")).first()[0] == 500
+        raise KeyError
+    assert spark.conf.get(name) == before
+
+
 def test_training_holds_less_and_counts_the_same():
     texts = [f"some text {k} of its own, {k * k}" for k in range(200)]
 
