@@ -40,10 +40,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def counted(df: DataFrame, which: Column) -> tuple[DataFrame, int]:
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet: for wide tables, of which a checkpoint holds every row in full."""
+    folder = shared_folder(df.sparkSession, "stored")
+    folder = f"file://{folder}" if folder.startswith("/") else folder
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def counted(df: DataFrame, which: Column, keep=checkpointed) -> tuple[DataFrame, int]:
     """df written to the shared folder, and how many of its rows are such; the writing itself counts them."""
     seen = Observation()
-    done = checkpointed(df.observe(seen, F.count_if(which).alias("n")))
+    done = keep(df.observe(seen, F.count_if(which).alias("n")))
     return done, seen.get["n"]
 
 
@@ -378,6 +386,14 @@ def suppress_merged(diff: DataFrame, commits: DataFrame, files: DataFrame, histo
     return diff.join(had, ["sha", "path", "oid"], "left_anti")
 
 
+def file_changes(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """tree_diff() of all commits with suppress_merged() of the merges among them, which alone are dealt by commit for it."""
+    merge = F.size("parents") > 1
+    one = tree_diff(commits.where(~merge), files, history=commits)
+    merges = commits.where(merge)
+    return one.unionByName(suppress_merged(tree_diff(merges, files, history=commits), merges, files, commits))
+
+
 def first_occurrences(occurrences: DataFrame) -> DataFrame:
     """Of each (blob, path), the occurrence that the walk meets first, by walk_seq."""
     keys = ["blob_oid", "path"]

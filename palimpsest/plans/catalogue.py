@@ -367,7 +367,7 @@ kept AS (SELECT * FROM diff d WHERE NOT EXISTS (SELECT 1 FROM commits c JOIN fil
 def _changes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """What orders change as commits, by the recursion over pairs of trees; both tables are derived once."""
     commits = history.checkpointed(tables.order_commits(spark, sf_dir).select("sha", "tree_oid", "parents"))
-    return treediff.tree_changes(commits, treediff.by_joins(history.checkpointed(tables.order_entries(spark, sf_dir))), **options)
+    return treediff.tree_changes(commits, treediff.by_joins(history.stored(tables.order_entries(spark, sf_dir))), **options)
 
 
 @register("tree_diff", f"WITH {ORDERS}, {FILES}, {DIFF} SELECT sha, path, mode, oid FROM diff")
@@ -389,8 +389,7 @@ def merge_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of trees that are given as lists of files."""
     commits = history.checkpointed(tables.order_commits(spark, sf_dir).select("sha", "tree_oid", "parents"))
-    files = history.checkpointed(tables.order_files(spark, sf_dir))
-    return history.suppress_merged(history.tree_diff(commits, files), commits, files)
+    return history.file_changes(commits, tables.order_files(spark, sf_dir))
 
 
 @register("occurrence_dedup", f"""WITH {ORDERS}, {FILES}, {DIFF}

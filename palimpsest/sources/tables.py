@@ -82,11 +82,12 @@ def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(order, path, f: mode and oid), dealt once by order, as keys and quantities; what follows by order is not dealt again.
+    """(order, path, f: mode and oid), dealt once by order, as keys and quantities; what follows by order, and joins with its
+    name as a tree, are not dealt again.
 
     Partitions are as many as the rows ask for, so what a task holds does not grow with the table.
     """
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), "l_partkey", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("order"), "l_partkey", "l_quantity")
     one = li.repartition(1 + li.count() // PARTITION_ROWS, "order").groupBy("order", "l_partkey").agg(F.min("l_quantity").alias("q"))
     part = F.col("l_partkey") % 40
     oid = F.sha1(F.concat(part.cast("string"), F.lit(":"), (F.col("q") % 3).cast("int").cast("string")))
@@ -97,7 +98,7 @@ def _parts_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root, path, mode, oid): the parts of an order, a tenth of them symlinks; the oid is of the part and half its quantity's class."""
-    return _parts_of_orders(spark, sf_dir).select(F.col("order").cast("string").alias("root"), "path", "f.mode", "f.oid")
+    return _parts_of_orders(spark, sf_dir).select(F.col("order").alias("root"), "path", "f.mode", "f.oid")
 
 
 def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _parts_of_orders(spark, sf_dir).select("order", F.element_at(F.split("path", "/"), 2).alias("name"), "f.mode", "f.oid")
     told = F.sort_array(F.collect_list(F.concat_ws(" ", F.col("mode").cast("string"), "name", "oid")))
     tops = files.groupBy("order").agg(F.collect_list(F.struct("mode", "name", "oid")).alias("held"), F.sha1(F.array_join(told, "\n").cast("binary")).alias("sub"))
-    top = tops.select(F.col("order").cast("string").alias("tree_oid"), F.lit(0o040000).alias("mode"), F.lit("part").alias("name"), F.col("sub").alias("oid"))
+    top = tops.select(F.col("order").alias("tree_oid"), F.lit(0o040000).alias("mode"), F.lit("part").alias("name"), F.col("sub").alias("oid"))
     # Of equal trees, that of the smallest order is told; only names are dealt for it.
     first = tops.groupBy("sub").agg(F.min("order").alias("order"))
     below = tops.join(first.select("order"), "order", "left_semi").select(F.col("sub").alias("tree_oid"), F.inline("held"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import treediff
+from palimpsest.operators import history, treediff
 from palimpsest.options import SearchOptions
 from palimpsest.plans.engine import Source, occurrences
 
@@ -108,6 +108,14 @@ def test_a_pair_is_opened_once_for_all_commits(spark):
     assert levels == [100, 1, 1]  # of 111 trees below the root, two pairs
 
 
+def test_lists_of_files_change_as_in_one_table(spark):
+    commits = made(5)
+    c, e = tables(spark, commits)
+    files = history.expand_trees(e, c)
+    want = rows(history.suppress_merged(history.tree_diff(c, files), c, files).select("sha", "path", "mode", "oid"))
+    assert rows(history.file_changes(c, files)) == want and len(want) > 10
+
+
 def test_no_commits_same_trees_and_loops(spark):
     c, e = tables(spark, [("a", [], {"x": ("f", "1")}), ("b", ["a"], {"x": ("f", "1")}), ("c", ["lost", "a"], {"x": ("f", "1")}), ("d", ["b"], {})])
     opened = treediff.by_joins(e)
