@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.history import KIND, REGULAR, counted
+from palimpsest.operators.history import KIND, REGULAR, counted, stored
 
 TREE = 0o040000
 NONE = ""  # stands for the tree that a commit without a known parent is compared with
@@ -36,22 +36,31 @@ def by_joins(entries: DataFrame) -> Opener:
         both = mine.join(had, ["new", "old", "name", "is_tree"], "left")
         return both.select("new", "old", "name", "mode", "oid", F.coalesce("had", F.lit(NONE)).alias("had")).where("oid <> had")
 
+    def whole(placed: DataFrame) -> DataFrame:
+        return placed.join(entries.select(F.col("tree_oid").alias("tree"), "name", "mode", "oid"), "tree").withColumn("had", F.lit(NONE))
+
+    opened.whole = whole
     return opened
 
 
-def pair_changes(pairs: DataFrame, opened: Opener, n: int) -> DataFrame:
+def pair_changes(pairs: DataFrame, opened: Opener, n: int, whole: bool = False) -> DataFrame:
     """(new, old) of root trees, distinct and unequal -> (new, old, path, mode, oid): regular files of `new` that `old` lacks
-    at their path or has with another oid. n: how many pairs there are at most.
+    at their path or has with another oid. n: how many pairs there are at most. whole: every `old` is NONE, so that nothing
+    is compared, and an opener that can join a level with entries at once does so.
 
     Each level is written down, so a lost executor costs one level; of it, only the number of subtrees comes back.
     """
     placed = pairs.select("new", "old", F.col("new").alias("tree"), F.col("old").alias("before"), F.lit("").alias("prefix"))
     out = None
     for _ in range(MAX_DEPTH):
-        level = placed.select(F.col("tree").alias("new"), F.col("before").alias("old")).distinct()
-        found = opened(level, n).select(F.col("new").alias("tree"), F.col("old").alias("before"), "name", "mode", "oid", "had")
+        if whole and hasattr(opened, "whole"):
+            found = opened.whole(placed)
+        else:
+            level = placed.select(F.col("tree").alias("new"), F.col("before").alias("old")).distinct()
+            found = opened(level, n).select(F.col("new").alias("tree"), F.col("old").alias("before"), "name", "mode", "oid", "had")
+            found = placed.join(found, ["tree", "before"])
         is_tree = F.col("mode").bitwiseAND(F.lit(KIND)) == TREE
-        here, n = counted(placed.join(found, ["tree", "before"]).select("new", "old", F.concat("prefix", "name").alias("path"), "mode", "oid", "had"), is_tree)
+        here, n = counted(found.select("new", "old", F.concat("prefix", "name").alias("path"), "mode", "oid", "had"), is_tree, stored)
         files = here.where(F.col("mode").bitwiseAND(F.lit(KIND)) == REGULAR).select("new", "old", "path", "mode", "oid")
         out = files if out is None else out.unionByName(files)
         if not n:
@@ -89,8 +98,10 @@ def tree_changes(commits: DataFrame, opened: Opener, history: DataFrame | None =
     sides, n = counted(compared(one, commits if history is None else history, expand_commits, first_parent), differ)
     if not n:
         return commits.sparkSession.createDataFrame([], "sha string, path string, mode int, oid string")
-    changes = pair_changes(sides.where(differ).select("new", "old").distinct(), opened, n)
+    changes = pair_changes(sides.where(differ).select("new", "old").distinct(), opened, n, expand_commits)
     each = sides.join(changes, ["new", "old"])
+    if expand_commits:
+        return each.select("sha", "path", "mode", "oid")
     alone = each.where("parents = 1").select("sha", "path", "mode", "oid")
     merged = each.where("parents > 1").groupBy("sha", "path", "mode", "oid").agg(F.count("*").alias("sides"), F.first("parents").alias("parents"))
     return alone.unionByName(merged.where("sides = parents").select("sha", "path", "mode", "oid"))

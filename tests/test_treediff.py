@@ -108,6 +108,17 @@ def test_a_pair_is_opened_once_for_all_commits(spark):
     assert levels == [100, 1, 1]  # of 111 trees below the root, two pairs
 
 
+def test_whole_trees_are_not_compared(spark):
+    commits = made(3)
+    c, e = tables(spark, commits)
+
+    def opened(pairs, n):
+        raise AssertionError("compared")
+
+    opened.whole = treediff.by_joins(e).whole
+    assert rows(treediff.tree_changes(c, opened, expand_commits=True)) == plain(commits, expand=True)
+
+
 def test_lists_of_files_change_as_in_one_table(spark):
     commits = made(5)
     c, e = tables(spark, commits)
