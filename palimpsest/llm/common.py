@@ -58,12 +58,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """What is run inside has this setting; the one before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there, so that lost executors cost no recomputation."""
+    """Writes df to the shared folder and goes on from there, so that lost executors cost no recomputation.
+
+    What was shuffled on the way goes once df is written, as nothing reads it again; else it stays until the driver's
+    garbage is collected, and many short steps fill the disk.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    with setting(df.sparkSession, DROP_SHUFFLES, "true"):
+        return df.select("*").checkpoint()  # a plan of its own: that of df may be run again
 
 
 def file_system(uri: str):
@@ -100,12 +119,8 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def small_batches(spark: SparkSession, rows: int = 500):
     """What is run inside hands so many rows at most to Python at once, for rows of kilobytes: both sides hold a batch or two."""
     before = spark.conf.get(BATCH_ROWS)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(BATCH_ROWS, str(rows))
-    try:
+    with setting(spark, BATCH_ROWS, before if 0 < int(before) <= rows else str(rows)):
         yield
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
 
 
 def renamed(df: DataFrame, **columns: str) -> DataFrame:

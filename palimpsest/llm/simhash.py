@@ -21,6 +21,7 @@ RADIUS = 3
 HOT = 256
 SEED = 42
 CHUNK = 1 << 16
+PART_ROWS = 1 << 16  # edges of a partition, from one round of the components to the next
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -110,26 +111,38 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
     return _level(rows, rows, 64, radius, hot, True).distinct()
 
 
+def following(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in partitions that follow them: PART_ROWS rows each, but a partition for each core at least.
+
+    A shuffle writes files for each of the partitions it reads, however few rows they have.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): for each node with an edge, the smallest node that it reaches.
 
     Large star, then small star, until nothing changes; each round is written to the shared folder, and only a count
     and a checksum come to the driver. Joins are by sorting: a broadcast for each round would pass small tables through
-    the driver again and again.
+    the driver again and again. No round has more edges than the one before, so its partitions follow their number.
     """
+    def both(a: Column, b: Column, c: Column, d: Column) -> Column:
+        return F.inline(F.array(F.struct(a.alias("u"), b.alias("v")), F.struct(c.alias("u"), d.alias("v"))))
+
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
     edges, before = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
+        edges = following(edges, state[0])
         if state == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            return edges.select(both(u, v, v, v)).distinct().select(u.alias("node"), v.alias("root"))
         before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = edges.select(both(u, v, v, u)).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = edges.select(v.alias("u"), u.alias("v")).join(least.hint("merge"), "u").select(v.alias("u"), m.alias("v"))
+        large = following(large, state[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        small = large.join(least.hint("merge"), "u").select(both(v, m, u, m)).where("u <> v")
+        edges = cut(following(following(small, state[0]).distinct(), state[0]))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

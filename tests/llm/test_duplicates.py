@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from palimpsest.llm import line_dedup, simhash
+from palimpsest.llm.common import DROP_SHUFFLES, cut, setting
 from tests.llm.conftest import words
 
 MASK = (1 << 64) - 1
@@ -80,6 +83,31 @@ def test_components(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def shuffle_files(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+
+
+def test_rounds_have_partitions_by_their_rows(spark, monkeypatch):
+    edges, parts, cores = [(i, i + 1) for i in range(200)], [], spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(simhash, "cut", lambda df: parts.append((out := cut(df)).rdd.getNumPartitions()) or out)
+    with setting(spark, "spark.sql.shuffle.partitions", "40"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        for rows, most in ((simhash.PART_ROWS, cores), (20, 10), (1, 40)):
+            monkeypatch.setattr(simhash, "PART_ROWS", rows)
+            parts.clear()
+            got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+            assert got == {i: 0 for i in range(201)}
+            assert len(parts) > 3 and set(parts[1:]) == {most}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    rows = spark.range(1000).select(F.pmod("id", F.lit(7)).alias("k"), "id").repartition(20)
+    before, counts = shuffle_files(spark), rows.groupBy("k").count()
+    first, second = cut(counts), cut(counts)  # the same frame may be cut and run again
+    assert shuffle_files(spark) <= before
+    assert sorted(first.collect()) == sorted(second.collect()) == sorted(counts.collect())
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
+
+
 def test_lines_keep_columns(make):
     line = "this line is in three documents"
     df = make((1, f"a\n{line}\nb"), (2, line), (3, f"{line}\n{line}"), (4, None), (3, "another row of three"), (None, f"{line} "))
