@@ -33,6 +33,11 @@ TRAINING = 4  # of these, training holds one in so many: what it passes on is me
 PENDING = 1 << 18  # grams that wait to be merged with the distinct ones a task has, or half as many as those
 SHARD_CHARS = 8 << 20  # characters of all documents for each shard
 START = 0  # the symbol before a text; code points are one up
+SYMBOLS = 0x110001  # as many can there be
+BITS = 10  # of a symbol's code in a gatherer, so that ORDER of them are one key
+TEXT_BITS = 10  # of a text's number behind a key when it is scored
+OTHERWISE = "the input was split otherwise than when its grams were counted"
+UNSEEN, OTHER = 0xFFFF, 0xFFFE  # symbols without a code: not seen yet, and seen when all were given
 
 _slots = None
 
@@ -89,6 +94,17 @@ def windows(s):
     return [s[i:i + n] for i in range(ORDER)]
 
 
+def inside(starts, sizes, n: int):
+    """Whether each of n windows ends in a text, not in the start symbols of the text behind."""
+    import numpy as np
+
+    own = np.ones(n, dtype=bool)
+    for k in range(ORDER - 1):
+        ends = starts + sizes + k
+        own[ends[ends < n]] = False
+    return own
+
+
 def distinct(keys):
     """(places of one of each key, for each key which of them): in a table of slots; what does not fit there is sorted."""
     import numpy as np
@@ -142,13 +158,38 @@ def unpack_values(blob: bytes, kind: str, n: int):
     return np.ascontiguousarray(np.frombuffer(pa.Codec("zstd").decompress(blob, n * size), dtype=np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
+def in_order(columns):
+    """The places of grams in the order of their symbols: one sort of whole keys where the symbols are few."""
+    import numpy as np
+
+    seen = np.zeros(1 + max(int(c.max()) for c in columns), dtype=bool)
+    for c in columns:
+        seen[c] = True
+    bits = max(1, (int(np.count_nonzero(seen)) - 1).bit_length())
+    if bits * len(columns) > 64:
+        return np.lexsort(columns[::-1])
+    rank = (np.cumsum(seen) - 1).astype(np.uint64)
+    keys = rank[columns[0]]
+    for c in columns[1:]:
+        keys <<= np.uint64(bits)
+        keys |= rank[c]
+    return np.argsort(keys)
+
+
 def by_shard(columns, shards: int, *values) -> Iterator[tuple]:
     """(shard, columns, values) with the grams of each shard in order."""
     import numpy as np
 
+    if not len(columns[0]):
+        return
+    order = in_order(columns)
+    columns, values = [c[order] for c in columns], [v[order] for v in values]
+    if shards == 1:
+        yield 0, columns, values
+        return
     context = hashed(columns[:-1] or columns)
-    shard = ((context >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort([*columns[::-1], shard])
+    shard = ((context >> np.uint64(20)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    order = np.argsort(shard, kind="stable")
     columns, values, shard = [c[order] for c in columns], [v[order] for v in values], shard[order]
     edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
     for a, b in zip(edges[:-1], edges[1:]):
@@ -164,27 +205,60 @@ def merged(columns, counts):
 
 
 class Gatherer:
-    """The distinct grams of texts with their counts, passed on whenever so many of them, HELD if not told, are together."""
+    """The distinct grams of texts with their counts, passed on whenever so many of them, HELD if not told, are together.
+
+    The first symbols that come, as many as BITS allow, have codes, and a gram of such symbols is one exact key. Keys are
+    merged by sorting; grams with other symbols are held as columns and merged by hash.
+    """
 
     def __init__(self, most: int | None = None):
-        self.parts, self.n, self.own, self.most = [], 0, 0, HELD if most is None else most
+        import numpy as np
+
+        self.most = HELD if most is None else most
+        self.n = self.own = 0  # grams held, keys that wait included; of these, distinct ones
+        self.codes, self.symbols = np.full(SYMBOLS, UNSEEN, dtype=np.uint16), np.zeros(1, dtype=np.uint32)
+        self.codes[START] = 0
+        self.wait: list = []  # of keys, as they come
+        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # distinct, in order
+        self.parts: list = []  # (columns, keys, counts) of other grams
+
+    def coded(self, s):
+        """The code of each symbol of an array, OTHER for those that came when codes had run out."""
+        import numpy as np
+
+        codes = self.codes[s]
+        if (unseen := codes == UNSEEN).any():
+            new = np.unique(s[unseen])
+            free = new[:(1 << BITS) - len(self.symbols)]
+            self.codes[new] = OTHER
+            self.codes[free] = np.arange(len(self.symbols), len(self.symbols) + len(free), dtype=np.uint16)
+            self.symbols = np.concatenate([self.symbols, free])
+            codes = self.codes[s]
+        return codes
 
     def add(self, texts: list[str]) -> Iterator[tuple]:
         import numpy as np
 
         for _, starts, sizes, s in padded(texts):
-            columns = windows(s)
-            own = np.ones(len(columns[0]), dtype=bool)
-            for k in range(ORDER - 1):  # windows that end in the start symbols of the text behind
-                ends = starts + sizes + k
-                own[ends[ends < len(own)]] = False
-            columns = [c[own] for c in columns]
-            if len(columns[0]):
+            codes = self.coded(s)
+            own = inside(starts, sizes, len(s) - ORDER + 1)
+            if len(self.symbols) == 1 << BITS and (other := codes == OTHER).any():
+                seen = np.concatenate([[0], np.cumsum(other)])
+                wide = own & (seen[ORDER:] > seen[:-ORDER])
+                columns = [c[wide] for c in windows(s)]
                 keys = hashed(columns)
                 first, number = distinct(keys)
                 self.parts.append(([c[first] for c in columns], keys[first], np.bincount(number)))
                 self.n += len(first)
-            if self.n > self.most or self.n - self.own > max(PENDING, self.own // 2):
+                own &= ~wide
+            codes = codes.astype(np.uint64)
+            keys = codes[:-ORDER + 1].copy()
+            for c in windows(codes)[1:]:
+                keys <<= np.uint64(BITS)
+                keys |= c
+            self.wait.append(keys[own])
+            self.n += len(self.wait[-1])
+            if self.n - self.own > max(min(PENDING, self.most // 2), self.own // 2):
                 self.shrink()
                 if self.n > self.most:
                     yield from self.rest()
@@ -192,20 +266,48 @@ class Gatherer:
     def shrink(self) -> None:
         import numpy as np
 
-        keys = np.concatenate([k for _, k, _ in self.parts])
-        first, number = distinct(keys)
-        counts = np.bincount(number, weights=np.concatenate([c for _, _, c in self.parts]), minlength=len(first)).astype(np.int64)
-        del number
-        columns = []
-        for _ in range(ORDER):  # one at a time, and what it is made of goes
-            columns.append(np.concatenate([p[0].pop(0) for p in self.parts])[first])
-        self.parts, self.n, self.own = [(columns, keys[first], counts)], len(first), len(first)
+        if self.wait:
+            new = np.concatenate(self.wait)
+            self.wait = []
+            new.sort()
+            starts = np.flatnonzero(np.concatenate([new[:1] == new[:1], new[1:] != new[:-1]]))
+            counts = np.diff(np.append(starts, len(new)))
+            new = new[starts]
+            at = np.searchsorted(self.keys, new)
+            known = np.zeros(len(new), dtype=bool)
+            inside = at < len(self.keys)
+            known[inside] = self.keys[at[inside]] == new[inside]
+            self.counts[at[known]] += counts[known]
+            new, counts, at = new[~known], counts[~known], at[~known]
+            if len(new):
+                at += np.arange(len(new))
+                kept = np.ones(len(self.keys) + len(new), dtype=bool)
+                kept[at] = False
+                for name, values in (("keys", new), ("counts", counts)):
+                    both = np.empty(len(kept), dtype=values.dtype)
+                    both[at], both[kept] = values, getattr(self, name)
+                    setattr(self, name, both)
+        if self.parts:
+            keys = np.concatenate([k for _, k, _ in self.parts])
+            first, number = distinct(keys)
+            counts = np.bincount(number, weights=np.concatenate([c for _, _, c in self.parts]), minlength=len(first)).astype(np.int64)
+            del number
+            columns = []
+            for _ in range(ORDER):  # one at a time, and what it is made of goes
+                columns.append(np.concatenate([p[0].pop(0) for p in self.parts])[first])
+            self.parts = [(columns, keys[first], counts)]
+        self.n = self.own = len(self.keys) + sum(len(k) for _, k, _ in self.parts)
 
     def rest(self) -> Iterator[tuple]:
-        if self.parts:
-            self.shrink()
-            columns, counts = self.parts[0][::2]
-            self.parts, self.n, self.own = [], 0, 0
+        import numpy as np
+
+        self.shrink()
+        keys, counts, parts = self.keys, self.counts, self.parts
+        self.keys, self.counts, self.parts, self.n, self.own = keys[:0].copy(), counts[:0].copy(), [], 0, 0
+        if len(keys):
+            mask = np.uint64((1 << BITS) - 1)
+            yield [self.symbols[((keys >> np.uint64(BITS * k)) & mask).astype(np.int32)] for k in range(ORDER - 1, -1, -1)], counts
+        for columns, _, counts in parts:
             yield columns, counts
 
 
@@ -481,40 +583,86 @@ class Model(NamedTuple):
 
 
 class Block:
-    """The log-probability of each of a block's longest grams, found by key; answers are read one order at a time."""
+    """The log-probability of each of a block's longest grams, found by key; answers are read one order at a time.
+
+    A key is exact and in the grams' order where the block's symbols are few (`bits` of each one's code), else a hash.
+    """
 
     def __init__(self, model: Model, block: int):
         import numpy as np
-        import pyarrow.parquet as pq
 
         fs, base = file_system(f"{model.folder.rstrip('/')}/block={block}")
         files = [f.path for f in fs.get_file_info(_selector(base)) if f.path.endswith(".parquet")]
         keys, p = None, None
         for order in range(1, ORDER + 1):
             d = np.array([0.0, *model.discounts[order]])
-            own, found = [], []
-            for path in files:
-                with fs.open_input_file(path) as source:
-                    parquet = pq.ParquetFile(source)
-                    for g in _groups_of(parquet, order):
-                        for batch in parquet.iter_batches(16, [g]):
-                            for row in batch.to_pylist():
-                                if row["level"] == order:
-                                    k, values = self._answer(row, order, d, model, keys, p)
-                                    own.append(k)
-                                    found.append(values)
+            rows = self._rows(fs, files, order)
+            if order == 1:
+                rows = list(rows)
+                self._code([unpack(row["grams"], 1, row["size"])[0] for row in rows])
+            own, found = zip(*(self._answer(row, order, d, model, keys, p) for row in rows))
             own, found = np.concatenate(own), np.concatenate(found)
             sort = np.argsort(own)
             keys, p = own[sort], found[sort]
         # A block may have asked for a gram twice; both answers are the same.
         self.keys, self.log = keys, np.log(p).astype(np.float32)
-        bits = max(10, int(len(keys) * 4).bit_length())
-        self.mask = np.uint64((1 << bits) - 1)
-        self.slots = np.zeros(1 << bits, dtype=np.int32)
-        self.slots[(keys & self.mask).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
+        if not self.bits:
+            bits = max(10, int(len(keys) * 4).bit_length())
+            self.mask = np.uint64((1 << bits) - 1)
+            self.slots = np.zeros(1 << bits, dtype=np.int32)
+            self.slots[(keys & self.mask).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
 
     @staticmethod
-    def _answer(row: dict, order: int, d, model: Model, keys, p):
+    def _rows(fs, files: list[str], order: int) -> Iterator[dict]:
+        import pyarrow.parquet as pq
+
+        for path in files:
+            with fs.open_input_file(path) as source:
+                parquet = pq.ParquetFile(source)
+                for g in _groups_of(parquet, order):
+                    for batch in parquet.iter_batches(16, [g]):
+                        yield from (row for row in batch.to_pylist() if row["level"] == order)
+
+    def _code(self, symbols: list) -> None:
+        """Codes for the block's symbols, if ORDER of them and the number of a text fit into a key."""
+        import numpy as np
+
+        alphabet = np.unique(np.concatenate([np.full(1, START, dtype=np.uint32), *symbols]))
+        bits = max(1, (len(alphabet) - 1).bit_length())
+        self.bits = bits if bits * ORDER + TEXT_BITS <= 64 else 0
+        if self.bits:
+            self.codes = np.full(int(alphabet[-1]) + 2, UNSEEN, dtype=np.uint16)  # the last is any symbol beyond
+            self.codes[alphabet] = np.arange(len(alphabet), dtype=np.uint16)
+
+    def key(self, columns):
+        """The key of each gram."""
+        import numpy as np
+
+        if not self.bits:
+            return hashed(columns)
+        keys = self.codes[columns[0]].astype(np.uint64)
+        for c in columns[1:]:
+            keys <<= np.uint64(self.bits)
+            keys |= self.codes[c]
+        return keys
+
+    def window_keys(self, s):
+        """The key of each window of a symbol array."""
+        import numpy as np
+
+        if not self.bits:
+            return hashed(windows(s))
+        codes = self.codes[np.minimum(s, np.uint32(len(self.codes) - 1))]
+        if (codes == UNSEEN).any():
+            raise RuntimeError(OTHERWISE)
+        columns = windows(codes.astype(np.uint64))
+        keys = columns[0].copy()
+        for c in columns[1:]:
+            keys <<= np.uint64(self.bits)
+            keys |= c
+        return keys
+
+    def _answer(self, row: dict, order: int, d, model: Model, keys, p):
         """(keys, probabilities) of the grams of one row, from those of the order below."""
         import numpy as np
 
@@ -523,24 +671,29 @@ class Block:
         if order == 1:
             lower, total, spare = model.uniform, model.first[0], float(np.dot(d[1:], model.first[1:]))
         else:
-            lower = p[np.searchsorted(keys, hashed(columns[1:]))]
+            lower = p[np.searchsorted(keys, self.key(columns[1:]))]
             starts = contexts(columns)
             sizes = np.diff(np.append(starts, n))
             follow = unpack_values(row["follow"], "<i8", 4 * row["known"]).reshape(4, -1)
             total, spare = np.repeat(follow[0], sizes), np.repeat(d[1:] @ follow[1:], sizes)
         # Of an unknown context, all is left to the shorter gram.
         known = (counts - d[np.minimum(counts, 3)] + spare * lower) / np.maximum(total, 1)
-        return hashed(columns), np.where(np.asarray(total) > 0, known, lower)
+        return self.key(columns), np.where(np.asarray(total) > 0, known, lower)
 
     def log_probabilities(self, wanted):
         import numpy as np
 
+        if self.bits:
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            if (self.keys[at] != wanted).any():
+                raise RuntimeError(OTHERWISE)
+            return self.log[at]
         at = self.slots[(wanted & self.mask).astype(np.int64)]
         lost = np.flatnonzero(self.keys[at] != wanted)
         if len(lost):
             at[lost] = np.minimum(np.searchsorted(self.keys, wanted[lost]), len(self.keys) - 1)
             if (self.keys[at[lost]] != wanted[lost]).any():
-                raise RuntimeError("the input was split otherwise than when its grams were counted")
+                raise RuntimeError(OTHERWISE)
         return self.log[at]
 
 
@@ -569,30 +722,43 @@ def measure(texts: list[str], block: Block | None):
 
     total, size, spare = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
     for places, starts, sizes, s in padded(texts):
-        keys = hashed(windows(s))
-        if block is not None:
-            sums = np.concatenate([[0.0], np.cumsum(block_log(block, keys, starts, sizes))])
-            np.add.at(total, places, sums[starts + sizes] - sums[starts])
         np.add.at(size, places, sizes)
-        # A piece has fewer than 2^21 texts; its number takes the place of the key's low bits.
+        own = inside(starts, sizes, len(s) - ORDER + 1)
         owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-        inside = np.arange(len(owner)) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        mixed = np.sort((keys[inside] & ~np.uint64((1 << 21) - 1)) | owner)
+        exact = block is not None and block.bits and len(sizes) <= 1 << TEXT_BITS
+        if exact:  # the text's number stands behind the key, so that one sort serves both sums
+            bits = np.uint64(TEXT_BITS)
+            mixed = block.window_keys(s)[own]
+            mixed <<= bits
+        else:
+            keys = hashed(windows(s))
+            if block is not None:
+                known = block.window_keys(s) if block.bits else keys
+                sums = np.concatenate([[0.0], np.cumsum(block_log(block, known, own))])
+                np.add.at(total, places, sums[starts + sizes] - sums[starts])
+            # A piece has fewer than 2^21 texts; its number takes the place of the key's low bits.
+            bits = np.uint64(21)
+            mixed = keys[own] >> bits << bits
+        mixed |= owner
+        mixed.sort()
         edges = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1], [True]]))
-        c = np.diff(edges)
-        which = (mixed[edges[:-1]] & np.uint64((1 << 21) - 1)).astype(np.int64)
-        np.add.at(spare, places, np.bincount(which, weights=c * np.log(c), minlength=len(sizes)))
+        c, mixed = np.diff(edges), mixed[edges[:-1]]
+        which = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        if exact:
+            mixed >>= bits
+            new = np.concatenate([[True], mixed[1:] != mixed[:-1]])
+            log = block.log_probabilities(mixed[new])[np.cumsum(new) - 1]
+            np.add.at(total, places, np.bincount(which, weights=c * log.astype(np.float64), minlength=len(sizes)))
+        more = c > 1
+        c = c[more]
+        np.add.at(spare, places, np.bincount(which[more], weights=c * np.log(c), minlength=len(sizes)))
     return total, size, spare / np.maximum(size, 1)
 
 
-def block_log(block: Block, keys, starts, sizes):
+def block_log(block: Block, keys, own):
     """The log-probability at each window; windows that end in start symbols count nothing."""
     import numpy as np
 
-    own = np.ones(len(keys), dtype=bool)
-    for k in range(ORDER - 1):
-        ends = starts + sizes + k
-        own[ends[ends < len(own)]] = False
     out = np.zeros(len(keys))
     out[own] = block.log_probabilities(keys[own])
     return out

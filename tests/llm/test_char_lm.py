@@ -2,8 +2,10 @@
 
 import math
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,75 @@ def test_training_holds_less_and_counts_the_same():
 
     (small, most), (large, all_) = counts(char_lm.Gatherer(300)), counts(char_lm.Gatherer())
     assert small == large and most < 400 < all_
+
+
+def test_more_symbols_than_codes(spark):
+    """Grams of symbols that have no code are counted and scored as others are."""
+    rnd = random.Random(5)
+    wide = lambda n: "".join(chr(0x4E00 + rnd.randrange(1500)) if rnd.random() < 0.7 else rnd.choice("ab \U0001F600") for _ in range(n))
+    train = [wide(400) for _ in range(8)] + [text(1, 40)]
+    docs = [wide(3000), text(2, 50), train[3], "ab ab", chr(0x10FFFF), train[0][:300]]
+    assert len(set("".join(docs))) > 1 << char_lm.BITS
+    seen = Counter()
+    for columns, counts in _gathered(docs):
+        for *gram, n in zip(*[c.tolist() for c in columns], counts.tolist()):
+            seen[tuple(gram)] += n
+    want = Counter()
+    for t in docs:
+        s = (0,) * (char_lm.ORDER - 1) + tuple(ord(c) + 1 for c in t)
+        want.update(s[k:k + char_lm.ORDER] for k in range(len(t)))
+    assert seen == want
+    model, (got, _) = Dictionary(train, char_lm.ORDER), scores(spark, train, docs, 3)
+    for i, t in enumerate(docs):
+        assert got[i].n == len(t) and abs(got[i].loss - model.loss(t)) < 1e-6 * max(1, len(t))
+
+
+def test_shards_are_in_order_for_any_symbols():
+    rng = np.random.default_rng(3)
+    for most in (3, 40, 3000, char_lm.SYMBOLS):
+        for order in (1, 2, char_lm.ORDER):
+            columns = [rng.integers(0, most, 2000).astype(np.uint32) for _ in range(order)]
+            grams = list(zip(*[c.tolist() for c in columns]))
+            found, shards = [], set()
+            for shard, cs, (v,) in char_lm.by_shard(columns, 5, np.arange(2000)):
+                here = list(zip(*[c.tolist() for c in cs]))
+                assert here == sorted(here) == [grams[k] for k in v] and shard not in shards
+                shards.add(shard)
+                found += v.tolist()
+            assert sorted(found) == list(range(2000))
+    assert not list(char_lm.by_shard([np.zeros(0, dtype=np.uint32)] * 3, 5)) and not list(char_lm.by_shard([np.zeros(0, dtype=np.uint32)] * 3, 1))
+
+
+def test_one_sort_gives_the_sums_of_two_passes(monkeypatch):
+    texts = [text(i, 5 + i % 40) for i in range(300)] + ["", "a", "the the the"]
+    block = char_lm.Block.__new__(char_lm.Block)
+    block._code([char_lm.symbols("".join(texts))])
+    assert block.bits
+    block.keys = np.unique(np.concatenate([block.window_keys(s) for _, _, _, s in char_lm.padded(texts)]))
+    block.log = -np.random.default_rng(1).random(len(block.keys)).astype(np.float32)
+    once = char_lm.measure(texts, block)
+    monkeypatch.setattr(char_lm, "TEXT_BITS", 0)
+    for x, y in zip(once, char_lm.measure(texts, block)):
+        assert np.allclose(x, y, rtol=1e-12, atol=1e-9)
+    with pytest.raises(RuntimeError):
+        char_lm.measure(["Ж"], block)
+
+
+def test_gathering_costs_few_sorts():
+    """Held against one sort of as many numbers, so that it holds on any machine."""
+    rnd = random.Random(1)
+    parts = [rnd.choice("bcdfghklmnprst") + rnd.choice("aeiouäé") for _ in range(60)]
+    texts = ["".join(rnd.choice(parts) + " " * (rnd.random() < 0.3) for _ in range(1500)) for _ in range(600)]
+    keys = np.random.default_rng(1).integers(0, 1 << 60, sum(map(len, texts)), dtype=np.uint64)
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    ratio = least(lambda: list(_gathered(texts))) / least(lambda: np.sort(keys))
+    print("ratio", ratio)
+    assert ratio < 6
