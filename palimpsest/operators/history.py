@@ -40,12 +40,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet: for wide tables, of which a checkpoint holds every row in full."""
-    folder = shared_folder(df.sparkSession, "stored")
+    """df written to the shared folder as Parquet: for wide tables, of which a checkpoint holds every row in full.
+
+    What was shuffled on the way goes once df is written, as nothing reads it again; else it stays until the driver's
+    garbage is collected, and the levels of a deep history add up.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, "stored")
     folder = f"file://{folder}" if folder.startswith("/") else folder
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(folder)  # a plan of its own: that of df may be run again
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before) if before is not None else spark.conf.unset(DROP_SHUFFLES)
+    return spark.read.parquet(folder)
 
 
 def counted(df: DataFrame, which: Column, keep=checkpointed) -> tuple[DataFrame, int]:

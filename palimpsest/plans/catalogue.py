@@ -366,8 +366,8 @@ kept AS (SELECT * FROM diff d WHERE NOT EXISTS (SELECT 1 FROM commits c JOIN fil
 
 def _changes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """What orders change as commits, by the recursion over pairs of trees; both tables are derived once."""
-    commits = history.checkpointed(tables.order_commits(spark, sf_dir).select("sha", "tree_oid", "parents"))
-    return treediff.tree_changes(commits, treediff.by_joins(history.stored(tables.order_entries(spark, sf_dir))), **options)
+    commits = history.stored(tables.order_commits(spark, sf_dir).select("sha", "tree_oid", "parents", "commit_ts"))
+    return treediff.tree_changes(commits, treediff.by_trees(tables.order_trees(spark, sf_dir)), **options)
 
 
 @register("tree_diff", f"WITH {ORDERS}, {FILES}, {DIFF} SELECT sha, path, mode, oid FROM diff")

@@ -101,16 +101,25 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts_of_orders(spark, sf_dir).select(F.col("order").alias("root"), "path", "f.mode", "f.oid")
 
 
-def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tree_oid, mode, name, oid): those files as trees, named by order on top and below by what is in them."""
+def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree_oid, held: array of mode, name and oid): those files as trees, named by order on top and below by what is in them.
+
+    What orders hold is derived once and written down.
+    """
+    from palimpsest.operators.history import stored
+
     files = _parts_of_orders(spark, sf_dir).select("order", F.element_at(F.split("path", "/"), 2).alias("name"), "f.mode", "f.oid")
     told = F.sort_array(F.collect_list(F.concat_ws(" ", F.col("mode").cast("string"), "name", "oid")))
-    tops = files.groupBy("order").agg(F.collect_list(F.struct("mode", "name", "oid")).alias("held"), F.sha1(F.array_join(told, "\n").cast("binary")).alias("sub"))
-    top = tops.select(F.col("order").alias("tree_oid"), F.lit(0o040000).alias("mode"), F.lit("part").alias("name"), F.col("sub").alias("oid"))
-    # Of equal trees, that of the smallest order is told; only names are dealt for it.
-    first = tops.groupBy("sub").agg(F.min("order").alias("order"))
-    below = tops.join(first.select("order"), "order", "left_semi").select(F.col("sub").alias("tree_oid"), F.inline("held"))
-    return top.unionByName(below)
+    tops = stored(files.groupBy("order").agg(F.collect_list(F.struct("mode", "name", "oid")).alias("held"), F.sha1(F.array_join(told, "\n").cast("binary")).alias("sub")))
+    folder = F.array(F.struct(F.lit(0o040000).alias("mode"), F.lit("part").alias("name"), F.col("sub").alias("oid")))
+    # Of equal trees, one is told.
+    return tops.select(F.col("order").alias("tree_oid"), folder.alias("held")).unionByName(
+        stored(tops.select(F.col("sub").alias("tree_oid"), "held").repartition("tree_oid").dropDuplicates(["tree_oid"])))
+
+
+def order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree_oid, mode, name, oid): the entries of those trees."""
+    return order_trees(spark, sf_dir).select("tree_oid", F.inline("held"))
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,34 @@ def test_a_search_takes_entries(spark):
     for sha, path, _, oid in plain(commits):
         want[oid, path] = max(want.get((oid, path), -1), int(sha[1:]))
     assert found == {(f"c{n}", path, oid) for (oid, path), n in want.items()}
+
+
+def test_trees_as_rows(spark):
+    """A tree in a row, roots without parents among them, and entries that are told twice."""
+    commits = made(11)
+    c, e = tables(spark, commits)
+    trees = e.groupBy("tree_oid").agg(F.collect_list(F.struct("mode", "name", "oid")).alias("held"))
+    for options in ({}, {"expand_commits": True}, {"first_parent": True}):
+        want = plain(commits, options.get("expand_commits", False), options.get("first_parent", False))
+        assert rows(treediff.tree_changes(c, treediff.by_trees(trees), **options)) == want and len(want) > 10
+    assert rows(treediff.tree_changes(c, treediff.by_joins(e.unionByName(e)))) == plain(commits)
+
+
+def test_levels_leave_no_shuffles(spark):
+    """What a level shuffled is gone once it is written: only the sides' and the last join's would be left."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in (a.apply(i) for a in [files.getAllFiles()] for i in range(a.size())) if f.getName().startswith("shuffle_")}
+    c, e = tables(spark, made(12))
+    held = history.stored(e)
+    before = shuffled()
+    changes = treediff.tree_changes(c, treediff.by_joins(held))
+    assert shuffled() <= before and rows(changes)
+
+
+def test_columns_that_rows_keep(spark):
+    commits = made(13)
+    c, e = tables(spark, commits)
+    told = c.withColumn("n", F.substr("sha", F.lit(2)).cast("int"))
+    kept = treediff.tree_changes(told, treediff.by_joins(e), keep=("n",))
+    assert kept.columns == ["sha", "path", "mode", "oid", "n"] and rows(kept) == plain(commits) and not kept.where("sha <> concat('c', n)").count()
+    assert treediff.tree_changes(told.limit(0), treediff.by_joins(e), keep=("n",)).dtypes == kept.dtypes
