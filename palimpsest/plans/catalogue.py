@@ -396,8 +396,7 @@ def file_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT oid AS blob_oid, path, arg_min(k.sha, {{'d': -epoch_us(c.commit_ts), 's': k.sha}}) AS commit_sha FROM kept k JOIN commits c ON c.sha = k.sha
   GROUP BY oid, path""")
 def occurrence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = tables.order_commits(spark, sf_dir)
-    found = merge_suppression(spark, sf_dir).join(commits.select("sha", "commit_ts"), "sha").select(
+    found = _changes(spark, sf_dir, keep=("commit_ts",)).select(
         F.col("oid").alias("blob_oid"), "path", F.col("sha").alias("commit_sha"), F.struct((-F.unix_micros("commit_ts")).alias("d"), "sha").alias("walk_seq"))
     return history.first_occurrences(found).select("blob_oid", "path", "commit_sha")
 

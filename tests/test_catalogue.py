@@ -44,3 +44,10 @@ def test_every_commit_is_reached_and_ranked(spark):
     ranks = run["walk_order"](spark, SF).collect()
     assert sorted(r.sha for r in ranks) == commits and sorted(r.walk_seq for r in ranks) == list(range(1, len(commits) + 1))
     assert 0 < run["rev_range"](spark, SF).count() < len(commits)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_first_occurrences_come_from_what_was_written(spark):
+    """Dates come with the changes, so neither orders are derived again nor changes dealt by commit for them."""
+    files = catalogue.queries()["occurrence_dedup"](spark, SF).inputFiles()
+    assert files and not any("orders.parquet" in f for f in files)
