@@ -102,7 +102,8 @@ def pair_changes(pairs: DataFrame, opened: Opener, n: int, whole: bool = False)
             level = placed.select(F.col("tree").alias("new"), F.col("before").alias("old")).repartition("new").distinct()
             found = placed.join(opened(level, n).withColumnsRenamed({"new": "tree", "old": "before"}), ["tree", "before"])
         if "changed" in found.columns:
-            found = found.select("new", "old", "prefix", F.inline("changed"))
+            # Outer, as Spark else asks for the size of what is changed first, and works it out once more for that.
+            found = found.select("new", "old", "prefix", F.inline_outer("changed")).where("mode IS NOT NULL")
         is_tree = F.col("mode").bitwiseAND(F.lit(KIND)) == TREE
         here, n = counted(found.select("new", "old", F.concat("prefix", "name").alias("path"), "mode", "oid", "had"), is_tree, stored)
         files = here.where(F.col("mode").bitwiseAND(F.lit(KIND)) == REGULAR).select("new", "old", "path", "mode", "oid")
